@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netlens.llm import packing, sharding, simhash
+from netlens.llm import packing, quality, sharding, simhash
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -25,10 +25,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op6_quality": op6_quality, "op10_sharding": op10_sharding}
 #: None of these is given as SQL: fingerprints, packings, models and spans are checked against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
