@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netlens.llm import langid, packing, pii, quality, sharding, simhash
+from netlens.llm import embeddings, langid, packing, pii, quality, sharding, simhash
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -37,10 +37,14 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_langid": op8_langid, "op10_sharding": op10_sharding}
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_langid": op8_langid, "op9_embeddings": op9_embeddings, "op10_sharding": op10_sharding}
 #: None of these is given as SQL: fingerprints, packings, models and spans are checked against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
