@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netlens.llm import embeddings, langid, packing, pii, quality, sharding, simhash
+from netlens.llm import embeddings, langid, lines, packing, pii, quality, sharding, simhash
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -25,6 +25,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_langid": op8_langid, "op9_embeddings": op9_embeddings, "op10_sharding": op10_sharding}
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_lines": op3_lines, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_langid": op8_langid, "op9_embeddings": op9_embeddings, "op10_sharding": op10_sharding}
 #: None of these is given as SQL: fingerprints, packings, models and spans are checked against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
