@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netlens.llm import embeddings, langid, lines, packing, pieces, pii, quality, sharding, simhash
+from netlens.llm import embeddings, langid, lines, packing, pieces, pii, quality, sharding, simhash, substring
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -33,6 +33,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_lines": op3_lines, "op4_sentencepiece": op4_sentencepiece, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_langid": op8_langid, "op9_embeddings": op9_embeddings, "op10_sharding": op10_sharding}
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_lines": op3_lines, "op4_sentencepiece": op4_sentencepiece, "op5_substring": op5_substring, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_langid": op8_langid, "op9_embeddings": op9_embeddings, "op10_sharding": op10_sharding}
 #: None of these is given as SQL: fingerprints, packings, models and spans are checked against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
