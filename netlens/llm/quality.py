@@ -101,10 +101,10 @@ def _key(keys: list[str], depth: int) -> Column:
 
 def _with_group(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """rows with g, the most specific key that has an estimate. groups has at most (1 + keys) * MOST_GROUPS rows, so it is broadcast."""
-    for depth in range(len(keys) + 1):
+    for depth in range(1, len(keys) + 1):
         rows = rows.join(F.broadcast(groups.select(F.col("k").alias(f"_g{depth}"), F.lit(True).alias(f"_has{depth}"))), _key(keys, depth) == F.col(f"_g{depth}"), "left")
-    g = F.coalesce(*[F.when(F.col(f"_has{d}"), F.col(f"_g{d}")) for d in range(len(keys), -1, -1)])
-    return rows.withColumn("g", g).drop(*[f"_g{d}" for d in range(len(keys) + 1)], *[f"_has{d}" for d in range(len(keys) + 1)])
+    g = F.coalesce(*[F.when(F.col(f"_has{d}"), F.col(f"_g{d}")) for d in range(len(keys), 0, -1)], _key(keys, 0))
+    return rows.withColumn("g", g).drop(*[f"_{x}{d}" for d in range(1, len(keys) + 1) for x in ("g", "has")])
 
 
 def _whitened(params: DataFrame) -> DataFrame:
