@@ -57,6 +57,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_lines": op3_lines, "op4_sentencepiece": op4_sentencepiece, "op5_substring": op5_substring, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_langid": op8_langid, "op9_embeddings": op9_embeddings, "op10_sharding": op10_sharding}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_lines, op4_sentencepiece, op5_substring, op6_quality, op7_pii, op8_langid, op9_embeddings, op10_sharding)}
 #: None of these is given as SQL: fingerprints, packings, models and spans are checked against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
