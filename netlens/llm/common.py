@@ -22,17 +22,33 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/netlens-{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+_SCOPE = ""
+
+
+def materialise(df: DataFrame, name: str = "table", scoped: bool = True) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{_SCOPE if scoped else ''}{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; results that still read them must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+def begin_scope(spark: SparkSession, name: str) -> None:
+    """From now on scratch tables are written under `name`; what a scope of this name held before is deleted. For steps whose
+    results are written before the next one begins, like those of a pipeline."""
+    global _SCOPE
+    drop_scratch(spark, name)
+    _SCOPE = f"{name}/"
+
+
+def end_scope() -> None:
+    global _SCOPE
+    _SCOPE = ""
+
+
+def drop_scratch(spark: SparkSession, scope: str = "") -> None:
+    """Delete this application's scratch tables, or those of a scope; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{scope}".rstrip("/"))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
