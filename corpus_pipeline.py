@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.llm import lines, packing, pii, quality, simhash
-from netlens.llm.common import materialise
+from netlens.llm.common import begin_scope, end_scope, materialise
 from netlens.llm.queries import tokenizer_path
 
 
@@ -40,7 +40,20 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", pack)]
+def _scoped(stage):
+    """The stage, in a scope of its own for scratch tables: those of the stage before go, as its result is written by now."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        begin_scope(spark, "pipeline")
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            end_scope()
+
+    return run
+
+
+STAGES = [(name, _scoped(stage)) for name, stage in (("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", pack))]
 
 #: Estimates, fingerprints and packings cannot be put as SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
@@ -50,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), name, scoped=False)
     return docs
