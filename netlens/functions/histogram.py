@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Upper bounds of the buckets, and what a rank in the overflow bucket reports.
@@ -21,17 +22,22 @@ def counters(value: Column) -> list[Column]:
     return [*out, F.count_if(value > BOUNDS[-1]).alias(f"h{len(BOUNDS)}")]
 
 
-def percentile(hundredths: int, counts: Sequence[Column] | None = None) -> Column:
-    """Percentile from counters() columns: the bucket that holds the rank ceil(p * n), and a straight line inside it. No value: 0."""
-    counts = list(counts) if counts is not None else [F.col(f"h{i}") for i in range(len(BOUNDS) + 1)]
-    n = sum(counts[1:], counts[0])
-    rank = F.floor((n * hundredths + 99) / F.lit(100))
-    out, cum = None, F.lit(0)
+def cumulated(df: DataFrame) -> DataFrame:
+    """df with the counters h0..h13 turned into running sums c0..c13, in a projection of their own so that percentiles stay small
+    expressions."""
+    n = len(BOUNDS) + 1
+    sums = {f"c{i}": reduce(add, [F.col(f"h{k}") for k in range(i + 1)]) for i in range(n)}
+    return df.withColumns(sums).drop(*[f"h{i}" for i in range(n)])
+
+
+def percentile(hundredths: int) -> Column:
+    """Percentile from cumulated() counters: the bucket that holds the rank ceil(p * n), and a straight line inside it. No value: 0."""
+    c = [F.col(f"c{i}") for i in range(len(BOUNDS) + 1)]
+    rank = F.floor((c[-1] * hundredths + 99) / F.lit(100))
+    out = F.when(c[-1] == 0, F.lit(0.0))
     for i, high in enumerate(BOUNDS):
-        cum = cum + counts[i]
-        low = BOUNDS[i - 1] if i else 0
-        inside = (F.lit(1.0) - (cum - rank) / counts[i]) * F.lit(float(high - low)) + F.lit(float(low))
-        out = F.when(n == 0, F.lit(0.0)).when(cum >= rank, inside) if out is None else out.when(cum >= rank, inside)
+        low, count = (BOUNDS[i - 1], c[i] - c[i - 1]) if i else (0, c[0])
+        out = out.when(c[i] >= rank, (F.lit(1.0) - (c[i] - rank) / count) * F.lit(float(high - low)) + F.lit(float(low)))
     return out.otherwise(F.lit(OVERFLOW))
 
 

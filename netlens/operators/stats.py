@@ -59,7 +59,7 @@ def aggregates() -> list[Column]:
     return [F.count(F.lit(1)).alias("count"), F.count_if(c("response_status") != names.SUCCESS).alias("failed_count"), F.max(v).alias("max"), F.sum(v).alias("_sum"), F.count(v).alias("_n"), *histogram.counters(v)]
 
 
-def measures(total: bool, exact: bool = False) -> list[Column]:
+def measures(total: bool) -> list[Column]:
     out = [c("count"), c("failed_count"), c("max"), (c("_sum") / c("_n")).alias("avg"), *[histogram.percentile(p).alias(f"p{p}") for p in (50, 90, 99)]]
     return [*out, c("_sum").alias("total")] if total else out
 
@@ -75,13 +75,14 @@ def stat(records: DataFrame, group_by: str = "conn", metric: str = "total-time",
         extra = [F.percentile("_value", F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 99)]
         out = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("count"), F.count_if(c("response_status") != names.SUCCESS).alias("failed_count"), F.max("_value").alias("max"), F.avg("_value").alias("avg"), *extra, F.sum("_value").alias("total"))
         return out if metric in SIZES else out.drop("total")
-    return rows.groupBy("class_id").agg(*aggregates()).select("class_id", *measures(metric in SIZES))
+    return histogram.cumulated(rows.groupBy("class_id").agg(*aggregates())).select("class_id", *measures(metric in SIZES))
 
 
 def stat_two_level(records: DataFrame, group_by: str, sub_group_by: str, metric: str = "total-time") -> DataFrame:
     """Rows for classes and, with is_sub, for classes and sub-classes, in one pass of grouping sets."""
     rows = _base(records, metric).withColumns({"class_id": CLASSIFIERS[group_by](), "sub_id": CLASSIFIERS[sub_group_by]()})
     out = rows.groupingSets([["class_id"], ["class_id", "sub_id"]], "class_id", "sub_id").agg(*aggregates(), F.grouping("sub_id").alias("_whole"))
+    out = histogram.cumulated(out)
     full = F.when(c("_whole") == 0, F.concat_ws("||", "class_id", "sub_id")).otherwise(c("class_id"))
     return out.select(c("class_id").alias("parent_id"), full.alias("class_id"), (c("_whole") == 0).alias("is_sub"), *measures(metric in SIZES))
 
@@ -94,6 +95,7 @@ def overview(records: DataFrame, metric: str = "total-time") -> DataFrame:
     """Remote addresses and what is asked of them, with the protocol of the record that has the smallest metric."""
     rows = _base(records, metric).withColumns({"class_id": CLASSIFIERS["remote-ip"](), "sub_id": CLASSIFIERS["protocol-adaptive"]()})
     out = rows.groupingSets([["class_id"], ["class_id", "sub_id"]], "class_id", "sub_id").agg(*aggregates(), F.grouping("sub_id").alias("_whole"), F.min_by("protocol", F.struct("_value", "start_ns", "record_id")).alias("_protocol"))
+    out = histogram.cumulated(out)
     full = F.when(c("_whole") == 0, F.concat_ws("||", "class_id", "sub_id")).otherwise(c("class_id"))
     return out.select(full.alias("class_id"), (c("_whole") == 0).alias("is_sub"), names.protocol_name(c("_protocol")).alias("protocol"), *measures(metric in SIZES))
 

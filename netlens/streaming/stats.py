@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netlens.functions import histogram
 from netlens.operators import stats
 from netlens.streaming.run import event_time
 
@@ -28,7 +29,7 @@ def windowed(records: DataFrame, seconds: int, group_by: str = "conn", metric: s
     """The statistics of each window of `seconds`, once it is over; state is let go with it."""
     rows = stats._base(settled(records, delay), metric).withColumn("class_id", stats.CLASSIFIERS[group_by]())
     out = rows.groupBy(F.window("event_time", f"{seconds} seconds").alias("w"), "class_id").agg(*stats.aggregates())
-    return out.select(F.unix_micros("w.start").alias("window_us"), "class_id", *stats.measures(metric in stats.SIZES))
+    return histogram.cumulated(out).select(F.unix_micros("w.start").alias("window_us"), "class_id", *stats.measures(metric in stats.SIZES))
 
 
 def deduplicated(events: DataFrame, keys: list[str], delay: str = SETTLE) -> DataFrame:

@@ -87,7 +87,7 @@ def test_statements(rows):
 
 @pytest.mark.parametrize("values, expected", [([108.59, 45.89, 26.60], (64.0, 128.0, 128.0)), ([11.56], (16.0, 16.0, 16.0)), ([11.98, 10.0, 9.0], (13.33, 16.0, 16.0)), ([], (0.0, 0.0, 0.0)), ([5000.0, 9000.0], (8192.0, 8192.0, 8192.0)), ([16.0], (16.0, 16.0, 16.0)), ([0.5, 0.7], (0.5, 1.0, 1.0))])
 def test_histogram_percentiles(rows, values, expected):
-    df = rows([(float(v),) for v in values], "v double").agg(*histogram.counters(F.col("v")))
+    df = histogram.cumulated(rows([(float(v),) for v in values], "v double").agg(*histogram.counters(F.col("v"))))
     assert tuple(round(x, 2) for x in df.select(*[histogram.percentile(p) for p in (50, 90, 99)]).first()) == expected
 
 
