@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netlens.functions import names
 from netlens.operators import annotate, connections, enrich, filters, hops, pairing, ranges, reassembly, timeline
 from netlens.plans.oracle import CONN_EVENTS, CONTAINERS, EVENTS, KERN, MESSAGES, PROCESSES, RECORDS, SEGMENTS
+from netlens.plans.protocols import PROTOCOLS
 from netlens.plans.registry import query
 from netlens.sources import adapters, readers
 
@@ -98,6 +99,14 @@ def d17(spark, sf):
     return pairing.unmatched(m, pairing.pair_fifo(m))
 
 
+@query("j1_protocols", f"SELECT 'kafka' AS protocol, count(*) AS n, CAST(max(resp_ts - req_ts) AS BIGINT) AS slowest_ns FROM ({_id_sql('', 'DESC', 'WHERE q.ts_ns <= r.ts_ns')}) UNION ALL SELECT 'mongodb', count(*), CAST(max(resp_ts - req_ts) AS BIGINT) FROM ({_lag_sql('conn_id, stream_id', 'request')}) UNION ALL SELECT 'http', count(*), CAST(max(resp_ts - req_ts) AS BIGINT) FROM ({_lag_sql('conn_id', 'response')})", (MESSAGES,))
+def j1(spark, sf):
+    """The same messages under the rules of three protocols."""
+    m = adapters.messages(spark, sf)
+    parts = [PROTOCOLS[n].pairs(m).select(F.lit(n).alias("protocol"), "latency_ns") for n in ("http", "kafka", "mongodb")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("protocol").agg(F.count(F.lit(1)).alias("n"), F.max("latency_ns").alias("slowest_ns"))
+
+
 # --- connections -----------------------------------------------------------------------------------------------------------
 @query("connections", "SELECT * FROM connections", (CONN_EVENTS,))
 def connection_intervals(spark, sf):

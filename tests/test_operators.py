@@ -225,3 +225,13 @@ def test_empty_tables(rows):
         assert fn(m).count() == 0
     assert filters.with_payload(rows([(0,), (1,)], "len long")).count() == 1
     assert stats.stat(rows([], "conn_id string, total_ns long, response_status int, side string")).count() == 0
+
+
+def test_own_protocol(rows):
+    from netlens.plans.protocols import MATCHERS, ProtocolSpec, register
+
+    spec = register(ProtocolSpec("echo", 99, "fifo", {"slow": lambda: F.col("resp_ts") - F.col("req_ts") > 1}, [lambda: F.col("req_ts") > 0], lambda: F.lit("echo")))
+    assert got(spec.pairs(messages(rows, [0, 3], [1, 5])), "req_ts", "protocol", "slow") == [(3, 99, True)]
+    assert stats.CLASSIFIERS.pop("echo") and "fifo" in MATCHERS
+    with pytest.raises(ValueError):
+        register(ProtocolSpec("bad", 1, "guess"))
