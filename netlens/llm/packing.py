@@ -18,7 +18,7 @@ LENGTH = 2048
 OPEN = 32
 END_ID = 1
 #: Chunks of text whose ids a task remembers.
-CACHE = 400_000
+CACHE = 150_000
 #: Punctuation that is split off the end of a chunk.
 CLOSING = ".,;:!?"
 #: Partitions whose leftovers one task merges in a round.

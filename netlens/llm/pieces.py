@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 #: Chunks of text whose ids a Python worker remembers.
-CACHE = 400_000
+CACHE = 150_000
 _RUNS = re.compile(r" *[^ ]+| +")
 
 
