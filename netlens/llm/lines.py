@@ -186,8 +186,9 @@ SMALL = 24
 
 
 def _paired(every: bool):
-    """Candidates (a, b) from groups in order of (number, doc_id). Each line is held against those before it: the first that
-    passes the filters is its candidate in this group (more = whether others pass too), or all of them if `every`."""
+    """Candidates (a, b) from groups in order of (number, first place of the set). Each line is held against those before it, which
+    are all that are earlier: the first that passes the filters is its candidate in this group (more = whether others pass
+    too), or all of them if `every`."""
 
     def pairs(rows: dict, old: dict | None, number: int):
         whole = {c: np.concatenate([old[c], x]) for c, x in rows.items()} if old else rows
@@ -271,22 +272,29 @@ def _paired(every: bool):
 
 
 _META = np.int64(0xFFFF)
-_POSTING = "meet long, doc_id long, key long, b1 long, b2 long, open int"
+_POSTING = "meet long, doc_id long, line_no int, key long, b1 long, b2 long, open int"
+
+
+def _placed(sketches: DataFrame, firsts: DataFrame) -> DataFrame:
+    """One sketch of each set that meets others, with the set's first place in the table, by which its groups are put in order. The
+    first place that a task happens to read would put sets in another order than firsts does."""
+    once = sketches.where(F.size("prefix") > 0).select("key", "size", "b1", "b2", "singles", "prefix").dropDuplicates(["key"])
+    return once.join(firsts, "key").select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "key", "size", "b1", "b2", "singles", "prefix")
 
 
 def _postings(sketches: DataFrame) -> DataFrame:
     """Postings of all lines: meet holds the number that lines meet by in its upper half, then place and size, so that a posting is five
-    longs. A place or size beyond 65535 is kept as that much; no line of so many words passes a filter wrongly, as both
+    longs and a line number. A place or size beyond 65535 is kept as that much; no line of so many words passes a filter wrongly, as both
     bounds are then taken from equal values."""
-    rows = sketches.where(F.size("prefix") > 0).select("doc_id", "key", "b1", "b2", F.least(F.col("size"), F.lit(65535)).cast("long").alias("size"), "singles", F.posexplode("prefix").alias("i", "word"))
+    rows = sketches.select("doc_id", "line_no", "key", "b1", "b2", F.least(F.col("size"), F.lit(65535)).cast("long").alias("size"), "singles", F.posexplode("prefix").alias("i", "word"))
     place = F.when((F.col("i") < F.col("singles")) & (F.col("i") < 65535), F.col("i")).otherwise(F.lit(0)).cast("long")
     meet = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.shiftleft(place, 16)).bitwiseOR(F.col("size"))
-    return rows.select(meet.alias("meet"), "doc_id", "key", "b1", "b2", F.lit(1).alias("open"))
+    return rows.select(meet.alias("meet"), "doc_id", "line_no", "key", "b1", "b2", F.lit(1).alias("open"))
 
 
 def _candidates(postings: DataFrame, every: bool) -> DataFrame:
     number = F.shiftright("meet", 32)
-    return postings.repartition(number).sortWithinPartitions(number, "doc_id", "key").mapInArrow(_paired(every), "a long, b long, more boolean, number long")
+    return postings.repartition(number).sortWithinPartitions(number, "doc_id", "line_no", "key").mapInArrow(_paired(every), "a long, b long, more boolean, number long")
 
 
 def _mixed_numbers(batches):
@@ -307,7 +315,7 @@ def _wanted(numbers, open_keys):
             on = may_hold(numbers.value, mixed(flat.view(np.uint64)), FILTER_BITS)
             owner, place, flat = owner[on], place[on], flat[on]
             key, size = b.column("key").to_numpy()[owner], np.minimum(b.column("size").to_numpy()[owner].astype(np.int64), 65535)
-            cols = [pa.array(flat << 32 | place << 16 | size), b.column("doc_id").take(pa.array(owner)), pa.array(key), pa.array(b.column("b1").to_numpy()[owner]), pa.array(b.column("b2").to_numpy()[owner]), pa.array(may_hold(open_keys.value, key.view(np.uint64), FILTER_BITS).astype(np.int32))]
+            cols = [pa.array(flat << 32 | place << 16 | size), b.column("doc_id").take(pa.array(owner)), b.column("line_no").take(pa.array(owner)), pa.array(key), pa.array(b.column("b1").to_numpy()[owner]), pa.array(b.column("b2").to_numpy()[owner]), pa.array(may_hold(open_keys.value, key.view(np.uint64), FILTER_BITS).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _POSTING.split(", ")])
 
     return run
@@ -368,16 +376,17 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     more. The earlier line is the one with the smaller (doc_id, line_no). Blank lines take no part. Whether a line has an
     earlier match is exact: candidates come from prefix, positional, length and bitmap filters, which lose no similar pair,
     and are verified by 64-bit word hashes. A line is first held against its earliest candidate for each shared word; those
-    that this does not settle are held against all.
+    that this does not settle are held against all. Earlier is meant by the first places of the sets in the whole table.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
     top = base.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(RANKED).toArrow()
     order = spark.sparkContext.broadcast(Order(top.column("word").to_numpy(), top.column("n").to_numpy()))
     sketches = materialise(base.mapInArrow(_sketched(order), _SKETCH), "sketches")
-    met = materialise(_candidates(_postings(sketches), False), "pairs")
-    some = met.select("a", "b").distinct()
     firsts = materialise(sketches.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "firsts")
+    placed = _placed(sketches, firsts)
+    met = materialise(_candidates(_postings(placed), False), "pairs")
+    some = met.select("a", "b").distinct()
     subsets = (sketches.where(F.size("subsets") > 0).select("key", F.explode("subsets").alias("a"))
                .join(firsts.select(F.col("key").alias("a")), "a", "left_semi").select("a", F.col("key").alias("b")).distinct())
     links = materialise(_verified(base, some).unionByName(subsets), "links")
@@ -388,8 +397,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         open_keys = spark.sparkContext.broadcast(bit_filter(unsettled, "key", FILTER_BITS))
         numbers = unsettled.select("number").distinct().mapInArrow(_mixed_numbers, "h long")
         numbers = spark.sparkContext.broadcast(bit_filter(numbers, "h", FILTER_BITS))
-        lines = sketches.where(F.size("prefix") > 0)
-        again = _candidates(lines.select("doc_id", "key", "size", "b1", "b2", "singles", "prefix").mapInArrow(_wanted(numbers, open_keys), _POSTING), True).select("a", "b").distinct()
+        again = _candidates(placed.mapInArrow(_wanted(numbers, open_keys), _POSTING), True).select("a", "b").distinct()
         again = materialise(again.join(some, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(materialise(_verified(base, again), "links"))
     earlier = _later(links, firsts).groupBy("key").agg(F.min("other").alias("other"))

@@ -205,6 +205,27 @@ def test_lines_against_brute_force(rows, monkeypatch, crowd):
     assert len(out) == len(data)
 
 
+def late_order(seed):
+    """Chains Z~Y~X of ten-word lines, not Z~X, with X after Y in one document: whichever set key is less, some X stand before Y by it.
+    Rows are shuffled, and some documents come again with a greater id, so that a task reads a later place first."""
+    rng = random.Random(seed)
+    data = []
+    for f in range(60):
+        w = [f"r{f}x{k}" for k in range(7)] + [f"c{k}" for k in range(3)]
+        y, z, x = w, [*w[:9], "c4"], [*w[:7], "c0", "c5", "c2"]
+        data += [(3 * f, " ".join(z)), (3 * f + 1, "\n".join(map(" ".join, (y, x)))), (3 * f + 2, "\n".join(map(" ".join, rng.sample([x, y, z], 3))))]
+    rng.shuffle(data)
+    return data
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_are_earlier_by_their_first_places(rows, monkeypatch, seed):
+    monkeypatch.setattr(lines, "CROWD", 50)
+    data = late_order(seed)
+    got = {(r.doc_id, x.line_no) for r in lines.line_dedup(rows(data, DOC)).collect() if r.removed for x in r.removed}
+    assert got == brute_removed(data)
+
+
 def test_lines_odd_rows(rows):
     out = lines.line_dedup(odd(rows)).collect()
     assert len(out) == len(ODD)
