@@ -137,68 +137,103 @@ def plain_letters(t: Traced) -> Traced:
 _UNIT = "(?:" + "|".join(sorted([*DIGITS, *SIGNS], key=len, reverse=True)) + "|double|triple|\\+|[0-9])"
 _GAP = r"(?:[\x20,./-]{1,3})"
 _SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9]){_UNIT}(?:{_GAP}?{_UNIT}(?![A-Za-z]))+", re.I)
-_SPELLED_SEEN = re.compile(r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b[\x20,./-]{1,3}\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|dot|point)\b", re.I)
+# a spelled digit beside a digit, a sign, a multiplier or another spelled digit
+_SPELLED = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
+_SPELLED_SEEN = re.compile(rf"\b{_SPELLED}\b[\x20,./-]{{1,3}}(?:[0-9]|(?:{_SPELLED}|plus|dot|point|dash|hyphen|double|triple)\b)|(?:[0-9+]|\b(?:plus|dot|point|dash|hyphen|double|triple))[\x20,./-]{{1,3}}{_SPELLED}\b|\+{_SPELLED}\b", re.I)
+#: Spelled digits from which a run reads as one number whatever stands between them.
+SURE = 4
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9+]|[^A-Za-z0-9+]+")
 
 
 def plain_digits(t: Traced) -> Traced:
     """Second transducer: runs of spelled digits and signs ('plus four four two zero ...') to the characters they name.
 
-    Between two spelled or plain digits the gap is dropped, so that a run reads as one number; four spelled digits at least.
+    Between two spelled or plain digits the gap is dropped, so that a run reads as one number. A run with fewer than SURE
+    spelled digits keeps its full stops and ends where a stop or comma is followed by a blank, as in prose; whether it
+    is a number is up to the tests of the base patterns.
     """
     if not _SPELLED_SEEN.search(t.text):
         return t
     edits = []
     for m in _SPELLED_RUN.finditer(t.text):
         tokens = [(x.start() + m.start(), x.end() + m.start(), x[0].lower()) for x in _TOKEN.finditer(m[0])]
-        if sum(x[2] in DIGITS for x in tokens) < 4:
+        times, n = 1, 0
+        for _, _, w in tokens:
+            n += times * (w in DIGITS)
+            times = 2 + (w == "triple") if w in ("double", "triple") else 1 if w.isalnum() else times
+        if not n:
             continue
         times, at = 1, None
         for s, e, w in tokens:
             if w in ("double", "triple"):
                 times, at = 2 + (w == "triple"), s
-            elif w in DIGITS or w in SIGNS:
-                edits.append((s if at is None else at, e, (DIGITS.get(w) or SIGNS[w]) * times))
+            elif w in DIGITS or w in SIGNS or at is not None and w.isdigit():
+                edits.append((s if at is None else at, e, (DIGITS.get(w) or SIGNS.get(w) or w) * times))
                 times, at = 1, None
             elif not w.isalnum() and w != "+":
-                if at is None:
+                if at is None and (n >= SURE or w != "." and not (w[0] in ".,/" and w[-1] == " ")):
                     edits.append((s, e, ""))
     return t.rewritten(edits)
 
 
+_DIGIT_DOT = re.compile(r"(?<=[0-9])(?:\x20?[\[({<]\x20?(?:dot|punkt|point|punto|\.)\x20?[\])}>]\x20?|\x20(?:dot|point)\x20)(?=[0-9])", re.I)
+
+
+def plain_dots(t: Traced) -> Traced:
+    """Spelled and bracketed dots between digits ('192 dot 168', '192[.]168') to dots."""
+    return t.rewritten([(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(t.text)])
+
+
 _AT = r"(?:\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?|\x20(?:at)\x20|\x20?@\x20?)"
 _DOT = r"(?:\x20?[\[({<]\x20?(?:dot|punkt|point|punto|\.)\x20?[\])}>]\x20?|\x20(?:dot)\x20|\.)"
-_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,3}}{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
+_HOST = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
+_DOT_BEFORE = re.compile(rf"{_DOT}\Z", re.I)
+#: Characters of the longest dot that _DOT knows.
+_DOT_WIDTH = 12
+_LABEL_CHARS = _LOCAL_CHARS - {"."}
 _AT_ONE, _DOT_ONE = re.compile(_AT, re.I), re.compile(_DOT, re.I)
-_AT_SEEN = re.compile(r"[\[({<]\x20?(?:at|@)\x20?[\])}>]|[\x20\])}>]dot[\x20\[({<]|[\[({<]\x20?(?:dot|punkt|point|punto|\.)\x20?[\])}>]|@", re.I)
+_AT_SEEN = re.compile(r"[\[({<]\x20?(?:at|@)\x20?[\])}>]|[\x20\])}>]dot[\x20\[({<]|[\[({<]\x20?(?:dot|punkt|point|punto|\.)\x20?[\])}>]|@|[A-Za-z0-9_%+-]\x20at\x20[A-Za-z0-9-]+\.[A-Za-z0-9]", re.I)
 _BRACKET_AT = re.compile(r"[\[({<]\x20?(?:at|@)\x20?[\])}>]|@", re.I)
+_MAILBOX = re.compile(r"[0-9._%+-]")
+_DOTTED = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])")
 _WORD_DOT = re.compile(r"\x20dot\x20|[\[({<]\x20?(?:dot|punkt|point|punto|\.)\x20?[\])}>]", re.I)
 
 
+def _local_start(text: str, end: int) -> int:
+    """Where the local part that ends at `end` begins, through spelled dots as well; `end` if there is none."""
+    start, at = end, end
+    while True:
+        while at > 0 and text[at - 1] in _LABEL_CHARS:
+            at -= 1
+        if at == start or at == end:
+            return start
+        start = at
+        dot = _DOT_BEFORE.search(text, max(0, at - _DOT_WIDTH), at)
+        if dot is None:
+            return start
+        at = end = dot.start()
+
+
 def plain_addresses(t: Traced) -> Traced:
     """Third transducer: 'name (at) host [dot] tld' and 'name at host dot tld' to name@host.tld. A bare ' at ' needs a spelled dot
-    after it, so that prose stays as it is."""
+    after it, or a dotted host whose last part is letters and a name that reads as a mailbox ('john.doe at example.com'),
+    so that prose ('look at example.com') stays as it is."""
     if not _AT_SEEN.search(t.text):
         return t
     edits = []
     for hit in _AT_ONE.finditer(t.text):
-        lo, hi = max(0, hit.start() - 100), min(len(t.text), hit.end() + 300)
-        m = None
-        for x in _DISGUISED.finditer(t.text, lo, hi):
-            if x.start() < hit.start() and x.end() >= hit.end():
-                m = x
-                break
-            if x.start() > hit.start():
-                break
-        if m is None:
+        host = _HOST.match(t.text, hit.end())
+        start = _local_start(t.text, hit.start()) if host else hit.start()
+        if start == hit.start():
             continue
-        left, right = t.text[m.start():hit.start()], t.text[hit.end():m.end()]
-        if not _BRACKET_AT.search(hit[0]) and not _WORD_DOT.search(right):
+        left, right = t.text[start:hit.start()], host[0]
+        spelled = _WORD_DOT.search(right)
+        if not _BRACKET_AT.search(hit[0]) and not spelled and not (_MAILBOX.search(left) and _DOTTED.match(right)):
             continue
-        if hit[0] == "@" and not _WORD_DOT.search(right):
+        if hit[0] == "@" and not spelled and not _WORD_DOT.search(left):
             continue
         # a spelled dot joins what stands left of the at sign only if it is bracketed or a word between words there
-        for part, off in ((left, m.start()), (right, hit.end())):
+        for part, off in ((left, start), (right, hit.end())):
             edits += [(off + d.start(), off + d.end(), ".") for d in _DOT_ONE.finditer(part) if d[0] != "."]
         if hit[0] != "@":
             edits.append((hit.start(), hit.end(), "@"))
@@ -214,12 +249,12 @@ def plain_addresses(t: Traced) -> Traced:
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """What the base patterns find in the normalised text, mapped back to source characters; only spans with a rewritten
     character, and none that lies inside a base span of its kind."""
-    t = Traced.of(text) if not text.isascii() or _AT_SEEN.search(text) or _SPELLED_SEEN.search(text) else None
+    t = Traced.of(text) if not text.isascii() or _AT_SEEN.search(text) or _SPELLED_SEEN.search(text) or _DIGIT_DOT.search(text) else None
     if t is None:
         return []
     t0 = t
     t = plain_letters(t)
-    t = plain_addresses(plain_digits(t))
+    t = plain_addresses(plain_dots(plain_digits(t)))
     if t is t0:
         return []
     out = []

@@ -359,6 +359,22 @@ def test_disguises(text, kind, hidden):
     assert [(k, text[s:e]) for s, k, e in added] == ([] if kind is None else [(kind, hidden)])
 
 
+@pytest.mark.parametrize("kind, hidden", [
+    (1, "192 dot 168 dot 10 dot 25"), (1, "192[.]168[.]10[.]25"), (1, "192 (dot) 168 (dot) 10 (dot) 25"), (1, "192.168.one.25"), (0, "john.doe at example.com"),
+    (3, "+1 four one five 555 01 99"), (3, "plus double four double two triple seven double one double nine"),
+    (0, "a dot b dot c dot d dot e dot f at mail dot example dot com"), (0, " dot ".join(["abcdefgh"] * 12) + " (at) example.org")])
+def test_disguises_of_every_form(kind, hidden):
+    text = f"so {hidden} it is"
+    base, added = pii.scan(text)
+    assert [(k, text[s:e]) for s, k, e in added if k == kind] == [(kind, hidden)]
+    assert hidden not in pii.mask(text)
+
+
+@pytest.mark.parametrize("text", ["we look at example.com and one of 3 two point 5 tables", "version 1 point 2, one. two. +1 or three"])
+def test_prose_is_no_disguise(text):
+    assert pii.scan(text) == ([], [])
+
+
 def test_pii_odd_rows(rows):
     out = pii.find_pii(odd(rows)).collect()
     assert len(out) == len(ODD) and all(r.spans == "" for r in out)
