@@ -65,8 +65,9 @@ FLOORS = [0.08, 0.25, 0.09, 0.11]
 MEDIAN_4, CUTOFF_4 = 3.3567, 33.3768
 #: A group of fewer rows uses its language's estimate, a language of fewer rows that of all rows.
 GROUP_ROWS = 60
-#: Groups with an estimate of their own, the largest first; a bound for what is broadcast.
-MOST_GROUPS = 4096
+#: Up to so many groups with an estimate are broadcast; more are joined by a shuffle, the rows of a group dealt over SALT parts.
+BROADCAST_GROUPS = 4096
+SALT = 32
 STEPS = 3
 
 
@@ -88,7 +89,7 @@ def _levels(rows: DataFrame, keys: list[str]) -> DataFrame:
     for depth in range(len(keys), -1, -1):
         some = counts.groupBy(_key(keys, depth).alias("k")).agg(F.sum("count").alias("n")) if depth else counts.agg(F.sum("count").alias("n")).select(_key(keys, 0).alias("k"), "n")
         if depth:
-            some = some.where(F.col("n") >= GROUP_ROWS).orderBy(F.desc("n"), "k").limit(MOST_GROUPS)
+            some = some.where(F.col("n") >= GROUP_ROWS)
         out = some if out is None else out.unionByName(some)
     return out.select("k")
 
@@ -99,14 +100,36 @@ def _key(keys: list[str], depth: int) -> Column:
     return F.concat_ws("\x1f", F.lit(str(depth)), *parts)
 
 
-def _with_group(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with g, the most specific key that has an estimate. groups has at most (1 + keys) * MOST_GROUPS rows, so it is broadcast."""
+def _hint(table: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(table) if small else table
+
+
+def _joined(rows: DataFrame, table: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """rows(g, x0..x3, ...) with the columns of table(k, ...), which has a row for each group."""
+    if small:
+        return rows.join(F.broadcast(table), F.col("g") == F.col("k"), how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rows = rows.withColumn("_salted", F.pmod(F.xxhash64(*VECTOR), F.lit(SALT)).cast("int"))
+    return rows.join(salted, (F.col("g") == F.col("k")) & (F.col("_salted") == F.col("_salt")), how).drop("_salt", "_salted")
+
+
+def _with_group(rows: DataFrame, groups: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """rows with g, the most specific key that has an estimate."""
     for depth in range(1, len(keys) + 1):
-        rows = rows.join(F.broadcast(groups.select(F.col("k").alias(f"_g{depth}"), F.lit(True).alias(f"_has{depth}"))), _key(keys, depth) == F.col(f"_g{depth}"), "left")
+        rows = rows.join(_hint(groups.select(F.col("k").alias(f"_g{depth}"), F.lit(True).alias(f"_has{depth}")), small), _key(keys, depth) == F.col(f"_g{depth}"), "left")
     g = F.coalesce(*[F.when(F.col(f"_has{d}"), F.col(f"_g{d}")) for d in range(len(keys), 0, -1)], _key(keys, 0))
     return rows.withColumn("g", g).drop(*[f"_{x}{d}" for d in range(1, len(keys) + 1) for x in ("g", "has")])
 
 
+def _estimated(rows: DataFrame, groups: DataFrame, params: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """rows with the estimate that judges them. Many groups are looked up for each distinct key first, so rows are dealt out once."""
+    if small:
+        return _joined(_with_group(rows, groups, keys, small), params, small, "left")
+    known = _with_group(rows.select(*keys).distinct(), groups, keys, small).select(_key(keys, len(keys)).alias("_whole"), "g")
+    known = known.join(params, F.col("g") == F.col("k"), "left").drop("k", "g").withColumnRenamed("_whole", "k")
+    return _joined(rows.withColumn("g", _key(keys, len(keys))), known, small, "left")
+
+
 def _whitened(params: DataFrame) -> DataFrame:
     """From the means m0.. and scatters s00.. to w (rows of the inverse Cholesky factor), column by column."""
     p = len(VECTOR)
@@ -141,7 +164,7 @@ def _distance() -> Column:
     return out
 
 
-def fit(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def fit(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
     """Minimum covariance determinant for each g of rows(g, x0..x3): k, means, inverse Cholesky factors and cutoff.
 
     It starts from medians and median deviations; each concentration step takes the half of the group that is nearest to
@@ -151,21 +174,26 @@ def fit(rows: DataFrame, groups: DataFrame) -> DataFrame:
     rows is folded where it lies.
     """
     p = range(len(VECTOR))
+    small = _few(groups)
     centre = rows.groupBy("g").agg(*[F.percentile_approx(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in p])
-    centre = F.broadcast(centre.withColumnRenamed("g", "k"))
-    spread = rows.join(centre, F.col("g") == F.col("k")).groupBy("k", *[f"m{i}" for i in p]).agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"d{i}") for i in p])
+    centre = centre.withColumnRenamed("g", "k")
+    spread = _joined(rows, centre, small).groupBy("k", *[f"m{i}" for i in p]).agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"d{i}") for i in p])
     params = spread.select("k", *[f"m{i}" for i in p], *[(F.pow(1.4826 * F.col(f"d{i}"), F.lit(2.0)) + F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in p for j in range(i, len(VECTOR))])
     params = materialise(_whitened(params), "mcd")
     for _ in range(STEPS):
-        near = rows.join(F.broadcast(params), F.col("g") == F.col("k")).withColumn("d", _distance())
+        near = _joined(rows, params, small).withColumn("d", _distance())
         half = materialise(near.groupBy("g").agg(F.percentile_approx("d", F.lit(0.5), F.lit(2000)).alias("half")).withColumnRenamed("g", "k"), "mcd")
-        inner = near.drop("k").join(F.broadcast(half), F.col("g") == F.col("k")).where("d <= half")
+        inner = _joined(near.drop("k"), half, small).where("d <= half")
         sums = inner.groupBy("k").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in p], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in p for j in range(i, len(VECTOR))])
         params = materialise(_whitened(sums.select("k", *[f"m{i}" for i in p], *[(F.col(f"c{i}{j}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i in p for j in range(i, len(VECTOR))])), "mcd")
-    near = rows.join(F.broadcast(params), F.col("g") == F.col("k")).withColumn("d", _distance())
+    near = _joined(rows, params, small).withColumn("d", _distance())
     scale = near.groupBy("g").agg(F.percentile_approx("d", F.lit(0.5), F.lit(2000)).alias("half"))
     cutoff = F.lit(CUTOFF_4) * F.least(F.greatest(F.col("half") / F.lit(MEDIAN_4), F.lit(1.0)), F.lit(4.0))
-    return params.join(F.broadcast(scale.select(F.col("g").alias("k"), cutoff.alias("cutoff"))), "k")
+    return params.join(_hint(scale.select(F.col("g").alias("k"), cutoff.alias("cutoff")), small), "k")
+
+
+def _few(groups: DataFrame | None) -> bool:
+    return groups is None or groups.count() <= BROADCAST_GROUPS
 
 
 def judged(scored: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -180,9 +208,10 @@ def judged(scored: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> Dat
     groups = materialise(_levels(fitted, keys), "groups")
     # a row counts for its own group, for its language and for the whole, so that each level is estimated from all of its rows
     levels = F.explode(F.array(*[_key(keys, d) for d in range(len(keys) + 1)]))
-    each = fitted.select(levels.alias("g"), *VECTOR).join(F.broadcast(groups.withColumnRenamed("k", "g")), "g")
+    small = _few(groups)
+    each = _joined(fitted.select(levels.alias("g"), *VECTOR), groups, small).drop("k")
     params = materialise(fit(each, groups), "mcd")
-    placed = _with_group(rows, groups, keys).join(F.broadcast(params), F.col("g") == F.col("k"), "left").withColumn("distance", _distance())
+    placed = _estimated(rows, groups, params, keys, small).withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("cutoff"), F.lit(True))
     return placed.withColumn("kept", kept)
 

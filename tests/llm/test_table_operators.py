@@ -66,6 +66,21 @@ def test_robust_estimate_against_numpy(rows):
     assert (d[400:] > p["cutoff"]).all() and (d[:400] <= p["cutoff"]).mean() > 0.99
 
 
+def test_every_large_group_has_an_estimate(spark):
+    n = 4200
+    df = spark.range(n * quality.GROUP_ROWS).select(F.lit("en").alias("lang"), (F.col("id") % n).cast("string").alias("source"))
+    assert quality._levels(df, ["lang", "source"]).count() == n + 2
+
+
+def test_many_groups_are_judged_as_few(rows, monkeypatch):
+    rng = random.Random(5)
+    data = [(k, prose(rng, 30) + " $$#" * (k % 7), None if k % 5 == 4 else f"l{k % 2}", None if k % 3 == 2 else f"s{k % 3}") for k in range(700)]
+    judge = lambda: {r.doc_id: (r.kept, None if r.distance is None else round(r.distance, 6)) for r in quality.verdicts(rows(data, DOC)).collect()}
+    few = judge()
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 1)
+    assert judge() == few and len(few) == len(data)
+
+
 def test_quality_odd_rows(rows):
     assert quality.verdicts(rows([], DOC)).count() == 0
     out = quality.verdicts(rows([(None, None, None, None), (1, "x", "en", None), (1, "x", "en", None)], DOC)).collect()
