@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netlens.operators.scratch import written
+
 c = F.col
 _PAIR = ("conn_id", "req_ts", "resp_ts", "req_seq", "resp_seq")
 
@@ -65,20 +67,30 @@ def pair_queued(messages: DataFrame, keys: tuple[str, ...] = ("conn_id", "stream
     return req.join(resp, [*keys, "_n"]).drop("_n")
 
 
-def stitch_chains(responses: DataFrame, most: int = 100) -> DataFrame:
+def stitch_chains(responses: DataFrame) -> DataFrame:
     """Responses that continue one another (response_to = request_id of the one before, while more_to_come) as one: head_id, frames,
-    byte_size, body (each frame's body and a blank, in order). Chains are followed for `most` frames."""
+    byte_size, body (each frame's body and a blank, in order).
+
+    Chains are followed to their end, however long: each round joins a frame's way to an earlier frame with that one's own way, so
+    ways double, and rounds grow with the logarithm of the longest chain. Frames whose way is a circle have no head and go.
+    """
     spark = responses.sparkSession
-    responses.createOrReplaceTempView("_netlens_frames")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(most, int(spark.conf.get("spark.sql.cteRecursionLevelLimit", "100")))))
-    return spark.sql(f"""
-        WITH RECURSIVE chain(conn_id, head_id, request_id, more_to_come, byte_size, body, depth) AS (
-          SELECT conn_id, request_id, request_id, more_to_come, byte_size, body, 0 FROM _netlens_frames f
-          WHERE NOT EXISTS (SELECT 1 FROM _netlens_frames p WHERE p.conn_id = f.conn_id AND p.request_id = f.response_to AND p.more_to_come)
-          UNION ALL
-          SELECT c.conn_id, c.head_id, f.request_id, f.more_to_come, f.byte_size, f.body, c.depth + 1 FROM chain c
-          JOIN _netlens_frames f ON f.conn_id = c.conn_id AND f.response_to = c.request_id WHERE c.more_to_come AND c.depth < {most - 1})
-        SELECT conn_id, head_id, count(*) AS frames, sum(byte_size) AS byte_size, listagg(body || ' ') WITHIN GROUP (ORDER BY depth, request_id) AS body FROM chain GROUP BY conn_id, head_id""")
+    frames = responses.select("conn_id", "request_id", "response_to", "more_to_come", "byte_size", "body")
+    before = frames.where("more_to_come").select("conn_id", c("request_id").alias("response_to"), F.lit(True).alias("_goes_on")).distinct()
+    goes_on = c("_goes_on").isNotNull()
+    # up is where a frame's way ends so far, depth the frames on it; a way that has reached a head has no up
+    ways = frames.join(before, ["conn_id", "response_to"], "left").select(
+        "conn_id", "request_id", "more_to_come", "byte_size", "body", F.when(goes_on, c("response_to")).alias("up"),
+        F.when(~goes_on, c("request_id")).alias("head_id"), goes_on.cast("long").alias("depth"), goes_on.alias("is_open"))
+    ways = written(ways, "ways")
+    most, reach = ways.count(), 1
+    while reach <= 2 * most and ways.where("is_open").limit(1).count():
+        further = ways.where("more_to_come").select("conn_id", c("request_id").alias("up"), c("up").alias("_up"), c("head_id").alias("_head"), c("depth").alias("_depth"), c("is_open").alias("_open"))
+        moved = ways.where("is_open").join(further, ["conn_id", "up"]).select(
+            "conn_id", "request_id", "more_to_come", "byte_size", "body", c("_up").alias("up"), c("_head").alias("head_id"), (c("depth") + c("_depth")).alias("depth"), c("_open").alias("is_open"))
+        ways, reach = written(ways.where("not is_open").unionByName(moved), "ways"), 2 * reach
+    ways.where("not is_open").createOrReplaceTempView("_netlens_ways")
+    return spark.sql("SELECT conn_id, head_id, count(*) AS frames, sum(byte_size) AS byte_size, listagg(body || ' ') WITHIN GROUP (ORDER BY depth, request_id) AS body FROM _netlens_ways GROUP BY conn_id, head_id")
 
 
 def group_response_runs(packets: DataFrame) -> DataFrame:

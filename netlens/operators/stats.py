@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.functions import histogram, names, scalars
+from netlens.operators.scratch import written
 
 c = F.col
 
@@ -128,5 +129,9 @@ def sorted_stat(table: DataFrame, by: str = "name", descending: bool = False) ->
 
 
 def numbered(table: DataFrame, *order: Column | str) -> DataFrame:
-    """Row numbers from 1 for a result table that is shown: one partition, as what is shown is small."""
-    return table.withColumn("no", F.row_number().over(Window.orderBy(*order)))
+    """Row numbers from 1 in an order: ranges of rows are numbered each for itself, and begin after the rows of those before them."""
+    ranges = written(table.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    rows = ranges.withColumn("_no", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return rows.join(F.broadcast(starts), "_range").withColumn("no", c("_no") + c("_before")).drop("_range", "_no", "_before")

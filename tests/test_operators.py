@@ -79,6 +79,22 @@ def test_chains(rows):
     assert got(pairing.stitch_chains(frames), "head_id", "frames", "byte_size", "body") == [(6, 3, 17, "response frame body "), (20, 1, 1, "lone ")]
 
 
+def test_long_chains(rows):
+    schema = "conn_id long, request_id long, response_to long, more_to_come boolean, byte_size long, body string"
+    data = [(1, k, k - 1, k < 249, 1, str(k)) for k in range(250)] + [(2, 1, 2, True, 1, "round"), (2, 2, 1, True, 1, "round"), (None, 5, None, True, 1, "alone")]
+    random.Random(4).shuffle(data)
+    out = pairing.stitch_chains(rows(data, schema)).orderBy("head_id").collect()
+    assert [(r.conn_id, r.head_id, r.frames, r.byte_size) for r in out] == [(1, 0, 250, 250), (None, 5, 1, 1)]
+    assert out[0].body == "".join(f"{k} " for k in range(250))
+
+
+def test_numbers_of_all_rows_in_parts(spark):
+    out = stats.numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(5), "x")
+    assert [(r.x, r.no) for r in out.orderBy("x").collect()] == [(k, k + 1) for k in range(1000)]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(_range" in plan and "windowspecdefinition(x" not in plan
+
+
 def test_statements(rows):
     data = [(1, 7, 1, 1, "prepare", "select ?", None), (1, 7, 2, 2, "execute", None, ["a", "b"]), (1, 7, 3, 3, "close", None, None), (1, 7, 4, 4, "execute", None, ["c"])]
     out = pairing.join_statements(rows(data, "conn_id long, stmt_id long, ts_ns long, seq long, command string, body string, params array<string>"))
