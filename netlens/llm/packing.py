@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlens.llm.common import materialise
+from netlens.llm.tokens import blocks, tokens
 
 LENGTH = 2048
 #: Windows that a partition keeps open.
 OPEN = 32
 END_ID = 1
-#: Chunks of text whose ids a task remembers.
-CACHE = 150_000
-#: Punctuation that is split off the end of a chunk.
+#: The table of words that a Python worker remembers has 2**TABLE_BITS slots of 25 bytes.
+TABLE_BITS = 20
+#: Punctuation that is split off the end of a word.
 CLOSING = ".,;:!?"
 #: Partitions whose leftovers one task merges in a round.
 FAN_IN = 16
@@ -28,64 +28,101 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder:
-    """Ids of a text as little-endian uint32 bytes.
+    """Ids of whole columns of texts by a tokenizer for which white space ends every token.
 
-    White space ends every token of this tokenizer, so a text can be cut at blanks and line ends, and a chunk's ids are
-    remembered. Closing punctuation after a letter or digit is a token of its own, so it is taken off before a chunk that
-    is not known is looked up among the stems; stems of letters alone are one word each and are encoded many at a time.
-    Both tables are bounded: a full one forgets the quarter learned last, which is the rarer part.
+    A word (what stands between ASCII white space) then has the same ids wherever it stands. Words are hashed in numpy and looked up in a
+    table of 2**bits slots, each with the ids of the word that came last; words that are not there are encoded once for each
+    column, many at a time with a separator between them. Words of more than `most` ids or 64 bytes are encoded anew in each
+    column. The rule is tested when a tokenizer is loaded: where it does not hold, texts are encoded whole. Two more rules are
+    tested and used if they hold: that A-Z count as a-z, and that CLOSING punctuation after a letter or digit is a token of its own.
     """
 
-    def __init__(self, tokenizer_path: str, cache: int = CACHE):
-        from tokenizers import Tokenizer
+    SEPARATOR = "\x00"
+    PROBES = ("Hello, World!", "a'b", "it's", "1234", "x" * 40, "Ünï", "…", "<|endoftext|>", "don't.", "-", "字漢", "\u0301e", "e\u0301", "Σ", "ΣΑΣ", "\xa0a\xa0", "a\u2028b", "9th", "</w>")
 
-        self.tokenizer, self.cache = Tokenizer.from_file(tokenizer_path), cache
-        self.known: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def __call__(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            self._learn({c for c in chunks if c not in known})
-        out = b"".join([known[c] for c in chunks])
-        self._forget(self.known)
-        self._forget(self.stems)
-        return out
+    def __init__(self, tokenizer_path: str, bits: int = TABLE_BITS, most: int = 8):
+        from tokenizers import Tokenizer
 
-    def _forget(self, table: dict[str, bytes]) -> None:
-        if len(table) > self.cache:
-            for c in list(islice(reversed(table), len(table) - self.cache * 3 // 4)):
-                del table[c]
-
-    def _learn(self, new: set[str]) -> None:
-        cut = {}
-        for c in new:
-            stem = c.rstrip(CLOSING)
-            if not stem or not stem[-1].isalnum():
-                stem = c
-            cut[c] = (stem.lower() if stem.isascii() else stem, c[len(stem):])
-        wanted = {x for pair in cut.values() for x in pair if x and x not in self.stems}
-        words = [x for x in wanted if x.isalpha()]
+        self.tokenizer, self.most = Tokenizer.from_file(tokenizer_path), most
+        self.hashes, self.sizes = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.uint8)
+        wide = max(self.tokenizer.get_vocab().values()) >= 1 << 16
+        self.ids = np.zeros((1 << bits, most), dtype=np.uint32 if wide else np.uint16)
+        mark = self._whole(self.SEPARATOR)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_word = self._holds()
+        plain = [x for x in (*self.PROBES, "I", "Don't", "WORD'S", "Abc9", "A1B2") if x.isascii() and x[-1].isalnum()]
+        self.lowers = all(np.array_equal(self._whole(x), self._whole(x.lower())) for x in (*plain, *map(str.upper, plain)) if "<" not in x)
+        closes = all(np.array_equal(self._whole(x + c), np.concatenate([self._whole(x), self._whole(c)])) for x in (*plain, *"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for c in CLOSING)
+        self.closing = CLOSING.encode() if closes else b""
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _holds(self) -> bool:
+        for blank in " \t\n\x0b\x0c\r":
+            for a in self.PROBES:
+                for b in (*self.PROBES[:8], a):
+                    if not np.array_equal(self._whole(f"{blank}{a}{blank}{blank}{b}{blank}"), np.concatenate([self._whole(a), self._whole(b)])):
+                        return False
+        return True
+
+    def _has_special(self, data: bytes) -> bool:
+        return any(x in data for x in self.special)
+
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+        out = []
         for k in range(0, len(words), 512):
             some = words[k:k + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(some):
-                flat, ends = ids.tobytes(), (ends * 4).tolist()
-                self.stems.update(zip(some, (flat[s:e] for s, e in zip([0, *ends], ends, strict=False)), strict=True))
-        rest = [x for x in wanted if x not in self.stems]
-        for k in range(0, len(rest), 1024):
-            for x, e in zip(rest[k:k + 1024], self.tokenizer.encode_batch_fast(rest[k:k + 1024], add_special_tokens=False), strict=True):
-                self.stems[x] = np.array(e.ids, dtype="<u4").tobytes()
-        stems = self.stems
-        for c, (stem, closing) in cut.items():
-            self.known[c] = stems[stem] + stems[closing] if closing else stems[stem]
+            if self.mark is not None:
+                ids = self._whole(f" {self.SEPARATOR} ".join(some))
+                at = np.flatnonzero(ids == self.mark)
+                if len(at) == len(some) - 1:
+                    edges = [-1, *at.tolist(), len(ids)]
+                    out += [ids[s + 1:e] for s, e in zip(edges, edges[1:], strict=False)]
+                    continue
+            out += [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts as uint32, each text's followed by end_id; where each text begins, and the end). A null text is empty."""
+        if not self.by_word:
+            each = [np.append(self._whole(t.as_py()) if t.is_valid else np.zeros(0, dtype=np.uint32), np.uint32(end_id)).astype(np.uint32) for t in texts]
+            return np.concatenate([*each, np.zeros(0, dtype=np.uint32)]), np.cumsum([0, *map(len, each)])
+        t = tokens(texts, lower=self.lowers, lines=False, closing=self.closing)
+        if self.lowers and self._has_special(t.data.tobytes()):
+            t = tokens(texts, lines=False, closing=self.closing)  # a special token is told from its other spellings
+        slot = (t.hashes & np.uint64(len(self.hashes) - 1)).astype(np.int64)
+        sizes, at = self.sizes[slot].astype(np.int64), slot * self.most
+        missed = np.flatnonzero((self.hashes[slot] != t.hashes) | (sizes == 0))
+        extra = np.zeros(0, dtype=np.uint32)
+        if len(missed):
+            # a long word is told by its place: of those no hash is trusted
+            width = (t.ends - t.starts)[missed]
+            short, long = missed[width <= 64], missed[width > 64]
+            _, first, back = np.unique(t.hashes[short], return_index=True, return_inverse=True)
+            new, missed = np.concatenate([short[first], long]), np.concatenate([short, long])
+            back = np.concatenate([back, len(first) + np.arange(len(long))])
+            made = self._encoded([t.data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(t.starts[new].tolist(), t.ends[new].tolist(), strict=True)])
+            n = np.array([len(x) for x in made], dtype=np.int64)
+            extra, begin = np.concatenate(made), np.cumsum(n) - n
+            sizes[missed], at[missed] = n[back], (self.ids.size + begin)[back]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(t.rows, weights=sizes, minlength=len(texts)).astype(np.int64) + 1)])
+        place = np.repeat(at - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        known = place < self.ids.size
+        flat = np.empty(len(place), dtype=np.uint32)
+        flat[known], flat[~known] = self.ids.ravel()[place[known]], extra[place[~known] - self.ids.size]
+        goes = np.ones(edges[-1], dtype=bool)
+        goes[edges[1:] - 1] = False
+        out = np.full(edges[-1], end_id, dtype=np.uint32)
+        out[goes] = flat
+        if len(missed):
+            keep = (n > 0) & (n <= self.most) & ((t.ends - t.starts)[new] <= 64)
+            for k in range(self.most):
+                on = np.flatnonzero(keep & (n > k))
+                self.ids[slot[new[on]], k] = extra[begin[on] + k]
+            self.hashes[slot[new[keep]]], self.sizes[slot[new[keep]]] = t.hashes[new[keep]], n[keep]
+        return out, edges
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -148,21 +185,22 @@ def _first_round(path: str, length: int, open_windows: int):
     def run(batches):
         part = TaskContext.get().partitionId()
         encode, packer, out = encoder(path), Packer(length, open_windows), _Out(part << 32, part)
-        tail = np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(text.as_py() or "") + tail
-                n = len(ids) // 4
-                # whole windows first, the rest is one piece; a document of up to the length stays whole
-                for start in range(0, n, length):
-                    size = min(length, n - start)
-                    piece = (doc, start, size, zlib.crc32(ids[4 * start:4 * (start + size)]), n)
-                    packer.place(size, [piece])
-                for w in packer.closed:
-                    out.add(w, True)
-                packer.closed.clear()
-            if len(out.rows) > 8192:
-                yield out.batch()
+            for block in blocks(b):
+                ids, edges = encode(block.column(1), END_ID)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                for doc, begin, end in zip(block.column(0).to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    n = end - begin
+                    # whole windows first, the rest is one piece; a document of up to the length stays whole
+                    for start in range(0, n, length):
+                        size = min(length, n - start)
+                        at = 4 * (begin + start)
+                        packer.place(size, [(doc, start, size, zlib.crc32(raw[at:at + 4 * size]), n)])
+                    for w in packer.closed:
+                        out.add(w, True)
+                    packer.closed.clear()
+                if len(out.rows) > 8192:
+                    yield out.batch()
         for w in packer.windows:
             out.add(w, w[0] == length)
         yield out.batch()
@@ -236,11 +274,10 @@ def sequences(docs: DataFrame, pieces: DataFrame, tokenizer_path: str, length: i
 
     def cut(batches):
         encode = encoder(tokenizer_path)
-        tail = np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
-            ids = []
-            for t, s, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                ids.append(np.frombuffer(encode(t or "") + tail, dtype="<u4")[s:s + n].astype(np.int32))
+            flat, edges = encode(b.column(1), END_ID)
+            at = edges[:-1] + b.column(2).to_numpy()
+            ids = [flat[s:s + n].astype(np.int32) for s, n in zip(at.tolist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array(ids, pa.list_(pa.int32()))], ["sequence_id", "offset", "ids"])
 
     cuts = (pieces.join(text, "doc_id").select("sequence_id", "text", "start", "length", "offset")

@@ -12,6 +12,7 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_ALNUM = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", dtype=np.uint8))
 _PRIME = 0x9E3779B97F4A7C15
 #: Bytes that are hashed at once.
 CHUNK = 1 << 20
@@ -54,20 +55,25 @@ def _hashes(d: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """Words of texts, in order: 64-bit hashes, row of the text, number of the line in it (from 0, by line feeds)."""
+    """Words of texts, in order: 64-bit hashes, row of the text, number of the line in it (from 0, by line feeds); and where each begins
+    and ends in `data`, the bytes of all texts."""
 
     hashes: np.ndarray
     rows: np.ndarray
     lines: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    data: np.ndarray
 
 
-def tokens(texts: pa.Array, lower: bool = False, lines: bool = True) -> Tokens:
-    """Words between ASCII white space ([\\x20\\x09-\\x0D]); a null text has none."""
+def tokens(texts: pa.Array, lower: bool = False, lines: bool = True, closing: bytes = b"") -> Tokens:
+    """Words between ASCII white space ([\\x20\\x09-\\x0D]); a null text has none. With `closing`, one such character at the end of a word
+    is a word of its own if it comes after an ASCII letter or digit."""
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
     if not len(texts) or texts.buffers()[2] is None or offsets[-1] == offsets[0]:
         none = np.zeros(0, dtype=np.int64)
-        return Tokens(none.astype(np.uint64), none, none)
+        return Tokens(none.astype(np.uint64), none, none, none, none, none.astype(np.uint8))
     d = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]]
     edges = offsets - offsets[0]
     if lower:
@@ -82,12 +88,19 @@ def tokens(texts: pa.Array, lower: bool = False, lines: bool = True) -> Tokens:
     first[inner] = word[inner]  # a word ends with its text
     last[inner - 1] = word[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if closing:
+        ends_so = np.isin(np.arange(256), np.frombuffer(closing, dtype=np.uint8))
+        split = (ends - starts > 1) & ends_so[d[ends - 1]] & _ALNUM[d[ends - 2]]
+        at = np.repeat(np.arange(len(starts)), 1 + split)
+        second = np.concatenate([[False], at[1:] == at[:-1]])
+        starts, ends, split = np.where(second, ends[at] - 1, starts[at]), ends[at], split[at]
+        ends = np.where(split & ~second, ends - 1, ends)
     rows = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, edges)))
     number = np.zeros(0, dtype=np.int64)
     if lines:
         feeds = np.flatnonzero(d == 10)
         number = np.searchsorted(feeds, starts) - np.searchsorted(feeds, edges[:-1])[rows]
-    return Tokens(_hashes(d, starts, ends), rows, number)
+    return Tokens(_hashes(d, starts, ends), rows, number, starts, ends, d)
 
 
 def blocks(batch: pa.RecordBatch, column: int = 1, most: int = 4 << 20):
