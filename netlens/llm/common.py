@@ -92,18 +92,26 @@ def _forest(batches):
     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+#: Edges that one task folds at once: the end of every run, and all of a small one.
+FOLD = 1 << 18
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of edges(u long, v long) by alternating large-star and small-star rounds.
 
     Returns (node, root) for every node that has an edge to a smaller node of its component; root is the smallest node
     of the component, and a node that is its own root has no row. Each partition first folds its edges into stars.
     A hub is never gathered: minima are partial aggregates and the joins on the node can be split where they are skewed.
-    Rounds are written to the shared folder; their number grows with the logarithm of the longest chain.
+    Rounds are written to the shared folder; their number grows with the logarithm of the longest chain. Once no more than
+    FOLD edges are left, one task folds them to the end, which gives what further rounds would give.
     """
     e = materialise(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
                     .where("u <> v").mapInArrow(_forest, "u long, v long"), "edges")
     seen = None
     for _ in range(max_rounds):
+        if e.limit(FOLD + 1).count() <= FOLD:
+            folded = materialise(e.coalesce(1).mapInArrow(_forest, "u long, v long"), "edges")
+            return folded.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import bit_filter, materialise, may_hold
+from netlens.llm.common import components, materialise
 from netlens.llm.tokens import blocks, mixed, tokens
 
 #: Jaccard similarity of word sets from which lines match, in hundredths, so that all bounds are whole numbers.
@@ -17,17 +18,22 @@ PERCENT = 80
 RANKED = 1 << 16
 #: Sets of up to this many words can only match sets of one word more or less; they are joined by subsets.
 SHORT = 7
-#: Words that occur more often than this make a crowd: where a prefix has one, a second shared word is asked for.
+#: Words that stand in more sets than this make a crowd: where a prefix has one, a second shared word is asked for.
 CROWD = 2000
-FILTER_BITS = 25
-#: Set keys that a task remembers, to sketch a line that repeats within it once.
+#: Set keys that a task remembers, to write the words of a line that repeats within it once.
 SEEN = 250_000
+#: Postings of a bucket on average; a bucket with more than HOT times as many is cut into blocks, and each two of them meet in a task.
+BUCKET, HOT = 200_000, 4
+#: Sets of a cell, in which all are compared with all.
+CELL = 512
 
 #: Bits of a word's hash that name it. Two words of a pair of lines share them with a chance of about one in 10**12.
 ID_BITS = 40
 _ID = np.uint64((1 << ID_BITS) - 1)
 #: Slots of the table of ranked words; of two that fall into one slot the more frequent one is ranked.
 SLOTS = 1 << 21
+#: Stands for a null doc_id, which is before all others.
+_NULL_ID = -(1 << 63)
 
 
 def least_size(n):
@@ -40,52 +46,72 @@ class Order:
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray):
         by = np.lexsort((ids, counts))  # a slot that is written twice keeps the more frequent word
-        self.ids, self.ranks = np.full(SLOTS, -1, dtype=np.int64), np.zeros(SLOTS, dtype=np.uint64)
+        self.ids, self.ranks = np.full(SLOTS, -1, dtype=np.int64), np.zeros(SLOTS, dtype=np.uint32)
         slot = ids[by] & (SLOTS - 1)
-        self.ids[slot], self.ranks[slot] = ids[by], np.arange(1, len(by) + 1, dtype=np.uint64)
-        self.crowd_from = np.uint64(int((counts <= CROWD).sum()) + 1)
+        self.ids[slot], self.ranks[slot] = ids[by], np.arange(1, len(by) + 1, dtype=np.uint32)
+        self.crowd_from = int((counts <= CROWD).sum()) + 1
 
     def rank(self, ids: np.ndarray) -> np.ndarray:
         slot = ids & (SLOTS - 1)
-        return np.where(self.ids[slot] == ids, self.ranks[slot], np.uint64(0))
+        return np.where(self.ids[slot] == ids, self.ranks[slot], np.uint32(0)).astype(np.uint64)
 
     def __call__(self, ids: np.ndarray) -> np.ndarray:
         return self.rank(ids) << np.uint64(23) | ids.astype(np.uint64) >> np.uint64(17)
 
 
 class Sets:
-    """Of a block's lines that have a word: row, line number, distinct word ids (sorted), sizes, offsets, and a 64-bit key of the set:
-    the sum of its words' mixed ids, so that the key of a subset is a difference."""
+    """Word sets: keys, sizes, where each begins, and of all their words the ids and the set that each belongs to.
+
+    A key is the sum of its words' mixed ids, so that the key of a subset is a difference.
+    """
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
+        self.ids, self.sizes = ids, sizes
+        self.owner, self.starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
 
-    def __init__(self, block: pa.RecordBatch):
+    @cached_property
+    def mixed(self) -> np.ndarray:
+        return mixed(self.ids.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return np.add.reduceat(self.mixed, self.starts) if len(self.sizes) else np.zeros(0, dtype=np.uint64)
+
+    @classmethod
+    def of_block(cls, block: pa.RecordBatch) -> tuple[Sets, np.ndarray, np.ndarray]:
+        """The sets of a block's lines that have a word, ids sorted; row and line number of each."""
         t = tokens(block.column(1))
         new = np.ones(len(t.rows), dtype=bool)
         new[1:] = (t.rows[1:] != t.rows[:-1]) | (t.lines[1:] != t.lines[:-1])
-        self.rows, self.lines = t.rows[new], t.lines[new].astype(np.int32)
         line = np.cumsum(new) - 1
         packed = np.sort(line.astype(np.uint64) << np.uint64(ID_BITS) | t.hashes >> np.uint64(64 - ID_BITS))
         packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])] if len(packed) else packed
-        self.ids, self.owner = (packed & _ID).astype(np.int64), (packed >> np.uint64(ID_BITS)).astype(np.int64)
-        self.sizes = np.bincount(self.owner, minlength=len(self.rows))
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.mixed = mixed(self.ids.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))
-        self.keys = np.add.reduceat(self.mixed, self.starts) if len(self.rows) else np.zeros(0, dtype=np.uint64)
+        sizes = np.bincount((packed >> np.uint64(ID_BITS)).astype(np.int64), minlength=int(new.sum()))
+        return cls((packed & _ID).astype(np.int64), sizes), t.rows[new], t.lines[new].astype(np.int32)
+
+    @classmethod
+    def of_words(cls, words: pa.Array) -> Sets:
+        """The sets of a column that packed() made."""
+        edges, data = words.buffers()[1:]
+        at = np.frombuffer(edges, dtype=np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, dtype=np.int64)
+        raw = np.zeros((int(at[-1] - at[0]) // 5, 8), dtype=np.uint8)
+        if len(raw):
+            raw[:, :5] = np.frombuffer(data, dtype=np.uint8)[at[0]:at[-1]].reshape(-1, 5)
+        return cls(raw.view("<i8").ravel(), np.diff(at) // 5)
+
+    def packed(self, on: np.ndarray) -> pa.Array:
+        """The words of the sets that are `on`, five bytes each; null for the others."""
+        raw = np.ascontiguousarray(self.ids[on[self.owner]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        ends = np.concatenate([[0], np.cumsum(np.where(on, self.sizes, 0))]) * 5
+        return pa.Array.from_buffers(pa.binary(), len(on), [pa.array(on).buffers()[1], pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
 
 
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _counted(batches):
-    """(word, n) of each batch."""
-    for b in batches:
-        ids = np.sort(np.concatenate([tokens(x.column(1), lines=False).hashes for x in blocks(b)] or [np.zeros(0, dtype=np.uint64)]) >> np.uint64(64 - ID_BITS))
-        cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([_long(ids[cut]), pa.array(np.diff(np.append(cut, len(ids))))], ["word", "n"])
-
-
 class _Seen:
-    """Whether this task has had a key; forgets all when full, which only makes a line count as new once more."""
+    """Whether this task has had a key; forgets all when full, which only makes a set count as new once more."""
 
     def __init__(self):
         self.keys: set[int] = set()
@@ -101,49 +127,55 @@ class _Seen:
         return out
 
 
-_SKETCH = "doc_id long, line_no int, key long, size int, b1 long, b2 long, singles int, prefix array<int>, subsets array<long>"
+_LINES = "doc_id long, line_no int, key long, size int, words binary"
 
 
-def _ragged(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
+def _lined(batches):
+    """A row for each line with a word; its words only where the task has not had the set before. The one pass over the texts."""
+    seen = _Seen()
+    for b in batches:
+        for block in blocks(b):
+            s, rows, lines = Sets.of_block(block)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(rows)), pa.array(lines), _long(s.keys), pa.array(s.sizes.astype(np.int32)), s.packed(seen.new(s.keys.tolist()))], [x.split()[0] for x in _LINES.split(", ")])
 
 
-def _sketched(shared):
-    """A row for each line: set key, size, 128 parities of its words, and what it is joined by: for sets of more than SHORT words the
-    numbers of what they meet by (_meetings), for those of up to SHORT + 1 keys of the subsets without one word. A line that
-    the task has had before gets neither."""
+def _frequencies(batches):
+    """(word, n) of sets, added up for some millions of words at a time."""
+    held, n = [], 0
 
-    def run(batches):
-        seen, order = _Seen(), shared.value
-        for b in batches:
-            for block in blocks(b):
-                s = Sets(block)
-                n = len(s.rows)
-                if not n:
-                    continue
-                bit, high = np.uint64(1) << (s.mixed & np.uint64(63)), (s.mixed >> np.uint64(6)) & np.uint64(1) == 1
-                b1, b2 = (np.bitwise_xor.reduceat(np.where(half, bit, 0), s.starts) for half in (high, ~high))
-                new = seen.new(s.keys.tolist())
-                prefix, singles, lengths = _meetings(s, new & (s.sizes > SHORT), order)
-                short = np.where(new & (s.sizes >= 5) & (s.sizes <= SHORT + 1), s.sizes, 0)
-                subsets = (np.repeat(s.keys, s.sizes) - s.mixed)[np.repeat(short > 0, s.sizes)]
-                yield pa.RecordBatch.from_arrays(
-                    [block.column(0).take(pa.array(s.rows)), pa.array(s.lines), _long(s.keys), pa.array(s.sizes.astype(np.int32)), _long(b1), _long(b2), pa.array(singles.astype(np.int32)), _ragged(prefix, lengths), _ragged(subsets.view(np.int64), short)],
-                    [x.split()[0] for x in _SKETCH.split(", ")])
+    def out():
+        ids = np.sort(np.concatenate(held)) if held else np.zeros(0, dtype=np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([_long(ids[cut]), pa.array(np.diff(np.append(cut, len(ids))))], ["word", "n"])
 
-    return run
+    for b in batches:
+        ids = Sets.of_words(b.column("words")).ids
+        held.append(ids)
+        n += len(ids)
+        if n > 2_000_000:
+            yield out()
+            held, n = [], 0
+    yield out()
+
+
+def _subsets(batches):
+    """(key, a): of sets of 5 to SHORT + 1 words the keys of their subsets without one word."""
+    for b in batches:
+        s = Sets.of_words(b.column("words"))
+        yield pa.RecordBatch.from_arrays([_long(s.keys[s.owner]), _long(s.keys[s.owner] - s.mixed)], ["key", "a"])
 
 
-def _meetings(s: Sets, long: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """32-bit numbers under which the chosen lines of a block meet similar ones; how many of each line's are single words, in order of
-    their places, and how many there are in all.
+def meetings(s: Sets, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(32-bit numbers under which sets of more than SHORT words meet similar ones, the set of each, the place of the shared word).
 
-    Similar sets share a word of their prefixes, and two words of the prefixes that are one word longer. So a line has a
+    Similar sets share a word of their prefixes, and two words of the prefixes that are one word longer. So a set has a
     number for each word of its prefix that is not in a crowd, and one for each two words of the longer prefix that both are:
-    crowds stand at the end of the order, so if lines share a crowd's word in their prefixes, any other word that they
-    share and that is in no crowd stands before it, in both prefixes. Two meetings under one number by chance make a
-    candidate more, which the filters or the verification drop.
+    crowds stand at the end of the order, so if sets share a crowd's word in their prefixes, any other word that they
+    share and that is in no crowd stands before it, in both prefixes. A pair has place 0, which says nothing. Two meetings
+    under one number by chance make a candidate more, which the filters or the verification drop.
     """
+    long = s.sizes > SHORT
     on = long[s.owner]
     ids, owner = s.ids[on], s.owner[on]
     by = np.argsort(owner.astype(np.uint64) << np.uint64(ID_BITS) | order(ids), kind="stable")
@@ -152,7 +184,7 @@ def _meetings(s: Sets, long: np.ndarray, order: Order) -> tuple[np.ndarray, np.n
     reach = (s.sizes - least_size(s.sizes) + 1)[owner]
     near = place <= reach
     ids, owner, place, reach = ids[near], owner[near], place[near], reach[near]
-    crowd = order.rank(ids) >= order.crowd_from
+    crowd = order.rank(ids) >= np.uint64(order.crowd_from)
     single = (place < reach) & ~crowd
     last = np.flatnonzero(crowd)
     begin = np.searchsorted(owner[last], owner[last])
@@ -160,287 +192,401 @@ def _meetings(s: Sets, long: np.ndarray, order: Order) -> tuple[np.ndarray, np.n
     second = np.repeat(last, counts)
     first = last[np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begin, counts)]
     words = mixed(ids.astype(np.uint64))
-    numbers, lines = np.concatenate([words[single], mixed(words[first] * np.uint64(3) + words[second])]), np.concatenate([owner[single], owner[second]])
-    by = np.argsort(lines, kind="stable")
-    numbers = (numbers[by] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return numbers, np.bincount(owner[single], minlength=len(s.rows)), np.bincount(lines, minlength=len(s.rows))
-
-
-def _can_match(a: dict, b: dict, paired: bool = False) -> np.ndarray:
-    """Length, positional and bitmap filters for every one of a against every one of b (or row by row, if `paired`). A shared word at these
-    places leaves so many words before and behind it to share; a pair of words has place 0, which says nothing. At least one
-    of the two has to be open."""
-    if not paired:
-        a, b = {c: x[:, None] for c, x in a.items()}, {c: x[None, :] for c, x in b.items()}
-    n_a, n_b = a["size"], b["size"]
-    need = -(-PERCENT * (n_a + n_b) // (100 + PERCENT))
-    ok = (np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * PERCENT) & (a["open"] | b["open"] != 0)
-    ok &= np.minimum(n_a - a["place"], n_b - b["place"]) + np.minimum(a["place"], b["place"]) >= need
-    # each word that only one of them has turns one bit, so so many bits may differ at most
-    odd = np.bitwise_count(a["b1"] ^ b["b1"]).astype(np.int64) + np.bitwise_count(a["b2"] ^ b["b2"])
-    return ok & (odd <= n_a + n_b - 2 * need) & (a["key"] != b["key"])
-
-
-#: Groups of up to this many rows are compared all at once.
-SMALL = 24
-
-
-def _paired(every: bool):
-    """Candidates (a, b) from groups in order of (number, first place of the set). Each line is held against those before it, which
-    are all that are earlier: the first that passes the filters is its candidate in this group (more = whether others pass
-    too), or all of them if `every`."""
-
-    def pairs(rows: dict, old: dict | None, number: int):
-        whole = {c: np.concatenate([old[c], x]) for c, x in rows.items()} if old else rows
-        n_old = len(whole["key"]) - len(rows["key"])
-        out = []
-        for k in range(0, len(rows["key"]), 128):
-            q = {c: x[k:k + 128] for c, x in rows.items()}
-            found = np.zeros(len(q["key"]), dtype=bool)
-            for s in range(0, n_old + k + len(q["key"]), 8192):
-                p = {c: x[s:min(s + 8192, n_old + k + len(q["key"]))] for c, x in whole.items()}
-                ok = _can_match(q, p)
-                ok &= (s + np.arange(len(p["key"])))[None, :] < (n_old + k + np.arange(len(q["key"])))[:, None]
-                i, j = np.nonzero(ok)
-                if not len(i):
-                    continue
-                if not every:
-                    first = np.concatenate([[True], i[1:] != i[:-1]])
-                    more = np.append(~first[1:], False)[first] | found[i[first]]
-                    i, j = i[first], j[first]
-                    found[i] = True
-                else:
-                    more = np.zeros(len(i), dtype=bool)
-                out.append((p["key"][j], q["key"][i], more, np.full(len(i), number)))
-        return out, whole
-
-    def batch(out):
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=x) for x in (np.int64, np.int64, bool, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "more", "number"])
-
-    def small(x, word, start, n, size):
-        """All groups of up to SMALL rows at once: each row against the one d before it, from the farthest to the nearest."""
-        best, hits = np.full(n, -1), np.zeros(n, dtype=np.int64)
-        rank = np.arange(n) - start
-        out = []
-        for d in range(SMALL - 1, 0, -1):
-            i = np.flatnonzero((rank >= d) & (size <= SMALL))
-            if not len(i):
-                continue
-            ok = _can_match({c: v[i - d] for c, v in x.items()}, {c: v[i] for c, v in x.items()}, paired=True)
-            i = i[ok]
-            if every:
-                out.append((x["key"][i - d], x["key"][i], np.zeros(len(i), dtype=bool), word[i]))
-            else:
-                best[i] = np.where(best[i] < 0, i - d, best[i])
-                hits[i] += 1
-        if not every:
-            i = np.flatnonzero(best >= 0)
-            out.append((x["key"][best[i]], x["key"][i], hits[i] > 1, word[i]))
-        return out
+    numbers = np.concatenate([words[single], mixed(words[first] * np.uint64(3) + words[second])])
+    return (numbers >> np.uint64(32)).astype(np.uint32), np.concatenate([owner[single], owner[second]]), np.concatenate([place[single], np.zeros(len(second), dtype=np.int64)])
 
-    def run(batches):
-        now, held = None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            meet = b.column("meet").to_numpy()
-            word = meet >> 32
-            x = {"key": b.column("key").to_numpy(), "size": meet & _META, "place": meet >> 16 & _META, "b1": b.column("b1").to_numpy().view(np.uint64), "b2": b.column("b2").to_numpy().view(np.uint64), "open": b.column("open").to_numpy()}
-            n = len(word)
-            cuts = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1, [n]])
-            widths = np.diff(cuts)
-            start, size = np.repeat(cuts[:-1], widths), np.repeat(widths, widths)
-            inside = np.ones(n, dtype=bool)  # groups at the ends of the batch may go on beyond it
-            inside[:cuts[1]] = inside[cuts[-2]:] = False
-            out = small(x, word, start, n, np.where(inside & (size > 1), size, SMALL + 1))
-            for g in sorted({0, *np.flatnonzero(widths > SMALL).tolist(), len(widths) - 1}):
-                at, end = int(cuts[g]), int(cuts[g + 1])
-                rows = {c: v[at:end] for c, v in x.items()}
-                old = held if held is not None and word[at] == now else None
-                fresh = np.zeros(end - at, dtype=bool)
-                fresh[np.unique(rows["key"], return_index=True)[1]] = True
-                if old is not None:
-                    fresh &= ~np.isin(rows["key"], old["key"])
-                some, whole = pairs({c: v[fresh] for c, v in rows.items()}, old, int(word[at]))
-                out += some
-                if end == n:
-                    now, held = word[at], whole
-            yield batch(out)
-
-    return run
-
-
-_META = np.int64(0xFFFF)
-_POSTING = "meet long, doc_id long, line_no int, key long, b1 long, b2 long, open int"
 
+#: A posting. A place or size beyond 65534 is kept as 65535, which every filter lets pass.
+_POSTING = np.dtype([("number", "<u4"), ("size", "<u2"), ("place", "<u2"), ("key", "<i8"), ("b1", "<u8"), ("b2", "<u8")])
+_MOST = 65535
 
-def _placed(sketches: DataFrame, firsts: DataFrame) -> DataFrame:
-    """One sketch of each set that meets others, with the set's first place in the table, by which its groups are put in order. The
-    first place that a task happens to read would put sets in another order than firsts does."""
-    once = sketches.where(F.size("prefix") > 0).select("key", "size", "b1", "b2", "singles", "prefix").dropDuplicates(["key"])
-    return once.join(firsts, "key").select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "key", "size", "b1", "b2", "singles", "prefix")
 
+def _bucket(numbers: np.ndarray, bits: int) -> np.ndarray:
+    return (numbers >> np.uint32(31 - bits) >> np.uint32(1)).astype(np.int32)
 
-def _postings(sketches: DataFrame) -> DataFrame:
-    """Postings of all lines: meet holds the number that lines meet by in its upper half, then place and size, so that a posting is five
-    longs and a line number. A place or size beyond 65535 is kept as that much; no line of so many words passes a filter wrongly, as both
-    bounds are then taken from equal values."""
-    rows = sketches.select("doc_id", "line_no", "key", "b1", "b2", F.least(F.col("size"), F.lit(65535)).cast("long").alias("size"), "singles", F.posexplode("prefix").alias("i", "word"))
-    place = F.when((F.col("i") < F.col("singles")) & (F.col("i") < 65535), F.col("i")).otherwise(F.lit(0)).cast("long")
-    meet = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.shiftleft(place, 16)).bitwiseOR(F.col("size"))
-    return rows.select(meet.alias("meet"), "doc_id", "line_no", "key", "b1", "b2", F.lit(1).alias("open"))
 
+def _counted(shared, bits: int):
+    """(bucket, n) of the postings of sets."""
 
-def _candidates(postings: DataFrame, every: bool) -> DataFrame:
-    number = F.shiftright("meet", 32)
-    return postings.repartition(number).sortWithinPartitions(number, "doc_id", "line_no", "key").mapInArrow(_paired(every), "a long, b long, more boolean, number long")
-
+    def run(batches):
+        counts = np.zeros(1 << bits, dtype=np.int64)
+        for b in batches:
+            counts += np.bincount(_bucket(meetings(Sets.of_words(b.column("words")), shared.value)[0], bits), minlength=1 << bits)
+        on = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(counts[on])], ["bucket", "n"])
 
-def _mixed_numbers(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([_long(mixed(b.column(0).to_numpy().astype(np.int64).view(np.uint64)))], ["h"])
+    return run
 
 
-def _wanted(numbers, open_keys):
-    """Postings of lines that meet by one of the wanted numbers, from sketches; open = whether the line itself is wanted."""
+def _postings(shared, bits: int, cuts: dict[int, int]):
+    """Postings of sets, packed by bucket and cell: rows (bucket, cell, postings). A bucket that is not in cuts is one cell; of one
+    with n blocks each two make a cell, and a posting goes to all cells of its block."""
 
     def run(batches):
+        held, n = [], 0
+
+        def out():
+            x = np.concatenate(held)
+            bucket = _bucket(x["number"], bits)
+            by = np.argsort(bucket, kind="stable")
+            x, bucket = x[by], bucket[by]
+            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            rows, plain = [], []
+            for k, (s, e) in enumerate(zip(at.tolist(), [*at[1:].tolist(), len(x)], strict=True)):
+                parts = cuts.get(int(bucket[s]), 1)
+                if parts == 1:
+                    plain.append(k)
+                    continue
+                mine = x[s:e]
+                block = (mixed(mine["key"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                for i in range(parts):
+                    for j in range(i, parts):
+                        some = mine[(block == i) | (block == j)]
+                        if len(some):
+                            rows.append((int(bucket[s]), i * parts + j, some.tobytes()))
+            if len(plain) < len(at):
+                rows += [(int(bucket[at[k]]), 0, x[at[k]:(at[k + 1] if k + 1 < len(at) else len(x))].tobytes()) for k in plain]
+                cols = list(zip(*rows, strict=True))
+                return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["bucket", "cell", "postings"])
+            ends = np.append(at, len(x)) * _POSTING.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(np.zeros(len(at), dtype=np.int32)), packed], ["bucket", "cell", "postings"])
+
         for b in batches:
-            lists = b.column("prefix")
-            flat = lists.flatten().to_numpy().astype(np.int64)
-            owner = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(lists).to_numpy())
-            place = np.arange(len(flat)) - np.searchsorted(owner, owner)
-            place = np.where((place < b.column("singles").to_numpy()[owner]) & (place < 65535), place, 0)
-            on = may_hold(numbers.value, mixed(flat.view(np.uint64)), FILTER_BITS)
-            owner, place, flat = owner[on], place[on], flat[on]
-            key, size = b.column("key").to_numpy()[owner], np.minimum(b.column("size").to_numpy()[owner].astype(np.int64), 65535)
-            cols = [pa.array(flat << 32 | place << 16 | size), b.column("doc_id").take(pa.array(owner)), b.column("line_no").take(pa.array(owner)), pa.array(key), pa.array(b.column("b1").to_numpy()[owner]), pa.array(b.column("b2").to_numpy()[owner]), pa.array(may_hold(open_keys.value, key.view(np.uint64), FILTER_BITS).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _POSTING.split(", ")])
+            s = Sets.of_words(b.column("words"))
+            numbers, owner, place = meetings(s, shared.value)
+            if not len(numbers):
+                continue
+            bit, high = np.uint64(1) << (s.mixed & np.uint64(63)), (s.mixed >> np.uint64(6)) & np.uint64(1) == 1
+            x = np.empty(len(numbers), dtype=_POSTING)
+            x["number"], x["size"], x["place"], x["key"] = numbers, np.minimum(s.sizes, _MOST)[owner], np.minimum(place, _MOST), s.keys.view(np.int64)[owner]
+            for c, half in (("b1", high), ("b2", ~high)):
+                x[c] = np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), s.starts)[owner]
+            held.append(x)
+            n += len(x)
+            if n > 400_000:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
 
     return run
 
 
-def _worded(shared):
-    """(key, words) of the lines that the filter may hold, once in each task; words are the sorted ids, five bytes each."""
+def _roots(parent: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[parent]
+        if (up == parent).all():
+            return parent
+        parent = up
 
-    def run(batches):
-        seen = _Seen()
-        for b in batches:
-            for block in blocks(b):
-                s = Sets(block)
-                on = may_hold(shared.value, s.keys, FILTER_BITS)
-                on[on] = seen.new(s.keys[on].tolist())
-                raw = np.ascontiguousarray(s.ids[on[s.owner]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-                ends = np.concatenate([[0], np.cumsum(s.sizes[on])]) * 5
-                words = pa.Array.from_buffers(pa.binary(), int(on.sum()), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays([_long(s.keys[on]), words], ["key", "words"])
 
-    return run
+def united(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest members of classes, after u and v are joined pair by pair; parent holds them before."""
+    while True:
+        a, b = parent[u], parent[v]
+        apart = a != b
+        if not apart.any():
+            return parent
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        parent = parent.copy()
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        parent = _roots(parent)
+
 
+#: Pairs of postings that are held against each other at once.
+PAIRS = 1 << 19
 
-def _ids(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, id) of all words of a column that _worded() made."""
-    sizes = np.array(pa.compute.binary_length(words)) // 5
-    raw = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
-    raw[:, :5] = np.frombuffer(b"".join(words.to_pylist()), dtype=np.uint8).reshape(-1, 5)
-    return np.repeat(np.arange(len(words)), sizes), raw.view("<u8").ravel().astype(np.uint64)
 
+def _solved_bucket(raw: bytes) -> pa.RecordBatch:
+    """Edges (u, v) that connect the sets of a cell as candidates do: stars, one row for each set at most.
+
+    Postings of a number stand in order of size, and each is held against those before it that are not too small (the length
+    filter). A word shared at two places leaves so many words before and behind it to share (the positional filter), and each
+    word that only one set has turns one of 128 parities, so that many may differ at most. Sets that are connected already
+    need no further test.
+    """
+    x = np.frombuffer(raw, dtype=_POSTING)
+    by = np.argsort(x["number"].astype(np.uint64) << np.uint64(16) | x["size"].astype(np.uint64), kind="stable")
+    number = x["number"][by]
+    same = number[1:] == number[:-1]
+    by = by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    x = x[by]
+    number, size, place = x["number"].astype(np.int64), x["size"].astype(np.int64), x["place"].astype(np.int64)
+    keys, at = np.unique(x["key"], return_inverse=True)
+    b1, b2 = np.ascontiguousarray(x["b1"]), np.ascontiguousarray(x["b2"])
+    parent = np.arange(len(keys))
+    low = np.searchsorted(number << 16 | size, number << 16 | least_size(size))
+    width = np.arange(len(x)) - low
+    total = np.cumsum(width)
+    begin = 0
+    while begin < len(x):
+        done = int(total[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, done + PAIRS, side="right")))
+        # one posting with more partners than PAIRS is a chunk of its own
+        w = width[begin:end]
+        i = np.repeat(np.arange(begin, end), w)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(low[begin:end], w)
+        apart = parent[at[i]] != parent[at[j]]
+        i, j = i[apart], j[apart]
+        a, b, p, q = size[i], size[j], place[i], place[j]
+        need, every = -(-PERCENT * (a + b) // (100 + PERCENT)), a == _MOST
+        ok = (np.minimum(a - p, b - q) + np.minimum(p, q) >= need) | every
+        i, j, most, every = i[ok], j[ok], (a + b - 2 * need)[ok], every[ok]
+        odd = np.bitwise_count(b1[i] ^ b1[j]).astype(np.int64) + np.bitwise_count(b2[i] ^ b2[j])
+        ok = (odd <= most) | every
+        if ok.any():
+            parent = united(parent, at[i[ok]], at[j[ok]])
+        begin = end
+    on = np.flatnonzero(parent != np.arange(len(keys)))
+    return pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(keys[parent[on]])], ["u", "v"])
+
+
+def _met(batches):
+    now, parts = None, []
+    for b in batches:
+        for bucket, cell, raw in zip(b.column("bucket").to_pylist(), b.column("cell").to_pylist(), b.column("postings"), strict=True):
+            if (bucket, cell) != now:
+                if parts:
+                    yield _solved_bucket(b"".join(parts))
+                now, parts = (bucket, cell), []
+            parts.append(raw.as_py())
+    if parts:
+        yield _solved_bucket(b"".join(parts))
+
+
+def _candidates(sets: DataFrame, order) -> DataFrame:
+    """(node, root): the sets that have a candidate, and the smallest key of those that candidates connect them with."""
+    spark = sets.sparkSession
+    total = sets.agg(F.coalesce(F.sum(F.col("size") / 5 + 1), F.lit(0.0))).first()[0]
+    bits = min(22, max(0, int(total / BUCKET).bit_length()))
+    # a sixteenth of the sets tells which buckets are hot; this decides how they are cut, not what is compared
+    some = sets.where(F.pmod(F.xxhash64("key"), F.lit(16)) == 0)
+    counts = some.mapInArrow(_counted(order, bits), "bucket int, n long").groupBy("bucket").agg((16 * F.sum("n")).alias("n"))
+    hot = counts.where(F.col("n") > HOT * BUCKET).toArrow()  # of 2**bits buckets at most
+    cuts = {b: -(-n // BUCKET) for b, n in zip(hot.column("bucket").to_pylist(), hot.column("n").to_pylist(), strict=True)}
+    rows = sets.mapInArrow(_postings(order, bits, cuts), "bucket int, cell int, postings binary")
+    edges = rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(_met, "u long, v long")
+    roots = components(edges)
+    return materialise(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "candidates")
+
+
+_FOUND = "key long, links long, doc_id long, line_no int, to long"
+
+
+def _solved_cell(left: pa.Table, right: pa.Table | None) -> pa.RecordBatch | None:
+    """Verified links of the sets of a cell, among the left ones or between the two sides: of each linked set how many lines it links with,
+    the first place of them, and the smallest set that links lead to."""
+    both = left if right is None else pa.concat_tables([left, right])
+    s = Sets.of_words(pa.concat_arrays(both.column("words").chunks))
+    n, m = left.num_rows, both.num_rows
+    cols = (0, n) if right is None else (n, m)
+    _, word, times = np.unique(s.ids, return_inverse=True, return_counts=True)
+    shared = times[word] > 1
+    word, owner = np.unique(word[shared], return_inverse=True)[1], s.owner[shared]
+    by = np.argsort(word, kind="stable")
+    word, owner = word[by], owner[by]
+    common = np.zeros((n, cols[1] - cols[0]), dtype=np.float32)
+    for lo in range(0, int(word[-1]) + 1 if len(word) else 0, 2048):
+        a, b = np.searchsorted(word, (lo, lo + 2048))
+        x = np.zeros((m, min(2048, int(word[-1]) + 1 - lo)), dtype=np.float32)
+        x[owner[a:b], word[a:b] - lo] = 1
+        common += x[:n] @ x[cols[0]:cols[1]].T
+    sizes = s.sizes.astype(np.float64)
+    link = common.astype(np.float64) * (100 + PERCENT) >= PERCENT * (sizes[:n, None] + sizes[None, cols[0]:cols[1]])
+    if right is None:
+        np.fill_diagonal(link, False)
+    i, j = np.nonzero(link)
+    if not len(i):
+        return None
+    j = j + cols[0]
+    if right is not None:
+        i, j = np.concatenate([i, j]), np.concatenate([j, i])
+    key, times = both.column("key").to_numpy(), both.column("n").to_numpy()
+    doc, line = both.column("doc_id").to_numpy(), both.column("line_no").to_numpy()
+    return _rows(both, i, j)
+
+
+def _rows(both, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """_FOUND from links (i, j) of the rows of a table, each in both directions."""
+    key, times, doc, line = (both.column(c).to_numpy() for c in ("key", "n", "doc_id", "line_no"))
+    m = len(key)
+    links, rank = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
+    np.add.at(links, i, times[j])
+    place = np.lexsort((line, doc))
+    rank[place] = np.arange(m)
+    earliest = np.full(m, m)
+    np.minimum.at(earliest, i, rank[j])
+    root = united(np.arange(m), i, j)
+    on = np.flatnonzero(links)
+    to = place[earliest[on]]
+    return pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(links[on]), pa.array(doc[to]), pa.array(line[to]), pa.array(key[root[on]])], [x.split()[0] for x in _FOUND.split(", ")])
+
+
+#: Cells of up to so many sets are solved together, pair by pair.
+FEW = 16
+
+
+def _solved_few(both: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch | None:
+    """Links inside many small cells at once; first is where the cell of each row begins."""
+    s = Sets.of_words(both.column("words"))
+    rank = np.arange(len(first)) - first
+    i = np.concatenate([np.flatnonzero(rank >= d) for d in range(1, FEW)])
+    j = i - np.repeat(np.arange(1, FEW), [int((rank >= d).sum()) for d in range(1, FEW)])
+    near = np.minimum(s.sizes[i], s.sizes[j]) * 100 >= np.maximum(s.sizes[i], s.sizes[j]) * PERCENT
+    i, j = i[near], j[near]
+    # words of the smaller set are looked up among those of the larger one
+    less = np.where(s.sizes[i] <= s.sizes[j], i, j)
+    more = i + j - less
+    n = s.sizes[less]
+    pair = np.repeat(np.arange(len(i)), n)
+    word = s.ids[np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s.starts[less], n)]
+    flat = s.owner << ID_BITS | s.ids
+    wanted = more[pair] << ID_BITS | word
+    at = np.minimum(np.searchsorted(flat, wanted), len(flat) - 1)
+    common = np.bincount(pair[flat[at] == wanted], minlength=len(i))
+    link = common * (100 + PERCENT) >= PERCENT * (s.sizes[i] + s.sizes[j])
+    if not link.any():
+        return None
+    i, j = i[link], j[link]
+    return _rows(both, np.concatenate([i, j]), np.concatenate([j, i]))
+
+
+def _verified(batches):
+    """_FOUND of all cells, which come one after the other, the left side first."""
+    now, sides = None, ([], [])
+
+    def out():
+        left, right = (pa.Table.from_batches(x) if x else None for x in sides)
+        return _solved_cell(left, right) if left is not None and (right is not None or now[2:4] == now[:2]) else None
 
-def _similar(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        (ra, wa), (rb, wb) = _ids(b.column("wa")), _ids(b.column("wb"))
-        n = np.bincount(ra, minlength=b.num_rows) + np.bincount(rb, minlength=b.num_rows)
-        # a batch has fewer rows than 2**24, so row and id fit one number; ids of a set are distinct
-        both = np.sort(np.concatenate([ra.astype(np.uint64) << np.uint64(ID_BITS) | wa, rb.astype(np.uint64) << np.uint64(ID_BITS) | wb]))
-        same = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(ID_BITS)).astype(np.int64), minlength=b.num_rows)
-        on = pa.array(same * (100 + PERCENT) >= PERCENT * n)
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(on), b.column("b").filter(on)], ["a", "b"])
+        cell = [b.column(c).to_numpy() for c in ("home", "c1", "b1", "c2", "b2", "side")]
+        cuts = np.concatenate([[0], np.flatnonzero(np.any([x[1:] != x[:-1] for x in cell], axis=0)) + 1, [b.num_rows]])
+        width = np.diff(cuts)
+        # whole cells of one side; those at the ends of a batch may go on beyond it
+        few = (width <= FEW) & (cell[1][cuts[:-1]] == cell[3][cuts[:-1]]) & (cell[2][cuts[:-1]] == cell[4][cuts[:-1]])
+        few[[0, -1]] = False
+        on = np.repeat(few, width)
+        if on.any():
+            some = width[few]
+            done = _solved_few(b.filter(pa.array(on)), np.repeat(np.cumsum(some) - some, some))
+            if done is not None:
+                yield done
+        for k in np.flatnonzero(~few).tolist():
+            s, e = int(cuts[k]), int(cuts[k + 1])
+            key = (int(cell[1][s]), int(cell[2][s]), int(cell[3][s]), int(cell[4][s]), int(cell[0][s]))
+            if key != now:
+                if now is not None and (done := out()) is not None:
+                    yield done
+                now, sides = key, ([], [])
+            sides[int(cell[5][s])].append(b.slice(s, e - s))
+    if now is not None and (done := out()) is not None:
+        yield done
+
+
+def _linked_sets(members: DataFrame) -> DataFrame:
+    """_FOUND of members(root, key, size, words, n, doc_id, line_no), sets whose candidates have one root. Up to CELL sets of a root are one
+    cell. More are cut into classes of sizes, of which only neighbours can match, and those into blocks: each two blocks are a cell."""
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("of_root"))
+    # sizes that match differ by a factor of 1.25 at most, so by one class at most
+    rows = members.join(sizes, "root").withColumn("cls", F.when(F.col("of_root") <= CELL, F.lit(-1)).otherwise(F.floor(F.log("size") / F.log(F.lit(1.3))).cast("int")))
+    units = materialise(rows.groupBy("root", "cls").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("blocks")), "units")
+    rows = rows.join(units, ["root", "cls"]).withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    one = units.select("root", F.col("cls").alias("c1"), F.col("blocks").alias("n1"))
+    two = units.select("root", F.col("cls").alias("c2"), F.col("blocks").alias("n2"))
+    cells = one.join(two, "root").where("c2 = c1 or (c1 >= 0 and c2 = c1 + 1)").withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("n1") - 1)))
+    cells = cells.where("c2 > c1 or b1 < n2").withColumn("b2", F.explode(F.sequence(F.when(F.col("c1") == F.col("c2"), F.col("b1")).otherwise(F.lit(0)), F.col("n2") - 1))).drop("n1", "n2")
+    names = ["key", "words", "n", "doc_id", "line_no"]
+    left = rows.join(cells.withColumns({"cls": F.col("c1"), "blk": F.col("b1")}), ["root", "cls", "blk"]).withColumn("side", F.lit(0))
+    right = rows.join(cells.where("c1 <> c2 or b1 <> b2").withColumns({"cls": F.col("c2"), "blk": F.col("b2")}), ["root", "cls", "blk"]).withColumn("side", F.lit(1))
+    cell = [F.col("root").alias("home"), "c1", "b1", "c2", "b2"]
+    both = left.select(*cell, "side", *names).unionByName(right.select(*cell, "side", *names))
+    order = ["home", "c1", "b1", "c2", "b2"]
+    return both.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(_verified, _FOUND)
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, sets, found): lines(doc_id, line_no, key) of all lines with a word; sets(key, n, doc_id, line_no, size) with their first place;
+    found, rows of _FOUND, which hold all links between different sets, each in one row for either end."""
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    lines = materialise(base.mapInArrow(_lined, _LINES), "lines")
+    worded = lines.where("words is not null").select("key", "size", "words")
+    top = worded.select("words").mapInArrow(_frequencies, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(RANKED).toArrow()
+    order = docs.sparkSession.sparkContext.broadcast(Order(top.column("word").to_numpy(), top.column("n").to_numpy()))
+    each = lines.groupBy("key", "doc_id").agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"))
+    firsts = materialise(each.groupBy("key").agg(F.sum("n").alias("n"), F.min_by("line_no", "doc_id").alias("line_no"), F.min("doc_id").alias("doc_id"), F.min("size").alias("size")), "firsts")
+    roots = _candidates(worded.where(F.col("size") > SHORT), order).withColumnRenamed("node", "key")
+    placed = materialise(roots.join(firsts.drop("size"), "key"), "placed")
+    found = _linked_sets(materialise(worded.join(placed, "key").dropDuplicates(["key"]), "members"))
+    small = firsts.where((F.col("size") >= 4) & (F.col("size") <= SHORT + 1)).select("key", F.struct("n", "doc_id", "line_no").alias("of_key"))
+    short = worded.where((F.col("size") >= 5) & (F.col("size") <= SHORT + 1)).select("words").mapInArrow(_subsets, "key long, a long")
+    short = short.join(small.withColumnsRenamed({"key": "a", "of_key": "of_a"}), "a").dropDuplicates(["key", "a"]).join(small, "key")
+    low = F.least("key", "a").alias("to")
+    sides = [short.select(F.col(me).alias("key"), F.col(f"{of}.n").alias("links"), F.col(f"{of}.doc_id").alias("doc_id"), F.col(f"{of}.line_no").alias("line_no"), low) for me, of in (("key", "of_a"), ("a", "of_key"))]
+    return lines.select("doc_id", "line_no", "key"), firsts, materialise(found.unionByName(sides[0]).unionByName(sides[1]), "links")
+
+
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: bool = False) -> DataFrame:
+    """Lines that match another line: (doc_id, line_no, n_links, to_doc, to_line), and class_id if `classes`.
 
+    A line's words are split at ASCII white space; lines match if the Jaccard similarity of their word sets is PERCENT / 100 or
+    more. Blank lines take no part. All matches are found: candidates come from prefix, positional, length and bitmap
+    filters, which lose no similar pair, and are verified by 40-bit word hashes. n_links counts the other lines that a line
+    matches. to is the first of them if it stands before the line by (doc_id, line_no), else null. class_id is the smallest doc_id
+    that holds a line which matches lead to. A null doc_id is _NULL_ID here.
+    """
+    return _matched(links(docs, id_col, text_col), classes)
 
-def _verified(base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose word sets are similar indeed. Word sets are read from the texts once more, for lines in pairs only."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    shared = base.sparkSession.sparkContext.broadcast(bit_filter(keys, "key", FILTER_BITS))
-    sets = materialise(base.mapInArrow(_worded(shared), "key long, words binary").dropDuplicates(["key"]), "words")
-    left, right = sets.withColumnsRenamed({"key": "a", "words": "wa"}), sets.withColumnsRenamed({"key": "b", "words": "wb"})
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(_similar, "a long, b long")
 
+def _matched(joined: tuple[DataFrame, DataFrame, DataFrame], classes: bool) -> DataFrame:
+    lines, firsts, found = joined
+    per = found.groupBy("key").agg(F.sum("links").alias("links"), F.min(F.struct("doc_id", "line_no")).alias("other"))
+    known = firsts.withColumn("first", F.struct("doc_id", "line_no")).select("key", "n", "first").join(per, "key", "left").where("n > 1 or links is not null")
+    if classes:
+        roots = components(found.select(F.col("key").alias("u"), F.col("to").alias("v")))
+        known = known.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        known = known.join(known.groupBy("root").agg(F.min("first.doc_id").alias("class_id")), "root")
+    rows = lines.join(known.hint("shuffle_hash"), "key")  # a key of known has one row, so this side is even; lines may be skewed
+    here = F.struct("doc_id", "line_no")
+    to = F.when(here > F.least("first", F.coalesce("other", "first")), F.least("first", F.coalesce("other", "first")))
+    n_links = (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    return rows.select("doc_id", "line_no", n_links, to["doc_id"].alias("to_doc"), to["line_no"].alias("to_line"), *(["class_id"] if classes else []))
 
-def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines that an earlier line matches: (doc_id, line_no, first_doc_id, first_line_no), the earliest line that is known to match.
 
-    A line's words are split at ASCII white space; lines match if the Jaccard similarity of their word sets is PERCENT / 100 or
-    more. The earlier line is the one with the smaller (doc_id, line_no). Blank lines take no part. Whether a line has an
-    earlier match is exact: candidates come from prefix, positional, length and bitmap filters, which lose no similar pair,
-    and are verified by 64-bit word hashes. A line is first held against its earliest candidate for each shared word; those
-    that this does not settle are held against all. Earlier is meant by the first places of the sets in the whole table.
-    """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spark = docs.sparkSession
-    top = base.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(RANKED).toArrow()
-    order = spark.sparkContext.broadcast(Order(top.column("word").to_numpy(), top.column("n").to_numpy()))
-    sketches = materialise(base.mapInArrow(_sketched(order), _SKETCH), "sketches")
-    firsts = materialise(sketches.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "firsts")
-    placed = _placed(sketches, firsts)
-    met = materialise(_candidates(_postings(placed), False), "pairs")
-    some = met.select("a", "b").distinct()
-    subsets = (sketches.where(F.size("subsets") > 0).select("key", F.explode("subsets").alias("a"))
-               .join(firsts.select(F.col("key").alias("a")), "a", "left_semi").select("a", F.col("key").alias("b")).distinct())
-    links = materialise(_verified(base, some).unionByName(subsets), "links")
-    settled = _later(links, firsts).select(F.col("key").alias("b")).distinct()
-    unsettled = materialise(met.where("more").select(F.col("b").alias("key"), "number").join(settled.withColumnRenamed("b", "key"), "key", "left_anti").distinct(), "unsettled")
-    if unsettled.limit(1).count():
-        # the groups where an unsettled line had more candidates, picked by two filters of fixed size: no posting is shuffled in vain
-        open_keys = spark.sparkContext.broadcast(bit_filter(unsettled, "key", FILTER_BITS))
-        numbers = unsettled.select("number").distinct().mapInArrow(_mixed_numbers, "h long")
-        numbers = spark.sparkContext.broadcast(bit_filter(numbers, "h", FILTER_BITS))
-        again = _candidates(placed.mapInArrow(_wanted(numbers, open_keys), _POSTING), True).select("a", "b").distinct()
-        again = materialise(again.join(some, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(materialise(_verified(base, again), "links"))
-    earlier = _later(links, firsts).groupBy("key").agg(F.min("other").alias("other"))
-    known = firsts.join(earlier, "key", "left")
-    lines = sketches.select("doc_id", "line_no", "key").join(known, "key")
-    place = F.struct("doc_id", "line_no")
-    to = F.when(~place.eqNullSafe(F.col("first")), F.least("first", "other")).otherwise(F.col("other"))
-    return lines.select("doc_id", "line_no", to.alias("to")).where("to is not null").select("doc_id", "line_no", F.col("to.doc_id").alias("first_doc_id"), F.col("to.line_no").alias("first_line_no")).distinct()
-
-
-def _later(links: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(key, other): of each link the set that first occurs later, and the first place of the other one."""
-    fa, fb = firsts.select(F.col("key").alias("a"), F.col("first").alias("fa")), firsts.select(F.col("key").alias("b"), F.col("first").alias("fb"))
-    both = links.join(fa, "a").join(fb, "b")
-    a_first = F.col("fa") < F.col("fb")
-    return both.select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("key"), F.when(a_first, F.col("fa")).otherwise(F.col("fb")).alias("other"))
-
-
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, removed array<struct<line_no, first_doc_id, first_line_no>>) of documents that lose a line."""
-    found = matches(docs, id_col, text_col)
-    return found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "first_doc_id", "first_line_no"))).alias("removed"))
+def _plain_id(c):
+    return F.when(c == F.lit(_NULL_ID), F.lit(None).cast("long")).otherwise(c)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_lines (with a word), n_removed, class_id (the smallest document that a removed line goes
-    back to, itself if none), removed.
+    """One row for each document: doc_id, n_lines (with a word, over all rows of the id), n_links (other lines that its lines match, added up), n_removed (lines
+    that match an earlier line), class_id (the smallest document that holds a line to which matches lead from one of its lines, itself if
+    none), removed array<struct<line_no, first_doc_id, first_line_no>>.
 
     A null or blank text has no lines. Rows that repeat a doc_id share its lines' places, so they lose the same lines, and
-    null ids count as one id, before all others; an empty table gives no rows; other columns are not read.
+    null ids count as one id, before all others (of class id null, as it would be the smallest); texts may be as long as a
+    string column's rows, and a line of any number of words is compared whole; an empty table gives no rows; other columns
+    are not read.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    n = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n_lines"))
-    gone = removals(docs, id_col, text_col).withColumnRenamed("doc_id", "_gone")
-    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-                      F.when(F.size("removed") > 0, F.least(F.col("doc_id"), F.array_min(F.col("removed.first_doc_id")))).otherwise(F.col("doc_id")).alias("class_id"), "removed")
+    joined = links(docs, id_col, text_col)
+    found = _matched(joined, classes=True)
+    counts = joined[0].groupBy(F.col("doc_id").alias("_line_id")).agg(F.count(F.lit(1)).alias("n_lines"))
+    gone = F.col("to_line").isNotNull()
+    per = found.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.sum("n_links").alias("n_links"), F.min("class_id").alias("class_id"),
+        F.sort_array(F.collect_set(F.when(gone, F.struct("line_no", _plain_id(F.col("to_doc")).alias("first_doc_id"), F.col("to_line").alias("first_line_no"))))).alias("removed"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_key"))
+    out = rows.join(counts, F.col("_key") == F.col("_line_id"), "left").join(per, F.col("_key") == F.col("_id"), "left")
+    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+                      _plain_id(F.coalesce("class_id", "_key")).alias("class_id"), "removed")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the lines that an earlier line matches; all rows and columns stay, a document may end up empty."""
-    gone = removals(docs, id_col, text_col).select(F.col("doc_id").alias("_netlens_id"), F.col("removed.line_no").alias("_netlens_gone"))
+    """docs without the lines that an earlier line matches; all rows and columns stay, a document may end up empty. Nulls, blank and
+    repeated rows as in line_dedup()."""
+    gone = matches(docs, id_col, text_col).where("to_line is not null").groupBy(F.col("doc_id").alias("_netlens_id")).agg(F.collect_set("line_no").alias("_netlens_gone"))
 
     @F.arrow_udf("string")
     def left(texts: pa.Array, gone: pa.Array) -> pa.Array:
@@ -453,6 +599,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append(text.as_py())
         return pa.array(out, pa.string())
 
-    joined = docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_netlens_id")), "left")
+    joined = docs.join(gone, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)) == F.col("_netlens_id"), "left")
     changed = F.when(F.col("_netlens_gone").isNotNull(), left(F.col(f"`{text_col}`").cast("string"), F.col("_netlens_gone"))).otherwise(F.col(f"`{text_col}`"))
     return joined.select(*[changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

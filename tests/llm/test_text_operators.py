@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from netlens.llm import langid, lines, packing, pii, simhash, substring
+from netlens.llm import common, langid, lines, packing, pii, simhash, substring
 from netlens.llm.common import components
 from netlens.llm.pieces import Pieces, decode, digests, encode
 from netlens.llm.queries import tokenizer_path
@@ -46,7 +46,10 @@ def texts(n, seed, length=60):
     return [" ".join(rng.choice(WORDS) for _ in range(rng.randint(5, length))) for _ in range(n)]
 
 
-def test_components(rows):
+@pytest.mark.parametrize("fold", [1 << 18, 0])
+def test_components(rows, monkeypatch, fold):
+    """By star rounds alone, and folded in one task."""
+    monkeypatch.setattr(common, "FOLD", fold)
     rng = random.Random(2)
     edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(999, i) for i in range(300, 340)]
     want = root_of(edges, {x for e in edges for x in e})
@@ -159,6 +162,21 @@ def test_packed_sequences(rows):
     assert zlib.crc32(np.array(ids[:first.length], dtype="<u4").tobytes()) == first.ids_crc32
 
 
+@pytest.mark.parametrize("bits", [20, 4])
+def test_encoder_equals_library(bits):
+    """Ids equal the library's on odd words, special tokens in any case, long words, and with a table that is always too small."""
+    encoder = packing.Encoder(tokenizer_path(), bits=bits)
+    rng = random.Random(4)
+    odd_words = ["<|ENDOFTEXT|>", "<|endoftext|>,", "<|endoftext|>x", "U.S.A.", "it's", "IT'S;", "I.", "9.", "é,", "a\x00b", "\x00", "x" * 70, "x" * 70 + ".", "\u0301", "e\u0301", "ΑΣ", "ΑΣ.", "İ", "\xa0", "a\xa0b", "…", "?!", "字漢", "</w>", "don't", "A" * 300]
+    some = [rng.choice(" \t\n\r").join(rng.choice([*odd_words, *WORDS, *(w.upper() + rng.choice(packing.CLOSING) for w in WORDS[:50])]) for _ in range(rng.randint(0, 40))) for _ in range(200)] + [None, "", "  \n"]
+    for _ in range(2):
+        ids, edges = encoder(pa.array(some, pa.string()), 1)
+        for k, text in enumerate(some):
+            assert ids[edges[k]:edges[k + 1]].tolist() == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    encoder.by_word = False
+    assert np.array_equal(encoder(pa.array(some, pa.string()), 1)[0], ids)
+
+
 def test_packing_odd_rows(rows):
     pieces = packing.pack(odd(rows), tokenizer_path()).collect()
     check_packing(ODD, pieces, 2048)
@@ -226,6 +244,39 @@ def test_lines_are_earlier_by_their_first_places(rows, monkeypatch, seed):
     assert got == brute_removed(data)
 
 
+def brute_lines(data):
+    """(n_links, class_id, removed lines) of each document."""
+    lines_of = [(d, i, frozenset(w)) for d, t in sorted(data) for i, line in enumerate((t or "").split("\n")) if (w := re.findall(r"[^\x20\x09-\x0D]+", line))]
+    pairs = [(a, b) for a, b in combinations(range(len(lines_of)), 2) if 180 * len(lines_of[a][2] & lines_of[b][2]) >= 80 * (len(lines_of[a][2]) + len(lines_of[b][2]))]
+    root = root_of(pairs, range(len(lines_of)))
+    out = {d: [0, d, set()] for d, _ in data}
+    for a, b in pairs:
+        out[lines_of[a][0]][0] += 1
+        out[lines_of[b][0]][0] += 1
+        out[lines_of[b][0]][2].add(lines_of[b][1])
+    for k, (d, _, _) in enumerate(lines_of):
+        out[d][1] = min(out[d][1], lines_of[root[k]][0])
+    return {d: (n, c, r) for d, (n, c, r) in out.items()}
+
+
+@pytest.mark.parametrize(("crowd", "cell", "bucket"), [(2000, 512, 200_000), (5, 4, 20), (40, 16, 3)])
+def test_lines_links_and_classes(rows, monkeypatch, crowd, cell, bucket):
+    """All links are found, however groups and buckets are cut: with small cells, hot buckets and crowds as without."""
+    for k, v in (("CROWD", crowd), ("CELL", cell), ("BUCKET", bucket), ("HOT", 1)):
+        monkeypatch.setattr(lines, k, v)
+    data = mutated_lines(5, 150) + [(1000 + k, " ".join(f"h{j}" for j in range(40) if j != k % 37) + f" t{k}") for k in range(90)]
+    got = {r.doc_id: (r.n_links, r.class_id, {x.line_no for x in r.removed or []}) for r in lines.line_dedup(rows(data, DOC).repartition(5)).collect()}
+    assert got == brute_lines(data)
+
+
+def test_lines_long_lines(rows):
+    """Sizes and places past 65535 words: a shared word at 65534 and 65536, and a line that is too short to match."""
+    long = [f"q{k}" for k in range(70_000)]
+    data = [(1, " ".join(long)), (2, " ".join([*long[5:], "z1", "z2"])), (3, " ".join(long[:50_000]))]
+    got = {r.doc_id: (r.n_links, r.n_removed) for r in lines.line_dedup(rows(data, DOC)).collect()}
+    assert got == {1: (1, 0), 2: (1, 1), 3: (0, 0)}
+
+
 def test_lines_odd_rows(rows):
     out = lines.line_dedup(odd(rows)).collect()
     assert len(out) == len(ODD)
