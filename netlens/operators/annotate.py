@@ -31,49 +31,72 @@ def event_arrays(matched: DataFrame, keys: list[str]) -> DataFrame:
     return matched.groupBy(*keys).agg(rows.alias("e")).select(*keys, F.transform("e", lambda x: F.struct(x["len"].alias("ByteSize"), x["ts_ns"].alias("Timestamp"))).alias("events"))
 
 
+def ingress_nic(kern: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, nic_in_ns): when the interface first had what comes in; where no such event was seen, when the device had it."""
+    return kern.groupBy(*keys).agg(F.coalesce(*[F.min(F.when(c("step") == step, c("ts_ns"))) for step in (NIC_IN, DEV_IN)]).alias("nic_in_ns"))
+
+
 def _summary(events: DataFrame, keys: list[str]) -> DataFrame:
-    """The values that the rules below need, for request (q_) and response (r_) events, in one aggregate."""
+    """The values that the rules below need, for request (q_) and response (r_) events, in one aggregate. `first` and `last` are by seq."""
     aggs = []
     for p, cond in (("q", c("is_req")), ("r", ~c("is_req"))):
-        on = lambda step, cond=cond: cond & (c("step") == step)
-        pick = lambda fn, step, value, on=on: fn(F.when(on(step), c(value)), F.when(on(step), F.struct("seq", "ts_ns")))
+        on = lambda step, value, cond=cond: F.when(cond & (c("step") == step), value)
+        first = lambda step, value, on=on: F.min_by(on(step, c(value)), on(step, F.struct("seq", "ts_ns")))
+        last = lambda step, value, on=on: F.max_by(on(step, c(value)), on(step, F.struct("seq", "ts_ns")))
         aggs += [
-            F.min(F.when(on(SYSCALL_OUT), c("ts_ns"))).alias(f"{p}_out_min"), pick(F.max_by, SYSCALL_OUT, "ts_ns").alias(f"{p}_out_last"),
-            F.max(F.when(on(SYSCALL_IN), c("ts_ns"))).alias(f"{p}_in_max"), pick(F.min_by, SYSCALL_IN, "ts_ns").alias(f"{p}_in_first"), pick(F.max_by, SYSCALL_IN, "ts_ns").alias(f"{p}_in_last"),
-            pick(F.min_by, NIC_IN, "first_ns").alias(f"{p}_nic_first"), pick(F.min_by, DEV_IN, "first_ns").alias(f"{p}_dev_in_first"),
-            F.max(F.when(on(NIC_IN), c("first_ns"))).alias(f"{p}_nic_max"), F.max(F.when(on(DEV_IN), c("first_ns"))).alias(f"{p}_dev_in_max"),
-            F.min(F.when(on(DEV_OUT), c("last_ns"))).alias(f"{p}_dev_min"), pick(F.max_by, DEV_OUT, "last_ns").alias(f"{p}_dev_last"),
-            pick(F.min_by, TCP_IN, "ts_ns").alias(f"{p}_tcp_first"), pick(F.max_by, TCP_IN, "ts_ns").alias(f"{p}_tcp_last"),
-            pick(F.min_by, USER_COPY, "ts_ns").alias(f"{p}_copy_first"), pick(F.max_by, USER_COPY, "ts_ns").alias(f"{p}_copy_last"),
+            F.min(on(SYSCALL_OUT, c("ts_ns"))).alias(f"{p}_write_min"), last(SYSCALL_OUT, "end_ns").alias(f"{p}_write_last_end"),
+            F.max(on(SYSCALL_IN, c("end_ns"))).alias(f"{p}_read_end_max"), first(SYSCALL_IN, "ts_ns").alias(f"{p}_read_first"), last(SYSCALL_IN, "end_ns").alias(f"{p}_read_last_end"),
+            F.coalesce(first(NIC_IN, "ts_ns"), first(DEV_IN, "ts_ns")).alias(f"{p}_nic_start"), F.coalesce(first(NIC_IN, "first_ns"), first(DEV_IN, "first_ns")).alias(f"{p}_nic_first"),
+            F.coalesce(F.max(on(NIC_IN, c("first_ns"))), F.max(on(DEV_IN, c("first_ns")))).alias(f"{p}_nic_max"),
+            F.min(on(DEV_OUT, c("last_ns"))).alias(f"{p}_dev_min"), last(DEV_OUT, "last_ns").alias(f"{p}_dev_last"),
+            first(TCP_IN, "ts_ns").alias(f"{p}_tcp_first"), last(TCP_IN, "ts_ns").alias(f"{p}_tcp_last"), first(USER_COPY, "ts_ns").alias(f"{p}_copy_first"), last(USER_COPY, "ts_ns").alias(f"{p}_copy_last"),
         ]
     return events.groupBy(*keys).agg(*aggs)
 
 
-def annotate(pairs: DataFrame, events: DataFrame, keys: tuple[str, ...] = ("conn_id", "pair_id")) -> DataFrame:
-    """pairs(keys, side, is_ssl, req_ts, resp_ts, req_size, resp_size, ...) with start_ns, end_ns, total_ns, black_box_ns, read_socket_ns
-    and copy_to_sock_ns. events(keys, is_req, step, seq, ts_ns, first_ns, last_ns) are the packet events that a pair's byte ranges
-    meet; first_ns and last_ns are the extremes over interfaces, ts_ns where there is but one time.
+#: Events that are seen only while devices, or sockets, are traced.
+DEVICE_STEPS, SOCKET_STEPS = (NIC_IN, DEV_IN, DEV_OUT), (TCP_IN, USER_COPY)
+
+
+def annotate(pairs: DataFrame, events: DataFrame, keys: tuple[str, ...] = ("conn_id", "pair_id"), trace_devices: bool = True, trace_sockets: bool = True) -> DataFrame:
+    """pairs(keys, side, is_ssl, req_maps, resp_maps, req_ts, resp_ts, ...) with start_ns, end_ns, total_ns, black_box_ns, read_socket_ns and
+    copy_to_sock_ns; null where a time cannot be told. events(keys, is_req, step, seq, ts_ns, ts_delta, first_ns, last_ns) are the packet
+    events that a pair's byte ranges meet: an event ends ts_delta after ts_ns; first_ns and last_ns are the extremes over interfaces,
+    ts_ns where there is but one time.
 
-    Client: from the first write to the last read; the network's share lies between what leaves the device and what comes in.
-    Server: from what comes in first to what leaves last; the process's share lies between first read and last write.
+    Client: from the first write to the end of the last read; the network's share lies between what leaves the device and what comes in.
+    Server: from what comes in first to what leaves last; the process's share lies between first read and end of last write. Of TLS
+    traffic a direction counts only if all its TLS events map to kernel ranges (req_maps, resp_maps; null: there are none, so they
+    do). What is not traced is taken as unseen: without devices a server's total is the process's share, without sockets the time of
+    reading runs from the interface to the end of the last read.
     """
-    e = events.withColumns({"first_ns": F.coalesce("first_ns", "ts_ns"), "last_ns": F.coalesce("last_ns", "ts_ns")})
+    unseen = [*(() if trace_devices else DEVICE_STEPS), *(() if trace_sockets else SOCKET_STEPS)]
+    e = events.where(~c("step").isin(*unseen)) if unseen else events
+    has = set(events.columns)
+    e = e.withColumns({"first_ns": F.coalesce("first_ns", "ts_ns"), "last_ns": F.coalesce("last_ns", "ts_ns"), "end_ns": c("ts_ns") + (F.coalesce("ts_delta", F.lit(0)) if "ts_delta" in has else F.lit(0))})
     x = pairs.join(_summary(e, list(keys)), list(keys), "left")
     client, diff = c("side") == "client", c("resp_ts") - c("req_ts")
-    r_nic = F.coalesce("r_nic_first", "r_dev_in_first")
-    start_c, end_c = F.coalesce("q_out_min", "req_ts"), F.coalesce("r_in_max", "resp_ts")
-    start_s, end_s = F.coalesce("q_nic_first", "q_dev_in_first", "q_tcp_first", "q_copy_first", "q_in_first"), F.coalesce("r_dev_last", "r_out_last")
-    total_c = F.when(c("q_out_min").isNotNull() & c("r_in_max").isNotNull(), c("r_in_max") - c("q_out_min")).otherwise(diff)
-    box_c = F.coalesce("r_nic_max", "r_dev_in_max") - c("q_dev_min")
-    box_s = F.coalesce(c("r_out_last") - c("q_in_first"), diff)
-    no_nic = c("q_nic_first").isNull() & c("q_dev_in_first").isNull() & c("r_dev_last").isNull()
-    total_s = F.when(no_nic, box_s).otherwise(end_s - start_s)
-    read_c = F.when(c("r_tcp_first").isNotNull(), F.coalesce("r_copy_last", "r_in_last") - c("r_tcp_first")).otherwise(c("r_in_last") - r_nic)
-    read_s = c("q_copy_last") - c("q_tcp_first")
-    copy_c, copy_s = c("r_tcp_last") - r_nic, c("q_tcp_last") - F.coalesce("q_nic_first", "q_dev_in_first")
     pick = lambda a, b: F.when(client, a).otherwise(b)
-    out = {"start_ns": pick(start_c, start_s), "end_ns": pick(end_c, end_s), "total_ns": pick(total_c, total_s), "black_box_ns": pick(box_c, box_s), "read_socket_ns": pick(read_c, read_s), "copy_to_sock_ns": pick(copy_c, copy_s)}
-    return x.withColumns(out).select(*pairs.columns, *out)
+    inn, out = (lambda name: pick(c(f"r_{name}"), c(f"q_{name}"))), (lambda name: pick(c(f"q_{name}"), c(f"r_{name}")))
+    maps = lambda name: F.coalesce(c(name), F.lit(True)) if name in pairs.columns else F.lit(True)
+    plain = ~c("is_ssl") if "is_ssl" in pairs.columns else F.lit(True)
+    can_read, can_write = plain | pick(maps("resp_maps"), maps("req_maps")), plain | pick(maps("req_maps"), maps("resp_maps"))
+    can_both = can_read & can_write
+    read, write = inn("read_first").isNotNull(), out("write_min").isNotNull()
+    start_c, end_c = F.when(can_write & write, out("write_min")).otherwise(c("req_ts")), F.when(can_read & read, inn("read_end_max")).otherwise(c("resp_ts"))
+    start_s, end_s = F.coalesce(inn("nic_first"), inn("tcp_first"), inn("copy_first"), inn("read_first")), F.coalesce(out("dev_last"), out("write_last_end"))
+    total_c = F.when(read & write & can_both, end_c - start_c).otherwise(diff)
+    box_c = F.when(can_both, inn("nic_max") - out("dev_min"))
+    box_s = F.when(read & write & can_both, out("write_last_end") - inn("read_first")).otherwise(diff)
+    total_s = F.when(can_both, end_s - start_s) if trace_devices else box_s
+    read_c = F.when(can_read, F.coalesce(inn("copy_last"), inn("read_last_end")) - inn("tcp_first"))
+    read_s = F.when(can_read, inn("copy_last") - inn("tcp_first"))
+    copied = F.when(pick(can_read, can_write), inn("tcp_last") - inn("nic_start"))
+    read_ns = pick(read_c, read_s)
+    if not trace_sockets:
+        read_ns = F.coalesce(F.when(can_read, inn("read_last_end") - inn("nic_first")), read_ns)
+    made = {"start_ns": pick(start_c, start_s), "end_ns": pick(end_c, end_s), "total_ns": pick(total_c, total_s), "black_box_ns": pick(box_c, box_s), "read_socket_ns": read_ns, "copy_to_sock_ns": copied}
+    return x.withColumns(made).select(*pairs.columns, *made)
 
 
 def sizes(pairs: DataFrame) -> DataFrame:

@@ -28,14 +28,19 @@ def lookup(events: DataFrame, connections: DataFrame) -> DataFrame:
 
     An as-of join by union and window: the events of a descriptor meet its connections in order of time, once.
     """
-    starts = connections.select("tgid_fd", c("start_ns").alias("ts_ns"), F.struct("start_ns", "close_ns", "next_ns").alias("_conn"))
-    both = events.withColumns({"_conn": F.lit(None).cast(starts.schema["_conn"].dataType), "_event": F.lit(1)}).unionByName(starts.withColumn("_event", F.lit(0)), allowMissingColumns=True)
-    # a connection that begins at the event's time is behind it if newest (it has to begin before), before it if it is closed later
+    of = Window.partitionBy("tgid_fd").orderBy("start_ns", c("next_ns").asc_nulls_last())
+    starts = connections.withColumn("_conn", F.struct("start_ns", "close_ns", "next_ns"))
+    starts = starts.select("tgid_fd", c("start_ns").alias("ts_ns"), "_conn", F.lag("_conn").over(of).alias("_last"))
+    kind = starts.schema["_conn"].dataType
+    both = events.withColumns({"_conn": F.lit(None).cast(kind), "_last": F.lit(None).cast(kind), "_event": F.lit(1)}).unionByName(starts.withColumn("_event", F.lit(0)), allowMissingColumns=True)
+    # connections come before events of the same time; the one before the last is kept too, for events at the start of the newest
     w = Window.partitionBy("tgid_fd").orderBy("ts_ns", "_event").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_conn", F.last("_conn", ignorenulls=True).over(w)).where("_event = 1")
+    rows = both.withColumn("_conn", F.last("_conn", ignorenulls=True).over(w)).withColumn("_before", F.last(F.col("_last"), ignorenulls=True).over(w))
+    covers = lambda x: (c(f"{x}.start_ns") <= c("ts_ns")) & (c("ts_ns") <= F.coalesce(f"{x}.close_ns", f"{x}.next_ns"))
     newest = c("_conn.next_ns").isNull()
-    covers = F.when(newest, c("_conn.start_ns") < c("ts_ns")).otherwise(c("ts_ns") <= F.coalesce("_conn.close_ns", "_conn.next_ns"))
-    return found.where(c("_conn").isNotNull() & covers).withColumn("start_ns", c("_conn.start_ns")).drop("_conn", "_event")
+    start = (F.when(newest & (c("_conn.start_ns") < c("ts_ns")), c("_conn.start_ns")).when(~newest & covers("_conn"), c("_conn.start_ns"))
+             .when(c("_before").isNotNull() & covers("_before") & (c("_before.next_ns") == c("ts_ns")), c("_before.start_ns")))
+    return rows.where("_event = 1").withColumn("start_ns", start).where("start_ns is not null").drop("_conn", "_last", "_before", "_event")
 
 
 def first_packets(packets: DataFrame, connections: DataFrame) -> DataFrame:

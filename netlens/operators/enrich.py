@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlens.functions import scalars
+from netlens.operators.scratch import written
 
 c = F.col
 
@@ -52,16 +53,26 @@ def attach_prioritised(keys: DataFrame, engines: list[DataFrame], key: str = "id
     return keys.join(best.drop("_rank"), key, "left")
 
 
-def descendants(processes: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
-    """(pid) of the roots and of every process below them. processes(pid, ppid)."""
-    spark = processes.sparkSession
-    processes.select("pid", "ppid").createOrReplaceTempView("_netlens_processes")
-    roots.select("pid").createOrReplaceTempView("_netlens_roots")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(most, int(spark.conf.get("spark.sql.cteRecursionLevelLimit", "100")))))
-    return spark.sql("""
-        WITH RECURSIVE below(pid) AS (
-          SELECT pid FROM _netlens_roots UNION ALL SELECT p.pid FROM below b JOIN _netlens_processes p ON p.ppid = b.pid AND p.pid <> p.ppid)
-        SELECT DISTINCT pid FROM below""")
+def descendants(processes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(pid) of the roots and of every process below them, however deep. processes(pid, ppid).
+
+    Ways up double: each round joins where a process's way ends so far with that one's own way, and a way ends at a root or
+    at a process without a parent. Rounds grow with the logarithm of the depth; a circle of parents ends like any other way,
+    once no open way is left or all ways are longer than there are processes.
+    """
+    chosen = roots.select("pid").distinct().withColumn("_root", F.lit(True))
+    each = processes.where("pid is not null").groupBy("pid").agg(F.min(F.when(c("pid") != c("ppid"), c("ppid"))).alias("up"))
+    ways = each.join(chosen, "pid", "left").withColumn("found", F.coalesce("_root", F.lit(False)))
+    parents = chosen.select(c("pid").alias("up"), F.lit(True).alias("_hit"))
+    # a parent that is a root settles a process, whether or not the parent is listed itself
+    ways = ways.drop("_root").join(parents, "up", "left").withColumn("found", c("found") | F.coalesce("_hit", F.lit(False))).select("pid", F.when(~c("found"), c("up")).alias("up"), "found")
+    ways = written(ways, "ways")
+    most, reach = ways.count(), 1
+    while reach <= 2 * most and ways.where("up is not null").limit(1).count():
+        further = ways.select(c("pid").alias("up"), c("up").alias("_up"), c("found").alias("_found"))
+        ways = written(ways.join(further, "up", "left").select("pid", c("_up").alias("up"), (c("found") | F.coalesce("_found", F.lit(False))).alias("found")).select("pid", F.when(~c("found"), c("up")).alias("up"), "found"), "ways")
+        reach *= 2
+    return chosen.select("pid").unionByName(ways.where("found").select("pid")).distinct()
 
 
 def of_process_tree(records: DataFrame, processes: DataFrame, roots: DataFrame) -> DataFrame:

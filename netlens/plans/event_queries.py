@@ -113,10 +113,10 @@ def connection_intervals(spark, sf):
     return connections.lifecycles(adapters.conn_events(spark, sf))
 
 
-@query("d9_connection_of_event", """SELECT e.event_id, e.tgid_fd, e.ts_ns, x.start_ns FROM (SELECT event_id, user_id AS tgid_fd, ts_ns FROM events_v WHERE event_type <> 'signup') e JOIN connections x ON x.tgid_fd = e.tgid_fd
- AND x.start_ns <= e.ts_ns AND (x.next_ns IS NULL OR x.next_ns > e.ts_ns) WHERE CASE WHEN x.next_ns IS NULL THEN x.start_ns < e.ts_ns ELSE e.ts_ns <= coalesce(x.close_ns, x.next_ns) END""", (CONN_EVENTS,))
+@query("d9_connection_of_event", """SELECT event_id, tgid_fd, ts_ns, start_ns FROM (SELECT e.event_id, e.user_id AS tgid_fd, e.ts_ns, CASE WHEN x.newest < e.ts_ns THEN x.newest ELSE (SELECT max(o.start_ns) FROM connections o WHERE o.tgid_fd = e.user_id AND o.next_ns IS NOT NULL AND o.start_ns <= e.ts_ns AND e.ts_ns <= coalesce(o.close_ns, o.next_ns)) END AS start_ns
+ FROM events_v e JOIN (SELECT tgid_fd, max(start_ns) AS newest FROM connections GROUP BY tgid_fd) x ON x.tgid_fd = e.user_id) WHERE start_ns IS NOT NULL""", (CONN_EVENTS,))
 def d9(spark, sf):
-    e = adapters.events(spark, sf).where("event_type <> 'signup'").select("event_id", c("user_id").alias("tgid_fd"), "ts_ns")
+    e = adapters.events(spark, sf).select("event_id", c("user_id").alias("tgid_fd"), "ts_ns")
     return connections.lookup(e, connections.lifecycles(adapters.conn_events(spark, sf)))
 
 
@@ -214,28 +214,49 @@ def e9(spark, sf):
     return out.select("conn_id", "message", F.size("events").cast("long").alias("n"), F.array_join(text, ",").alias("events"))
 
 
-_E10_KERN = """pairs AS (SELECT conn_id, message AS pair_id, start, "end", CASE WHEN conn_id % 2 = 0 THEN 'client' ELSE 'server' END AS side, conn_id % 3 = 0 AS is_ssl, 1000 * conn_id AS req_ts, 1000 * conn_id + 500 AS resp_ts, 10 + message AS req_size, 20 + message AS resp_size, 15 + message AS req_kern_len, 25 + message AS resp_kern_len FROM ranges),
-ev AS (SELECT p.conn_id, p.pair_id, k.rn % 2 = 0 AS is_req, CASE k.rn % 6 WHEN 0 THEN 2 WHEN 1 THEN 6 WHEN 2 THEN 8 WHEN 3 THEN 11 WHEN 4 THEN 12 ELSE 13 END AS step, k.seq, k.ts_ns, k.ts_ns + k.len AS last_ns FROM kern k JOIN pairs p ON k.conn_id = p.conn_id AND k.seq < p."end" AND k.seq + k.len > p.start),
-su AS (SELECT conn_id, pair_id, min(ts_ns) FILTER (is_req AND step = 2) AS q_out_min, max(ts_ns) FILTER (NOT is_req AND step = 13) AS r_in_max, max(ts_ns) FILTER (NOT is_req AND step = 8) AS r_nic_max, min(last_ns) FILTER (is_req AND step = 6) AS q_dev_min,
- arg_min(ts_ns, struct_pack(a := seq, b := ts_ns)) FILTER (is_req AND step = 8) AS q_nic_first, arg_min(ts_ns, struct_pack(a := seq, b := ts_ns)) FILTER (is_req AND step = 11) AS q_tcp_first, arg_min(ts_ns, struct_pack(a := seq, b := ts_ns)) FILTER (is_req AND step = 12) AS q_copy_first,
- arg_max(ts_ns, struct_pack(a := seq, b := ts_ns)) FILTER (is_req AND step = 12) AS q_copy_last, arg_min(ts_ns, struct_pack(a := seq, b := ts_ns)) FILTER (is_req AND step = 13) AS q_in_first, arg_max(last_ns, struct_pack(a := seq, b := ts_ns)) FILTER (NOT is_req AND step = 6) AS r_dev_last,
- arg_max(ts_ns, struct_pack(a := seq, b := ts_ns)) FILTER (NOT is_req AND step = 2) AS r_out_last FROM ev GROUP BY conn_id, pair_id)"""
+#: Steps that the packets of E10 are dealt to.
+_E10_STEPS = (names.SYSCALL_OUT, names.DEV_OUT, names.NIC_IN, names.DEV_IN, names.TCP_IN, names.USER_COPY, names.SYSCALL_IN)
+_E10_KERN = f"""pairs AS (SELECT conn_id, message AS pair_id, start, "end", CASE WHEN conn_id % 2 = 0 THEN 'client' ELSE 'server' END AS side, conn_id % 3 = 0 AS is_ssl, conn_id % 5 <> 0 AS req_maps, CASE WHEN conn_id % 4 <> 0 THEN conn_id % 7 <> 0 END AS resp_maps,
+ 1000 * conn_id AS req_ts, 1000 * conn_id + 500 AS resp_ts, 10 + message AS req_size, 20 + message AS resp_size, 15 + message AS req_kern_len, 25 + message AS resp_kern_len FROM ranges),
+ev AS (SELECT p.conn_id, p.pair_id, p.side, (k.rn % 2 = 0) = (p.side = 'server') AS comes_in, ({list(_E10_STEPS)})[(k.rn + k.conn_id // 2) % {len(_E10_STEPS)} + 1] AS step, k.seq, k.ts_ns, k.ts_ns + 10 * k.flags AS end_ns, k.ts_ns - k.flags AS first_ns, k.ts_ns + k.len AS last_ns
+ FROM kern k JOIN pairs p ON k.conn_id = p.conn_id AND k.seq < p."end" AND k.seq + k.len > p.start)"""
+
+
+def _e10_sql(devices: bool, sockets: bool) -> str:
+    """The rules once more, over lists of events in order of their bytes: one list for each kind, empty where it is not traced."""
+    kinds = {"writes": (False, names.SYSCALL_OUT, True), "dev_out": (False, names.DEV_OUT, devices), "nic": (True, names.NIC_IN, devices), "dev_in": (True, names.DEV_IN, devices), "tcp": (True, names.TCP_IN, sockets), "copies": (True, names.USER_COPY, sockets), "reads": (True, names.SYSCALL_IN, True)}
+    lists = ", ".join(f"coalesce(list(struct_pack(s := seq, t := ts_ns, e := end_ns, f := first_ns, l := last_ns) ORDER BY seq, ts_ns) FILTER ({'comes_in' if into else 'NOT comes_in'} AND step = {step} AND {str(on).lower()}), []) AS {name}" for name, (into, step, on) in kinds.items())
+    ends = lambda a, b: f"CASE WHEN len({a}) > 0 THEN {b} END"
+    return f"""SELECT * FROM (WITH {_E10_KERN}, lists AS (SELECT conn_id, pair_id, {lists} FROM ev GROUP BY conn_id, pair_id),
+x AS (SELECT p.*, coalesce(writes, []) AS w, coalesce(dev_out, []) AS d, CASE WHEN len(coalesce(nic, [])) > 0 THEN nic ELSE coalesce(dev_in, []) END AS n, coalesce(tcp, []) AS t, coalesce(copies, []) AS u, coalesce(reads, []) AS r,
+ NOT is_ssl OR coalesce(CASE WHEN side = 'server' THEN req_maps ELSE resp_maps END, true) AS cr, NOT is_ssl OR coalesce(CASE WHEN side = 'server' THEN resp_maps ELSE req_maps END, true) AS cw, resp_ts - req_ts AS diff FROM pairs p LEFT JOIN lists USING (conn_id, pair_id)),
+y AS (SELECT *, CASE WHEN side = 'server' THEN CASE WHEN len(n) > 0 THEN n[1].f WHEN len(t) > 0 THEN t[1].t WHEN len(u) > 0 THEN u[1].t WHEN len(r) > 0 THEN r[1].t END WHEN len(w) > 0 AND cw THEN list_min(list_transform(w, lambda v: v.t)) ELSE req_ts END AS start_ns,
+ CASE WHEN side = 'server' THEN CASE WHEN len(d) > 0 THEN d[-1].l WHEN len(w) > 0 THEN w[-1].e END WHEN len(r) > 0 AND cr THEN list_max(list_transform(r, lambda v: v.e)) ELSE resp_ts END AS end_ns,
+ CASE WHEN side = 'server' THEN CASE WHEN len(r) > 0 AND len(w) > 0 AND cr AND cw THEN w[-1].e - r[1].t ELSE diff END WHEN len(n) > 0 AND len(d) > 0 AND cr AND cw THEN list_max(list_transform(n, lambda v: v.f)) - list_min(list_transform(d, lambda v: v.l)) END AS black_box_ns FROM x)
+SELECT conn_id, pair_id, side, start_ns, end_ns, CASE WHEN side = 'client' THEN CASE WHEN len(r) > 0 AND len(w) > 0 AND cr AND cw THEN end_ns - start_ns ELSE diff END WHEN NOT {str(devices).lower()} THEN black_box_ns WHEN cr AND cw THEN end_ns - start_ns END AS total_ns, black_box_ns,
+ CASE WHEN NOT {str(sockets).lower()} AND len(n) > 0 AND cr AND len(r) > 0 THEN r[-1].e - n[1].f WHEN side = 'server' THEN CASE WHEN len(u) > 0 AND len(t) > 0 AND cr THEN u[-1].t - t[1].t END WHEN (len(u) > 0 OR len(r) > 0) AND len(t) > 0 AND cr THEN CASE WHEN len(u) > 0 THEN u[-1].t ELSE r[-1].e END - t[1].t END AS read_socket_ns,
+ CASE WHEN len(t) > 0 AND len(n) > 0 AND CASE WHEN side = 'server' THEN cw ELSE cr END THEN t[-1].t - n[1].t END AS copy_to_sock_ns FROM y)"""
 
 
 def _e10_inputs(spark, sf):
-    pairs = adapters.message_ranges(spark, sf).select("conn_id", c("message").alias("pair_id"), "start", "end", F.when(c("conn_id") % 2 == 0, "client").otherwise("server").alias("side"), (c("conn_id") % 3 == 0).alias("is_ssl"), (1000 * c("conn_id")).alias("req_ts"), (1000 * c("conn_id") + 500).alias("resp_ts"),
+    n = c("conn_id")
+    pairs = adapters.message_ranges(spark, sf).select("conn_id", c("message").alias("pair_id"), "start", "end", F.when(n % 2 == 0, "client").otherwise("server").alias("side"), (n % 3 == 0).alias("is_ssl"), (n % 5 != 0).alias("req_maps"), F.when(n % 4 != 0, n % 7 != 0).alias("resp_maps"), (1000 * n).alias("req_ts"), (1000 * n + 500).alias("resp_ts"),
                                                       (10 + c("message")).cast("long").alias("req_size"), (20 + c("message")).cast("long").alias("resp_size"), (15 + c("message")).cast("long").alias("req_kern_len"), (25 + c("message")).cast("long").alias("resp_kern_len"))
     hit = ranges.overlap_join(adapters.kern_events(spark, sf), pairs.select("conn_id", "pair_id", "start", "end"))
-    step = F.get(F.array(*[F.lit(x) for x in (2, 6, 8, 11, 12, 13)]), c("rn") % 6)
-    return pairs, hit.select("conn_id", "pair_id", (c("rn") % 2 == 0).alias("is_req"), step.alias("step"), "seq", "ts_ns", F.lit(None).cast("long").alias("first_ns"), (c("ts_ns") + c("len")).alias("last_ns"))
+    step = F.get(F.array(*[F.lit(x) for x in _E10_STEPS]), ((c("rn") + F.floor(n / 2)) % len(_E10_STEPS)).cast("int"))
+    return pairs, hit.select("conn_id", "pair_id", (c("rn") % 2 == 0).alias("is_req"), step.alias("step"), "seq", "ts_ns", (10 * c("flags")).cast("long").alias("ts_delta"), (c("ts_ns") - c("flags")).alias("first_ns"), (c("ts_ns") + c("len")).alias("last_ns"))
+
 
+def _e10(name, devices=True, sockets=True):
+    @query(name, _e10_sql(devices, sockets), (KERN,))
+    def run(spark, sf):
+        pairs, events = _e10_inputs(spark, sf)
+        return annotate.annotate(pairs, events, trace_devices=devices, trace_sockets=sockets).select("conn_id", "pair_id", "side", "start_ns", "end_ns", "total_ns", "black_box_ns", "read_socket_ns", "copy_to_sock_ns")
 
-@query("e10_annotate", f"""SELECT * FROM (WITH {_E10_KERN} SELECT p.conn_id, p.pair_id, p.side, CASE WHEN p.side = 'client' THEN coalesce(q_out_min, req_ts) ELSE coalesce(q_nic_first, q_tcp_first, q_copy_first, q_in_first) END AS start_ns, CASE WHEN p.side = 'client' THEN coalesce(r_in_max, resp_ts) ELSE coalesce(r_dev_last, r_out_last) END AS end_ns,
- CASE WHEN p.side = 'client' THEN CASE WHEN q_out_min IS NOT NULL AND r_in_max IS NOT NULL THEN r_in_max - q_out_min ELSE resp_ts - req_ts END WHEN q_nic_first IS NULL AND r_dev_last IS NULL THEN coalesce(r_out_last - q_in_first, resp_ts - req_ts) ELSE coalesce(r_dev_last, r_out_last) - coalesce(q_nic_first, q_tcp_first, q_copy_first, q_in_first) END AS total_ns,
- CASE WHEN p.side = 'client' THEN r_nic_max - q_dev_min ELSE coalesce(r_out_last - q_in_first, resp_ts - req_ts) END AS black_box_ns FROM pairs p LEFT JOIN su USING (conn_id, pair_id))""", (KERN,))
-def e10(spark, sf):
-    pairs, events = _e10_inputs(spark, sf)
-    return annotate.annotate(pairs, events).select("conn_id", "pair_id", "side", "start_ns", "end_ns", "total_ns", "black_box_ns")
+
+_e10("e10_annotate")
+_e10("e10_without_devices", devices=False)
+_e10("e10_without_sockets", sockets=False)
 
 
 @query("e10z_sizes", f"SELECT * FROM (WITH {_E10_KERN} SELECT conn_id, pair_id, CASE WHEN is_ssl THEN req_kern_len ELSE req_size END::BIGINT AS req_size, CASE WHEN is_ssl THEN resp_kern_len ELSE resp_size END::BIGINT AS resp_size, CASE WHEN is_ssl THEN req_size END::BIGINT AS req_plain_size, CASE WHEN is_ssl THEN resp_size END::BIGINT AS resp_plain_size FROM pairs)", (KERN,))
@@ -266,10 +287,9 @@ def h2(spark, sf):
     return enrich.attach_prioritised(rows.select("id"), [engine("docker", "root_pid % 2 = 0"), engine("containerd", "root_pid % 3 = 0")])
 
 
-@query("h3_fallback", "SELECT conn_id, coalesce(min(ts_ns) FILTER (step = 8), min(ts_ns) FILTER (step = 4)) AS nic_in_ns FROM kern GROUP BY conn_id", (KERN,))
+@query("h3_fallback", f"SELECT conn_id, coalesce(min(ts_ns) FILTER (step = {names.NIC_IN}), min(ts_ns) FILTER (step = {names.DEV_IN})) AS nic_in_ns FROM kern GROUP BY conn_id", (KERN,))
 def h3(spark, sf):
-    k = adapters.kern_events(spark, sf)
-    return k.groupBy("conn_id").agg(F.coalesce(F.min(F.when(c("step") == names.NIC_IN, c("ts_ns"))), F.min(F.when(c("step") == 4, c("ts_ns")))).alias("nic_in_ns"))
+    return annotate.ingress_nic(adapters.kern_events(spark, sf), ["conn_id"])
 
 
 @query("d13_containers_of_processes", "SELECT p.pid, coalesce(a.id, b.id) AS container_id, coalesce(a.name, b.name) AS container_name FROM processes p LEFT JOIN (SELECT root_pid, min(struct_pack(i := id, n := name)).i AS id, min(struct_pack(i := id, n := name)).n AS name FROM containers GROUP BY root_pid) a ON a.root_pid = p.pid "
