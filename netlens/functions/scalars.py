@@ -223,3 +223,31 @@ def request_summary(protocol: Column, method: Column, host: Column, path: Column
 
 def dns_type_name(code: Column) -> Column:
     return F.when(code == 1, F.lit("A")).when(code == 28, F.lit("AAAA")).otherwise(F.lit("UNKNOWN"))
+
+
+def mysql_text(base: Column, status: Column, message: Column) -> Column:
+    return F.concat(F.lit("base=["), base, F.lit("] status=["), status.cast("string"), F.lit("] Msg=["), message, F.lit("]"))
+
+
+def mongo_text(base: Column, body: Column) -> Column:
+    return F.concat(F.lit("MongoDB base=["), base, F.lit("]  Msg=["), body, F.lit("]"))
+
+
+def rocketmq_text(base: Column, code: Column, language: Column, version: Column, opaque: Column, flag: Column, remark: Column, properties: Column, body: Column) -> Column:
+    """properties is a map; its entries are shown in order of their keys."""
+    entries = F.transform(F.array_sort(F.map_entries(properties)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    shown = F.when(F.size(entries) > 0, F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}"))).otherwise(F.lit(""))
+    numbers = [x for name, column in (("code", code), ("language", language), ("version", version), ("opaque", opaque), ("flag", flag)) for x in (F.lit(f"{name}="), column.cast("string"), F.lit(", "))]
+    return F.concat(F.lit("base=["), base, F.lit("] detail=["), *numbers, F.lit("remark="), remark, F.lit(", extFields="), shown, F.lit(", body="), body, F.lit("]"))
+
+
+def dns_text(txid: Column, flags: Column, queries: Column, answers: Column, authorities: Column, additional: Column, records: Column) -> Column:
+    """records is an array<struct<name, cname, type>>, shown as indented JSON."""
+    one = lambda r: F.concat(F.lit('  {\n    "name": "'), r["name"], F.lit('",\n    "cname": "'), F.coalesce(r["cname"], F.lit("")), F.lit('",\n    "type": '), r["type"].cast("string"), F.lit("\n  }"))
+    shown = F.when(F.size(records) > 0, F.concat(F.lit("[\n"), F.array_join(F.transform(records, one), ",\n"), F.lit("\n]"))).otherwise(F.lit("null"))
+    head = [x for name, column in (("TXID", txid), ("Flags", flags), ("NumQueries", queries), ("NumAnswers", answers), ("NumAuth", authorities), ("NumAddl", additional)) for x in (F.lit(f"{name}="), column.cast("string"), F.lit(", "))]
+    return F.concat(F.lit("DNS Frame: "), *head, F.lit("Records="), shown)
+
+
+def kafka_text(base: Column, api: Column, version: Column, client: Column, message: Column) -> Column:
+    return F.concat(F.lit("[FrameBase: "), base, F.lit("] Apikey: "), api, F.lit(", ApiVersion: "), version.cast("string"), F.lit(", ClientId: "), client, F.lit(", Msg: "), message)

@@ -7,26 +7,37 @@ from pyspark.sql import functions as F
 
 c = F.col
 
-#: Bytes of a bin; about a message's length. A range is in as many bins as it touches.
-BIN = 64
+def _level(start, end):
+    """The size class of a range: the power of two that its length does not exceed, so that it touches two bins of that size at most."""
+    return F.greatest(F.ceil(F.log2((end - start).cast("double"))), F.lit(0)).cast("int")
 
 
-def _bins(start, end, size: int):
-    last = F.greatest(start, end - 1)
-    return F.explode(F.sequence(F.floor(start / F.lit(size)).cast("long"), F.floor(last / F.lit(size)).cast("long")))
+def _bin(x, level):
+    return F.call_function("shiftright", x, level)
 
 
-def overlap_join(events: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("conn_id",), bin_size: int = BIN) -> DataFrame:
+def _binned(rows: DataFrame, start, end, own: str, others: DataFrame) -> DataFrame:
+    """rows in the bins of their own size class and of every greater one that the other side has: two bins in each at most."""
+    levels = F.filter(F.array_distinct(F.concat(F.array(own), "_levels")), lambda x: x >= c(own))
+    rows = rows.crossJoin(F.broadcast(others)).withColumn("_level", F.explode(levels)).drop("_levels")  # one row, of 63 numbers at most
+    first, last = _bin(start, c("_level")), _bin(end - 1, c("_level"))
+    return rows.withColumn("_bin", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last))))
+
+
+def overlap_join(events: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("conn_id",)) -> DataFrame:
     """Every event [seq, seq + len) with every range [start, end) of the same keys that it overlaps; each pair once.
 
-    Both sides are put into bins and joined on keys and bin; a pair that shares several bins is kept in the one where
-    the later of the two begins, so that no distinct is needed. Ranges of no bytes overlap nothing.
+    Bins have the size of the longer one of the two, so that neither is in more than two of them, however long it is: each
+    side is put into bins of its own size class and of the greater ones that the other side has. A pair that shares both
+    bins is kept in the one where the later of the two begins, so that no distinct is needed. Ranges of no bytes overlap
+    nothing.
     """
-    e = events.where("len > 0").withColumn("_bin", _bins(c("seq"), c("seq") + c("len"), bin_size))
-    r = ranges.where("end > start").withColumn("_bin", _bins(c("start"), c("end"), bin_size))
-    both = e.join(r, [*keys, "_bin"])
-    hit = (c("seq") < c("end")) & (c("seq") + c("len") > c("start"))
-    return both.where(hit & (c("_bin") == F.floor(F.greatest("seq", "start") / F.lit(bin_size)))).drop("_bin")
+    e = events.where("len > 0").withColumn("_e", _level(c("seq"), c("seq") + c("len")))
+    r = ranges.where("end > start").withColumn("_r", _level(c("start"), c("end")))
+    of_e, of_r = (x.agg(F.collect_set(level).alias("_levels")) for x, level in ((e, "_e"), (r, "_r")))
+    both = _binned(e, c("seq"), c("seq") + c("len"), "_e", of_r).join(_binned(r, c("start"), c("end"), "_r", of_e), [*keys, "_level", "_bin"])
+    hit = (c("seq") < c("end")) & (c("seq") + c("len") > c("start")) & (c("_level") == F.greatest("_e", "_r"))
+    return both.where(hit & (c("_bin") == _bin(F.greatest("seq", "start"), c("_level")))).drop("_bin", "_level", "_e", "_r")
 
 
 def map_tls(ssl_events: DataFrame, messages: DataFrame, keys: tuple[str, ...] = ("conn_id",)) -> DataFrame:

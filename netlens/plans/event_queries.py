@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from netlens.functions import names
 from netlens.operators import annotate, connections, enrich, filters, hops, pairing, ranges, reassembly, timeline
+from netlens.operators.scratch import scratch_path
 from netlens.plans.oracle import CONN_EVENTS, CONTAINERS, EVENTS, KERN, MESSAGES, PROCESSES, RECORDS, SEGMENTS
 from netlens.plans.protocols import PROTOCOLS
 from netlens.plans.registry import query
+from netlens.schemas import FAMILIES
 from netlens.sources import adapters, readers
 
 c = F.col
@@ -315,17 +317,26 @@ def d18(spark, sf):
     return enrich.in_namespaces(adapters.processes(spark, sf), chosen).select("pid", "net_ns")
 
 
-@query("a3_a4_event_families", "SELECT count(*) AS n, CAST(sum(ts_ns % 1000003) AS BIGINT) AS digest FROM conn_events", (CONN_EVENTS,))
+@query("a3_a4_event_families", """SELECT family, count(*) AS n, CAST(sum(key % 1000003 + ts_ns % 1000003) AS BIGINT) AS digest FROM (SELECT 'conn' AS family, tgid_fd AS key, ts_ns FROM conn_events UNION ALL SELECT 'kern', conn_id + seq + len + step, ts_ns FROM kern UNION ALL SELECT 'syscall', conn_id + seq + arrival, ts_ns FROM segments
+ UNION ALL SELECT 'ssl', conn_id + seq + seq + 1, ts_ns FROM segments UNION ALL SELECT 'first_packet', local_port + len, ts_ns FROM (SELECT local_port, req_size AS len, start_ns AS ts_ns FROM records) UNION ALL SELECT 'proc', pid + coalesce(ppid, 0), 5 FROM processes) GROUP BY family""", (CONN_EVENTS, KERN, SEGMENTS, RECORDS.removeprefix(EVENTS + ", "), PROCESSES))
 def a3(spark, sf):
-    """Connection events in the fixed schema of their family."""
-    from netlens.schemas import CONN_EVENT_SCHEMA
-
-    fields = {x.split()[0]: x.split()[1] for x in CONN_EVENT_SCHEMA.split(", ")}
-    e = adapters.conn_events(spark, sf)
-    shaped = e.select(*[(c(n) if n in e.columns else F.lit(None)).cast(t).alias(n) for n, t in fields.items()])
-    return shaped.agg(F.count(F.lit(1)).alias("n"), F.sum(c("ts_ns") % 1000003).alias("digest"))
-
-
-@query("events_by_type", "SELECT event_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM events_v GROUP BY event_type", (EVENTS,))
-def events_by_type(spark, sf):
-    return adapters.events(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+    """Every family written in its schema and read as what it is."""
+    none = lambda kind: F.lit(None).cast(kind)
+    conn = adapters.conn_events(spark, sf)
+    kern, seg, rec = adapters.kern_events(spark, sf), adapters.segments(spark, sf), adapters.records(spark, sf)
+    made = {
+        "conn": (conn.select("tgid_fd", "kind", "ts_ns"), c("tgid_fd")),
+        "kern": (kern.select(c("conn_id").alias("tgid_fd"), "step", "seq", "len", "ts_ns", "flags", "ifname"), c("tgid_fd") + c("seq") + c("len") + c("step")),
+        "syscall": (seg.select(c("conn_id").alias("tgid_fd"), "direction", "seq", "arrival", "ts_ns"), c("tgid_fd") + c("seq") + c("arrival")),
+        "ssl": (seg.select(c("conn_id").alias("tgid_fd"), "direction", "seq", "arrival", "ts_ns", (c("seq") + 1).alias("syscall_seq")), c("tgid_fd") + c("seq") + c("syscall_seq")),
+        "first_packet": (rec.select("local_addr", "local_port", "remote_addr", "remote_port", c("start_ns").alias("ts_ns"), c("req_size").alias("len")), c("local_port") + c("len")),
+        "proc": (adapters.processes(spark, sf).select("pid", "ppid", F.lit("exec").alias("kind"), "name", "net_ns", F.lit(5).alias("ts_ns")), c("pid") + F.coalesce("ppid", F.lit(0))),
+    }
+    out = None
+    for family, (rows, key) in made.items():
+        fields = spark.createDataFrame([], FAMILIES[family]).schema.fields
+        path = scratch_path(spark, f"events-{family}")
+        rows.select(*[(c(f.name) if f.name in rows.columns else none(f.dataType)).cast(f.dataType).alias(f.name) for f in fields]).write.parquet(path)
+        got = readers.read_events(spark, path, family).select(F.lit(family).alias("family"), key.cast("long").alias("key"), "ts_ns")
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(c("key") % 1000003 + c("ts_ns") % 1000003).alias("digest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netlens.functions import histogram, names, scalars
-from netlens.operators import enrich, filters, hops, stats, watch
+from netlens.operators import bodies, enrich, filters, hops, stats, watch
 from netlens.operators.filters import RecordFilter
 from netlens.plans.oracle import CONTAINERS, EVENTS, KERN, MESSAGES, NAT, PROCESSES, RECORDS
 from netlens.plans.registry import query
@@ -168,16 +168,75 @@ def b24(spark, sf):
     return adapters.records(spark, sf).select("record_id", scalars.request_summary(c("protocol"), c("http.method"), c("http.host"), c("http.path"), c("redis.command"), c("redis.payload"), c("request")).alias("summary"))
 
 
+@_records("b24_message_texts", """record_id, CASE protocol WHEN 4 THEN 'base=[r' || record_id || '] status=[' || response_status || '] Msg=[' || response || ']' WHEN 11 THEN '[FrameBase: r' || record_id || '] Apikey: ' || CASE api_key WHEN 0 THEN 'Produce' WHEN 1 THEN 'Fetch' ELSE 'ListOffsets' END || ', ApiVersion: ' || (k % 4) || ', ClientId: c' || (k % 3) || ', Msg: ' || request
+ WHEN 7 THEN 'DNS Frame: TXID=' || txid || ', Flags=' || (k % 2) || ', NumQueries=2, NumAnswers=0, NumAuth=0, NumAddl=0, Records=[
+  {
+    "name": "' || dns_names[1] || '",
+    "cname": "",
+    "type": 1
+  },
+  {
+    "name": "' || dns_names[2] || '",
+    "cname": "",
+    "type": 1
+  }
+]'
+ WHEN 8 THEN 'MongoDB base=[r' || record_id || ']  Msg=[' || request || ']' ELSE 'base=[r' || record_id || '] detail=[code=10, language=' || (k % 14) || ', version=1, opaque=' || k || ', flag=0, remark=ok, extFields=' || CASE WHEN k % 2 = 0 THEN '{a=' || k || ', b=x}' ELSE '' END || ', body=' || response || ']' END AS text""")
+def b24_texts(spark, sf):
+    """The texts of five protocols; Redis records stand in for MongoDB, HTTP for RocketMQ."""
+    rows, base, number = adapters.records(spark, sf), F.concat(F.lit("r"), c("record_id").cast("string")), lambda x: F.lit(x).cast("string")
+    k = c("k") if "k" in rows.columns else (c("req_size") - 64)
+    api = F.element_at(F.array(*map(F.lit, ("Produce", "Fetch", "ListOffsets"))), c("kafka.api_key") + 1)
+    properties = F.when(k % 2 == 0, F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), k.cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    asked = F.transform("dns.names", lambda x: F.struct(x.alias("name"), F.lit(None).cast("string").alias("cname"), F.lit(1).alias("type")))
+    text = (F.when(c("protocol") == 4, scalars.mysql_text(base, c("response_status"), c("response")))
+            .when(c("protocol") == 11, scalars.kafka_text(base, api, k % 4, F.concat(F.lit("c"), (k % 3).cast("string")), c("request")))
+            .when(c("protocol") == 7, scalars.dns_text(c("dns.txid"), k % 2, F.lit(2), F.lit(0), F.lit(0), F.lit(0), asked))
+            .when(c("protocol") == 8, scalars.mongo_text(base, c("request")))
+            .otherwise(scalars.rocketmq_text(base, number(10), k % 14, number(1), k, number(0), number("ok"), properties, c("response"))))
+    return rows.select("record_id", text.alias("text"))
+
+
+def _kafka_bodies(spark, sf):
+    """Records of Kafka with bodies made of their topics: partition i of a topic has i + 1 records."""
+    one = lambda i: F.struct(F.lit(i).alias("index"), (c("record_id") % 3).cast("smallint").alias("error_code"), (c("record_id") * 10 + i).alias("high_watermark"), F.lit(0).cast("long").alias("last_stable_offset"), c("record_id").cast("long").alias("log_start_offset"), F.lit(-1).alias("preferred_read_replica"),
+                             F.struct(F.lit(100 * (i + 1)).cast("long").alias("size"), F.array(F.struct(F.array(*[F.struct(F.concat(F.lit(f"k{j}-"), c("record_id").cast("string")).alias("key"), c("response").alias("value")) for j in range(i + 1)]).alias("records"))).alias("record_batches")).alias("message_set"))
+    topics = F.transform("kafka.resp_topics", lambda t: F.struct(t.alias("name"), F.array(one(0), one(1)).alias("partitions")))
+    body = F.struct(F.lit(0).alias("throttle_time_ms"), F.lit(0).cast("smallint").alias("error_code"), F.lit(1).alias("session_id"), topics.alias("topics"))
+    return adapters.records(spark, sf).where("protocol = 11").select("record_id", body.cast(bodies.FETCH_RESPONSE).alias("body"))
+
+
+@query("b25_kafka_partitions", 'SELECT record_id, topic, i AS "index", CAST(record_id % 3 AS SMALLINT) AS error_code, record_id * 10 + i AS high_watermark, record_id AS log_start_offset, CAST(100 * (i + 1) AS BIGINT) AS size FROM (SELECT record_id, unnest(resp_topics) AS topic FROM records WHERE protocol = 11), (SELECT unnest([0, 1]) AS i)', (RECORDS,))
+def b25_partitions(spark, sf):
+    return bodies.partitions(_kafka_bodies(spark, sf)).select("record_id", "topic", "index", "error_code", "high_watermark", "log_start_offset", c("message_set.size").alias("size"))
+
+
+@query("b25_kafka_records", """SELECT record_id, topic, i AS "index", 0 AS batch, j AS place, 'k' || j || '-' || record_id AS key, response AS value FROM (SELECT record_id, response, unnest(resp_topics) AS topic FROM records WHERE protocol = 11), (SELECT unnest([0, 1, 1]) AS i, unnest([0, 0, 1]) AS j)""", (RECORDS,))
+def b25_records(spark, sf):
+    return bodies.records(_kafka_bodies(spark, sf))
+
+
+@query("b25_produce_responses", """SELECT record_id, topic, 7 AS "index", CAST(record_id % 2 AS SMALLINT) AS error_code, record_id * 3 AS base_offset, 'e' || record_id AS error_message FROM (SELECT record_id, unnest(req_topics) AS topic FROM records WHERE protocol = 11)""", (RECORDS,))
+def b25_produce(spark, sf):
+    part = F.struct(F.lit(7).alias("index"), (c("record_id") % 2).cast("smallint").alias("error_code"), (c("record_id") * 3).alias("base_offset"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.array().cast("array<struct<batch_index:int,error_message:string>>").alias("record_errors"), F.concat(F.lit("e"), c("record_id").cast("string")).alias("error_message"))
+    body = F.struct(F.transform("kafka.req_topics", lambda t: F.struct(t.alias("name"), F.array(part).alias("partitions"))).alias("topics"), F.lit(0).alias("throttle_time_ms"))
+    rows = adapters.records(spark, sf).where("protocol = 11").select("record_id", body.cast(bodies.PRODUCE_RESPONSE).alias("body"))
+    return bodies.partitions(rows).select("record_id", "topic", "index", "error_code", "base_offset", "error_message")
+
+
 @_records("b25_kafka_topics", "record_id, unnest(req_topics) AS topic, unnest([0, 1]) AS place", "WHERE api_key = 0")
 def b25(spark, sf):
     rows = adapters.records(spark, sf).where("kafka.api_key = 0")
     return rows.select("record_id", F.posexplode("kafka.req_topics").alias("place", "topic"))
 
 
-@_records("b26_dns_records", "record_id, unnest(dns_names) AS name, CASE txid % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'AAAA' ELSE 'UNKNOWN' END AS type", "WHERE protocol = 7")
+@query("b26_dns_records", """SELECT record_id, place, name, type, CASE type WHEN 1 THEN 'A' WHEN 28 THEN 'AAAA' ELSE 'UNKNOWN' END AS type_name, cname FROM (SELECT record_id, i AS place, dns_names[i + 1] AS name, CAST(1 AS INTEGER) AS type, NULL AS cname FROM records, (SELECT unnest([0, 1]) AS i) WHERE protocol = 7
+ UNION ALL SELECT record_id, 2 + i, dns_names[i + 1], CASE txid % 3 WHEN 0 THEN 1 WHEN 1 THEN 28 ELSE 5 END, CASE WHEN txid % 3 < 2 THEN remote_addr ELSE dns_names[i + 1] || ' CNAME' END FROM records, (SELECT unnest([0, 1]) AS i) WHERE protocol = 7)""", (RECORDS,))
 def b26(spark, sf):
     kind = F.when(c("dns.txid") % 3 == 0, 1).when(c("dns.txid") % 3 == 1, 28).otherwise(5)
-    return adapters.records(spark, sf).where("protocol = 7").select("record_id", F.explode("dns.names").alias("name"), scalars.dns_type_name(kind).alias("type"))
+    asked = F.transform("dns.names", lambda x: F.struct(x.alias("name"), F.lit(1).alias("type")))
+    told = F.transform("dns.names", lambda x: F.struct(x.alias("name"), kind.alias("type"), c("remote_addr").alias("value"), F.concat(x, F.lit(" CNAME")).alias("text")))
+    return bodies.dns_records(adapters.records(spark, sf).where("protocol = 7").select("record_id", asked.alias("questions"), told.alias("answers")))
 
 
 # --- filters ---------------------------------------------------------------------------------------------------------------

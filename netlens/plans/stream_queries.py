@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netlens.operators import stats as batch_stats
@@ -46,7 +47,39 @@ _FIFO = "SELECT conn_id, req_ts, ts_ns AS resp_ts, req_seq, seq AS resp_seq FROM
 @query("i4_pair_fifo", _FIFO + " AND ts_ns <= (SELECT max(ts_ns) // 1000000 * 1000000 FROM messages) - 1000000000", (MESSAGES,))
 def i4b(spark, sf):
     """Pairs that the last watermark has passed."""
-    return run_available(pairing.pair_fifo(_messages(spark, sf)))
+    return run_available(pairing.pair_fifo(_messages(spark, sf), keep_ms=400 * 86_400_000))
+
+
+_PASSED = "(SELECT max(ts_ns) // 1000000 * 1000000 FROM messages) - 1000000000"
+
+
+@query("i4_pair_fifo_timeout", _FIFO + f" AND ts_ns - req_ts <= 3600000000000 AND ts_ns <= {_PASSED}", (MESSAGES,))
+def i4b_timeout(spark, sf):
+    """Requests wait an hour."""
+    return run_available(pairing.pair(_messages(spark, sf), "fifo", ("conn_id",), keep_ms=3_600_000))
+
+
+@query("i4_pair_opaque", """SELECT conn_id, corr_id, req_ts, ts_ns AS resp_ts, req_seq, seq AS resp_seq FROM (SELECT *, lag(is_req) OVER w AS was, lag(ts_ns) OVER w AS req_ts, lag(seq) OVER w AS req_seq FROM messages WINDOW w AS (PARTITION BY conn_id, corr_id ORDER BY ts_ns, CASE WHEN is_req THEN 0 ELSE 1 END, seq))
+ WHERE NOT is_req AND was AND ts_ns - req_ts <= 864000000000000 AND ts_ns <= """ + _PASSED, (MESSAGES,))
+def i4a_opaque(spark, sf):
+    """Requests wait ten days."""
+    return run_available(pairing.pair(_messages(spark, sf), "opaque", ("conn_id", "corr_id"), keep_ms=864_000_000))
+
+
+@query("i6_latest_events", """SELECT conn_id, least(count(*), 3) AS held, greatest(count(*) - 3, 0) AS dropped, list_sort(list(ts_ns), 'DESC')[least(count(*), 3)] AS first_ns, max(ts_ns) AS last_ns FROM messages GROUP BY conn_id
+ HAVING max(ts_ns) // 1000000 + 15000 <= (SELECT max(ts_ns) // 1000000 FROM messages) - 1000""", (MESSAGES,))
+def i6(spark, sf):
+    """The three latest messages of each connection that is idle."""
+    return run_available(pairing.latest_events(_messages(spark, sf), ("conn_id",), 3))
+
+
+@query("i8_stuck_heads", f"""SELECT conn_id, s AS start, s + byte_size AS "end", ts_ns AS last_ns FROM (SELECT *, row_number() OVER (PARTITION BY conn_id ORDER BY ts_ns, seq) * 1000 AS s FROM messages) WHERE ts_ns + 1000000000 < {_PASSED}""", (MESSAGES,))
+def i8_heads(spark, sf):
+    """Each message of a connection begins at a thousand times its number, so that every range has a gap behind it."""
+    order = F.row_number().over(Window.partitionBy("conn_id").orderBy("ts_ns", "seq"))
+    numbers = adapters.messages(spark, sf).select("seq", (order * 1000).cast("long").alias("begin"))
+    rows = _messages(spark, sf).join(numbers, "seq").select("conn_id", F.col("begin").alias("seq"), F.col("byte_size").cast("long").alias("len"), "ts_ns")
+    return run_available(pairing.stuck_heads(rows))
 
 
 @query("i5_deduplicated", "SELECT DISTINCT user_id, k FROM events_v WHERE event_type = 'view'", (EVENTS,))

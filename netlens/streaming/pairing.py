@@ -27,44 +27,161 @@ def pair_by_id(messages: DataFrame, keys: tuple[str, ...] = ("conn_id", "corr_id
     return req.join(resp, cond).select(*keys, "req_ts", "resp_ts", "req_seq", "resp_seq")
 
 
-_STATE = "ts array<long>, seq array<long>, req array<boolean>, pending_ts long, pending_seq long"
-_OUT = "conn_id long, req_ts long, resp_ts long, req_seq long, resp_seq long"
-
-
-def _replay(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ts, seq, req, p_ts, p_seq = state.get if state.exists else ([], [], [], None, None)
-    held = list(zip(ts, seq, req, strict=True))
-    for pdf in pdfs:
-        held += list(zip(pdf.ts_ns.tolist(), pdf.seq.tolist(), pdf.is_req.tolist(), strict=True))
-    # what the watermark has passed is complete, so it can be put in order: responses first at equal times
-    held.sort(key=lambda x: (x[0], x[2], x[1]))
-    limit = state.getCurrentWatermarkMs() * 1_000_000
-    out, n = [], 0
-    for t, s, is_req in held:
-        if t > limit:
-            break
-        n += 1
-        if is_req:
-            p_ts, p_seq = t, s
-        else:
-            if p_ts is not None:
-                out.append((key[0], p_ts, t, p_seq, s))
-            p_ts = p_seq = None
-    held = held[n:]
-    if held or p_ts is not None:
-        state.update(([x[0] for x in held], [x[1] for x in held], [bool(x[2]) for x in held], p_ts, p_seq))
-        if held:
-            state.setTimeoutTimestamp(max(held[0][0] // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(out, columns=["conn_id", "req_ts", "resp_ts", "req_seq", "resp_seq"])
-
-
-def pair_fifo(messages: DataFrame, delay: str = "1 second") -> DataFrame:
-    """The batch rule over a stream: messages of a connection wait until the watermark has passed them, then they are replayed in order;
-    the state of a connection is what still waits and the pending request."""
-    rows = messages.withColumn("at", event_time("ts_ns")).withWatermark("at", delay).select("conn_id", "ts_ns", "seq", "is_req", "at")
-    return rows.groupBy("conn_id").applyInPandasWithState(_replay, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+_STATE = "ts array<long>, seq array<long>, req array<boolean>, p_ts array<long>, p_seq array<long>, r_ts long, r_seq long"
+#: How long a request waits for its response, and how many wait under one key; older ones are let go.
+KEEP_MS, MOST = 300_000, 1000
+#: Rules by name; whether requests come first at equal times.
+RULES = {"fifo": False, "correlation": True, "opaque": True, "queued": True}
+
+
+def _replaying(rule: str, keys: tuple[str, ...], keep_ms: int, most: int):
+    requests_first, keep = RULES[rule], keep_ms * 1_000_000
+
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ts, seq, req, p_ts, p_seq, r_ts, r_seq = state.get if state.exists else ([], [], [], [], [], None, None)
+        held, waiting, told = list(zip(ts, seq, req, strict=True)), list(zip(p_ts, p_seq, strict=True)), None if r_ts is None else (r_ts, r_seq)
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                held += list(zip(pdf.ts_ns.tolist(), pdf.seq.tolist(), pdf.is_req.tolist(), strict=True))
+        # what the watermark has passed is complete, so it can be put in order
+        held.sort(key=lambda x: (x[0], x[2] != requests_first, x[1]))
+        limit, out, n = state.getCurrentWatermarkMs() * 1_000_000, [], 0
+
+        def expire(now):
+            nonlocal told
+            while waiting and waiting[0][0] + keep < now:
+                q = waiting.pop(0)
+                if told is not None:
+                    out.append((*key, q[0], told[0], q[1], told[1]))
+                    told = None
+
+        for t, s, is_req in held:
+            if t > limit:
+                break
+            n += 1
+            expire(t)
+            if is_req:
+                if rule in ("fifo", "opaque"):
+                    waiting[:] = [(t, s)]
+                elif rule == "queued" or not waiting:
+                    waiting.append((t, s))
+                del waiting[:-most]
+            elif rule == "correlation":
+                told = (t, s) if waiting else None
+            elif waiting:
+                q = waiting.pop(0)
+                out.append((*key, q[0], t, q[1], s))
+        expire(limit)
+        held = held[n:]
+        if held or waiting:
+            state.update(([x[0] for x in held], [x[1] for x in held], [bool(x[2]) for x in held], [x[0] for x in waiting], [x[1] for x in waiting], *(told or (None, None))))
+            wake = min([held[0][0] for _ in held[:1]] + [q[0] + keep for q in waiting[:1]])
+            state.setTimeoutTimestamp(max(wake // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[*keys, "req_ts", "resp_ts", "req_seq", "resp_seq"])
+
+    return run
+
+
+def pair(messages: DataFrame, rule: str, keys: tuple[str, ...], delay: str = "1 second", keep_ms: int = KEEP_MS, most: int = MOST) -> DataFrame:
+    """A batch rule over a stream: messages of a key wait until the watermark has passed them, then they are replayed in order.
+
+    fifo: a response takes the latest request since the response before it. correlation: the first request of an id and the
+    last response that comes within keep_ms, told when that time is over. opaque: the latest request and the first response
+    after it. queued: a response takes the earliest request that waits. The state of a key is what still waits: messages
+    ahead of the watermark and at most `most` requests, each for keep_ms of event time, after which a timer lets it go.
+    Keys are longs.
+    """
+    rows = messages.withColumn("at", event_time("ts_ns")).withWatermark("at", delay).select(*keys, "ts_ns", "seq", "is_req", "at")
+    out = ", ".join(f"{k} long" for k in (*keys, "req_ts", "resp_ts", "req_seq", "resp_seq"))
+    return rows.groupBy(*keys).applyInPandasWithState(_replaying(rule, keys, keep_ms, most), out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def pair_fifo(messages: DataFrame, delay: str = "1 second", keep_ms: int = KEEP_MS) -> DataFrame:
+    return pair(messages, "fifo", ("conn_id",), delay, keep_ms)
+
+
+_LATEST_STATE = "ts array<long>, seen long"
+
+
+def _latest(most: int, idle_ms: int, keys: tuple[str, ...]):
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ts, seen = state.get if state.exists else ([], 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(*key, len(ts), seen - len(ts), min(ts), max(ts))], columns=[*keys, "held", "dropped", "first_ns", "last_ns"])
+            return
+        for pdf in pdfs:
+            ts = sorted([*ts, *pdf.ts_ns.tolist()])[-most:]
+            seen += len(pdf)
+        state.update((list(ts), seen))
+        state.setTimeoutTimestamp(max(ts[-1] // 1_000_000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+
+    return run
+
+
+def latest_events(events: DataFrame, keys: tuple[str, ...] = ("conn_id", "step"), most: int = 300, idle_ms: int = 15_000, delay: str = "1 second") -> DataFrame:
+    """Bounded memory of events: of each key the `most` latest are held, and older ones are dropped as new ones come. Once a key is idle for
+    idle_ms its state goes, and it gives a row: keys, held, dropped, first_ns and last_ns of those held. Keys are longs."""
+    rows = events.withColumn("at", event_time("ts_ns")).withWatermark("at", delay).select(*keys, "ts_ns", "at")
+    out = ", ".join(f"{k} long" for k in (*keys, "held", "dropped", "first_ns", "last_ns"))
+    return rows.groupBy(*keys).applyInPandasWithState(_latest(most, idle_ms, keys), out, _LATEST_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+_RANGES_STATE = "ts array<long>, seq array<long>, len array<long>, start array<long>, end array<long>, grown array<long>, mark long"
+
+
+def _heads(timeout_ms: int):
+    stale = timeout_ms * 1_000_000
+
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ts, seq, size, start, end, grown, mark = state.get if state.exists else ([], [], [], [], [], [], -1)
+        held, ranges = list(zip(ts, seq, size, strict=True)), [list(x) for x in zip(start, end, grown, strict=True)]
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                held += list(zip(pdf.ts_ns.tolist(), pdf.seq.tolist(), pdf.len.tolist(), strict=True))
+        held.sort()
+        limit, out, n = state.getCurrentWatermarkMs() * 1_000_000, [], 0
+
+        def give_up(now):
+            nonlocal mark
+            while ranges and ranges[0][2] + stale < now:
+                s, e, g = ranges.pop(0)
+                out.append((*key, s, e, g))
+                mark = e
+
+        for t, s, size_ in held:
+            if t > limit:
+                break
+            n += 1
+            give_up(t)
+            s, e = max(s, mark), s + size_
+            if e <= s:
+                continue  # below the mark: what is there is gone
+            meets = [x for x in ranges if x[0] <= e and s <= x[1]]
+            fresh = e - s > sum(min(e, x[1]) - max(s, x[0]) for x in meets)
+            one = [min([s, *[x[0] for x in meets]]), max([e, *[x[1] for x in meets]]), t if fresh else max(x[2] for x in meets)]
+            ranges[:] = sorted([x for x in ranges if x not in meets] + [one])
+        give_up(limit)
+        held = held[n:]
+        if held or ranges:
+            state.update((*([x[k] for x in held] for k in range(3)), *([x[k] for x in ranges] for k in range(3)), mark))
+            wake = min([held[0][0] for _ in held[:1]] + [x[2] + stale for x in ranges[:1]])
+            state.setTimeoutTimestamp(max(wake // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["conn_id", "start", "end", "last_ns"])
+
+    return run
+
+
+def stuck_heads(segments: DataFrame, timeout_ms: int = 1000, delay: str = "1 second") -> DataFrame:
+    """Head ranges of byte streams that are given up. Segments (conn_id, seq, len, ts_ns) of a connection are fused as they come; the lowest
+    range is its head, and if it does not grow for timeout_ms of event time it is dropped, the next one becomes the head, and
+    bytes below the dropped end count no more. A row for each dropped range: conn_id, start, end, last_ns (its last growth)."""
+    rows = segments.withColumn("at", event_time("ts_ns")).withWatermark("at", delay).select("conn_id", "seq", "len", "ts_ns", "at")
+    return rows.groupBy("conn_id").applyInPandasWithState(_heads(timeout_ms), "conn_id long, start long, end long, last_ns long", _RANGES_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 _OPEN_STATE = "start_ns long, last_ns long, bytes long"

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netlens.operators.scratch import scratch_path
+
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder where all executors can write; a cluster names its parent in spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{shared.rstrip('/')}/netlens-streams/{uuid.uuid4().hex}"
+    """A new folder where all executors can write."""
+    return scratch_path(spark, "stream")
 
 
 def event_time(ns: str = "start_ns"):

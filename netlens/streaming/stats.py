@@ -46,11 +46,14 @@ def merge_top(known: DataFrame | None, batch: DataFrame, k: int) -> DataFrame:
 
 def keep_top(samples: DataFrame, path: str, checkpoint: str, k: int = 10):
     """Keeps the top samples of a stream (class_id, value, start_ns, record_id) as a table: each batch writes the next version,
-    path/v=N, from the last one. Returns the stream writer; the caller sets the trigger and starts it."""
+    path/v=N, from the last one; versions before that one go. Returns the stream writer; the caller sets the trigger and starts it."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         known = spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}") if number else None
         merge_top(known, batch, k).write.mode("overwrite").parquet(f"{path}/v={number}")
+        if number > 1:  # a batch that is repeated reads the version before its own
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return samples.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -132,8 +132,16 @@ def test_filters_keep_no_nulls(rows):
 def test_overlap(rows, event, hit):
     e = rows([(1, *event)], "conn_id long, seq long, len long")
     r = rows([(1, 10, 20)], "conn_id long, start long, end long")
-    for size in (3, 64):
-        assert ranges.overlap_join(e, r, bin_size=size).count() == int(hit)
+    assert ranges.overlap_join(e, r).count() == int(hit)
+
+
+def test_overlap_of_all_lengths(rows):
+    """Lengths from one byte to a gibibyte on either side."""
+    rng = random.Random(8)
+    one = lambda: (rng.randrange(1 << 30), 1 << rng.randrange(31))
+    ev, ra = [(1, *one()) for _ in range(120)], [(1, *one()) for _ in range(120)]
+    found = ranges.overlap_join(rows(ev, "conn_id long, seq long, len long"), rows([(k, s, s + n) for k, s, n in ra], "conn_id long, start long, end long"))
+    assert found.count() == sum(s < t + m and s + n > t for _, s, n in ev for _, t, m in ra)
 
 
 SEG = "conn_id long, direction string, arrival long, seq long, payload binary"
@@ -213,6 +221,53 @@ def test_containers(rows):
     assert got(enrich.descendants(tree, rows([(2,)], "pid long")), "pid") == [(2,), (3,)]
 
 
+def test_deep_trees_and_circles(rows):
+    """A chain of 299 processes, and a circle of parents that no root is above."""
+    tree = rows([(k + 1, k) for k in range(1, 300)] + [(1001, 1002), (1002, 1003), (1003, 1001), (2001, 2002), (2002, 2001)], "pid long, ppid long")
+    assert got(enrich.descendants(tree, rows([(1,), (2002,)], "pid long")), "pid") == [(k,) for k in range(1, 301)] + [(2001,), (2002,)]
+
+
+@pytest.mark.parametrize("side", ["client", "server"])
+@pytest.mark.parametrize("ssl", [None, (True, True), (False, True), (True, False)])
+@pytest.mark.parametrize("flags", [(True, True), (False, True), (True, False)])
+def test_annotation_matrix(rows, side, ssl, flags):
+    """Side, TLS and trace flags: every event is there, each lasts 5 longer than it begins, and interfaces differ by 3."""
+    into, out = side == "server", side != "server"
+    at = {names.SYSCALL_OUT: 100, names.DEV_OUT: 120, names.NIC_IN: 20, names.TCP_IN: 30, names.USER_COPY: 50, names.SYSCALL_IN: 60}
+    if side == "client":
+        at = {names.SYSCALL_OUT: 10, names.DEV_OUT: 15, names.NIC_IN: 70, names.TCP_IN: 80, names.USER_COPY: 95, names.SYSCALL_IN: 90}
+    ev = [(1, 1, into if s in (names.NIC_IN, names.TCP_IN, names.USER_COPY, names.SYSCALL_IN) else out, s, n, t + 2 * n, 5, t + 2 * n - 3, t + 2 * n + 3) for s, t in at.items() for n in (0, 1)]
+    events = rows(ev, "conn_id long, pair_id long, is_req boolean, step int, seq long, ts_ns long, ts_delta long, first_ns long, last_ns long")
+    req_maps, resp_maps = ssl or (None, None)
+    pairs = rows([(1, 1, side, ssl is not None, req_maps, resp_maps, 1, 200)], "conn_id long, pair_id long, side string, is_ssl boolean, req_maps boolean, resp_maps boolean, req_ts long, resp_ts long")
+    r = annotate.annotate(pairs, events, trace_devices=flags[0], trace_sockets=flags[1]).first()
+    read, write = (req_maps is not False, resp_maps is not False) if side == "server" else (resp_maps is not False, req_maps is not False)
+    w0, w1, dev1, nic0, nic1, tcp0, tcp1, copy1, read0, read1 = (at[s] + 2 * n for s, n in ((names.SYSCALL_OUT, 0), (names.SYSCALL_OUT, 1), (names.DEV_OUT, 1), (names.NIC_IN, 0), (names.NIC_IN, 1), (names.TCP_IN, 0), (names.TCP_IN, 1), (names.USER_COPY, 1), (names.SYSCALL_IN, 0), (names.SYSCALL_IN, 1)))
+    dev, sock = flags
+    if side == "server":
+        start, end = nic0 - 3 if dev else tcp0, dev1 + 3 if dev else w1 + 5
+        box = w1 + 5 - read0 if read and write else 199
+        total = box if not dev else end - start if read and write else None
+        socket = copy1 - tcp0 if read else None
+        copied = tcp1 - nic0 if write and dev and sock else None
+    else:
+        start, end = w0 if write else 1, read1 + 5 if read else 200
+        total = end - start if read and write else 199
+        box = nic1 - 3 - (at[names.DEV_OUT] + 3) if read and write and dev else None
+        socket = copy1 - tcp0 if read else None
+        copied = tcp1 - nic0 if read and dev and sock else None
+    if not sock:
+        socket = read1 + 5 - (nic0 - 3) if read else None
+    assert (r.start_ns, r.end_ns, r.total_ns, r.black_box_ns, r.read_socket_ns, r.copy_to_sock_ns) == (start, end, total, box, socket, copied)
+
+
+def test_lookup_at_the_start_of_the_newest(rows):
+    """An event at the very start of the newest connection belongs to the one before it, if that one covers it."""
+    conns = rows([(7, 10, 30, None), (7, 30, None, None), (8, 10, 30, 20), (8, 30, None, None), (9, 5, None, None)], "tgid_fd long, start_ns long, next_ns long, close_ns long")
+    found = connections.lookup(rows([(7, 30), (8, 30), (8, 20), (9, 5), (9, 6)], "tgid_fd long, ts_ns long"), conns)
+    assert got(found, "tgid_fd", "ts_ns", "start_ns") == [(7, 30, 10), (8, 20, 10), (9, 6, 5)]
+
+
 def test_hops(rows):
     r = rows([(1, "out", 100, {"time-eth0": 150, "time-lo": 120})], "record_id long, direction string, start_ns long, attributes map<string,bigint>")
     assert got(hops.hops(r), "hop", "ifname", "used_ns") == [(1, "lo", 20), (2, "eth0", 30)]
