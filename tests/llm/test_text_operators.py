@@ -343,7 +343,7 @@ def test_compact_windows():
     got = set(zip(*[x.tolist() for x in substring.compact_windows(v, np.array([0]), np.array([200]), 9)], strict=True))
     for i in range(200):
         for j in range(i + 8, 200):
-            c = i + int((v[i:j + 1] >> np.uint64(24)).argmin())
+            c = i + int(v[i:j + 1].argmin())
             assert any(x <= i and y == c and j <= z for x, y, z in got)
 
 
@@ -373,6 +373,65 @@ def test_shared_passages(rows):
     assert clean[1] == data[1][1] and len(clean[2].split()) == 100
 
 
+def passage_corpus(seed, families=40):
+    """Documents with planted passages, and which passage each has: copied as they are, with words replaced, inserted or left out, next to
+    lines that stand in many documents and once more inside some passages; and documents with nothing in common."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randint(0, 10**6)}" for _ in range(n)]
+    line, data, family = fresh(20), [], {}
+    for f in range(families):
+        passage = fresh(rng.randint(55, 140))
+        if f % 4 == 0:
+            passage = line + passage  # a line that comes before the passage as well
+        for _ in range(rng.randint(2, 5)):
+            w = list(passage)
+            kind, n = rng.choice(["same", "same", "replaced", "inserted", "left out"]), max(1, len(w) // 70)
+            for _ in range(n if kind != "same" else 0):
+                k = rng.randrange(len(w))
+                w[k:k + 1] = {"replaced": fresh(1), "inserted": [w[k], *fresh(1)], "left out": []}[kind]
+            text = fresh(rng.randint(0, 80)) + (line if rng.random() < 0.5 else []) + fresh(5) + w + fresh(rng.randint(0, 80))
+            data.append((len(data), " ".join(text)))
+            family[len(data) - 1] = f
+    for _ in range(40):
+        data.append((len(data), " ".join(fresh(60) + line + fresh(60))))
+    return data, family
+
+
+def brute_passages(data):
+    """Pairs of documents with 50 equal words in a row."""
+    at, out = {}, set()
+    for d, t in data:
+        w = t.split()
+        for i in range(len(w) - 49):
+            at.setdefault(" ".join(w[i:i + 50]), set()).add(d)
+    for docs in at.values():
+        out |= set(combinations(sorted(docs), 2))
+    return out
+
+
+def test_passages_against_brute_force(rows):
+    """Every pair with an equal passage is of one class but for a few, near passages nearly as often, and clean documents stay alone; the
+    number of partitions makes no difference."""
+    data, family = passage_corpus(21)
+    data += [(1000 + k, data[k][1]) for k in range(0, 60, 3)]
+    results = [sorted(map(repr, substring.substring_dedup(rows(data, DOC).repartition(n)).collect())) for n in (1, 7, 50)]
+    assert results[0] == results[1] == results[2]
+    class_of = {r.doc_id: r.class_id for r in substring.substring_dedup(rows(data, DOC)).collect()}
+    pairs = brute_passages(data)
+    assert sum(class_of[a] == class_of[b] for a, b in pairs) >= 0.97 * len(pairs)
+    near = [(a, b) for a, b in combinations(family, 2) if family[a] == family[b]]
+    assert sum(class_of[a] == class_of[b] for a, b in near) >= 0.9 * len(near)
+    assert not any(class_of[a] == class_of[b] for a, b in combinations(family, 2) if family[a] != family[b])
+    assert all(class_of[d] == d for d in range(len(family), len(family) + 40))
+
+
+def test_passages_of_one_word_over_and_over(rows):
+    """Texts that repeat one word, or a few, have shallow trees and few pairs."""
+    data = [(k, "x " * (3000 + k)) for k in range(4)] + [(10 + k, "a b c " * (900 + k)) for k in range(3)]
+    out = {r.doc_id: r.class_id for r in substring.substring_dedup(rows(data, DOC)).collect()}
+    assert out == {0: 0, 1: 0, 2: 0, 3: 0, 10: 10, 11: 10, 12: 10}
+
+
 def test_passages_odd_rows(rows):
     out = substring.substring_dedup(odd(rows)).collect()
     assert len(out) == len(ODD) and all(r.class_id == r.doc_id for r in out)
