@@ -511,3 +511,21 @@ def test_langid(spark, rows):
     assert langid.identify(rows([], "doc_id long, text string, lang string")).count() == 0
     unlabelled = rows([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.identify(unlabelled).first().lang_pred == "und"
+
+
+def test_grams_of_long_texts_in_blocks(monkeypatch):
+    """Blocks give the same n-grams as the whole text, wherever they are cut."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcÄé  .,9\n ") for _ in range(5000))
+    whole = np.sort(langid.grams(text))
+    for block in (1, 7, 64, 1000):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert np.array_equal(np.sort(langid.grams(text)), whole)
+
+
+def test_many_languages(rows):
+    """Three hundred languages, each with words of its own."""
+    said = lambda k: " ".join(f"{chr(0x4E00 + 7 * k)}{chr(0x4E01 + 7 * k)}" for _ in range(12))
+    model = langid.train(rows([(f"l{k:03}", said(k)) for k in range(300)], "lang string, text string"))
+    assert len(model.languages) == 300
+    assert [langid.Model.predict(model, said(k))[0] for k in (0, 150, 299)] == ["l000", "l150", "l299"]
