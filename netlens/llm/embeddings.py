@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,11 +91,13 @@ class Quantiser:
 
 
 def _unit(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    """Unit vectors in double precision, padded with zeros to a multiple of the subspaces (cosines stay the same)."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    flat = flat / np.abs(flat).max(axis=1, keepdims=True)
-    flat /= np.linalg.norm(flat, axis=1, keepdims=True)
-    return np.pad(flat, ((0, 0), (0, -dim % SUBSPACES)))
+    """Unit vectors in double precision, padded with zeros to `dim` and on to a multiple of the subspaces (cosines stay the same)."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    n = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(n), dim + -dim % SUBSPACES))
+    out[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+    out /= np.abs(out).max(axis=1, keepdims=True)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
 def _indexed(shared, dim: int, probes: int):
@@ -200,8 +203,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """One row for each vector: vec_id, n_links, component_id, kept.
 
     Vectors link at cosine >= threshold if their labels are equal and not null; a null or zero vector, or one with a null or
-    non-finite component, links with nothing: n_links 0, component_id vec_id. Vectors of another length than most rows
-    have are compared among their own length only. Equal vectors of a label are one class that is compared once and
+    non-finite component, links with nothing: n_links 0, component_id vec_id. Vectors are compared among their own length
+    only, of however many lengths. Equal vectors of a label are one class that is compared once and
     counts as often as it occurs; each copy links with all others. Quantisers are fitted on a bounded sample, every row is
     indexed, and a pair is found if either vector asks for the other's list: recall is measured in tests. Pruning by code
     distances loses nothing, as each code's exact error is kept. Crowded lists are cut into blocks of members and
@@ -210,13 +213,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = _classes(vectors, id_col, vec_col, label_col)
     keyed = materialise(rows.select("vec_id", "uid", F.when(F.col("uid").isNotNull(), F.size("vec")).alias("dim")), "vectors")
     classes = materialise(rows.where("uid is not null").groupBy("uid", "label", "vec").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    lengths = [r[0] for r in classes.select(F.size("vec").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").limit(64).collect()]
-    found = None
-    for dim in lengths:
-        some = _pairs(classes.where(F.size("vec") == dim), dim, threshold, probes)
-        found = some if found is None else found.unionByName(some)
-    if found is None:
+    most = classes.agg(F.max(F.size("vec"))).first()[0]
+    if most is None:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    # vectors of several lengths are padded to the longest and share quantisers, but lists are kept by length as by label
+    found = _pairs(classes.withColumn("label", F.concat_ws(":", F.size("vec").cast("string"), "label")), most, threshold, probes)
     found = materialise(found, "links")
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("uid").alias("u"), F.col("root").alias("v")))
@@ -230,7 +231,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
 
 def _pairs(classes: DataFrame, dim: int, threshold: float, probes: int) -> DataFrame:
-    """(uid, links, root) of the classes of one length."""
+    """(uid, links, root) of the classes, whose vectors are padded to dim."""
     n = classes.count()
     lists = max(1, min(MOST_LISTS, n // LIST_ROWS))
     sample = classes.orderBy(F.xxhash64("uid")).limit(max(TRAIN_ROWS, 4 * lists)).select("vec").toArrow()

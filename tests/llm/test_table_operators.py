@@ -195,3 +195,14 @@ def test_pipeline(spark, small):
 
 def test_one_query_for_each_operator():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+
+
+def test_embeddings_of_many_lengths(rows):
+    """Seventy lengths of two linked vectors each: all are found, and none across lengths."""
+    rng = np.random.default_rng(5)
+    data = []
+    for k in range(70):
+        v = rng.normal(size=3 + k)
+        data += [(2 * k, v.tolist(), "a"), (2 * k + 1, (v * 1.5 + 1e-3 * rng.normal(size=3 + k)).tolist(), "a")]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(rows(data, "vec_id long, embedding array<double>, label string")).collect()}
+    assert out == {d: (1, d // 2 * 2) for d, _, _ in data}
