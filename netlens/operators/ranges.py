@@ -16,10 +16,11 @@ def _bin(x, level):
     return F.call_function("shiftright", x, level)
 
 
-def _binned(rows: DataFrame, start, end, own: str, others: DataFrame) -> DataFrame:
-    """rows in the bins of their own size class and of every greater one that the other side has: two bins in each at most."""
+def _binned(rows: DataFrame, start, end, own: str, others: DataFrame, keys: list[str]) -> DataFrame:
+    """rows in the bins of their own size class and of every greater one that the other side has under the same keys: two bins in each at
+    most. Rows without another side go."""
     levels = F.filter(F.array_distinct(F.concat(F.array(own), "_levels")), lambda x: x >= c(own))
-    rows = rows.crossJoin(F.broadcast(others)).withColumn("_level", F.explode(levels)).drop("_levels")  # one row, of 63 numbers at most
+    rows = rows.join(others, keys).withColumn("_level", F.explode(levels)).drop("_levels")  # 63 numbers at most
     first, last = _bin(start, c("_level")), _bin(end - 1, c("_level"))
     return rows.withColumn("_bin", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last))))
 
@@ -34,8 +35,8 @@ def overlap_join(events: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = (
     """
     e = events.where("len > 0").withColumn("_e", _level(c("seq"), c("seq") + c("len")))
     r = ranges.where("end > start").withColumn("_r", _level(c("start"), c("end")))
-    of_e, of_r = (x.agg(F.collect_set(level).alias("_levels")) for x, level in ((e, "_e"), (r, "_r")))
-    both = _binned(e, c("seq"), c("seq") + c("len"), "_e", of_r).join(_binned(r, c("start"), c("end"), "_r", of_e), [*keys, "_level", "_bin"])
+    of_e, of_r = (x.groupBy(*keys).agg(F.collect_set(level).alias("_levels")) for x, level in ((e, "_e"), (r, "_r")))
+    both = _binned(e, c("seq"), c("seq") + c("len"), "_e", of_r, list(keys)).join(_binned(r, c("start"), c("end"), "_r", of_e, list(keys)), [*keys, "_level", "_bin"])
     hit = (c("seq") < c("end")) & (c("seq") + c("len") > c("start")) & (c("_level") == F.greatest("_e", "_r"))
     return both.where(hit & (c("_bin") == _bin(F.greatest("seq", "start"), c("_level")))).drop("_bin", "_level", "_e", "_r")
 
