@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netlens.llm import embeddings, langid, lines, packing, pieces, pii, quality, sharding, simhash, substring
+from netlens.llm import bpe, centroids, embeddings, langid, lines, packing, pieces, pii, quality, sharding, simhash, substring, vector_codes
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -57,6 +57,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_lines, op4_sentencepiece, op5_substring, op6_quality, op7_pii, op8_langid, op9_embeddings, op10_sharding)}
-#: None of these is given as SQL: fingerprints, packings, models and spans are checked against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_lines, op4_sentencepiece, op5_substring, op6_quality, op7_pii, op8_langid, op9_embeddings, op10_sharding, op11_vector_codes, op12_centroids, op13_bpe)}
+#: The others are not given as SQL: fingerprints, packings, models and spans are checked against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op11_vector_codes": vector_codes.SQL, "op12_centroids": centroids.SQL}

@@ -194,7 +194,7 @@ def test_pipeline(spark, small):
 
 
 def test_one_query_for_each_operator():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 14))
 
 
 def test_embeddings_of_many_lengths(rows):
