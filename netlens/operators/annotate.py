@@ -36,22 +36,40 @@ def ingress_nic(kern: DataFrame, keys: list[str]) -> DataFrame:
     return kern.groupBy(*keys).agg(F.coalesce(*[F.min(F.when(c("step") == step, c("ts_ns"))) for step in (NIC_IN, DEV_IN)]).alias("nic_in_ns"))
 
 
+def _wanted(first, last, least, most) -> dict[str, Column]:
+    """The values that the rules below need, of request (q_) and response (r_) events. The arguments give, for a direction and a step, the
+    value of the first or last event by seq, or the least or greatest value."""
+    out = {}
+    for p in ("q", "r"):
+        out |= {
+            f"{p}_write_min": least(p, SYSCALL_OUT, "ts_ns"), f"{p}_write_last_end": last(p, SYSCALL_OUT, "end_ns"),
+            f"{p}_read_end_max": most(p, SYSCALL_IN, "end_ns"), f"{p}_read_first": first(p, SYSCALL_IN, "ts_ns"), f"{p}_read_last_end": last(p, SYSCALL_IN, "end_ns"),
+            f"{p}_nic_start": F.coalesce(first(p, NIC_IN, "ts_ns"), first(p, DEV_IN, "ts_ns")), f"{p}_nic_first": F.coalesce(first(p, NIC_IN, "first_ns"), first(p, DEV_IN, "first_ns")),
+            f"{p}_nic_max": F.coalesce(most(p, NIC_IN, "first_ns"), most(p, DEV_IN, "first_ns")),
+            f"{p}_dev_min": least(p, DEV_OUT, "last_ns"), f"{p}_dev_last": last(p, DEV_OUT, "last_ns"),
+            f"{p}_tcp_first": first(p, TCP_IN, "ts_ns"), f"{p}_tcp_last": last(p, TCP_IN, "ts_ns"), f"{p}_copy_first": first(p, USER_COPY, "ts_ns"), f"{p}_copy_last": last(p, USER_COPY, "ts_ns"),
+        }
+    return out
+
+
 def _summary(events: DataFrame, keys: list[str]) -> DataFrame:
-    """The values that the rules below need, for request (q_) and response (r_) events, in one aggregate. `first` and `last` are by seq."""
-    aggs = []
-    for p, cond in (("q", c("is_req")), ("r", ~c("is_req"))):
-        on = lambda step, value, cond=cond: F.when(cond & (c("step") == step), value)
-        first = lambda step, value, on=on: F.min_by(on(step, c(value)), on(step, F.struct("seq", "ts_ns")))
-        last = lambda step, value, on=on: F.max_by(on(step, c(value)), on(step, F.struct("seq", "ts_ns")))
-        aggs += [
-            F.min(on(SYSCALL_OUT, c("ts_ns"))).alias(f"{p}_write_min"), last(SYSCALL_OUT, "end_ns").alias(f"{p}_write_last_end"),
-            F.max(on(SYSCALL_IN, c("end_ns"))).alias(f"{p}_read_end_max"), first(SYSCALL_IN, "ts_ns").alias(f"{p}_read_first"), last(SYSCALL_IN, "end_ns").alias(f"{p}_read_last_end"),
-            F.coalesce(first(NIC_IN, "ts_ns"), first(DEV_IN, "ts_ns")).alias(f"{p}_nic_start"), F.coalesce(first(NIC_IN, "first_ns"), first(DEV_IN, "first_ns")).alias(f"{p}_nic_first"),
-            F.coalesce(F.max(on(NIC_IN, c("first_ns"))), F.max(on(DEV_IN, c("first_ns")))).alias(f"{p}_nic_max"),
-            F.min(on(DEV_OUT, c("last_ns"))).alias(f"{p}_dev_min"), last(DEV_OUT, "last_ns").alias(f"{p}_dev_last"),
-            first(TCP_IN, "ts_ns").alias(f"{p}_tcp_first"), last(TCP_IN, "ts_ns").alias(f"{p}_tcp_last"), first(USER_COPY, "ts_ns").alias(f"{p}_copy_first"), last(USER_COPY, "ts_ns").alias(f"{p}_copy_last"),
-        ]
-    return events.groupBy(*keys).agg(*aggs)
+    """Those values of a table of events, in one aggregate."""
+    on = lambda p, step, value: F.when((c("is_req") if p == "q" else ~c("is_req")) & (c("step") == step), value)
+    order = F.struct("seq", "ts_ns")
+    values = _wanted(lambda p, step, v: F.min_by(on(p, step, c(v)), on(p, step, order)), lambda p, step, v: F.max_by(on(p, step, c(v)), on(p, step, order)),
+                     lambda p, step, v: F.min(on(p, step, c(v))), lambda p, step, v: F.max(on(p, step, c(v))))
+    return events.groupBy(*keys).agg(*(x.alias(k) for k, x in values.items()))
+
+
+def annotate_arrays(pairs: DataFrame, trace_devices: bool = True, trace_sockets: bool = True) -> DataFrame:
+    """annotate() of pairs that hold their events in an array `events` in order of seq and time (is_req, step, seq, ts_ns, ts_delta, first_ns,
+    last_ns): no aggregate, so it stands behind a stream, too."""
+    unseen = [*(() if trace_devices else DEVICE_STEPS), *(() if trace_sockets else SOCKET_STEPS)]
+    some = lambda p, step: F.filter("events", lambda e: (e["is_req"] == F.lit(p == "q")) & (e["step"] == F.lit(step)) & F.lit(step not in unseen))
+    value = {"ts_ns": lambda e: e["ts_ns"], "end_ns": lambda e: e["ts_ns"] + F.coalesce(e["ts_delta"], F.lit(0)), "first_ns": lambda e: F.coalesce(e["first_ns"], e["ts_ns"]), "last_ns": lambda e: F.coalesce(e["last_ns"], e["ts_ns"])}
+    each = lambda p, step, v: F.transform(some(p, step), value[v])
+    values = _wanted(lambda p, step, v: F.get(each(p, step, v), F.lit(0)), lambda p, step, v: F.try_element_at(each(p, step, v), F.lit(-1)), lambda p, step, v: F.array_min(each(p, step, v)), lambda p, step, v: F.array_max(each(p, step, v)))
+    return _ruled(pairs.withColumns(values), pairs.columns, trace_devices, trace_sockets)
 
 
 #: Events that are seen only while devices, or sockets, are traced.
@@ -74,12 +92,16 @@ def annotate(pairs: DataFrame, events: DataFrame, keys: tuple[str, ...] = ("conn
     e = events.where(~c("step").isin(*unseen)) if unseen else events
     has = set(events.columns)
     e = e.withColumns({"first_ns": F.coalesce("first_ns", "ts_ns"), "last_ns": F.coalesce("last_ns", "ts_ns"), "end_ns": c("ts_ns") + (F.coalesce("ts_delta", F.lit(0)) if "ts_delta" in has else F.lit(0))})
-    x = pairs.join(_summary(e, list(keys)), list(keys), "left")
+    return _ruled(pairs.join(_summary(e, list(keys)), list(keys), "left"), pairs.columns, trace_devices, trace_sockets)
+
+
+def _ruled(x: DataFrame, columns: list[str], trace_devices: bool, trace_sockets: bool) -> DataFrame:
+    """`columns` of pairs that have those values, with the measures."""
     client, diff = c("side") == "client", c("resp_ts") - c("req_ts")
     pick = lambda a, b: F.when(client, a).otherwise(b)
     inn, out = (lambda name: pick(c(f"r_{name}"), c(f"q_{name}"))), (lambda name: pick(c(f"q_{name}"), c(f"r_{name}")))
-    maps = lambda name: F.coalesce(c(name), F.lit(True)) if name in pairs.columns else F.lit(True)
-    plain = ~c("is_ssl") if "is_ssl" in pairs.columns else F.lit(True)
+    maps = lambda name: F.coalesce(c(name), F.lit(True)) if name in columns else F.lit(True)
+    plain = ~c("is_ssl") if "is_ssl" in columns else F.lit(True)
     can_read, can_write = plain | pick(maps("resp_maps"), maps("req_maps")), plain | pick(maps("req_maps"), maps("resp_maps"))
     can_both = can_read & can_write
     read, write = inn("read_first").isNotNull(), out("write_min").isNotNull()
@@ -96,7 +118,7 @@ def annotate(pairs: DataFrame, events: DataFrame, keys: tuple[str, ...] = ("conn
     if not trace_sockets:
         read_ns = F.coalesce(F.when(can_read, inn("read_last_end") - inn("nic_first")), read_ns)
     made = {"start_ns": pick(start_c, start_s), "end_ns": pick(end_c, end_s), "total_ns": pick(total_c, total_s), "black_box_ns": pick(box_c, box_s), "read_socket_ns": read_ns, "copy_to_sock_ns": copied}
-    return x.withColumns(made).select(*pairs.columns, *made)
+    return x.withColumns(made).select(*columns, *made)
 
 
 def sizes(pairs: DataFrame) -> DataFrame:

@@ -21,11 +21,20 @@ def unwrapped(segments: DataFrame, keys: tuple[str, ...] = ("conn_id", "directio
     return rows.withColumn("seq64", c("seq") + F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)) * F.lit(1 << 32)).drop("_step")
 
 
+def wrapped_islands(segments: DataFrame, keys: tuple[str, ...] = ("conn_id", "direction")) -> DataFrame:
+    """islands() of streams whose 32-bit seq may wrap: a wrap begins a new epoch, too, and start and end are those of the 32-bit
+    numbers. Epochs and islands of a stream are numbered through all its wraps."""
+    rows = unwrapped(segments, keys).withColumn("_wrap", F.floor(c("seq64") / F.lit(1 << 32)).cast("long"))
+    out = islands(rows, (*keys, "_wrap"))
+    order = Window.partitionBy(*keys)
+    return out.withColumns({"epoch": (F.dense_rank().over(order.orderBy("_wrap", "epoch")) - 1).cast("long"), "island": F.row_number().over(order.orderBy("_wrap", "island")).cast("long")}).drop("_wrap")
+
+
 def islands(segments: DataFrame, keys: tuple[str, ...] = ("conn_id", "direction")) -> DataFrame:
     """Fused ranges of each stream: (keys, epoch, island, start, end, segments, bytes).
 
     Of segments at one seq the first to arrive counts; overlapping and adjacent ranges are fused, a gap leaves two ranges, and
-    a gap of MIB or more begins a new epoch. seq must not wrap (see unwrapped()). Gaps and islands by windows.
+    a gap of MIB or more begins a new epoch. seq must not wrap (wrapped_islands() takes such streams). Gaps and islands by windows.
     """
     first = segments.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "seq").orderBy("arrival"))).where("_n = 1").withColumn("_end", c("seq") + c("len"))
     w = Window.partitionBy(*keys).orderBy("seq")

@@ -188,6 +188,15 @@ def f1(spark, sf):
     return reassembly.islands(adapters.segments(spark, sf))
 
 
+@query("f1_wrapped_islands", """SELECT conn_id, direction, dense_rank() OVER (PARTITION BY conn_id ORDER BY wrapped) - 1 AS epoch, CAST(row_number() OVER (PARTITION BY conn_id ORDER BY wrapped, island) AS BIGINT) AS island, start, "end", segments, bytes FROM (SELECT conn_id, direction, wrapped, island, min(seq) AS start, max(seq + len) AS "end", count(*) AS segments, CAST(sum(len) AS BIGINT) AS bytes FROM (
+ SELECT *, sum(CASE WHEN reach IS NULL OR seq > reach THEN 1 ELSE 0 END) OVER (PARTITION BY conn_id, wrapped ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(seq + len) OVER (PARTITION BY conn_id, wrapped ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM
+ (SELECT conn_id, direction, seq >= 100 AS wrapped, (seq + 4294967196) % 4294967296 AS seq, len FROM segments QUALIFY row_number() OVER (PARTITION BY conn_id, seq ORDER BY arrival) = 1))) GROUP BY conn_id, direction, wrapped, island)""", (SEGMENTS,))
+def f1_wrapped(spark, sf):
+    """The numbers of every stream wrap after its first hundred bytes, and segments come in the order of their ship dates."""
+    s = adapters.segments(spark, sf)
+    return reassembly.wrapped_islands(s.withColumn("seq", (c("seq") + 4294967196) % F.lit(1 << 32)))
+
+
 @query("f1_reassembled", """, s AS (SELECT * FROM segments QUALIFY row_number() OVER (PARTITION BY conn_id, seq ORDER BY arrival) = 1), bytes AS (SELECT conn_id, direction, pos, arg_min(v, arrival) AS v FROM (SELECT conn_id, direction, arrival, unnest(range(seq, seq + len)) AS pos, lpad(to_hex(arrival % 256), 2, '0') AS v FROM s) GROUP BY ALL),
  isl AS (SELECT *, pos - row_number() OVER (PARTITION BY conn_id, direction ORDER BY pos) AS g FROM bytes) SELECT conn_id, direction, min(pos) AS start, upper(string_agg(v, '' ORDER BY pos)) AS payload FROM isl GROUP BY conn_id, direction, g""".replace(", s AS", "SELECT * FROM (WITH s AS", 1) + ")", (SEGMENTS,))
 def f1_payload(spark, sf):

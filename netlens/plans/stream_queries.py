@@ -10,7 +10,7 @@ from netlens.plans.oracle import EVENTS, MESSAGES, RECORDS
 from netlens.plans.record_queries import _stat_sql
 from netlens.plans.registry import query
 from netlens.sources import adapters
-from netlens.streaming import pairing, stats
+from netlens.streaming import pairing, reassembly, stats
 from netlens.streaming.run import event_time, run_available, scratch
 
 c = F.col
@@ -108,3 +108,32 @@ def i9(spark, sf):
     versions = spark.read.schema(rows.schema.add("v", "long")).parquet(f"{path}/top")
     last = versions.agg(F.max("v")).first()[0]
     return versions.where(c("v") == F.lit(last)).drop("v")
+
+
+#: Segments of a user's messages, by their number n in order of time: neighbours come in the wrong order, some twice; seq wraps after 20
+#: of them, and jumps by two MiB after every 50. The last message closes the connection.
+_SLOT = "CASE WHEN k % 10 = 0 THEN n // 2 * 2 + 1 ELSE n // 2 * 2 + 1 - n % 2 END"
+_STREAM_SEGMENTS = MESSAGES + f""", numbered AS (SELECT *, row_number() OVER (PARTITION BY conn_id ORDER BY ts_ns, seq) - 1 AS n FROM messages),
+stream_0 AS (SELECT conn_id, n AS arrival, byte_size AS len, {_SLOT} AS slot FROM numbered), stream_1 AS (SELECT *, slot >= 20 AS wrapped, slot // 50 AS jump, (4294965296 + slot * 100 + slot // 50 * 2097152) % 4294967296 AS seq FROM stream_0),
+stream_2 AS (SELECT * FROM stream_1 QUALIFY row_number() OVER (PARTITION BY conn_id, wrapped, jump, seq ORDER BY arrival) = 1)"""
+
+
+def _stream_segments(spark, sf):
+    messages = adapters.messages(spark, sf)
+    order = Window.partitionBy("conn_id").orderBy("ts_ns", "seq")
+    last = F.lead("seq").over(order).isNull()
+    numbers = messages.select("seq", (F.row_number().over(order) - 1).alias("n"), "k", last.alias("closes"))
+    pair = F.floor(c("n") / 2).cast("long") * 2 + 1
+    slot = F.when(c("k") % 10 == 0, pair).otherwise(pair - c("n") % 2)
+    rows = _messages(spark, sf).join(numbers, "seq").withColumn("slot", slot)
+    seq = (F.lit(4294965296) + c("slot") * 100 + F.floor(c("slot") / 50).cast("long") * 2097152) % F.lit(1 << 32)
+    return rows.select("conn_id", F.lit("in").alias("direction"), seq.alias("seq"), c("byte_size").alias("len"), F.expr("ts_ns div 1000000 * 1000000").alias("ts_ns"), c("n").cast("long").alias("arrival"), "closes")
+
+
+@query("f1_i6_i8_stream", """SELECT conn_id, epoch, start, "end", segments, bytes, CASE WHEN last_epoch = epoch THEN 'close' WHEN NOT wrapped AND wraps THEN 'wrap' ELSE 'gap' END AS reason FROM (
+ SELECT *, max(epoch) OVER (PARTITION BY conn_id) AS last_epoch, bool_or(wrapped) OVER (PARTITION BY conn_id) AS wraps FROM (SELECT conn_id, wrapped, dense_rank() OVER (PARTITION BY conn_id ORDER BY wrapped, jump) - 1 AS epoch, min(seq) AS start, max(seq + len) AS "end", count(*) AS segments, CAST(sum(len) AS BIGINT) AS bytes FROM (
+ SELECT *, sum(CASE WHEN reach IS NULL OR seq > reach THEN 1 ELSE 0 END) OVER (PARTITION BY conn_id, wrapped, jump ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(seq + len) OVER (PARTITION BY conn_id, wrapped, jump ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM stream_2)) GROUP BY conn_id, wrapped, jump, island))""", (_STREAM_SEGMENTS,))
+def f1_stream(spark, sf):
+    """Streams that wrap and jump, put together as they come in; no head is given up."""
+    out = run_available(reassembly.ranges(_stream_segments(spark, sf), stuck_ms=4000 * 86_400_000, delay="0 seconds"), stateful=True)
+    return out.select("conn_id", "epoch", "start", "end", "segments", "bytes", "reason")
