@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import re
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ from netlens.llm.tokens import blocks
 
 #: Words whose ids a Python worker remembers, and the longest such word in characters.
 CACHE, CACHED_CHARS = 400_000, 64
+#: Characters that may be cut into words here: Latin, without the sign of contractions.
+_LATIN = [chr(c) for c in range(0x21, 0x250) if chr(c) != "'"]
 #: What a rule of splitting at white space has to keep apart: letters, digits, signs, contractions, marks that combine, both sigmas.
 _PROBES = ["a", "Ab1", "'s", "'", "s", "x'", "12", "!?", "́", "é", "Σ", "ΟΣ", "ß", "ᄀ", "ᅡ", " ", " b", "\x1c", "ͅ", "_", "½"]
 _BREAKS = [" ", "\n", "\t", "\r", "\x0b", "\x0c", " \n ", "  "]
@@ -27,7 +31,8 @@ class Codec:
 
     Text is normalised and cut into words by the file's own rules; each word's symbols are merged here. If those rules treat
     text between ASCII white space alone (tested when the file is loaded), words are looked up and merged once for each block
-    of texts; otherwise every text goes through the rules whole. Strings of added tokens become their ids.
+    of texts; otherwise every text goes through the rules whole. Latin letters, digits and signs are put into words by what the
+    rules make of each character (tested, too), all else by the rules. Strings of added tokens become their ids.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], added: dict[str, int], suffix: str, joint: str, bytes_back: bool, rules):
@@ -40,8 +45,9 @@ class Codec:
         self.split = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.joint = joint.encode()
         self.strings = pa.array([self._bytes(i) + self.joint for i in range(self.size)], pa.large_binary())
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
         self.by_word = all(rules(a + w + b) == rules(a) + rules(b) for a in _PROBES for b in _PROBES for w in _BREAKS)
+        self.latin = self._latin() if self.by_word else None
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -65,6 +71,33 @@ class Codec:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         return cls(model["vocab"], merges, {t["content"]: t["id"] for t in added}, model.get("end_of_word_suffix") or "", "" if decoder else " ", bool(decoder), rules)
 
+    def _latin(self) -> tuple[re.Pattern, re.Pattern, dict[int, str]] | None:
+        """(what is cut here, its words, what becomes of each character), or None if the rules see more than single characters."""
+        rules, letters, digits, signs, to = self.rules, [], [], [], {}
+        for c in _LATIN:
+            made = rules(c)
+            if len(made) != 1:
+                continue
+            m = made[0]
+            kind = letters if rules(f"a{c}a") == [f"a{m}a"] else signs if rules(f"!{c}!") == [f"!{m}!"] else digits if rules(c + c + "a" + c) == [m, m, "a", m] else None
+            if kind is not None:
+                kind.append(c)
+                to[ord(c)] = m
+        if not (letters and digits and signs):
+            return None
+        a, b, c = (f"[{re.escape(''.join(k))}]" for k in (letters, digits, signs))
+        whole, words = re.compile(f"[{re.escape(''.join([*letters, *digits, *signs]))}]+"), re.compile(f"{a}+|{b}|{c}+")
+        rng = random.Random(0)
+        tried = ["".join(rng.choice(rng.choice((letters, letters, digits, signs))) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+        return (whole, words, to) if all([w.translate(to) for w in words.findall(t)] == rules(t) for t in tried) else None
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text, as the rules give them."""
+        if self.latin and self.latin[0].fullmatch(text):
+            to = self.latin[2]
+            return [w.translate(to) for w in self.latin[1].findall(text)]
+        return self.rules(text)
+
     def _bytes(self, i: int) -> bytes:
         token = self.tokens.get(i, "")
         if not self.bytes_back or token in self.added:
@@ -105,34 +138,33 @@ class Codec:
                     heappush(heap, (m[0], left, m[1]))
         return [s for s in symbols if s >= 0]
 
-    def _plain(self, text: str) -> list[int]:
-        """Ids of a text without added tokens."""
-        out, vocab = [], self.vocab
-        for word in self.rules(text):
+    def _word(self, word: str) -> bytes:
+        """Ids of a word, little-endian; words seen before are looked up."""
+        ids = self.known.get(word)
+        if ids is None:
+            vocab = self.vocab
             symbols = [vocab.get(c) for c in word]
             if self.suffix:
                 symbols[-1] = vocab.get(word[-1] + self.suffix)
-            out += self.merged([s for s in symbols if s is not None])
-        return out
-
-    def _word(self, word: str) -> np.ndarray:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = np.array(self._plain(word), dtype="<u4")
+            ids = np.array(self.merged([s for s in symbols if s is not None]), dtype="<u4").tobytes()
             if len(word) <= CACHED_CHARS:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
                 self.known[word] = ids
+                if len(self.known) > CACHE:  # the oldest go
+                    for w in list(islice(self.known, CACHE // 4 + 1)):
+                        del self.known[w]
         return ids
 
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
+        return b"".join([self._word(w) for w in self.words(text)])
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text."""
         parts, at = [], 0
         for m in self.split.finditer(text) if self.split else ():
-            parts += self._plain(text[at:m.start()])
-            parts.append(self.added[m[0]])
+            parts += [self._plain(text[at:m.start()]), self.added[m[0]].to_bytes(4, "little")]
             at = m.end()
-        return np.array(parts + self._plain(text[at:]), dtype="<u4")
+        return np.frombuffer(b"".join([*parts, self._plain(text[at:])]), dtype="<u4")
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text's ids begin, and the end). A null text is empty."""
@@ -147,12 +179,12 @@ class Codec:
             texts = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts)
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        ids = [self._word(w) for w in coded.dictionary.to_pylist()]
-        size = np.array([len(x) for x in ids], dtype=np.int64)
+        ids = [self._plain(w) for w in coded.dictionary.to_pylist()]
+        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
         begin, which = np.cumsum(size) - size, coded.indices.to_numpy()
         n = size[which]
         ends = np.concatenate([[0], np.cumsum(n)])
-        flat = np.concatenate(ids) if ids else np.zeros(0, dtype="<u4")
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
         out = flat[np.repeat(begin[which] - ends[:-1], n) + np.arange(ends[-1])]
         edges = ends[np.asarray(words.offsets.to_numpy(), dtype=np.int64) - words.offsets[0].as_py()]
         if alone:
