@@ -233,12 +233,12 @@ ev AS (SELECT p.conn_id, p.pair_id, p.side, (k.rn % 2 = 0) = (p.side = 'server')
  FROM kern k JOIN pairs p ON k.conn_id = p.conn_id AND k.seq < p."end" AND k.seq + k.len > p.start)"""
 
 
-def _e10_sql(devices: bool, sockets: bool) -> str:
+def _e10_sql(devices: bool, sockets: bool, inputs: str = _E10_KERN) -> str:
     """The rules once more, over lists of events in order of their bytes: one list for each kind, empty where it is not traced."""
     kinds = {"writes": (False, names.SYSCALL_OUT, True), "dev_out": (False, names.DEV_OUT, devices), "nic": (True, names.NIC_IN, devices), "dev_in": (True, names.DEV_IN, devices), "tcp": (True, names.TCP_IN, sockets), "copies": (True, names.USER_COPY, sockets), "reads": (True, names.SYSCALL_IN, True)}
     lists = ", ".join(f"coalesce(list(struct_pack(s := seq, t := ts_ns, e := end_ns, f := first_ns, l := last_ns) ORDER BY seq, ts_ns) FILTER ({'comes_in' if into else 'NOT comes_in'} AND step = {step} AND {str(on).lower()}), []) AS {name}" for name, (into, step, on) in kinds.items())
     ends = lambda a, b: f"CASE WHEN len({a}) > 0 THEN {b} END"
-    return f"""SELECT * FROM (WITH {_E10_KERN}, lists AS (SELECT conn_id, pair_id, {lists} FROM ev GROUP BY conn_id, pair_id),
+    return f"""SELECT * FROM (WITH {inputs}, lists AS (SELECT conn_id, pair_id, {lists} FROM ev GROUP BY conn_id, pair_id),
 x AS (SELECT p.*, coalesce(writes, []) AS w, coalesce(dev_out, []) AS d, CASE WHEN len(coalesce(nic, [])) > 0 THEN nic ELSE coalesce(dev_in, []) END AS n, coalesce(tcp, []) AS t, coalesce(copies, []) AS u, coalesce(reads, []) AS r,
  NOT is_ssl OR coalesce(CASE WHEN side = 'server' THEN req_maps ELSE resp_maps END, true) AS cr, NOT is_ssl OR coalesce(CASE WHEN side = 'server' THEN resp_maps ELSE req_maps END, true) AS cw, resp_ts - req_ts AS diff FROM pairs p LEFT JOIN lists USING (conn_id, pair_id)),
 y AS (SELECT *, CASE WHEN side = 'server' THEN CASE WHEN len(n) > 0 THEN n[1].f WHEN len(t) > 0 THEN t[1].t WHEN len(u) > 0 THEN u[1].t WHEN len(r) > 0 THEN r[1].t END WHEN len(w) > 0 AND cw THEN list_min(list_transform(w, lambda v: v.t)) ELSE req_ts END AS start_ns,

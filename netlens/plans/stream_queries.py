@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from netlens.functions import names
 from netlens.operators import stats as batch_stats
+from netlens.plans.event_queries import _E10_STEPS, _e10_sql
 from netlens.plans.oracle import EVENTS, MESSAGES, RECORDS
 from netlens.plans.record_queries import _stat_sql
 from netlens.plans.registry import query
 from netlens.sources import adapters
-from netlens.streaming import pairing, reassembly, stats
+from netlens.streaming import annotate, pairing, reassembly, stats
 from netlens.streaming.run import event_time, run_available, scratch
 
 c = F.col
@@ -137,3 +139,48 @@ def f1_stream(spark, sf):
     """Streams that wrap and jump, put together as they come in; no head is given up."""
     out = run_available(reassembly.ranges(_stream_segments(spark, sf), stuck_ms=4000 * 86_400_000, delay="0 seconds"), stateful=True)
     return out.select("conn_id", "epoch", "start", "end", "segments", "bytes", "reason")
+
+
+#: A user's messages as a timeline: of each eight in a row seven are packets, in bytes of their own, and the eighth is the pair that has
+#: carried them. Every eleventh k comes three pairs late, every thirteenth is seen twice; a third of the users speak TLS.
+_TIMELINE = f"""numbered AS (SELECT *, (row_number() OVER w - 1) // 8 AS m, (row_number() OVER w - 1) % 8 AS j FROM messages WINDOW w AS (PARTITION BY conn_id ORDER BY ts_ns, seq)),
+pk AS (SELECT conn_id, ({list(_E10_STEPS)})[(j + m) % {len(_E10_STEPS)} + 1] AS step, m * 100 + j * 10 + k % 7 - CASE WHEN k % 11 = 0 AND m >= 3 THEN 300 ELSE 0 END AS seq, 5 + k % 20 AS len, ts_ns + 500 * u.c AS ts_ns, k AS ts_delta, CASE WHEN u.c = 0 THEN 'eth' || (k % 3) ELSE 'eth9' END AS ifname
+ FROM numbered, (VALUES (0), (1)) u(c) WHERE j < 7 AND (u.c = 0 OR k % 13 = 0)),
+pairs_0 AS (SELECT conn_id, m AS pair_id, CASE WHEN conn_id % 2 = 0 THEN 'client' ELSE 'server' END AS side, conn_id % 3 = 0 AS is_ssl, ts_ns - 1000 * (100 + k) AS req_ts, ts_ns AS resp_ts, k % 5 <> 0 AS maps, m * 100 AS b FROM numbered WHERE j = 7),
+pairs AS (SELECT conn_id, pair_id, side, is_ssl, CASE WHEN is_ssl THEN maps END AS req_maps, CASE WHEN is_ssl THEN maps END AS resp_maps, req_ts, resp_ts, CASE WHEN is_ssl THEN b + 5 ELSE b + 3 END AS q_start, CASE WHEN is_ssl THEN b + 40 + CASE WHEN maps THEN 30 ELSE 0 END ELSE b + 53 END AS q_end,
+ CASE WHEN is_ssl THEN b + 5 ELSE b + 23 END AS r_start, CASE WHEN is_ssl THEN b + 40 + CASE WHEN maps THEN 30 ELSE 0 END ELSE b + 83 END AS r_end FROM pairs_0),
+kept AS (SELECT * FROM pk WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.conn_id = pk.conn_id AND p.resp_ts + 1000000000 < pk.ts_ns AND CASE WHEN (pk.step <= {names.LAST_EGRESS}) = (p.side = 'client') THEN q_end ELSE r_end END > pk.seq)),
+nics AS (SELECT conn_id, step, seq, CASE WHEN step IN (6, 7, 8, 9) THEN ifname END AS nic, min(struct_pack(t := ts_ns, l := len, d := ts_delta)) AS e FROM kept GROUP BY ALL), evs AS (SELECT conn_id, step, seq, min(e) AS e, max(e.t) AS last_ns FROM nics GROUP BY ALL),
+ev AS (SELECT p.conn_id, p.pair_id, p.side, step > {names.LAST_EGRESS} AS comes_in, step, seq, e.t AS ts_ns, e.t + e.d AS end_ns, e.t AS first_ns, last_ns FROM evs v JOIN pairs p ON p.conn_id = v.conn_id
+ AND CASE WHEN (step <= {names.LAST_EGRESS}) = (p.side = 'client') THEN seq < q_end AND seq + e.l > q_start ELSE seq < r_end AND seq + e.l > r_start END)"""
+
+
+def _timeline(spark, sf):
+    messages = adapters.messages(spark, sf)
+    n = F.row_number().over(Window.partitionBy("conn_id").orderBy("ts_ns", "seq")) - 1
+    numbers = messages.select("seq", F.floor(n / 8).cast("long").alias("m"), (n % 8).alias("j"), "k")
+    rows = _messages(spark, sf).join(numbers, "seq")
+    b, k, at = c("m") * 100, c("k"), c("ts_ns")
+    types = {name: kind for name, kind in annotate.TIMELINE.items() if name != "conn_id"}
+    row = lambda **made: F.struct(*(made.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in types.items()))
+    step = F.get(F.array(*[F.lit(x) for x in _E10_STEPS]), ((c("j") + c("m")) % len(_E10_STEPS)).cast("int"))
+    packet = lambda copy: row(ts_ns=at + 500 * copy, kind=F.lit("packet"), step=step, seq=b + c("j") * 10 + k % 7 - F.when((k % 11 == 0) & (c("m") >= 3), 300).otherwise(0), len=5 + k % 20, ts_delta=k,
+                              ifname=F.lit("eth9") if copy else F.concat(F.lit("eth"), (k % 3).cast("string")))
+    tls = lambda egress, second: row(ts_ns=at - 1000, kind=F.lit("tls"), egress=F.lit(egress), seq=b + (45 if second else 25), len=F.lit(10), syscall_seq=b + (40 if second else 5),
+                                     syscall_len=F.when(k % 5 != 0, 30).otherwise(0) if second else F.lit(30))
+    side, ssl = F.when(c("conn_id") % 2 == 0, "client").otherwise("server"), c("conn_id") % 3 == 0
+    pair = row(ts_ns=at, kind=F.lit("pair"), pair_id=c("m"), side=side, is_ssl=ssl, req_ts=at - 1000 * (100 + k), req_start=b + 3, req_end=b + 53, resp_start=b + 23, resp_end=b + 83)
+    all_tls = [tls(egress, second) for egress in (True, False) for second in (True, False)]
+    made = F.when(c("j") < 7, F.when(k % 13 == 0, F.array(packet(0), packet(1))).otherwise(F.array(packet(0)))).when(ssl, F.array(pair, *all_tls)).otherwise(F.array(pair))
+    return rows.select("conn_id", F.explode(made).alias("row")).select("conn_id", "row.*")
+
+
+def _e10_stream(name, devices=True, sockets=True):
+    @query(name, _e10_sql(devices, sockets, _TIMELINE) + f" WHERE pair_id IS NOT NULL AND (conn_id, pair_id) IN (SELECT (conn_id, m) FROM (SELECT conn_id, (row_number() OVER (PARTITION BY conn_id ORDER BY ts_ns, seq) - 1) // 8 AS m, (row_number() OVER (PARTITION BY conn_id ORDER BY ts_ns, seq) - 1) % 8 AS j, ts_ns FROM messages) WHERE j = 7 AND ts_ns + 1000000000 < {_PASSED})", (MESSAGES,))
+    def run(spark, sf):
+        rows = annotate.annotated(_timeline(spark, sf), devices, sockets, idle_ms=4000 * 86_400_000)
+        return run_available(rows.select("conn_id", "pair_id", "side", "start_ns", "end_ns", "total_ns", "black_box_ns", "read_socket_ns", "copy_to_sock_ns"), stateful=True)
+
+
+_e10_stream("e10_i5_stream")
+_e10_stream("e10_i5_stream_untraced", False, False)

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from netlens.operators import annotate as batch_annotate
 from netlens.operators import reassembly as batch
-from netlens.streaming import reassembly
+from netlens.operators.ranges import overlap_join
+from netlens.streaming import annotate, reassembly
 from netlens.streaming.run import run_available
 
 SECOND = 1_000_000_000
@@ -90,3 +92,77 @@ def test_reasons(stream):
     rows.sort(key=lambda r: r[4])
     for parts in (1, 5):
         assert ranges_of(stream, rows, parts, capacity=1000) == sorted(want)
+
+
+TIMELINE = ", ".join(f"{k} {t}" for k, t in annotate.TIMELINE.items())
+
+
+def timeline_row(**made):
+    return tuple(made.get(k) for k in annotate.TIMELINE)
+
+
+def packet(conn, ts, step, seq, size=10, delta=3, nic="eth0"):
+    return timeline_row(conn_id=conn, ts_ns=ts, kind="packet", step=step, seq=seq, len=size, ts_delta=delta, ifname=nic)
+
+
+def a_pair(conn, ts, pair, side, req, resp, ssl=False):
+    return timeline_row(conn_id=conn, ts_ns=ts, kind="pair", pair_id=pair, side=side, is_ssl=ssl, req_ts=ts - 900, req_start=req[0], req_end=req[1], resp_start=resp[0], resp_end=resp[1])
+
+
+LATER_PACKET = packet(-1, 10**9 * SECOND, 2, 0)
+MEASURES = ["conn_id", "pair_id", "start_ns", "end_ns", "total_ns", "black_box_ns", "read_socket_ns", "copy_to_sock_ns"]
+
+
+def annotated(stream, rows, parts=1, **options):
+    size = -(-len(rows) // parts)
+    cut = [rows[k:k + size] for k in range(0, len(rows), size)] + [[LATER_PACKET]]
+    return run_available(annotate.annotated(stream(cut, TIMELINE), **options), stateful=True).where("conn_id >= 0")
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_annotation_as_in_batch(spark, stream, parts):
+    """Random packets of 40 pairs, none late: the rows of the range join and the batch rules."""
+    rng, rows, pairs, at = random.Random(parts), [], [], 0
+    for n in range(40):
+        conn, m = n % 4, n // 4
+        seen = set()
+        for _ in range(30):
+            at += 1_000_000
+            step, seq = rng.choice([2, 6, 8, 9, 11, 12, 13]), m * 1000 + rng.randint(0, 890)
+            if (step, seq) not in seen:
+                seen.add((step, seq))
+                rows.append(packet(conn, at, step, seq, rng.randint(1, 100), rng.randint(0, 50)))
+        at += 1_000_000
+        pairs.append((conn, m, "client" if conn % 2 else "server", at - 900, at, m * 1000, m * 1000 + 500, m * 1000 + 300, m * 1000 + 990))
+        rows.append(a_pair(conn, at, m, pairs[-1][2], pairs[-1][5:7], pairs[-1][7:9]))
+        at += 2 * SECOND
+    got = sorted(map(tuple, annotated(stream, rows, parts).select(*MEASURES).collect()))
+    p = spark.createDataFrame(pairs, "conn_id long, pair_id long, side string, req_ts long, resp_ts long, q0 long, q1 long, r0 long, r1 long")
+    kern = spark.createDataFrame([r for r in rows if r[2] == "packet"], TIMELINE).select("conn_id", "step", "seq", "len", "ts_ns", "ts_delta", F.col("ts_ns").alias("first_ns"), F.col("ts_ns").alias("last_ns"))
+    events = None
+    for is_req, a, b in ((True, "q0", "q1"), (False, "r0", "r1")):
+        hit = overlap_join(kern, p.select("conn_id", "pair_id", "side", F.col(a).alias("start"), F.col(b).alias("end"))).withColumn("is_req", F.lit(is_req))
+        hit = hit.where((F.col("step") <= 7) == ((F.col("side") == "client") == F.col("is_req"))).drop("side", "start", "end")
+        events = hit if events is None else events.unionByName(hit)
+    want = batch_annotate.annotate(p, events).select(*MEASURES).collect()
+    assert got == sorted(map(tuple, want)) and len(got) == 40 and sum(r[5] is not None for r in got) > 20
+
+
+def test_consumed_bytes_are_done_with(stream):
+    """Events below the mark give nothing, whether they wait or come late; those at the mark belong to the next pair."""
+    s = SECOND
+    rows = [packet(1, 1 * s, 2, 10), packet(1, 1 * s + 1, 13, 20), a_pair(1, 1 * s + 5, 0, "client", (0, 50), (0, 60)),
+            packet(1, 3 * s, 2, 49), packet(1, 3 * s + 1, 2, 50), packet(1, 3 * s + 2, 13, 59), packet(1, 3 * s + 3, 13, 70), a_pair(1, 3 * s + 5, 1, "client", (0, 90), (0, 90)),
+            # the second copy of an event, and a second interface of a card
+            packet(2, 1 * s, 13, 5), packet(2, 1 * s + 7, 13, 5), packet(2, 1 * s + 8, 8, 5, nic="eth0"), packet(2, 1 * s + 9, 8, 5, nic="eth1"), a_pair(2, 1 * s + 10, 0, "server", (0, 9), (0, 9))]
+    for parts in (1, 2):
+        out = {(r.conn_id, r.pair_id): sorted((e.step, e.seq, e.first_ns, e.last_ns) for e in r.events) for r in annotated(stream, rows, parts).collect()}
+        assert out == {(1, 0): [(2, 10, s, s), (13, 20, s + 1, s + 1)], (1, 1): [(2, 50, 3 * s + 1, 3 * s + 1), (13, 70, 3 * s + 3, 3 * s + 3)],
+                       (2, 0): [(8, 5, s + 8, s + 9), (13, 5, s, s)]}
+
+
+def test_idle_connections_are_forgotten(stream):
+    s = SECOND
+    rows = [packet(1, 1 * s, 2, 10), a_pair(1, 1 * s + 5, 0, "client", (0, 50), (0, 60)), packet(1, 100 * s, 2, 20), a_pair(1, 100 * s + 5, 1, "client", (0, 50), (0, 60))]
+    count = lambda **o: {r.pair_id: len(r.events) for r in annotated(stream, rows, **o).collect()}
+    assert count() == {0: 1, 1: 0} and count(idle_ms=60_000) == {0: 1, 1: 1}
