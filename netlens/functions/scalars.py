@@ -138,27 +138,42 @@ def _number(raw: Column, at: int, size: int, little: bool = False) -> Column:
     return F.conv(h, 16, 10).cast("long")
 
 
-def protocol_tag(raw: Column) -> Column:
-    """struct<protocol int, message string> from a payload's leading bytes, the first rule that holds; message is req, resp or any.
-    A payload is judged by itself: a length that came in an earlier read is not seen."""
-    n, head, mask31 = F.octet_length(raw), F.substring(raw, 1, 4).cast("string"), 1 << 31
+#: Leading and closing bytes of a read that protocol_tag() looks at.
+TAG_HEAD, TAG_TAIL = 17, 2
+
+
+def protocol_tag(raw: Column, size: Column | None = None, total: Column | None = None, before: Column | None = None, tail: Column | None = None) -> Column:
+    """struct<protocol int, message string, prepended boolean> from the leading bytes of a read, the first rule that holds; message is req,
+    resp or any.
+
+    `before` is the read just before on the connection, if that had four bytes, else null: MySQL and Kafka peers read a message's
+    length first, and the bytes after it then begin in the message. prepended says that they did (Kafka), so that the length
+    belongs in front. Of cut reads give size (captured), total (bytes of the whole call) and tail (the last two captured bytes).
+    """
+    n, head, mask31 = F.octet_length(raw) if size is None else size, F.substring(raw, 1, 4).cast("string"), 1 << 31
+    total, before, last = n if total is None else total, F.lit(None).cast("binary") if before is None else before, F.substring(F.hex(raw), -4, 4) if tail is None else F.hex(tail)
     http_req = (n >= 5) & (F.substring(head, 1, 3).isin("GET") | head.isin("HEAD", "POST"))
     http_resp = (n >= 5) & (head == "HTTP")
     mongo_len, mongo_id, mongo_to, mongo_op = (_number(raw, 4 * i, 4, little=True) for i in range(4))
     mongo = (n >= 16) & mongo_len.between(16, mask31 - 1) & (mongo_id < mask31) & (mongo_to == 0) & mongo_op.isin(2001, 2002, 2003, 2004, 2005, 2006, 2007, 2012, 2013)
-    mysql = (n >= 5) & (_number(raw, 3, 1) == 0) & _number(raw, 0, 3, little=True).between(1, 10000) & _number(raw, 4, 1).isin(0x03, 0x0B, 0x16, 0x17, 0x19)
+    told = F.coalesce(_number(before, 0, 4, little=True) == n, F.lit(False))
+    first = lambda here, there: F.when(told, there).otherwise(here)
+    mysql = ((n + F.when(told, 4).otherwise(0) >= 5) & (first(_number(raw, 3, 1), _number(before, 3, 1)) == 0) & first(_number(raw, 0, 3, little=True), _number(before, 0, 3, little=True)).between(1, 10000)
+             & first(_number(raw, 4, 1), _number(raw, 0, 1)).isin(0x03, 0x0B, 0x16, 0x17, 0x19))
     frame, header = _number(raw, 0, 4), _number(raw, 4, 4)
     kind, length = F.shiftright(header, 24), header.bitwiseAND(F.lit(0xFFFFFF))
     by_kind = F.when(kind == 0, F.substring(raw, 9, 8).cast("string") == '{"code":').when(kind == 1, (_number(raw, 8, 2) >= 10) & (_number(raw, 10, 1) <= 13)).otherwise(F.lit(False))
-    rocketmq = (n >= 16) & (frame > 0) & (frame <= n - 4) & (length > 0) & (length == frame - 4) & by_kind
-    kafka = (n >= 12) & (frame + 4 == n) & _number(raw, 4, 2).between(0, 62) & _number(raw, 6, 2).between(0, 17) & (_number(raw, 8, 4) < mask31)
+    rocketmq = (n >= 16) & frame.between(1, mask31 - 1) & (frame <= n - 4) & (length > 0) & (length == frame - 4) & by_kind
+    ahead = F.coalesce((_number(before, 0, 4) == n) | (_number(before, 0, 4) == total), F.lit(False))
+    body = lambda at, width: F.when(ahead, _number(raw, at, width)).otherwise(_number(raw, 4 + at, width))
+    kafka = (n + F.when(ahead, 4).otherwise(0) >= 12) & (ahead | (frame + 4 == n) | (frame + 4 == total)) & body(0, 2).between(0, 62) & body(2, 2).between(0, 17) & (body(4, 4) < mask31)
     flags = _number(raw, 2, 2)
     q, a, auth, more = (_number(raw, 4 + 2 * i, 2) for i in range(4))
     dns = n.between(12, 512) & (dns_flag(flags, 6, 1) == 0) & (dns_flag(flags, 11, 15) == 0) & q.between(1, 10) & (q + a + auth + more <= 25)
-    redis = (n >= 3) & F.substring(head, 1, 1).isin("+", "-", ":", "$", "*") & (F.substring(F.hex(raw), -4, 4) == "0D0A")
-    rule = lambda code, message: F.struct(F.lit(code).alias("protocol"), F.lit(message).alias("message"))
+    redis = (n >= 3) & F.substring(head, 1, 1).isin("+", "-", ":", "$", "*") & (last == "0D0A")
+    rule = lambda code, message, prepended=F.lit(False): F.struct(F.lit(code).alias("protocol"), F.lit(message).alias("message"), prepended.alias("prepended"))
     return (F.when(http_resp, rule(names.HTTP, "resp")).when(http_req, rule(names.HTTP, "req")).when(mongo, rule(names.MONGO, "req")).when(mysql, rule(names.MYSQL, "req"))
-            .when(rocketmq, rule(names.ROCKETMQ, "req")).when(kafka, rule(names.KAFKA, "req")).when(dns & (dns_flag(flags, 15, 1) == 0), rule(names.DNS, "req"))
+            .when(rocketmq, rule(names.ROCKETMQ, "req")).when(kafka, rule(names.KAFKA, "req", ahead)).when(dns & (dns_flag(flags, 15, 1) == 0), rule(names.DNS, "req"))
             .when(dns, rule(names.DNS, "resp")).when(redis, rule(names.REDIS, "any")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netlens.functions import names
-from netlens.operators import annotate, connections, enrich, filters, hops, pairing, ranges, reassembly, timeline
+from netlens.operators import annotate, connections, enrich, filters, hops, inference, pairing, ranges, reassembly, timeline
 from netlens.operators.scratch import scratch_path
 from netlens.plans.oracle import CONN_EVENTS, CONTAINERS, EVENTS, KERN, MESSAGES, PROCESSES, RECORDS, SEGMENTS
 from netlens.plans.protocols import PROTOCOLS
@@ -146,6 +146,31 @@ def e14(spark, sf):
     return connections.inferred_protocol(adapters.conn_events(spark, sf))
 
 
+#: Reads of a connection by k % 12: HTTP both ways, RESP, MySQL, DNS, text of nobody, Mongo, RocketMQ, Kafka; then in two reads, length
+#: first, Kafka and MySQL, and a length that is not that of what follows. Expected: (protocol, message, prepended) of the last read.
+_READS = [["474554202F20485454502F312E310D0A0D0A"], ["485454502F312E3120323030204F4B0D0A0D0A"], ["3A370D0A"], ["090000000353454C4543542031"], ["1A2B0100000100000000000003777777"], ["706C61696E2074657874206F66206E6F626F6479"],
+          ["100000000700000000000000DD070000"], ["0000001E0000001A7B22636F6465223A31307D" + "20" * 15], ["0000000C000300010000000700000000"], ["0000000C", "000300010000000700000000"], ["05000000", "0353454C45"], ["0000000C", "00030001000000070000000000"]]
+_READ_TAGS = {0: (2, "req", False), 1: (2, "resp", False), 2: (8, "any", False), 3: (4, "req", False), 4: (7, "req", False), 6: (10, "req", False), 7: (14, "req", False), 8: (11, "req", False), 9: (11, "req", True), 10: (4, "req", False)}
+_READ_SQL = MESSAGES + ", reads AS (SELECT m.*, u.i, m.seq * 2 + u.i AS arrival, m.seq % 2 = 0 AS egress FROM messages m, (VALUES (0), (1)) u(i) WHERE u.i = 0 OR m.k % 12 >= 9), tags AS (SELECT r.*, " + ", ".join(
+    f"CASE WHEN i = 1 OR k % 12 < 9 THEN CASE k % 12 {' '.join(f'WHEN {k} THEN {str(t[at]).lower() if at == 2 else repr(t[at])}' for k, t in _READ_TAGS.items())} END END AS {name}" for at, name in enumerate(("protocol", "message", "prepended"))) + " FROM reads r)"
+
+
+def _reads(spark, sf):
+    kinds = F.array(*[F.array(*[F.lit(x) for x in reads]) for reads in _READS])
+    m = adapters.messages(spark, sf).select("conn_id", "ts_ns", "seq", F.posexplode(F.get(kinds, (c("k") % 12).cast("int"))).alias("i", "h"))
+    return m.select("conn_id", "ts_ns", (c("seq") * 2 + c("i")).alias("arrival"), (c("seq") % 2 == 0).alias("egress"), F.unhex("h").alias("payload"))
+
+
+@query("b13_reads", "SELECT conn_id, arrival, CAST(protocol AS INTEGER) AS protocol, message, prepended FROM tags", (_READ_SQL,))
+def b13_reads(spark, sf):
+    return inference.tagged_reads(_reads(spark, sf)).select("conn_id", "arrival", "protocol", "message", "prepended")
+
+
+@query("e14_first_inference", """SELECT conn_id, CAST(protocol AS INTEGER) AS protocol, CASE WHEN message = 'any' THEN 'unknown' WHEN egress = (message = 'req') THEN 'client' ELSE 'server' END AS role, ts_ns, prepended FROM tags WHERE protocol IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conn_id ORDER BY ts_ns, arrival) = 1""", (_READ_SQL,))
+def e14_reads(spark, sf):
+    return inference.inferred_connections(_reads(spark, sf))
+
+
 @query("e15_events_per_connection", "SELECT conn_id, count(*) AS events FROM kern GROUP BY conn_id", (KERN,))
 def e15(spark, sf):
     return connections.events_per_connection(adapters.kern_events(spark, sf))
