@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netlens.functions import names
-from netlens.operators import annotate, connections, enrich, filters, hops, inference, pairing, ranges, reassembly, timeline
+from netlens.operators import annotate, connections, enrich, filters, hops, inference, lifetimes, pairing, ranges, reassembly, timeline
 from netlens.operators.scratch import scratch_path
 from netlens.plans.oracle import CONN_EVENTS, CONTAINERS, EVENTS, KERN, MESSAGES, PROCESSES, RECORDS, SEGMENTS
 from netlens.plans.protocols import PROTOCOLS
@@ -345,6 +345,40 @@ def d15(spark, sf):
     return enrich.of_process_tree(adapters.records(spark, sf), p, p.where("name = '/usr/bin/red-widget'")).select("record_id", "pid")
 
 
+#: Processes of 40 pids that are used again and again: signups begin one, errors end it.
+_LIVES = EVENTS + """, px AS (SELECT user_id % 40 AS pid, CASE event_type WHEN 'signup' THEN 'exec' ELSE 'exit' END AS kind, max(struct_pack(name := '/usr/bin/worker-' || (k % 5), ppid := (user_id * 7 + k) % 40)) AS p, ts_ns FROM events_v WHERE event_type IN ('signup', 'error') GROUP BY ALL),
+lives AS (SELECT pid || '@' || ts_ns AS life, pid, p.ppid AS ppid, p.name AS name, ts_ns AS start_ns, end_ns, lead(ts_ns) OVER (PARTITION BY pid ORDER BY ts_ns) AS next_ns FROM (SELECT *, lead(ts_ns) OVER (PARTITION BY pid ORDER BY ts_ns, kind = 'exec') AS end_ns FROM px) WHERE kind = 'exec'),
+calls AS (SELECT event_id, user_id % 40 AS pid, ts_ns FROM events_v WHERE event_type IN ('view', 'click', 'purchase'))"""
+
+
+def _lives(spark, sf):
+    e = adapters.events(spark, sf)
+    kind = F.when(c("event_type") == "signup", "exec").when(c("event_type") == "error", "exit")
+    pid = c("user_id") % 40
+    rows = e.select(pid.alias("pid"), ((c("user_id") * 7 + c("k")) % 40).alias("ppid"), kind.alias("kind"), F.concat(F.lit("/usr/bin/worker-"), (c("k") % 5).cast("string")).alias("name"), F.lit(None).cast("long").alias("net_ns"), "ts_ns").where("kind is not null")
+    calls = e.where(c("event_type").isin("view", "click", "purchase")).select("event_id", pid.alias("pid"), "ts_ns")
+    return lifetimes.lifetimes(rows), calls
+
+
+@query("a4_lifetimes", "SELECT pid, ppid, name, start_ns, end_ns FROM lives", (_LIVES,))
+def a4_lifetimes(spark, sf):
+    return _lives(spark, sf)[0].select("pid", "ppid", "name", "start_ns", "end_ns")
+
+
+@query("c1_c2_process_at_time", "SELECT event_id, c.pid, name AS process_name, start_ns AS process_start_ns FROM calls c LEFT JOIN lives v ON v.pid = c.pid AND c.ts_ns >= v.start_ns AND (v.end_ns IS NULL OR c.ts_ns < least(v.end_ns + 60000000000, coalesce(v.next_ns, v.end_ns + 60000000000)))", (_LIVES,))
+def c1_lifetimes(spark, sf):
+    """A process is found for a minute after its end, unless its pid has begun anew."""
+    lives, calls = _lives(spark, sf)
+    return lifetimes.processes_at(calls, lives, "ts_ns", grace_ns=60_000_000_000).select("event_id", "pid", "process_name", "process_start_ns")
+
+
+@query("d15_tree_at_time", """, links AS (SELECT v.life, p.life AS parent FROM lives v JOIN lives p ON p.pid = v.ppid AND v.ppid <> v.pid AND p.start_ns < v.start_ns AND (p.end_ns IS NULL OR v.start_ns - 1 < p.end_ns)),
+ below AS (SELECT life FROM lives WHERE contains(name, '/worker-3') UNION SELECT l.life FROM below b JOIN links l ON l.parent = b.life) SELECT event_id, c.pid FROM calls c JOIN lives v ON v.pid = c.pid AND c.ts_ns >= v.start_ns AND (v.end_ns IS NULL OR c.ts_ns < v.end_ns) WHERE v.life IN (SELECT life FROM below)""".replace(", links AS", "SELECT * FROM (WITH RECURSIVE links AS", 1) + ")", (_LIVES,))
+def d15_lifetimes(spark, sf):
+    lives, calls = _lives(spark, sf)
+    return lifetimes.of_tree_at(calls, lives, lifetimes.named("worker-3"), "ts_ns").select("event_id", "pid")
+
+
 @query("d18_namespaces", "SELECT pid, net_ns FROM processes WHERE net_ns IN (SELECT net_ns FROM containers WHERE namespace = 'machinery' AND net_ns <> 0)", (PROCESSES, CONTAINERS))
 def d18(spark, sf):
     chosen = enrich.with_pods(readers.parsed_labels(adapters.containers(spark, sf))).where("namespace = 'machinery'")
