@@ -65,12 +65,17 @@ def measures(total: bool) -> list[Column]:
     return [*out, c("_sum").alias("total")] if total else out
 
 
-def stat(records: DataFrame, group_by: str = "conn", metric: str = "total-time", exact: bool = False) -> DataFrame:
+def stat(records: DataFrame, group_by: str = "conn", metric: str = "total-time", exact: bool = False, approx: bool = False) -> DataFrame:
     """One row for each class: class_id, count, failed_count, max, avg, p50, p90, p99, and total for sizes.
 
-    Percentiles come from 14 counters for each class, so a hot class costs one small row from each task. exact=True takes
-    the values themselves instead. Records without the metric count but have no value.
+    Percentiles come from 14 counters for each class, so a hot class costs one small row from each task. approx=True takes them from a
+    quantile sketch instead, which holds a bounded number of values of a class and is as near in every range (rollups.SKETCH_K);
+    exact=True takes all values, those of a class in one task. Records without the metric count but have no value.
     """
+    if approx:
+        from netlens.operators import rollups
+
+        return rollups.measured(rollups.states(records, group_by, metric), metric in SIZES, approx=True)
     rows = _base(records, metric).withColumn("class_id", CLASSIFIERS[group_by]())
     if exact:
         extra = [F.percentile("_value", F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 99)]

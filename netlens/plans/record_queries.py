@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netlens.functions import histogram, names, scalars
-from netlens.operators import bodies, enrich, filters, hops, stats, watch
+from netlens.functions import histogram, names, scalars, sql
+from netlens.operators import bodies, enrich, filters, hops, rollups, stats, watch
 from netlens.operators.filters import RecordFilter
 from netlens.plans.oracle import CONTAINERS, EVENTS, KERN, MESSAGES, NAT, PROCESSES, RECORDS
 from netlens.plans.registry import query
@@ -365,6 +365,45 @@ def e3_exact(spark, sf):
     return stats.stat(adapters.records(spark, sf), "remote-ip", "total-time", exact=True).select("class_id", "p50", "p90")
 
 
+#: Shares of a class's values that a sketch's percentile may be off by.
+_OFF = 0.03
+
+
+@query("e3_approximate", "SELECT remote_addr AS class_id, count(*) AS count, max(total_ns) / 1e6 AS max, true AS p50_near, true AS p90_near, true AS p99_near FROM records GROUP BY remote_addr", (RECORDS,))
+def e3_approx(spark, sf):
+    """Percentiles of sketches, and whether the values up to each of them are the share that they should be."""
+    r = adapters.records(spark, sf)
+    told = stats.stat(r, "remote-ip", "total-time", approx=True).select("class_id", "count", "max", "p50", "p90", "p99")
+    up_to = r.select(c("remote_addr").alias("class_id"), (c("total_ns") / 1e6).alias("v")).join(told, "class_id").groupBy("class_id").agg(F.min("count").alias("count"), F.min("max").alias("max"), *(F.struct(F.count_if(c("v") < c(p)), F.count_if(c("v") <= c(p))).alias(p) for p in ("p50", "p90", "p99")))
+    near = lambda p: (c(p)["col1"] <= (int(p[1:]) / 100 + _OFF) * c("count")) & (c(p)["col2"] >= (int(p[1:]) / 100 - _OFF) * c("count"))
+    return up_to.select("class_id", "count", "max", *(near(p).alias(f"{p}_near") for p in ("p50", "p90", "p99")))
+
+
+_DAILY = "SELECT * FROM (WITH " + _stat_sql("remote-ip", "respsize").removeprefix(", ").replace("x AS (SELECT *,", "x AS (SELECT *, start_ns // 86400000000000 AS day,").replace("g AS (SELECT class_id,", "g AS (SELECT class_id, day,").replace("GROUP BY class_id)", "GROUP BY class_id, day)").replace(") SELECT class_id,", ") SELECT class_id, day,") + ")"
+
+
+@query("e3_j3_daily_states", _DAILY, (RECORDS,))
+def e3_states(spark, sf):
+    """States of hours, merged to days."""
+    hours = rollups.states(adapters.records(spark, sf), "remote-ip", "respsize", 3600)
+    days = rollups.merged(hours.withColumn("day", F.expr("window_us div 86400000000")), "class_id", "day")
+    return rollups.measured(days, total=True)
+
+
+@query("j3_sql_rollup", _DAILY, (RECORDS,))
+def j3_sql(spark, sf):
+    """The same as SQL texts: counters of hours, stored as arrays, then days from those."""
+    hours = sql.register(spark).sql("""
+        SELECT class_id, hour, sum(n) AS count, sum(failed) AS failed_count, max(top) AS max, sum(s) AS total, netlens_counters(collect_list(struct(bucket, n))) AS h
+        FROM (SELECT remote_addr AS class_id, start_ns div 3600000000000 AS hour, netlens_bucket(CAST(resp_size AS DOUBLE)) AS bucket, count(*) AS n, count_if(response_status <> 1) AS failed, max(CAST(resp_size AS DOUBLE)) AS top, sum(CAST(resp_size AS DOUBLE)) AS s
+              FROM {records} GROUP BY ALL) GROUP BY class_id, hour""", records=adapters.records(spark, sf))
+    return spark.sql("""
+        WITH days AS (SELECT class_id, hour div 24 AS day, sum(count) AS count, sum(failed_count) AS failed_count, max(max) AS max, sum(total) AS total FROM {hours} GROUP BY ALL),
+        parts AS (SELECT class_id, hour div 24 AS day, bucket, sum(n) AS n FROM {hours} LATERAL VIEW posexplode(h) x AS bucket, n GROUP BY ALL),
+        states AS (SELECT class_id, day, netlens_counters(collect_list(struct(bucket, n))) AS h FROM parts GROUP BY ALL)
+        SELECT class_id, day, count, failed_count, max, total / count AS avg, netlens_percentile(h, 50) AS p50, netlens_percentile(h, 90) AS p90, netlens_percentile(h, 99) AS p99, total FROM days JOIN states USING (class_id, day)""", hours=hours)
+
+
 @query("e4_top_samples", "SELECT record_id, remote_addr AS class_id, total_ns / 1e6 AS value, CAST(row_number() OVER (PARTITION BY remote_addr ORDER BY total_ns DESC, start_ns, record_id) AS INTEGER) AS rank FROM records QUALIFY rank <= 5", (RECORDS,))
 def e4(spark, sf):
     return stats.top_samples(adapters.records(spark, sf), "remote-ip", "total-time", 5).select("record_id", "class_id", "value", "rank")

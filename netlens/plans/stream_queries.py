@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netlens.functions import names
+from netlens.operators import rollups
 from netlens.operators import stats as batch_stats
 from netlens.plans.event_queries import _E10_STEPS, _e10_sql
 from netlens.plans.oracle import EVENTS, MESSAGES, RECORDS
@@ -38,6 +39,12 @@ def i2(spark, sf):
     return run_available(stats.windowed(_records(spark, sf), 3600, "protocol", "respsize")).select("window_us", "class_id", "count", "max", "total")
 
 
+@query("i2_merged_windows", "SELECT * FROM (WITH " + _stat_sql("protocol", "respsize", "WHERE (start_ns // 3600000000000 + 1) * 3600000000 <= (SELECT max(start_ns) // 1000000 * 1000 FROM records) - 1000000").removeprefix(", ") + ")", (RECORDS,))
+def i2_merged(spark, sf):
+    """States of the windows that are over, merged to the whole."""
+    return rollups.measured(rollups.merged(run_available(stats.windowed_states(_records(spark, sf), 3600, "protocol", "respsize")), "class_id"), total=True)
+
+
 @query("i4_pair_by_id", "SELECT q.conn_id, q.corr_id, q.ts_ns AS req_ts, r.ts_ns AS resp_ts, q.seq AS req_seq, r.seq AS resp_seq FROM messages q JOIN messages r ON q.conn_id = r.conn_id AND q.corr_id = r.corr_id AND q.is_req AND NOT r.is_req AND r.ts_ns >= q.ts_ns AND r.ts_ns <= q.ts_ns + 3600000000000", (MESSAGES,))
 def i4a(spark, sf):
     return run_available(pairing.pair_by_id(_messages(spark, sf), timeout="60 minutes"))

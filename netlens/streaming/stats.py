@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.functions import histogram
-from netlens.operators import stats
+from netlens.operators import rollups, stats
 from netlens.streaming.run import event_time
 
 c = F.col
@@ -32,6 +32,13 @@ def windowed(records: DataFrame, seconds: int, group_by: str = "conn", metric: s
     return histogram.cumulated(out).select(F.unix_micros("w.start").alias("window_us"), "class_id", *stats.measures(metric in stats.SIZES))
 
 
+def windowed_states(records: DataFrame, seconds: int, group_by: str = "conn", metric: str = "total-time", delay: str = SETTLE) -> DataFrame:
+    """rollups.states() of each window of `seconds`, once it is over; rollups.merged() makes hours and days of them."""
+    rows = stats._base(settled(records, delay), metric).withColumn("class_id", stats.CLASSIFIERS[group_by]())
+    out = rows.groupBy(F.window("event_time", f"{seconds} seconds").alias("w"), "class_id").agg(*rollups.state_columns())
+    return out.select(F.unix_micros("w.start").alias("window_us"), *[k for k in out.columns if k != "w"])
+
+
 def deduplicated(events: DataFrame, keys: list[str], delay: str = SETTLE) -> DataFrame:
     """Events that have not been seen within the watermark. events has event_time."""
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(keys)
