@@ -144,6 +144,20 @@ def test_overlap_of_all_lengths(rows):
     assert found.count() == sum(s < t + m and s + n > t for _, s, n in ev for _, t, m in ra)
 
 
+@pytest.mark.parametrize("long_events, long_ranges", [(3, 3), (4, 0), (0, 4), (0, 0)])
+def test_overlap_of_few_long_ones(rows, long_events, long_ranges):
+    """Short rows, and up to one in a hundred that is thousands to millions of times as long: those have bins of their own."""
+    rng = random.Random(9)
+    short = lambda n: [(k % 3, rng.randrange(20_000), rng.randint(1, 40)) for k in range(n)]
+    long = lambda n: [(k % 3, rng.randrange(10_000) - (5 << 4 * k), 3000 << 4 * k) for k in range(n)]
+    ev, ra = short(500) + long(long_events), short(400) + long(long_ranges)
+    e, r = rows(ev, "conn_id long, seq long, len long"), rows([(k, s, s + n) for k, s, n in ra], "conn_id long, start long, end long")
+    usual, of_e, of_r = ranges._size_classes(e, r)
+    assert usual <= 9 and (len(of_e), len(of_r)) == (1 + long_events, 1 + long_ranges)
+    want = sorted((k, s, n, t, t + m) for k, s, n in ev for j, t, m in ra if j == k and s < t + m and s + n > t)
+    assert sorted(map(tuple, ranges.overlap_join(e, r).select("conn_id", "seq", "len", "start", "end").collect())) == want
+
+
 SEG = "conn_id long, direction string, arrival long, seq long, payload binary"
 
 
