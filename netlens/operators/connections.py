@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.functions import names
+from netlens.operators import scan
 
 c = F.col
 
@@ -22,11 +23,12 @@ def lifecycles(conn_events: DataFrame) -> DataFrame:
     return out.select("tgid_fd", "start_ns", "next_ns", F.when(c("close_ns") > c("start_ns"), c("close_ns")).alias("close_ns"))
 
 
-def lookup(events: DataFrame, connections: DataFrame) -> DataFrame:
+def lookup(events: DataFrame, connections: DataFrame, blocks: int | None = None) -> DataFrame:
     """events(tgid_fd, ts_ns, seq) with the start_ns of their connection: the newest one of the descriptor if it began before the event,
     else the newest earlier one that covers it. Events without one go.
 
-    An as-of join by union and window: the events of a descriptor meet its connections in order of time, once.
+    An as-of join by union and window: the events of a descriptor meet its connections in order of time, once. With `blocks` a busy
+    descriptor's events are cut into blocks (scan.running).
     """
     of = Window.partitionBy("tgid_fd").orderBy("start_ns", c("next_ns").asc_nulls_last())
     starts = connections.withColumn("_conn", F.struct("start_ns", "close_ns", "next_ns"))
@@ -34,8 +36,7 @@ def lookup(events: DataFrame, connections: DataFrame) -> DataFrame:
     kind = starts.schema["_conn"].dataType
     both = events.withColumns({"_conn": F.lit(None).cast(kind), "_last": F.lit(None).cast(kind), "_event": F.lit(1)}).unionByName(starts.withColumn("_event", F.lit(0)), allowMissingColumns=True)
     # connections come before events of the same time; the one before the last is kept too, for events at the start of the newest
-    w = Window.partitionBy("tgid_fd").orderBy("ts_ns", "_event").rowsBetween(Window.unboundedPreceding, 0)
-    rows = both.withColumn("_conn", F.last("_conn", ignorenulls=True).over(w)).withColumn("_before", F.last(F.col("_last"), ignorenulls=True).over(w))
+    rows = scan.running(both, ["tgid_fd"], ["ts_ns", "_event"], {"_conn": ("last", c("_conn"), True), "_before": ("last", c("_last"), True)}, blocks)
     covers = lambda x: (c(f"{x}.start_ns") <= c("ts_ns")) & (c("ts_ns") <= F.coalesce(f"{x}.close_ns", f"{x}.next_ns"))
     newest = c("_conn.next_ns").isNull()
     start = (F.when(newest & (c("_conn.start_ns") < c("ts_ns")), c("_conn.start_ns")).when(~newest & covers("_conn"), c("_conn.start_ns"))

@@ -1,34 +1,41 @@
-"""Requests and responses become pairs. Every rule is a window or an equi-join inside (connection, stream or id)."""
+"""Requests and responses become pairs. Every rule is a window or an equi-join inside (connection, stream or id).
+
+Rules that take `blocks` run a group in one task without it; with it a long group is cut into blocks (scan.running), with equal rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netlens.operators import scan
 from netlens.operators.scratch import written
 
 c = F.col
 _PAIR = ("conn_id", "req_ts", "resp_ts", "req_seq", "resp_seq")
 
 
-def _paired(rows: DataFrame, keys: list[str], tie: str) -> DataFrame:
+def _paired(rows: DataFrame, keys: list[str], tie: str, blocks: int | None = None) -> DataFrame:
     """A response whose predecessor is a request takes it; a response resets what is pending."""
     first = c("is_req").cast("int") if tie == "response" else -c("is_req").cast("int")
+    if blocks:
+        out = scan.previous(rows, keys, ["ts_ns", first, "seq"], ["is_req", "ts_ns", "seq", "byte_size"], "_q", blocks).where(~c("is_req") & c("_q.is_req"))
+        return out.select(*keys, c("_q.ts_ns").alias("req_ts"), c("ts_ns").alias("resp_ts"), c("_q.seq").alias("req_seq"), c("seq").alias("resp_seq"), c("_q.byte_size").alias("req_size"), c("byte_size").alias("resp_size"))
     w = Window.partitionBy(*keys).orderBy("ts_ns", first, "seq")
     lag = lambda x: F.lag(x).over(w)
     out = rows.withColumns({"_was_req": lag("is_req"), "req_ts": lag("ts_ns"), "req_seq": lag("seq"), "req_size": lag("byte_size")})
     return out.where(~c("is_req") & c("_was_req")).select(*keys, "req_ts", c("ts_ns").alias("resp_ts"), "req_seq", c("seq").alias("resp_seq"), "req_size", c("byte_size").alias("resp_size"))
 
 
-def pair_fifo(messages: DataFrame) -> DataFrame:
+def pair_fifo(messages: DataFrame, blocks: int | None = None) -> DataFrame:
     """Each response takes the latest request since the response before it; older requests of a run and orphan responses go. At equal
     times the response comes first."""
-    return _paired(messages, ["conn_id"], "response")
+    return _paired(messages, ["conn_id"], "response", blocks)
 
 
-def pair_by_stream(messages: DataFrame) -> DataFrame:
+def pair_by_stream(messages: DataFrame, blocks: int | None = None) -> DataFrame:
     """As pair_fifo inside each stream, but at equal times the request comes first."""
-    return _paired(messages, ["conn_id", "stream_id"], "request")
+    return _paired(messages, ["conn_id", "stream_id"], "request", blocks)
 
 
 def _one(rows: DataFrame, keys: list[str], last: bool) -> DataFrame:
@@ -53,17 +60,16 @@ def _by_id(messages: DataFrame, keys: list[str], first_request: bool, last_respo
     return req.join(resp, keys)
 
 
-def pair_queued(messages: DataFrame, keys: tuple[str, ...] = ("conn_id", "stream_id")) -> DataFrame:
+def pair_queued(messages: DataFrame, keys: tuple[str, ...] = ("conn_id", "stream_id"), blocks: int | None = None) -> DataFrame:
     """Each response takes the earliest request that still waits under its id; requests come first at equal times. A response that
     finds none waiting is an orphan: the running balance reaches a new low below zero there."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("ts_ns", F.lit(1) - c("is_req").cast("int"), "seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = messages.withColumn("_c", F.sum(2 * c("is_req").cast("int") - 1).over(w))
-    before = Window.partitionBy(*keys).orderBy("ts_ns", F.lit(1) - c("is_req").cast("int"), "seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_low", F.least(F.coalesce(F.min("_c").over(before), F.lit(0)), F.lit(0)))
-    order = Window.partitionBy(*keys).orderBy("ts_ns", "seq")
-    req = rows.where("is_req").withColumn("_n", F.row_number().over(order)).select(*keys, "_n", c("ts_ns").alias("req_ts"), c("seq").alias("req_seq"))
-    resp = rows.where(~c("is_req") & (c("_c") >= c("_low"))).withColumn("_n", F.row_number().over(order)).select(*keys, "_n", c("ts_ns").alias("resp_ts"), c("seq").alias("resp_seq"))
+    keys, order = list(keys), ["ts_ns", F.lit(1) - c("is_req").cast("int"), "seq"]
+    rows = scan.running(messages, keys, order, {"_c": ("sum", 2 * c("is_req").cast("int") - 1, True)}, blocks)
+    rows = scan.running(rows, keys, order, {"_low": ("min", c("_c"), False)}, blocks)
+    rows = rows.withColumn("_low", F.least(F.coalesce("_low", F.lit(0)), F.lit(0)))
+    numbered = lambda some: scan.running(some, keys, ["ts_ns", "seq"], {"_n": ("sum", F.lit(1), True)}, blocks)
+    req = numbered(rows.where("is_req")).select(*keys, "_n", c("ts_ns").alias("req_ts"), c("seq").alias("req_seq"))
+    resp = numbered(rows.where(~c("is_req") & (c("_c") >= c("_low")))).select(*keys, "_n", c("ts_ns").alias("resp_ts"), c("seq").alias("resp_seq"))
     return req.join(resp, [*keys, "_n"]).drop("_n")
 
 
@@ -89,15 +95,14 @@ def stitch_chains(responses: DataFrame) -> DataFrame:
         moved = ways.where("is_open").join(further, ["conn_id", "up"]).select(
             "conn_id", "request_id", "more_to_come", "byte_size", "body", c("_up").alias("up"), c("_head").alias("head_id"), (c("depth") + c("_depth")).alias("depth"), c("_open").alias("is_open"))
         ways, reach = written(ways.where("not is_open").unionByName(moved), "ways"), 2 * reach
-    ways.where("not is_open").createOrReplaceTempView("_netlens_ways")
-    return spark.sql("SELECT conn_id, head_id, count(*) AS frames, sum(byte_size) AS byte_size, listagg(body || ' ') WITHIN GROUP (ORDER BY depth, request_id) AS body FROM _netlens_ways GROUP BY conn_id, head_id")
+    done = ways.where("not is_open")
+    return spark.sql("SELECT conn_id, head_id, count(*) AS frames, sum(byte_size) AS byte_size, listagg(body || ' ') WITHIN GROUP (ORDER BY depth, request_id) AS body FROM {done} GROUP BY conn_id, head_id", done=done)
 
 
-def group_response_runs(packets: DataFrame) -> DataFrame:
+def group_response_runs(packets: DataFrame, blocks: int | None = None) -> DataFrame:
     """Responses between a request and the next one, as far as their packet ids run 1, 2, 3 ... (a byte that wraps): req_seq, packets,
     resp_size, and the status that the first packet's head decides (0 OK: success, 255 ERR: fail, else a result set: unknown)."""
-    w = Window.partitionBy("conn_id").orderBy("ts_ns", c("is_req").cast("int"), "seq")
-    rows = packets.withColumn("req_seq", F.last(F.when(c("is_req"), c("seq")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = scan.running(packets, ["conn_id"], ["ts_ns", c("is_req").cast("int"), "seq"], {"req_seq": ("last", F.when(c("is_req"), c("seq")), True)}, blocks)
     rows = rows.where(~c("is_req") & c("req_seq").isNotNull())
     run = Window.partitionBy("conn_id", "req_seq").orderBy("ts_ns", "seq")
     rows = rows.withColumn("_n", F.row_number().over(run)).withColumn("_fits", (c("packet_id") == c("_n") % 256).cast("int"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netlens.operators import scan
+
 c = F.col
 
 #: Share of the longest rows that may have bins of their own; how many powers of two longer than the others they are then; and how far
@@ -75,10 +77,9 @@ def map_tls(ssl_events: DataFrame, messages: DataFrame, keys: tuple[str, ...] =
     return inside.groupBy(*keys, "start", "end").agg(start.alias("kern_start"), (end - start).alias("kern_len"), F.bool_and(c("syscall_len") > 0).alias("valid"))
 
 
-def time_of_offset(offsets: DataFrame, segments: DataFrame, keys: tuple[str, ...] = ("conn_id",)) -> DataFrame:
+def time_of_offset(offsets: DataFrame, segments: DataFrame, keys: tuple[str, ...] = ("conn_id",), blocks: int | None = None) -> DataFrame:
     """offsets(keys, seq, ...) with ts_ns: the time of the segment with the greatest seq that is not beyond the offset; of segments at one
     seq the first that came counts."""
     s = segments.groupBy(*keys, "seq").agg(F.min_by("ts_ns", "arrival").alias("_ts"))
     both = offsets.withColumn("_q", F.lit(1)).unionByName(s.withColumn("_q", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("seq", "_q").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("ts_ns", F.last("_ts", ignorenulls=True).over(w)).where("_q = 1").drop("_q", "_ts")
+    return scan.running(both, keys, ["seq", "_q"], {"ts_ns": ("last", c("_ts"), True)}, blocks).where("_q = 1").drop("_q", "_ts")

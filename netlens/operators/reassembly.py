@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netlens.operators import scan
+
 c = F.col
 
 #: A gap or a fall of this many bytes begins a new epoch of a stream.
@@ -30,18 +32,17 @@ def wrapped_islands(segments: DataFrame, keys: tuple[str, ...] = ("conn_id", "di
     return out.withColumns({"epoch": (F.dense_rank().over(order.orderBy("_wrap", "epoch")) - 1).cast("long"), "island": F.row_number().over(order.orderBy("_wrap", "island")).cast("long")}).drop("_wrap")
 
 
-def islands(segments: DataFrame, keys: tuple[str, ...] = ("conn_id", "direction")) -> DataFrame:
+def islands(segments: DataFrame, keys: tuple[str, ...] = ("conn_id", "direction"), blocks: int | None = None) -> DataFrame:
     """Fused ranges of each stream: (keys, epoch, island, start, end, segments, bytes).
 
     Of segments at one seq the first to arrive counts; overlapping and adjacent ranges are fused, a gap leaves two ranges, and
-    a gap of MIB or more begins a new epoch. seq must not wrap (wrapped_islands() takes such streams). Gaps and islands by windows.
+    a gap of MIB or more begins a new epoch. seq must not wrap (wrapped_islands() takes such streams). Gaps and islands by windows, of long
+    streams in `blocks` (scan.running).
     """
     first = segments.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "seq").orderBy("arrival"))).where("_n = 1").withColumn("_end", c("seq") + c("len"))
-    w = Window.partitionBy(*keys).orderBy("seq")
-    reach = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = first.withColumn("_reach", reach)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"epoch": F.sum(F.coalesce((c("seq") - c("_reach") >= MIB).cast("int"), F.lit(0))).over(upto), "island": F.sum(F.coalesce((c("seq") > c("_reach")).cast("int"), F.lit(1))).over(upto)})
+    rows = scan.running(first, keys, ["seq"], {"_reach": ("max", c("_end"), False)}, blocks)
+    far, apart = (c("seq") - c("_reach") >= MIB).cast("int"), (c("seq") > c("_reach")).cast("int")
+    rows = scan.running(rows, keys, ["seq"], {"epoch": ("sum", F.coalesce(far, F.lit(0)), True), "island": ("sum", F.coalesce(apart, F.lit(1)), True)}, blocks)
     return rows.groupBy(*keys, "epoch", "island").agg(F.min("seq").alias("start"), F.max("_end").alias("end"), F.count(F.lit(1)).alias("segments"), F.sum("len").alias("bytes"))
 
 

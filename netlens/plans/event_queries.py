@@ -35,6 +35,12 @@ def d5(spark, sf):
     return pairing.pair_by_stream(adapters.messages(spark, sf))
 
 
+@query("d1_pair_fifo_long", _lag_sql("conn_id", "response").replace("FROM messages", "FROM (SELECT * REPLACE (conn_id % 2 AS conn_id) FROM messages)"), (MESSAGES,))
+def d1_long(spark, sf):
+    """Two connections have all messages; each is cut into blocks."""
+    return pairing.pair_fifo(adapters.messages(spark, sf).withColumn("conn_id", c("conn_id") % 2), blocks=16)
+
+
 def _id_sql(req: str, resp: str, where: str = "") -> str:
     side = lambda is_req, order: f"(SELECT * FROM messages WHERE {is_req} QUALIFY row_number() OVER (PARTITION BY conn_id, corr_id ORDER BY ts_ns {order}, seq {order}) = 1)"
     return f"SELECT q.conn_id, q.corr_id, q.ts_ns AS req_ts, q.seq AS req_seq, q.byte_size AS req_size, r.ts_ns AS resp_ts, r.seq AS resp_seq, r.byte_size AS resp_size FROM {side('is_req', req)} q JOIN {side('NOT is_req', resp)} r ON q.conn_id = r.conn_id AND q.corr_id = r.corr_id {where}"
