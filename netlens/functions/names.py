@@ -21,11 +21,16 @@ KAFKA_KEYS = [
     "Produce", "Fetch", "ListOffsets", "Metadata", "LeaderAndIsr", "StopReplica", "UpdateMetadata", "ControlledShutdown", "OffsetCommit", "OffsetFetch", "FindCoordinator", "JoinGroup", "Heartbeat",
     "LeaveGroup", "SyncGroup", "DescribeGroups", "ListGroups", "SaslHandshake", "ApiVersions", "CreateTopics", "DeleteTopics", "DeleteRecords", "InitProducerId", "OffsetForLeaderEpoch", "AddPartitionsToTxn",
     "AddOffsetsToTxn", "EndTxn", "WriteTxnMarkers", "TxnOffsetCommit", "DescribeAcls", "CreateAcls", "DeleteAcls", "DescribeConfigs", "AlterConfigs", "AlterReplicaLogDirs", "DescribeLogDirs", "SaslAuthenticate", "CreatePartitions",
+    "CreateDelegationToken", "ReneDelegationToken", "ExpireDelegationToken", "DescribeDelegationToken", "DeleteGroups", "ElectLeaders", "IncrementalAlterConfigs", "AlterPartitionReassignments",
+    "ListPartitionReassignments", "OffsetDelete", "DescribeClientQuotas", "AlterClientQuotas", "DescribeUserScramCredentials", "AlterUserScramCredentials",
 ]
+# Request kinds with greater keys; there are none between.
+KAFKA_LATER_KEYS = {56: "AlterIsr", 57: "UpdateFeatures", 60: "DescribeCluster", 61: "DescribeProducers"}
 # Highest version of any Kafka request; least version and first flexible version (none: null) of each kind, by key.
 KAFKA_MAX_VERSION = 17
 KAFKA_LEAST_VERSIONS = {0: 1}
-KAFKA_FLEXIBLE_FROM = [9, 12, 6, 9, 4, 2, 6, 3, 8, 6, 3, 6, 4, 4, 4, 5, 3, None, 3, 5, 4, 2, 2, 4, 3, 3, 3, 1, 3, 2, 2, 2, 4, 2, 2, 2, 2, 2]
+KAFKA_FLEXIBLE_FROM = [9, 12, 6, 9, 4, 2, 6, 3, 8, 6, 3, 6, 4, 4, 4, 5, 3, None, 3, 5, 4, 2, 2, 4, 3, 3, 3, 1, 3, 2, 2, 2, 4, 2, 2, 2, 2, 2, 2, 2, 2, 2, 5, 2, 1, 0, 0, None, 1, 1, 0, 0]
+KAFKA_LATER_FLEXIBLE_FROM = {56: 0, 57: 0, 60: 0, 61: 0}
 # TCP flag masks.
 TCP_FLAGS = {"ACK": 16, "PSH": 8, "RST": 4, "SYN": 2}
 # First words of Redis commands of two words.
@@ -85,16 +90,17 @@ def rocketmq_language_code(name: Column) -> Column:
 
 
 def kafka_key_name(code: Column) -> Column:
-    return _looked_up(code, KAFKA_KEYS, F.lit("Unknown"))
+    return _looked_up(code, dict(enumerate(KAFKA_KEYS)) | KAFKA_LATER_KEYS, F.lit("Unknown"))
 
 
 def kafka_supported(code: Column, version: Column) -> Column:
     least = F.coalesce(*[F.when(code == k, F.lit(v)) for k, v in KAFKA_LEAST_VERSIONS.items()], F.lit(0))
-    return code.between(0, len(KAFKA_FLEXIBLE_FROM) - 1) & (version >= least) & (version <= KAFKA_MAX_VERSION)
+    return (code.between(0, len(KAFKA_KEYS) - 1) | code.isin(*KAFKA_LATER_KEYS)) & (version >= least) & (version <= KAFKA_MAX_VERSION)
 
 
 def kafka_flexible(code: Column, version: Column) -> Column:
-    first = F.get(F.array(*[F.lit(v).cast("int") for v in KAFKA_FLEXIBLE_FROM]), code)
+    later = F.coalesce(*[F.when(code == k, F.lit(v)) for k, v in KAFKA_LATER_FLEXIBLE_FROM.items()])
+    first = F.coalesce(F.get(F.array(*[F.lit(v).cast("int") for v in KAFKA_FLEXIBLE_FROM]), code), later)
     return F.coalesce(version >= first, F.lit(False))
 
 

@@ -35,12 +35,42 @@ def choose_containers(containers: DataFrame, container_id: str | None = None, na
     return rows
 
 
-def attach_containers(processes: DataFrame, containers: DataFrame) -> DataFrame:
-    """processes with the container of their pid, else of their network namespace (the smallest id where several share it)."""
-    by_pid = containers.groupBy(c("root_pid").alias("pid")).agg(F.min(F.struct("id", "name")).alias("_p"))
-    by_net = containers.where("net_ns <> 0").groupBy("net_ns").agg(F.min(F.struct("id", "name")).alias("_n"))
-    rows = processes.join(by_pid, "pid", "left").join(by_net, "net_ns", "left")
-    return rows.withColumns({"container_id": F.coalesce("_p.id", "_n.id"), "container_name": F.coalesce("_p.name", "_n.name")}).drop("_p", "_n")
+def _sandboxes(containers: DataFrame) -> DataFrame:
+    labels = F.from_json("labels", "map<string,string>") if containers.schema["labels"].dataType.simpleString() == "string" else c("labels")
+    return containers.withColumn("_sandbox", scalars.is_sandbox(labels))
+
+
+def attach_containers(processes: DataFrame, containers: DataFrame, host_net_ns: int | None = None, host_mnt_ns: int | None = None, by: tuple[str, ...] = ("pid", "net_ns", "mnt_ns", "id")) -> DataFrame:
+    """processes with container_id and container_name: those of the first way in `by` that finds one.
+
+    pid: the container whose root process it is. net_ns, mnt_ns: the container in the process's namespace; of several the first by id
+    that is no sandbox, and none if all are; nothing is found in the host's namespaces, whether the process or the container names
+    them. id: processes.container_ref, a whole id or a prefix of 12 to 63 characters. Ways whose column processes lack are left out.
+    Each way is one aggregate of the containers by its key, and one join.
+    """
+    held = _sandboxes(containers.where("id is not null"))
+    one, rows, found = F.struct("id", "name"), processes, []
+    for way in by:
+        name = f"_{way}"
+        if way == "pid" and "pid" in processes.columns:
+            rows = rows.join(held.where("root_pid > 0").groupBy(c("root_pid").alias("pid")).agg(F.min(one).alias(name)), "pid", "left")
+        elif way in ("net_ns", "mnt_ns") and way in processes.columns:
+            host = {"net_ns": host_net_ns, "mnt_ns": host_mnt_ns}[way]
+            inside = held.where((c(way) > 0) & (c(way) != F.lit(host)) if host else c(way) > 0)
+            first = F.min(F.struct("_sandbox", "id", "name"))
+            best = inside.groupBy(way).agg(first.alias("_f"), F.count(F.lit(1)).alias("_n")).where("_n = 1 or not _f._sandbox").select(way, F.struct("_f.id", "_f.name").alias(name))
+            rows = rows.join(best, way, "left")
+        elif way == "id" and "container_ref" in processes.columns:
+            refs = processes.select("container_ref").where("container_ref is not null").distinct()
+            known = held.select(F.substring("id", 1, 12).alias("_head"), one.alias("_one"))
+            size = F.length("container_ref")
+            hit = refs.withColumn("_head", F.substring("container_ref", 1, 12)).join(known, "_head").where((c("_one.id") == c("container_ref")) | size.between(12, 63) & F.startswith(c("_one.id"), c("container_ref")))
+            rows = rows.join(hit.groupBy("container_ref").agg(F.min("_one").alias(name)), "container_ref", "left")
+        else:
+            continue
+        found.append(name)
+    told = lambda field: F.coalesce(*(c(f"{n}.{field}") for n in found)) if found else F.lit(None).cast("string")
+    return rows.withColumns({"container_id": told("id"), "container_name": told("name")}).drop(*found)
 
 
 def attach_prioritised(keys: DataFrame, engines: list[DataFrame], key: str = "id") -> DataFrame:

@@ -334,12 +334,25 @@ def h3(spark, sf):
     return annotate.ingress_nic(adapters.kern_events(spark, sf), ["conn_id"])
 
 
-@query("d13_containers_of_processes", "SELECT p.pid, coalesce(a.id, b.id) AS container_id, coalesce(a.name, b.name) AS container_name FROM processes p LEFT JOIN (SELECT root_pid, min(struct_pack(i := id, n := name)).i AS id, min(struct_pack(i := id, n := name)).n AS name FROM containers GROUP BY root_pid) a ON a.root_pid = p.pid "
-       "LEFT JOIN (SELECT net_ns, min(struct_pack(i := id, n := name)).i AS id, min(struct_pack(i := id, n := name)).n AS name FROM containers WHERE net_ns <> 0 GROUP BY net_ns) b ON b.net_ns = p.net_ns", (PROCESSES, CONTAINERS))
+_BY_NS = "LEFT JOIN (SELECT {0}, min(struct_pack(s := sandbox, i := id, n := name)) AS f, count(*) AS n FROM containers WHERE {0} > 0 {1} GROUP BY {0}) {2} ON {2}.{0} = p.{0} AND ({2}.n = 1 OR NOT {2}.f.s)"
+
+
+@query("d13_containers_of_processes", "SELECT p.pid, coalesce(a.x.i, b.f.i) AS container_id, coalesce(a.x.n, b.f.n) AS container_name FROM processes p LEFT JOIN (SELECT root_pid, min(struct_pack(i := id, n := name)) AS x FROM containers GROUP BY root_pid) a ON a.root_pid = p.pid " + _BY_NS.format("net_ns", "", "b"), (PROCESSES, CONTAINERS))
 def d13(spark, sf):
     return enrich.attach_containers(adapters.processes(spark, sf), adapters.containers(spark, sf)).select("pid", "container_id", "container_name")
 
 
+@query("d13_four_lookups", "SELECT p.pid, coalesce(a.x.i, b.f.i, m.f.i, r.i) AS container_id FROM (SELECT *, 4026532000 + pid % 120 AS mnt_ns, CASE WHEN pid % 4 = 0 THEN left(md5('c' || (pid % 300)), 12 + pid % 20) WHEN pid % 4 = 1 THEN md5('c' || (pid % 300)) WHEN pid % 4 = 2 THEN left(md5('c' || (pid % 300)), 8) END AS ref FROM processes) p LEFT JOIN (SELECT root_pid, min(struct_pack(i := id)) AS x FROM containers WHERE root_pid % 7 = 0 GROUP BY root_pid) a ON a.root_pid = p.pid "
+       + _BY_NS.format("net_ns", "AND net_ns <> 4026533007 AND root_pid % 7 = 0", "b") + " " + _BY_NS.format("mnt_ns", "AND mnt_ns <> 4026532011 AND root_pid % 7 = 0", "m") + " LEFT JOIN (SELECT id AS i FROM containers WHERE root_pid % 7 = 0) r ON (r.i = p.ref OR (length(p.ref) BETWEEN 12 AND 63 AND starts_with(r.i, p.ref)))", (PROCESSES, CONTAINERS))
+def d13_all(spark, sf):
+    """Every seventh container only, so that all four ways have their turn; the host has namespaces of its own."""
+    pid = c("pid")
+    whole = F.md5(F.concat(F.lit("c"), (pid % 300).cast("string")))
+    ref = F.when(pid % 4 == 0, F.substring(whole, F.lit(1), (12 + pid % 20).cast("int"))).when(pid % 4 == 1, whole).when(pid % 4 == 2, F.substring(whole, 1, 8))
+    p = adapters.processes(spark, sf).withColumns({"mnt_ns": 4026532000 + pid % 120, "container_ref": ref})
+    return enrich.attach_containers(p, adapters.containers(spark, sf).where("root_pid % 7 = 0"), 4026533007, 4026532011).select("pid", "container_id")
+
+
 @query("d14_a5_pods", "SELECT id, pod, namespace, substr(name, 2) AS container FROM containers", (CONTAINERS,))
 def d14(spark, sf):
     return enrich.with_pods(readers.parsed_labels(adapters.containers(spark, sf))).select("id", "pod", "namespace", "container")

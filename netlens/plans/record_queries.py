@@ -149,6 +149,23 @@ def b20(spark, sf):
     return adapters.records(spark, sf).where("kafka is not null").select("record_id", names.kafka_key_name(key).alias("name"), names.kafka_supported(key, version).alias("supported"), names.kafka_flexible(key, version).alias("flexible"))
 
 
+#: Least and first flexible version of every Kafka request, as a table of values: name:least:flexible, with nothing where there is none.
+_KAFKA = ("Produce:1:9 Fetch:0:12 ListOffsets:0:6 Metadata:0:9 LeaderAndIsr:0:4 StopReplica:0:2 UpdateMetadata:0:6 ControlledShutdown:0:3 OffsetCommit:0:8 OffsetFetch:0:6 FindCoordinator:0:3 JoinGroup:0:6 Heartbeat:0:4 LeaveGroup:0:4 SyncGroup:0:4 "
+          "DescribeGroups:0:5 ListGroups:0:3 SaslHandshake:0: ApiVersions:0:3 CreateTopics:0:5 DeleteTopics:0:4 DeleteRecords:0:2 InitProducerId:0:2 OffsetForLeaderEpoch:0:4 AddPartitionsToTxn:0:3 AddOffsetsToTxn:0:3 EndTxn:0:3 WriteTxnMarkers:0:1 "
+          "TxnOffsetCommit:0:3 DescribeAcls:0:2 CreateAcls:0:2 DeleteAcls:0:2 DescribeConfigs:0:4 AlterConfigs:0:2 AlterReplicaLogDirs:0:2 DescribeLogDirs:0:2 SaslAuthenticate:0:2 CreatePartitions:0:2 CreateDelegationToken:0:2 ReneDelegationToken:0:2 "
+          "ExpireDelegationToken:0:2 DescribeDelegationToken:0:2 DeleteGroups:0:5 ElectLeaders:0:2 IncrementalAlterConfigs:0:1 AlterPartitionReassignments:0:0 ListPartitionReassignments:0:0 OffsetDelete:0: DescribeClientQuotas:0:1 AlterClientQuotas:0:1 "
+          "DescribeUserScramCredentials:0:0 AlterUserScramCredentials:0:0 - - - - AlterIsr:0:0 UpdateFeatures:0:0 - - DescribeCluster:0:0 DescribeProducers:0:0").split()
+_KAFKA_ROWS = ", ".join(f"({k}, '{n}', {least}, {first or 'NULL'})" for k, x in enumerate(_KAFKA) if x != "-" for n, least, first in [x.split(":")])
+
+
+@query("b20_all_kafka_keys", f"SELECT key, version, count(*) AS records, coalesce(any_value(name), 'Unknown') AS name, coalesce(version >= any_value(least) AND version <= 17, false) AS supported, coalesce(version >= any_value(flex), false) AS flexible FROM (SELECT record_id % 67 - 2 AS key, record_id // 67 % 20 - 1 AS version FROM records) LEFT JOIN (VALUES {_KAFKA_ROWS}) t(k, name, least, flex) ON k = key GROUP BY key, version", (RECORDS,))
+def b20_all(spark, sf):
+    """Every key, some that are none, and every version."""
+    r = adapters.records(spark, sf).select(((c("record_id") % 67) - 2).alias("key"), (F.floor(c("record_id") / 67) % 20 - 1).cast("long").alias("version"))
+    key, version = c("key").cast("int"), c("version")
+    return r.groupBy("key", "version").agg(F.count(F.lit(1)).alias("records")).withColumns({"name": names.kafka_key_name(key), "supported": names.kafka_supported(key, version), "flexible": names.kafka_flexible(key, version)})
+
+
 @query("b22_process_label", "SELECT record_id, r.pid || '<' || coalesce(p.name, '') || '>' AS process FROM records r LEFT JOIN processes p ON r.pid = p.pid", (RECORDS, PROCESSES))
 def b22(spark, sf):
     rows = adapters.records(spark, sf).join(adapters.processes(spark, sf).select("pid", "name"), "pid", "left")
