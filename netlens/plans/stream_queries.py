@@ -13,7 +13,7 @@ from netlens.plans.oracle import EVENTS, MESSAGES, RECORDS
 from netlens.plans.record_queries import _stat_sql
 from netlens.plans.registry import query
 from netlens.sources import adapters
-from netlens.streaming import annotate, pairing, reassembly, stats
+from netlens.streaming import annotate, order, pairing, reassembly, stats
 from netlens.streaming.run import event_time, run_available, scratch
 
 c = F.col
@@ -75,6 +75,36 @@ def i4a_opaque(spark, sf):
     return run_available(pairing.pair(_messages(spark, sf), "opaque", ("conn_id", "corr_id"), keep_ms=864_000_000))
 
 
+@query("i4_pair_queued", f"""SELECT q.conn_id, q.corr_id, q.ts_ns AS req_ts, r.ts_ns AS resp_ts, q.seq AS req_seq, r.seq AS resp_seq FROM
+ (SELECT *, row_number() OVER (PARTITION BY conn_id, corr_id ORDER BY ts_ns, seq) AS n FROM messages WHERE is_req) q JOIN
+ (SELECT *, row_number() OVER (PARTITION BY conn_id, corr_id ORDER BY ts_ns, seq) AS n FROM (SELECT *, least(coalesce(min(bal) OVER (PARTITION BY conn_id, corr_id ORDER BY ts_ns, CASE WHEN is_req THEN 0 ELSE 1 END, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS low FROM
+  (SELECT *, sum(CASE WHEN is_req THEN 1 ELSE -1 END) OVER (PARTITION BY conn_id, corr_id ORDER BY ts_ns, CASE WHEN is_req THEN 0 ELSE 1 END, seq ROWS UNBOUNDED PRECEDING) AS bal FROM messages)) WHERE NOT is_req AND bal >= low) r
+ ON q.conn_id = r.conn_id AND q.corr_id = r.corr_id AND q.n = r.n WHERE r.ts_ns <= {_PASSED}""", (MESSAGES,))
+def i4a_queued(spark, sf):
+    """Requests wait for as long as it takes."""
+    return run_available(pairing.pair(_messages(spark, sf), "queued", ("conn_id", "corr_id"), keep_ms=400 * 86_400_000))
+
+
+#: Two days in nanoseconds, for which a request and its responses belong together.
+_KEEP = 172_800_000_000_000
+
+
+@query("i4_pair_correlation", f"""SELECT * FROM (WITH RECURSIVE rounds AS (SELECT conn_id, corr_id, min(ts_ns) AS t FROM messages WHERE is_req GROUP BY ALL UNION ALL
+ SELECT r.conn_id, r.corr_id, (SELECT min(q.ts_ns) FROM messages q WHERE q.is_req AND q.conn_id = r.conn_id AND q.corr_id = r.corr_id AND q.ts_ns > r.t + {_KEEP}) AS t FROM rounds r WHERE t IS NOT NULL)
+ SELECT r.conn_id, r.corr_id, r.t AS req_ts, max(struct_pack(a := m.ts_ns, b := m.seq)).a AS resp_ts, (SELECT min(q.seq) FROM messages q WHERE q.is_req AND q.conn_id = r.conn_id AND q.corr_id = r.corr_id AND q.ts_ns = r.t) AS req_seq, max(struct_pack(a := m.ts_ns, b := m.seq)).b AS resp_seq
+ FROM rounds r JOIN messages m ON m.conn_id = r.conn_id AND m.corr_id = r.corr_id AND NOT m.is_req AND m.ts_ns BETWEEN r.t AND r.t + {_KEEP} WHERE r.t + {_KEEP} < {_PASSED} GROUP BY r.conn_id, r.corr_id, r.t)""", (MESSAGES,))
+def i4a_correlation(spark, sf):
+    """The first request of an id and the last response of the two days after it; then the next request."""
+    return run_available(pairing.pair(_messages(spark, sf), "correlation", ("conn_id", "corr_id"), keep_ms=_KEEP // 1_000_000))
+
+
+@query("g5_stream_order", f"SELECT user_id % 4 AS lane, row_number() OVER (PARTITION BY user_id % 4 ORDER BY start_ns, record_id, protocol, request) - 1 AS position, start_ns, record_id, protocol, request FROM records WHERE start_ns <= (SELECT max(start_ns) // 1000000 * 1000000 FROM records) - 1000000000", (RECORDS,))
+def g5_stream(spark, sf):
+    """Records of four lanes, numbered as they leave."""
+    rows = _records(spark, sf).withColumn("lane", c("user_id") % 4)
+    return run_available(order.in_request_order(rows, ["record_id", "protocol", "request"], lane="lane"), stateful=True)
+
+
 @query("i6_latest_events", """SELECT conn_id, least(count(*), 3) AS held, greatest(count(*) - 3, 0) AS dropped, list_sort(list(ts_ns), 'DESC')[least(count(*), 3)] AS first_ns, max(ts_ns) AS last_ns FROM messages GROUP BY conn_id
  HAVING max(ts_ns) // 1000000 + 15000 <= (SELECT max(ts_ns) // 1000000 FROM messages) - 1000""", (MESSAGES,))
 def i6(spark, sf):

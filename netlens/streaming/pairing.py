@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,18 +29,18 @@ def pair_by_id(messages: DataFrame, keys: tuple[str, ...] = ("conn_id", "corr_id
 
 
 _STATE = "ts array<long>, seq array<long>, req array<boolean>, p_ts array<long>, p_seq array<long>, r_ts long, r_seq long"
-#: How long a request waits for its response, and how many wait under one key; older ones are let go.
-KEEP_MS, MOST = 300_000, 1000
+#: How long a request waits for its response.
+KEEP_MS = 300_000
 #: Rules by name; whether requests come first at equal times.
 RULES = {"fifo": False, "correlation": True, "opaque": True, "queued": True}
 
 
-def _replaying(rule: str, keys: tuple[str, ...], keep_ms: int, most: int):
+def _replaying(rule: str, keys: tuple[str, ...], keep_ms: int):
     requests_first, keep = RULES[rule], keep_ms * 1_000_000
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ts, seq, req, p_ts, p_seq, r_ts, r_seq = state.get if state.exists else ([], [], [], [], [], None, None)
-        held, waiting, told = list(zip(ts, seq, req, strict=True)), list(zip(p_ts, p_seq, strict=True)), None if r_ts is None else (r_ts, r_seq)
+        held, waiting, told = list(zip(ts, seq, req, strict=True)), deque(zip(p_ts, p_seq, strict=True)), None if r_ts is None else (r_ts, r_seq)
         if not state.hasTimedOut:
             for pdf in pdfs:
                 held += list(zip(pdf.ts_ns.tolist(), pdf.seq.tolist(), pdf.is_req.tolist(), strict=True))
@@ -50,7 +51,7 @@ def _replaying(rule: str, keys: tuple[str, ...], keep_ms: int, most: int):
         def expire(now):
             nonlocal told
             while waiting and waiting[0][0] + keep < now:
-                q = waiting.pop(0)
+                q = waiting.popleft()
                 if told is not None:
                     out.append((*key, q[0], told[0], q[1], told[1]))
                     told = None
@@ -62,20 +63,20 @@ def _replaying(rule: str, keys: tuple[str, ...], keep_ms: int, most: int):
             expire(t)
             if is_req:
                 if rule in ("fifo", "opaque"):
-                    waiting[:] = [(t, s)]
+                    waiting.clear()
+                    waiting.append((t, s))
                 elif rule == "queued" or not waiting:
                     waiting.append((t, s))
-                del waiting[:-most]
             elif rule == "correlation":
                 told = (t, s) if waiting else None
             elif waiting:
-                q = waiting.pop(0)
+                q = waiting.popleft()
                 out.append((*key, q[0], t, q[1], s))
         expire(limit)
         held = held[n:]
         if held or waiting:
             state.update(([x[0] for x in held], [x[1] for x in held], [bool(x[2]) for x in held], [x[0] for x in waiting], [x[1] for x in waiting], *(told or (None, None))))
-            wake = min([held[0][0] for _ in held[:1]] + [q[0] + keep for q in waiting[:1]])
+            wake = min([r[0] for r in held[:1]] + ([waiting[0][0] + keep] if waiting else []))
             state.setTimeoutTimestamp(max(wake // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
@@ -84,18 +85,18 @@ def _replaying(rule: str, keys: tuple[str, ...], keep_ms: int, most: int):
     return run
 
 
-def pair(messages: DataFrame, rule: str, keys: tuple[str, ...], delay: str = "1 second", keep_ms: int = KEEP_MS, most: int = MOST) -> DataFrame:
+def pair(messages: DataFrame, rule: str, keys: tuple[str, ...], delay: str = "1 second", keep_ms: int = KEEP_MS) -> DataFrame:
     """A batch rule over a stream: messages of a key wait until the watermark has passed them, then they are replayed in order.
 
     fifo: a response takes the latest request since the response before it. correlation: the first request of an id and the
     last response that comes within keep_ms, told when that time is over. opaque: the latest request and the first response
     after it. queued: a response takes the earliest request that waits. The state of a key is what still waits: messages
-    ahead of the watermark and at most `most` requests, each for keep_ms of event time, after which a timer lets it go.
-    Keys are longs.
+    ahead of the watermark, and requests, each for keep_ms of event time, after which a timer lets it go. However many wait, none
+    is given up before: a queue that lost one would pair all that follow wrongly. Keys are longs.
     """
     rows = messages.withColumn("at", event_time("ts_ns")).withWatermark("at", delay).select(*keys, "ts_ns", "seq", "is_req", "at")
     out = ", ".join(f"{k} long" for k in (*keys, "req_ts", "resp_ts", "req_seq", "resp_seq"))
-    return rows.groupBy(*keys).applyInPandasWithState(_replaying(rule, keys, keep_ms, most), out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(_replaying(rule, keys, keep_ms), out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def pair_fifo(messages: DataFrame, delay: str = "1 second", keep_ms: int = KEEP_MS) -> DataFrame:

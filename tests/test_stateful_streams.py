@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from netlens.operators import annotate as batch_annotate
 from netlens.operators import reassembly as batch
 from netlens.operators.ranges import overlap_join
-from netlens.streaming import annotate, reassembly
+from netlens.streaming import annotate, order, pairing, reassembly
 from netlens.streaming.run import run_available
 
 SECOND = 1_000_000_000
@@ -166,3 +166,27 @@ def test_idle_connections_are_forgotten(stream):
     rows = [packet(1, 1 * s, 2, 10), a_pair(1, 1 * s + 5, 0, "client", (0, 50), (0, 60)), packet(1, 100 * s, 2, 20), a_pair(1, 100 * s + 5, 1, "client", (0, 50), (0, 60))]
     count = lambda **o: {r.pair_id: len(r.events) for r in annotated(stream, rows, **o).collect()}
     assert count() == {0: 1, 1: 0} and count(idle_ms=60_000) == {0: 1, 1: 1}
+
+
+def test_records_leave_in_request_order(spark, stream):
+    """Out of order inside and between batches, within the delay; numbers go on from batch to batch."""
+    rng = random.Random(6)
+    at = [(k * SECOND // 2 + rng.randint(0, 4 * SECOND), k) for k in range(300)]
+    rows = [(t, k, f"r{k % 7}" if k % 11 else None) for t, k in at]
+    parts = [rows[k:k + 60] for k in range(0, 300, 60)] + [[(10**6 * SECOND, -1, "end")]]
+    df = stream(parts, "start_ns long, record_id long, request string")
+    got = run_available(order.in_request_order(df.withColumn("lane", F.when(F.col("record_id") < 0, -1).otherwise(F.col("record_id") % 3)), ["record_id", "request"], lane="lane", delay="10 seconds"), stateful=True)
+    out = {}
+    for r in got.where("lane >= 0").collect():
+        out.setdefault(r.lane, []).append((r.position, r.start_ns, r.record_id, r.request))
+    for lane in range(3):
+        want = sorted((t, k, x) for t, k, x in rows if k % 3 == lane)
+        assert sorted(out[lane]) == [(i, *w) for i, w in enumerate(want)]
+
+
+def test_a_long_queue_loses_nothing(spark, stream):
+    s, n = SECOND, 1500
+    rows = [(1, s + i * s // 100, i, True) for i in range(n)] + [(1, 100 * s + i * s // 100, n + i, False) for i in range(n)]
+    df = stream([rows[:1000], rows[1000:1700], rows[1700:], [(2, 10**6 * s, 10**6, True)]], "conn_id long, ts_ns long, seq long, is_req boolean")
+    out = run_available(pairing.pair(df, "queued", ("conn_id",))).collect()
+    assert sorted((r.req_seq, r.resp_seq) for r in out) == [(i, n + i) for i in range(n)]
