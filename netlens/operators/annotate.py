@@ -31,9 +31,14 @@ def event_arrays(matched: DataFrame, keys: list[str]) -> DataFrame:
     return matched.groupBy(*keys).agg(rows.alias("e")).select(*keys, F.transform("e", lambda x: F.struct(x["len"].alias("ByteSize"), x["ts_ns"].alias("Timestamp"))).alias("events"))
 
 
+def _ingress(value) -> Column:
+    """What `value` gives for the interface that packets come in by; where no such event was seen, for the device."""
+    return F.coalesce(value(NIC_IN), value(DEV_IN))
+
+
 def ingress_nic(kern: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, nic_in_ns): when the interface first had what comes in; where no such event was seen, when the device had it."""
-    return kern.groupBy(*keys).agg(F.coalesce(*[F.min(F.when(c("step") == step, c("ts_ns"))) for step in (NIC_IN, DEV_IN)]).alias("nic_in_ns"))
+    """(keys, nic_in_ns): when the interface, or else the device, first had what comes in."""
+    return kern.groupBy(*keys).agg(_ingress(lambda step: F.min(F.when(c("step") == step, c("ts_ns")))).alias("nic_in_ns"))
 
 
 def _wanted(first, last, least, most) -> dict[str, Column]:
@@ -44,8 +49,8 @@ def _wanted(first, last, least, most) -> dict[str, Column]:
         out |= {
             f"{p}_write_min": least(p, SYSCALL_OUT, "ts_ns"), f"{p}_write_last_end": last(p, SYSCALL_OUT, "end_ns"),
             f"{p}_read_end_max": most(p, SYSCALL_IN, "end_ns"), f"{p}_read_first": first(p, SYSCALL_IN, "ts_ns"), f"{p}_read_last_end": last(p, SYSCALL_IN, "end_ns"),
-            f"{p}_nic_start": F.coalesce(first(p, NIC_IN, "ts_ns"), first(p, DEV_IN, "ts_ns")), f"{p}_nic_first": F.coalesce(first(p, NIC_IN, "first_ns"), first(p, DEV_IN, "first_ns")),
-            f"{p}_nic_max": F.coalesce(most(p, NIC_IN, "first_ns"), most(p, DEV_IN, "first_ns")),
+            f"{p}_nic_start": _ingress(lambda step, p=p: first(p, step, "ts_ns")), f"{p}_nic_first": _ingress(lambda step, p=p: first(p, step, "first_ns")),
+            f"{p}_nic_max": _ingress(lambda step, p=p: most(p, step, "first_ns")),
             f"{p}_dev_min": least(p, DEV_OUT, "last_ns"), f"{p}_dev_last": last(p, DEV_OUT, "last_ns"),
             f"{p}_tcp_first": first(p, TCP_IN, "ts_ns"), f"{p}_tcp_last": last(p, TCP_IN, "ts_ns"), f"{p}_copy_first": first(p, USER_COPY, "ts_ns"), f"{p}_copy_last": last(p, USER_COPY, "ts_ns"),
         }

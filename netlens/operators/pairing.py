@@ -38,11 +38,6 @@ def pair_by_stream(messages: DataFrame, blocks: int | None = None) -> DataFrame:
     return _paired(messages, ["conn_id", "stream_id"], "request", blocks)
 
 
-def _one(rows: DataFrame, keys: list[str], last: bool) -> DataFrame:
-    order = [c("ts_ns").desc(), c("seq").desc()] if last else ["ts_ns", "seq"]
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1")
-
-
 def pair_by_correlation(messages: DataFrame, keys: tuple[str, ...] = ("conn_id", "corr_id")) -> DataFrame:
     """The first request and the last response of an id, if the request is not later."""
     pairs = _by_id(messages, list(keys), first_request=True, last_response=True)
@@ -55,9 +50,10 @@ def pair_by_opaque(messages: DataFrame, keys: tuple[str, ...] = ("conn_id", "cor
 
 
 def _by_id(messages: DataFrame, keys: list[str], first_request: bool, last_response: bool) -> DataFrame:
-    req = _one(messages.where("is_req"), keys, last=not first_request).select(*keys, c("ts_ns").alias("req_ts"), c("seq").alias("req_seq"), c("byte_size").alias("req_size"))
-    resp = _one(messages.where("not is_req"), keys, last=last_response).select(*keys, c("ts_ns").alias("resp_ts"), c("seq").alias("resp_seq"), c("byte_size").alias("resp_size"))
-    return req.join(resp, keys)
+    """One aggregate that combines before the shuffle: an id with however many messages is two rows in each task."""
+    one = lambda side, first: (F.min if first else F.max)(F.when(side, F.struct("ts_ns", "seq", "byte_size")))
+    rows = messages.dropna(subset=keys).groupBy(*keys).agg(one(c("is_req"), first_request).alias("_q"), one(~c("is_req"), not last_response).alias("_r")).where("_q is not null and _r is not null")
+    return rows.select(*keys, c("_q.ts_ns").alias("req_ts"), c("_q.seq").alias("req_seq"), c("_q.byte_size").alias("req_size"), c("_r.ts_ns").alias("resp_ts"), c("_r.seq").alias("resp_seq"), c("_r.byte_size").alias("resp_size"))
 
 
 def pair_queued(messages: DataFrame, keys: tuple[str, ...] = ("conn_id", "stream_id"), blocks: int | None = None) -> DataFrame:

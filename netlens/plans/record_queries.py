@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netlens.functions import histogram, names, scalars, sql
 from netlens.operators import bodies, enrich, filters, hops, rollups, stats, watch
 from netlens.operators.filters import RecordFilter
+from netlens.operators.scratch import scratch_path
 from netlens.plans.oracle import CONTAINERS, EVENTS, KERN, MESSAGES, NAT, PROCESSES, RECORDS
 from netlens.plans.registry import query
 from netlens.plans.stat_query import StatQuery
@@ -19,6 +20,20 @@ def _records(name: str, select: str, rest: str = ""):
     return query(name, f"SELECT {select} FROM records {rest}", (RECORDS,))
 
 
+# --- sources and sinks -----------------------------------------------------------------------------------------------------
+_EXPORTED = "SELECT start_ns, end_ns, CASE protocol WHEN 2 THEN 'HTTP' WHEN 8 THEN 'Redis' WHEN 4 THEN 'MySQL' WHEN 11 THEN 'Kafka' ELSE '' END AS protocol, side, local_addr, local_port, remote_addr, remote_port, pid, is_ssl, total_ns / 1e6 AS total_duration_ms, black_box_ns / 1e6 AS black_box_duration_ms, req_size AS req_size_bytes, resp_plain_size AS resp_plain_text_size_bytes, request, response FROM records"
+_FIELDS = ["start_ns", "end_ns", "protocol", "side", "local_addr", "local_port", "remote_addr", "remote_port", "pid", "is_ssl", "total_duration_ms", "black_box_duration_ms", "req_size_bytes", "resp_plain_text_size_bytes", "request", "response"]
+
+
+@query("a1_a2_exported_records", _EXPORTED, (RECORDS,))
+def a1(spark, sf):
+    """Records exported as JSON lines, in two appends, and read again."""
+    path, rows = scratch_path(spark, "export"), adapters.records(spark, sf)
+    for part in (0, 1):
+        readers.write_records_json(rows.where(c("record_id") % 2 == part), path)
+    return readers.read_records(spark, path).select(*_FIELDS)
+
+
 # --- projections -----------------------------------------------------------------------------------------------------------
 @_records("b1_milliseconds", "record_id, total_ns / 1e6 AS total_ms, black_box_ns / 1e6 AS black_box_ms")
 def b1(spark, sf):
@@ -87,6 +102,15 @@ def b10(spark, sf):
     return rows.select("page_id", scalars.http_method(c("t")).alias("method"), scalars.http_path(c("t")).alias("path"), scalars.http_host(c("t")).alias("host"))
 
 
+@query("b10_all_pages", "SELECT page_id, 'GET' AS method, split_part(CASE WHEN t LIKE '/%' THEN t ELSE '/' || t END, '?', 1) AS path, regexp_extract(url, '^https?://([^/?]*)', 1) AS host FROM (SELECT *, regexp_replace(url, '^https?://[^/?]*', '') AS t FROM pages)", ())
+def b10_all(spark, sf):
+    """Every page asked for, as a browser asks: a target that has no path begins with a slash."""
+    target = F.regexp_replace("url", "^https?://[^/?]*", "")
+    text = F.concat(F.lit("GET "), F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target)), F.lit(" HTTP/1.1\r\nHost: "), F.regexp_extract("url", "^https?://([^/?]*)", 1), F.lit("\r\n\r\n"))
+    rows = adapters.table(spark, sf, "pages").select("page_id", text.alias("t"))
+    return rows.select("page_id", scalars.http_method(c("t")).alias("method"), scalars.http_path(c("t")).alias("path"), scalars.http_host(c("t")).alias("host"))
+
+
 @query("b11_redis_fields", "SELECT event_id, CASE k % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'CLIENT LIST' ELSE NULL END AS command, CASE k % 3 WHEN 0 THEN 'key' || k WHEN 1 THEN '' ELSE 'ERR no' END AS payload, k % 3 = 2 AS failed FROM events_v", (EVENTS,))
 def b11(spark, sf):
     k = c("k").cast("string")

@@ -10,9 +10,9 @@ from netlens.operators import rollups
 from netlens.operators import stats as batch_stats
 from netlens.plans.event_queries import _E10_STEPS, _e10_sql
 from netlens.plans.oracle import EVENTS, MESSAGES, RECORDS
-from netlens.plans.record_queries import _stat_sql
+from netlens.plans.record_queries import _EXPORTED, _FIELDS, _stat_sql
 from netlens.plans.registry import query
-from netlens.sources import adapters
+from netlens.sources import adapters, readers
 from netlens.streaming import annotate, order, pairing, reassembly, stats
 from netlens.streaming.run import event_time, run_available, scratch
 
@@ -28,6 +28,23 @@ def _messages(spark, sf):
     return e.select(c("user_id").alias("conn_id"), c("event_type").isin("view", "click", "signup").alias("is_req"), "ts_ns", c("event_id").alias("seq"), (64 + k).alias("byte_size"), (k % 25).alias("corr_id"), "event_type")
 
 
+@query("a2_stream_json", _EXPORTED, (RECORDS,))
+def a2_stream(spark, sf):
+    """The stream's records as JSON, written once each, and read again."""
+    path = scratch(spark)
+    readers.stream_records_json(_records(spark, sf), f"{path}/json", f"{path}/state", available_now=True).awaitTermination()
+    return readers.read_records(spark, f"{path}/json").select(*_FIELDS)
+
+
+@query("a7_j4_hooks", "SELECT protocol, count(*) AS records, CAST(sum(req_size) AS BIGINT) AS bytes FROM records GROUP BY protocol", (RECORDS,))
+def a7(spark, sf):
+    """A hook that counts each batch."""
+    path = scratch(spark)
+    count = lambda batch, number: batch.groupBy("protocol").agg(F.count(F.lit(1)).alias("records"), F.sum("req_size").alias("bytes")).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+    readers.for_each_batch(_records(spark, sf), count, f"{path}/state", available_now=True).awaitTermination()
+    return spark.read.schema("protocol int, records long, bytes long").parquet(f"{path}/counts").groupBy("protocol").agg(F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
+
+
 @query("i1_cumulative", "SELECT * FROM (WITH " + _stat_sql("remote-ip", "respsize").removeprefix(", ") + ")", (RECORDS,))
 def i1(spark, sf):
     return run_available(stats.cumulative(_records(spark, sf), "remote-ip", "respsize"), "complete")

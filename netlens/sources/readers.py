@@ -47,18 +47,26 @@ def write_records_json(records: DataFrame, path: str) -> None:
     json_form(records).write.mode("append").json(path)
 
 
+def stream_records_json(records: DataFrame, path: str, checkpoint: str, available_now: bool = False):
+    """Appends a stream's records as JSON objects, each exactly once: the sink's log and the checkpoint tell what is written, so a batch that is
+    repeated after a restart adds nothing. read_records() of the path heeds that log. Returns the running query."""
+    writer = json_form(records).writeStream.format("json").option("checkpointLocation", checkpoint).option("path", path)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def json_lines(records: DataFrame) -> DataFrame:
     """The exported form as text, one column `value`."""
     form = json_form(records)
     return form.select(F.to_json(F.struct(*form.columns)).alias("value"))
 
 
-def read_events(spark: SparkSession, path: str, family: str, streaming: bool = False) -> DataFrame:
-    """Events of a family (conn, kern, syscall, ssl, first_packet, proc) from Parquet, as a table or a stream."""
+def read_events(spark: SparkSession, path: str, family: str, streaming: bool = False, kind: str = "parquet", **options: str) -> DataFrame:
+    """Events of a family (conn, kern, syscall, ssl, first_packet, proc) from files of a kind (parquet, orc, json), as a table or a stream.
+    options are the reader's: of streams maxFilesPerTrigger bounds a batch, and the checkpoint of the query remembers what was read."""
     if family not in FAMILIES:
         raise ValueError(f"no event family {family!r}; there are {', '.join(FAMILIES)}")
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(FAMILIES[family]).parquet(path)
+    return reader.schema(FAMILIES[family]).format(kind).options(**options).load(path)
 
 
 def parsed_labels(containers: DataFrame) -> DataFrame:
@@ -89,6 +97,8 @@ def write_records_text(records: DataFrame, path: str, **options) -> None:
     format_records(records, **options).write.mode("append").text(path)
 
 
-def for_each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str):
-    """Calls fn with each micro-batch; returns the running query."""
-    return stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).start()
+def for_each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False):
+    """Calls fn with each micro-batch and its number; returns the running query. After a restart the last batch may come again, with its
+    number: what fn writes by number is written once."""
+    writer = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

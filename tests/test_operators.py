@@ -170,6 +170,9 @@ SEG = "conn_id long, direction string, arrival long, seq long, payload binary"
 def test_reassembly(rows, segments, want):
     s = rows([(1, "in", a, q, bytearray(p)) for a, q, p in segments], SEG)
     assert [(r.start, list(r.payload)) for r in reassembly.reassemble(s).orderBy("start").collect()] == want
+    blocks = [(r.start, list(r.payload)) for r in reassembly.reassemble(s, block=4).orderBy("start").collect()]
+    assert all(len(p) <= 4 and start // 4 == (start + len(p) - 1) // 4 for start, p in blocks)
+    assert {start + k: v for start, p in blocks for k, v in enumerate(p)} == {start + k: v for start, p in want for k, v in enumerate(p)}
 
 
 def test_reassembly_against_bytes(rows):
