@@ -14,9 +14,11 @@ WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A cluster names it in spark.checkpoint.dir; tests fall back to the warehouse."""
+    """The folder all executors share. A cluster names it in spark.checkpoint.dir; on a local master it may be the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/netlens-{spark.sparkContext.applicationId}"

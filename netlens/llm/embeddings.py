@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from netlens.llm.common import components, materialise
 
 THRESHOLD = 0.93
-#: Vectors that the quantisers are fitted on, chosen by a hash: a bound of the sample.
-TRAIN_ROWS = 20_000
-#: Vectors in an inverted list on average, and lists at most (a bound of what is broadcast).
-LIST_ROWS, MOST_LISTS = 400, 8192
+#: Vectors of a length that its quantiser is fitted on, chosen by a hash, and their components: a bound of the sample.
+TRAIN_ROWS, TRAIN_CELLS = 20_000, 1 << 23
+#: Vectors in an inverted list on average, lists of a length at most, and components of all lists' centres (a bound of what is broadcast).
+LIST_ROWS, MOST_LISTS, MOST_CENTRES = 400, 8192, 1 << 22
 PROBES = 12
 SUBSPACES, CODES = 8, 64
-#: Members and queries that one cell compares at most, about: (list, member block, query block).
-CELL_MEMBERS, CELL_QUERIES = 2048, 4096
+#: Members and queries that one cell compares at most, about: (list, member block, query block). Of vectors longer than WIDE fewer.
+CELL_MEMBERS, CELL_QUERIES, WIDE = 2048, 4096, 256
+#: Queries that are compared at once, and vectors that are indexed at once, of WIDE components or less.
+BLOCK, INDEXED = 512, 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -100,18 +102,31 @@ def _unit(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def _indexed(shared, dim: int, probes: int):
-    """Adds to each vector its list, codes, distance to what the codes stand for, and the lists it asks, its own first."""
+def _narrowed(rows: int, dim: int) -> int:
+    """So many rows, or fewer of long vectors: as many components as of WIDE ones."""
+    return max(1, rows * WIDE // max(dim, WIDE))
+
+
+def _indexed(shared, probes: int):
+    """Adds to each vector its list, codes, distance to what the codes stand for, and the lists it asks, its own first. Vectors of a length
+    without a quantiser have one list and no codes."""
 
     def run(batches):
-        q: Quantiser = shared.value
         for b in batches:
-            if b.num_rows:
-                x = _unit(b.column("vec"), dim)
-                lists, codes, off = q.encode(x)
-                asked = q.probes(x, probes)
-                new = {"list": pa.array(lists.astype(np.int32)), "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "off": pa.array(off), "asked": pa.array(list(asked), pa.list_(pa.int32()))}
-                yield pa.RecordBatch.from_arrays([*b.columns, *new.values()], [*b.schema.names, *new])
+            sizes = pa.compute.list_value_length(b.column("vec")).to_numpy()
+            for dim in np.unique(sizes).tolist():
+                same, step = b.take(pa.array(np.flatnonzero(sizes == dim))), _narrowed(INDEXED, dim)
+                for k in range(0, same.num_rows, step):
+                    part, q = same.slice(k, step), shared.value.get(dim)
+                    if q is None:
+                        n = part.num_rows
+                        lists, codes, off, asked = np.zeros(n, dtype=np.int64), np.zeros((n, SUBSPACES), dtype=np.uint8), np.zeros(n), np.zeros((n, 1), dtype=np.int32)
+                    else:
+                        x = _unit(part.column("vec"), dim)
+                        lists, codes, off = q.encode(x)
+                        asked = q.probes(x, probes)
+                    new = {"list": pa.array(lists.astype(np.int32)), "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "off": pa.array(off), "asked": pa.array(list(asked), pa.list_(pa.int32()))}
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new.values()], [*part.schema.names, *new])
 
     return run
 
@@ -127,26 +142,31 @@ def _spread(link: np.ndarray, q_label: np.ndarray, m_label: np.ndarray) -> None:
         q_label[:], m_label[:] = q_new, m_new
 
 
-def _compared(shared, dim: int, threshold: float):
+def _compared(shared, threshold: float):
     """Rows (uid, links, root) from cells that come one after the other, members before queries: what a cell's pairs add to a
     vector's links, and an edge to the smallest vector that it reaches in one block of the cell. No pair leaves the task."""
     reach = np.sqrt(2 - 2 * threshold) + 1e-6
 
     def columns(b, at, end):
         s = b.slice(at, end - at)
-        return {"uid": s.column("uid").to_numpy(), "n": s.column("n").to_numpy(), "x": _unit(s.column("vec"), dim), "home": s.column("home").to_numpy(), "raw": s}
+        dim = len(s.column("vec")[0])  # a cell's vectors have one length
+        return {"uid": s.column("uid").to_numpy(), "n": s.column("n").to_numpy(), "x": _unit(s.column("vec"), dim), "home": s.column("home").to_numpy(), "dim": dim, "raw": s}
 
     def members_of(parts):
         m = {c: np.concatenate([p[c] for p in parts]) for c in ("uid", "n", "x")}
         m["codes"] = np.concatenate([np.frombuffer(b"".join(p["raw"].column("codes").to_pylist()), dtype=np.uint8).reshape(-1, SUBSPACES) for p in parts])
         m["off"] = np.concatenate([p["raw"].column("off").to_numpy() for p in parts]).astype(np.float32)
         m["asked"] = np.concatenate([p["raw"].column("asked").flatten().to_numpy().reshape(len(p["uid"]), -1) for p in parts])
+        m["dim"] = parts[0]["dim"]
         return m
 
     def block(m, q, which):
         """One block of queries against the members of a cell."""
         # what the codes stand for lies `off` from the vector, so no pair within reach has an estimate beyond reach + off
-        near = np.sqrt(np.maximum(shared.value.estimates(q["x"], which, m["codes"]), 0)) <= np.float32(reach + 1e-3) + m["off"][None, :]
+        quantiser = shared.value.get(m["dim"])
+        near = np.ones((len(q["uid"]), len(m["uid"])), dtype=bool)
+        if quantiser is not None:
+            near = np.sqrt(np.maximum(quantiser.estimates(q["x"], which, m["codes"]), 0)) <= np.float32(reach + 1e-3) + m["off"][None, :]
         near &= q["uid"][:, None] != m["uid"][None, :]
         rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
         if not len(rows):
@@ -182,8 +202,9 @@ def _compared(shared, dim: int, threshold: float):
                     continue
                 if members is None:
                     members = members_of(parts)
-                for k in range(at, end, 512):
-                    out = block(members, columns(b, k, min(end, k + 512)), cell[1])
+                step = _narrowed(BLOCK, members["dim"])
+                for k in range(at, end, step):
+                    out = block(members, columns(b, k, min(end, k + step)), cell[1])
                     if out is not None:
                         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in out], ["uid", "links", "root"])
 
@@ -204,7 +225,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     Vectors link at cosine >= threshold if their labels are equal and not null; a null or zero vector, or one with a null or
     non-finite component, links with nothing: n_links 0, component_id vec_id. Vectors are compared among their own length
-    only, of however many lengths. Equal vectors of a label are one class that is compared once and
+    only, of however many lengths; each length with many vectors has a quantiser of its own, the others are compared exactly,
+    and long vectors go in smaller blocks, so memory does not follow the longest. Equal vectors of a label are one class that is compared once and
     counts as often as it occurs; each copy links with all others. Quantisers are fitted on a bounded sample, every row is
     indexed, and a pair is found if either vector asks for the other's list: recall is measured in tests. Pruning by code
     distances loses nothing, as each code's exact error is kept. Crowded lists are cut into blocks of members and
@@ -213,11 +235,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = _classes(vectors, id_col, vec_col, label_col)
     keyed = materialise(rows.select("vec_id", "uid", F.when(F.col("uid").isNotNull(), F.size("vec")).alias("dim")), "vectors")
     classes = materialise(rows.where("uid is not null").groupBy("uid", "label", "vec").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    most = classes.agg(F.max(F.size("vec"))).first()[0]
-    if most is None:
+    lengths = {r.dim: r["count"] for r in classes.groupBy(F.size("vec").alias("dim")).count().collect()}  # a number for each length
+    if not lengths:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    # vectors of several lengths are padded to the longest and share quantisers, but lists are kept by length as by label
-    found = _pairs(classes.withColumn("label", F.concat_ws(":", F.size("vec").cast("string"), "label")), most, threshold, probes)
+    found = _pairs(classes.withColumn("label", F.concat_ws(":", F.size("vec").cast("string"), "label")), lengths, threshold, probes)
     found = materialise(found, "links")
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("uid").alias("u"), F.col("root").alias("v")))
@@ -230,19 +251,32 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _pairs(classes: DataFrame, dim: int, threshold: float, probes: int) -> DataFrame:
-    """(uid, links, root) of the classes, whose vectors are padded to dim."""
-    n = classes.count()
-    lists = max(1, min(MOST_LISTS, n // LIST_ROWS))
-    sample = classes.orderBy(F.xxhash64("uid")).limit(max(TRAIN_ROWS, 4 * lists)).select("vec").toArrow()
-    shared = classes.sparkSession.sparkContext.broadcast(Quantiser.fit(_unit(sample.column("vec").combine_chunks(), dim), lists))
+def _quantisers(classes: DataFrame, lengths: dict[int, int]) -> dict[int, Quantiser]:
+    """One for each length with vectors for two lists or more, fitted one after the other on a sample of that length. The lists of all
+    lengths together have MOST_CENTRES components at most, so what is broadcast is bounded; so is each sample."""
+    many = {dim: n for dim, n in lengths.items() if n >= 2 * LIST_ROWS}
+    share = MOST_CENTRES / max(1, sum(n // LIST_ROWS * dim for dim, n in many.items()))
+    out = {}
+    for dim, n in sorted(many.items()):
+        rows = max(2, min(TRAIN_ROWS, TRAIN_CELLS // dim))
+        lists = int(min(MOST_LISTS, n // LIST_ROWS, n // LIST_ROWS * share))
+        if lists > 1:
+            sample = classes.where(F.size("vec") == dim).orderBy(F.xxhash64("uid")).limit(max(rows, 4 * lists)).select("vec").toArrow()
+            out[dim] = Quantiser.fit(_unit(sample.column("vec").combine_chunks(), dim), lists)
+    return out
+
+
+def _pairs(classes: DataFrame, lengths: dict[int, int], threshold: float, probes: int) -> DataFrame:
+    """(uid, links, root) of the classes; labels tell lengths apart."""
+    shared = classes.sparkSession.sparkContext.broadcast(_quantisers(classes, lengths))
     kinds = "uid long, label string, n long, vec array<double>, list int, codes binary, off double, asked array<int>"
-    index = materialise(classes.select("uid", "label", "n", "vec").mapInArrow(_indexed(shared, dim, probes), kinds), "index")
+    index = materialise(classes.select("uid", "label", "n", "vec").mapInArrow(_indexed(shared, probes), kinds), "index")
     cell = ["label", "list"]
     asks = index.select("uid", "label", "n", "vec", F.col("list").alias("home"), F.explode("asked").alias("list"))
-    members = index.groupBy(*cell).count().withColumnRenamed("count", "members")
+    members = index.groupBy(*cell).agg(F.count(F.lit(1)).alias("members"), F.max(F.size("vec")).alias("dim"))
     queries = asks.groupBy(*cell).count().withColumnRenamed("count", "queries")
-    sizes = members.join(queries, cell).select(*cell, F.ceil(F.col("members") / CELL_MEMBERS).cast("int").alias("mbs"), F.ceil(F.col("queries") / CELL_QUERIES).cast("int").alias("qbs"))
+    wide = F.greatest(F.col("dim") / WIDE, F.lit(1.0))
+    sizes = members.join(queries, cell).select(*cell, F.ceil(F.col("members") * wide / CELL_MEMBERS).cast("int").alias("mbs"), F.ceil(F.col("queries") * wide / CELL_QUERIES).cast("int").alias("qbs"))
     spread = lambda of, k: F.pmod(F.xxhash64("uid", F.lit(k)), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     held = (index.join(sizes, cell).withColumns({"query": F.lit(False), "home": F.col("list"), "mb": spread("mbs", 1)}).withColumn("qb", every("qbs")))
@@ -250,4 +284,4 @@ def _pairs(classes: DataFrame, dim: int, threshold: float, probes: int) -> DataF
     order = ["label", "list", "mb", "qb"]
     names = [*order, "query", "uid", "n", "vec", "home", "codes", "off", "asked"]
     both = held.select(*names).unionByName(asked.select(*names))
-    return both.repartition(*order).sortWithinPartitions(*order, "query").mapInArrow(_compared(shared, dim, threshold), "uid long, links long, root long")
+    return both.repartition(*order).sortWithinPartitions(*order, "query").mapInArrow(_compared(shared, threshold), "uid long, links long, root long")

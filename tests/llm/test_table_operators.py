@@ -206,3 +206,25 @@ def test_embeddings_of_many_lengths(rows):
         data += [(2 * k, v.tolist(), "a"), (2 * k + 1, (v * 1.5 + 1e-3 * rng.normal(size=3 + k)).tolist(), "a")]
     out = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(rows(data, "vec_id long, embedding array<double>, label string")).collect()}
     assert out == {d: (1, d // 2 * 2) for d, _, _ in data}
+
+
+@pytest.mark.parametrize("narrow", [False, True])
+def test_embeddings_by_length_class(rows, monkeypatch, narrow):
+    """Two lengths with quantisers of their own, one that is compared exactly, and two vectors of 30,000 components."""
+    monkeypatch.setattr(embeddings, "LIST_ROWS", 40)
+    if narrow:  # many small blocks
+        monkeypatch.setattr(embeddings, "WIDE", 4)
+        monkeypatch.setattr(embeddings, "CELL_MEMBERS", 64)
+    data, want, top = [], {}, 0
+    for seed, (n, dim) in enumerate([(300, 16), (240, 20), (50, 33)]):
+        x, label = vectors(seed, n, dim)
+        link = brute_links(x, label)
+        for i in range(n):
+            data.append((top + i, x[i].tolist(), int(label[i])))
+            want[top + i] = int(link[i].sum())
+        top += n
+    data += [(top, [1.0] * 30_000, 1), (top + 1, [1.0] * 29_000 + [1.5] * 1000, 1)]
+    want |= {top: 1, top + 1: 1}
+    out = {r.vec_id: r.n_links for r in embeddings.near_duplicates(rows(data, "vec_id long, embedding array<float>, label int")).collect()}
+    assert set(out) == set(want) and all(out[k] <= want[k] for k in want)
+    assert all(out[k] == want[k] for k in range(540, top + 2)) and sum(out.values()) >= 0.9 * sum(want.values())
