@@ -84,6 +84,15 @@ def b7(spark, sf):
     return adapters.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber", scalars.ip_text(raw).alias("ip")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("b7_ipv6_text", """SELECT l_orderkey, l_linenumber, '2001:' || CASE l_linenumber % 3 WHEN 0 THEN format('{:x}:1:2:3:4:5:6', l_orderkey % 65535 + 1) WHEN 1 THEN format('{:x}::{:x}:a:b', l_orderkey % 65535 + 1, l_partkey % 65535 + 1) ELSE format('{:x}::', l_orderkey % 65535 + 1) END AS ip, count(*) AS n FROM lineitem GROUP BY ALL""")
+def b7_v6(spark, sf):
+    """Addresses without zeros, with zeros inside and with zeros at the end."""
+    group = lambda x: F.lpad(F.hex(c(x) % 65535 + 1), 4, "0")
+    rest = F.when(c("l_linenumber") % 3 == 0, F.lit("000100020003000400050006")).when(c("l_linenumber") % 3 == 1, F.concat(F.lit("000000000000"), group("l_partkey"), F.lit("000A000B"))).otherwise(F.lit("0" * 24))
+    raw = F.unhex(F.concat(F.lit("2001"), group("l_orderkey"), rest))
+    return adapters.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber", scalars.ip_text(raw).alias("ip")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("b8_tcp_flags", "SELECT flags, concat_ws('|', CASE WHEN flags & 16 <> 0 THEN 'ACK' END, CASE WHEN flags & 8 <> 0 THEN 'PSH' END, CASE WHEN flags & 4 <> 0 THEN 'RST' END, CASE WHEN flags & 2 <> 0 THEN 'SYN' END) AS names, count(*) AS n FROM kern GROUP BY ALL", (KERN,))
 def b8(spark, sf):
     return adapters.kern_events(spark, sf).groupBy(c("flags").cast("long").alias("flags"), names.tcp_flags(c("flags")).alias("names")).agg(F.count(F.lit(1)).alias("n"))
@@ -265,6 +274,15 @@ def b25_produce(spark, sf):
     return bodies.partitions(rows).select("record_id", "topic", "index", "error_code", "base_offset", "error_message")
 
 
+@query("b25_produce_requests", """SELECT record_id, topic, i AS "index", 0 AS batch, j AS place, 'k' || j AS key, request AS value FROM (SELECT record_id, request, unnest(req_topics) AS topic FROM records WHERE protocol = 11), (SELECT unnest([3, 4, 4]) AS i, unnest([0, 0, 1]) AS j)""", (RECORDS,))
+def b25_produce_requests(spark, sf):
+    """The records that are produced, by topic and partition: one in the first partition, two in the second."""
+    record = lambda j: F.struct(F.lit(f"k{j}").alias("key"), c("request").alias("value"))
+    part = lambda i, n: F.struct(F.lit(i).alias("index"), F.struct(F.lit(10 * n).alias("size"), F.array(F.struct(F.array(*map(record, range(n))).alias("records"))).alias("record_batches")).alias("message_set"))
+    body = F.struct(F.lit(None).cast("string").alias("transactional_id"), F.lit(1).cast("smallint").alias("acks"), F.lit(30).alias("timeout_ms"), F.transform("kafka.req_topics", lambda t: F.struct(t.alias("name"), F.array(part(3, 1), part(4, 2)).alias("partitions"))).alias("topics"))
+    return bodies.records(adapters.records(spark, sf).where("protocol = 11").select("record_id", body.cast(bodies.PRODUCE_REQUEST).alias("body")))
+
+
 @_records("b25_kafka_topics", "record_id, unnest(req_topics) AS topic, unnest([0, 1]) AS place", "WHERE api_key = 0")
 def b25(spark, sf):
     rows = adapters.records(spark, sf).where("kafka.api_key = 0")

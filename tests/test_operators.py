@@ -1,5 +1,6 @@
 """Operators on hand-made tables."""
 
+import ipaddress
 import random
 
 import pytest
@@ -323,3 +324,14 @@ def test_own_protocol(rows):
     assert stats.CLASSIFIERS.pop("echo") and "fifo" in MATCHERS
     with pytest.raises(ValueError):
         register(ProtocolSpec("bad", 1, "guess"))
+
+
+def test_addresses_as_text(spark):
+    """Against the standard library, which folds in the same way."""
+    rng = random.Random(12)
+    raws = [bytes(16), bytes(15) + b"\1", b"\1" + bytes(15), bytes(10) + b"\xff\xff\x7f\0\0\1", bytes(4) + b"\1\2" + bytes(4) + b"\3\4" + bytes(4), bytes.fromhex("20010db8000000010000000000000001")]
+    raws += [b"".join(rng.choice([b"\0\0", b"\0\0", b"\0\7", bytes([rng.randrange(256), rng.randrange(256)])]) for _ in range(8)) for _ in range(300)] + [bytes([10, 0, 0, 255])]
+    got = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(raws)], "i long, raw binary").select("i", scalars.ip_text(F.col("raw")).alias("t")).collect()
+    for r in got:
+        a = ipaddress.ip_address(raws[r.i])
+        assert r.t == str(getattr(a, "ipv4_mapped", None) or a)
