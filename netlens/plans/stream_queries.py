@@ -144,6 +144,19 @@ def i5(spark, sf):
     return run_available(stats.deduplicated(e, ["user_id", "k"], "400 days").select("user_id", "k"))
 
 
+@query("i5_late_and_double", "SELECT event_id, user_id, ts_ns FROM events_v WHERE event_id % 10 <> 0 OR ts_ns > (SELECT max(ts_ns) // 1000000 * 1000000 FROM events_v WHERE event_id % 10 > 1) - 86400000000000", (EVENTS,))
+def i5_late(spark, sf):
+    """Three batches and a watermark of a day: every tenth event comes with the last batch, and every seventh comes again. What is older than
+    the watermark of the first batch by then is late and goes (Spark filters by the watermark of the batch before), as do the copies."""
+    path = scratch(spark)
+    e = adapters.events(spark, sf).select("event_id", "user_id", "ts_ns")
+    digit = c("event_id") % 10
+    for part in (e.where(digit > 1), e.where(digit == 1), e.where((digit == 0) | (c("event_id") % 7 == 0))):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    rows = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").withColumn("event_time", event_time("ts_ns"))
+    return run_available(stats.deduplicated(rows, ["event_id"], "1 day").select("event_id", "user_id", "ts_ns"))
+
+
 @query("i7_closed_connections", """SELECT conn_id, min(ts_ns) AS start_ns, max(ts_ns) AS last_ns, CAST(sum(byte_size) AS BIGINT) AS bytes FROM messages GROUP BY conn_id
  HAVING max(ts_ns) // 1000000 + CASE WHEN bool_or(event_type = 'error') THEN 100 ELSE 15000 END <= (SELECT max(ts_ns) // 1000000 FROM messages) - 1000""", (MESSAGES,))
 def i7(spark, sf):
