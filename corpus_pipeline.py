@@ -1,4 +1,9 @@
-"""Corpus pipeline: quality rules, line dedup, near-duplicate documents, personal data, packing."""
+"""Corpus pipeline: quality rules, line dedup, near-duplicate documents, personal data, packing.
+
+Every stage takes odd rows: a null text counts as empty, a null doc_id is an id like any other, repeated rows are rows of their own, lang and
+source may be null, texts may be as long as a column's rows and lie in one task whole, an empty table gives an empty one, and
+other columns, whatever their names, are handed on as they are.
+"""
 
 from __future__ import annotations
 
@@ -16,27 +21,29 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the outlier test reject go."""
+    """Documents that the base rules or the outlier test reject go: those with an empty or null text are among them."""
     return quality.filtered(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line of the corpus matches go; every document stays, if without text."""
+    """Lines that an earlier line of the corpus matches go; every document stays, if without text; a null text stays null. Of repeated rows with
+    one id all keep the same text."""
     return _counted(lines.deduplicated(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
+    """One document of each SimHash component stays, the one with the smallest id; documents without words have one fingerprint, so one of them
+    stays. Of rows that repeat an id one stays."""
     return simhash.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Addresses and numbers are replaced by their kinds in brackets."""
+    """Addresses and numbers are replaced by their kinds in brackets; every row stays, a null text null."""
     return _counted(pii.masked(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens; a row without text is one piece of one token, its end."""
     return packing.pack(docs, tokenizer_path())
 
 

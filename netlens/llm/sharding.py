@@ -73,9 +73,16 @@ def place(rows: DataFrame, key: str, root: Node, out: str) -> DataFrame:
     return rows.withColumn(out, F.get(F.array(*[F.lit(n.shard) for n in nodes]).cast("array<int>"), node))
 
 
-def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Shards that a tree begins with, if it is not told otherwise.
+BASE = 40
+
+
+def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", base: int | None = None) -> DataFrame:
     """Shards under the law `key`: doc_id and the shard count decide.
 
+    `base` is how many shards there were at first, BASE or all of fewer; each later one takes rows into itself only. Who begins with
+    fewer than BASE shards and adds some gives the same base every time.
+
     Returns one row for each input row: doc_id, size (UTF-8 bytes of the text, null as none, plus 16), text_crc32, law,
     shard, slot (gapless from 0 in each shard, by doc_id within hashed groups), grown_shard (with one more shard). Rows
     with a null doc_id share the shard of the null key; repeated rows share a shard and get slots of their own; an empty
@@ -84,7 +91,8 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = place(place(rows, "doc_id", tree(shards), "shard"), "doc_id", tree(shards + 1), "grown_shard")
+    first = min(shards, BASE) if base is None else base
+    rows = place(place(rows, "doc_id", tree(shards, first), "shard"), "doc_id", tree(shards + 1, first), "grown_shard")
     groups = 1 + docs.count() // (GROUP_ROWS * shards)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(groups)))
     return _slots(rows).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
