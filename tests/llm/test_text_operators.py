@@ -529,3 +529,41 @@ def test_many_languages(rows):
     model = langid.train(rows([(f"l{k:03}", said(k)) for k in range(300)], "lang string, text string"))
     assert len(model.languages) == 300
     assert [langid.Model.predict(model, said(k))[0] for k in (0, 150, 299)] == ["l000", "l150", "l299"]
+
+
+@pytest.mark.parametrize("size, words, changed", [(40, 60, 1), (20, 80, 1)])
+def test_families_of_near_copies(rows, size, words, changed):
+    """Passages of a family differ by a word at different places, so only some pairs share a passage: links, classes and repeats against all
+    pairs, in 1 and 5 partitions."""
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    made = []
+    for family in range(4):
+        passage = [word() for _ in range(words)]
+        for _ in range(size):
+            copy = list(passage)
+            for _ in range(changed):
+                copy[rng.randrange(words)] = word()
+            made.append((family, copy, " ".join([word() for _ in range(rng.randint(5, 60))] + copy + [word() for _ in range(rng.randint(5, 60))])))
+    rng.shuffle(made)
+    n, link = len(made), {i: set() for i in range(len(made))}
+    for i in range(n):
+        for j in range(i):
+            (f, a, _), (g, b, _) = made[i], made[j]
+            if f == g and substring.equal_runs(np.array([a[k:k + 5] == b[k:k + 5] for k in range(words - 4)])):
+                link[i].add(j)
+                link[j].add(i)
+    root = list(range(n))
+    for i in range(n):
+        for j in link[i]:
+            old, new = sorted((root[i], root[j]), reverse=True)
+            root = [new if r == old else r for r in root]
+    df = rows([(i, t) for i, (_, _, t) in enumerate(made)], "doc_id long, text string")
+    out = [{r.doc_id: r for r in substring.substring_dedup(df.repartition(k)).collect()} for k in (1, 5)]
+    assert out[0] == out[1]
+    got = out[0]
+    assert sum(got[i].class_id != root[i] for i in range(n)) <= n // 50
+    assert all(got[i].n_links <= len(link[i]) for i in range(n)) and sum(got[i].n_links for i in range(n)) >= 0.8 * sum(map(len, link.values()))
+    repeats = [i for i in range(n) if any(j < i for j in link[i])]
+    assert sum(got[i].n_repeated == 0 for i in repeats) <= len(repeats) // 50
+    assert all(got[i].n_repeated == 0 for i in range(n) if not link[i])
