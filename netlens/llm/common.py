@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,22 @@ def drop_scratch(spark: SparkSession, scope: str = "") -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(run):
+    """A task's function of batches that, at its end, gives freed memory back to the system: a Python worker waits for its next task with
+    what its allocators hold, beside the executor's own memory."""
+
+    @wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library has no such call
+            pass
+
+    return tidied
+
+
 def find(parent: list[int], i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import materialise
+from netlens.llm.common import materialise, tidy
 from netlens.llm.tokens import blocks, tokens
 
 LENGTH = 2048
@@ -249,7 +249,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. sequence_id is unique, with gaps.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    done = materialise(base.mapInArrow(_first_round(tokenizer_path, length, open_windows), PIECES), "packed")
+    done = materialise(base.mapInArrow(tidy(_first_round(tokenizer_path, length, open_windows)), PIECES), "packed")
     out, open_rows, round_no = done.where("done"), done.where("not done"), 0
     while True:
         most = open_rows.agg(F.max("part")).first()[0]
