@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,39 +29,67 @@ def pair_by_id(messages: DataFrame, keys: tuple[str, ...] = ("conn_id", "corr_id
     return req.join(resp, cond).select(*keys, "req_ts", "resp_ts", "req_seq", "resp_seq")
 
 
-_STATE = "ts array<long>, seq array<long>, req array<boolean>, p_ts array<long>, p_seq array<long>, r_ts long, r_seq long"
+#: Parts by hash that the keys of a stream are dealt to. A part has one state and one call for all of its keys: a call for each key costs
+#: about a millisecond, whatever is in it. The number is part of a checkpoint.
+LANES = 512
+_LANE = "_lane"
+
+
+def _dealt(rows: DataFrame, keys: tuple[str, ...], lanes: int):
+    return rows.withColumn(_LANE, F.pmod(F.xxhash64(*keys), F.lit(lanes))).groupBy(_LANE)
+
+
+def _table(raw: bytes | None, width: int) -> np.ndarray:
+    """Columns of longs from a state."""
+    return np.frombuffer(raw or b"", dtype=np.int64).reshape(width, -1)
+
+
+def _columns(rows: list[tuple], width: int) -> np.ndarray:
+    return np.array(rows, dtype=np.int64).reshape(-1, width).T
+
+
+def _came(pdfs: Iterator[pd.DataFrame], names: list[str], width: int) -> list[np.ndarray]:
+    return [pdf[names].to_numpy(dtype=np.int64).T.reshape(width, -1) for pdf in pdfs]
+
+
+_STATE = "held binary, waiting binary, told binary"
 #: How long a request waits for its response.
 KEEP_MS = 300_000
 #: Rules by name; whether requests come first at equal times.
 RULES = {"fifo": False, "correlation": True, "opaque": True, "queued": True}
+#: Stands for a null number of a message.
+_NO_SEQ = -(1 << 63)
 
 
 def _replaying(rule: str, keys: tuple[str, ...], keep_ms: int):
-    requests_first, keep = RULES[rule], keep_ms * 1_000_000
-
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ts, seq, req, p_ts, p_seq, r_ts, r_seq = state.get if state.exists else ([], [], [], [], [], None, None)
-        held, waiting, told = list(zip(ts, seq, req, strict=True)), deque(zip(p_ts, p_seq, strict=True)), None if r_ts is None else (r_ts, r_seq)
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                held += list(zip(pdf.ts_ns.tolist(), pdf.seq.tolist(), pdf.is_req.tolist(), strict=True))
+    requests_first, keep, n_keys = RULES[rule], keep_ms * 1_000_000, len(keys)
+    names, width = [*keys, "ts_ns", "seq", "is_req"], len(keys) + 3
+
+    def run(lane: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        was = state.get if state.exists else (None, None, None)
+        held = np.concatenate([_table(was[0], width), *([] if state.hasTimedOut else _came(pdfs, names, width))], axis=1)
+        queues: defaultdict[tuple, deque] = defaultdict(deque)
+        for row in _table(was[1], width - 1).T.tolist():
+            queues[tuple(row[:n_keys])].append(tuple(row[n_keys:]))
+        told = {tuple(row[:n_keys]): tuple(row[n_keys:]) for row in _table(was[2], width - 1).T.tolist()}
         # what the watermark has passed is complete, so it can be put in order
-        held.sort(key=lambda x: (x[0], x[2] != requests_first, x[1]))
-        limit, out, n = state.getCurrentWatermarkMs() * 1_000_000, [], 0
+        now_ms = state.getCurrentWatermarkMs()
+        limit, out = now_ms * 1_000_000, []
+        due, held = held[:, held[n_keys] <= limit], held[:, held[n_keys] > limit]
+        first = 1 - due[-1] if requests_first else due[-1]
+        due = due[:, np.lexsort((due[-2], first, due[n_keys], *due[:n_keys][::-1]))]
 
-        def expire(now):
-            nonlocal told
+        def expire(key, waiting, now):
             while waiting and waiting[0][0] + keep < now:
                 q = waiting.popleft()
-                if told is not None:
-                    out.append((*key, q[0], told[0], q[1], told[1]))
-                    told = None
-
-        for t, s, is_req in held:
-            if t > limit:
-                break
-            n += 1
-            expire(t)
+                r = told.pop(key, None)
+                if r is not None:
+                    out.append((*key, q[0], r[0], q[1], r[1]))
+
+        for *key, t, s, is_req in due.T.tolist():
+            key = tuple(key)
+            waiting = queues[key]
+            expire(key, waiting, t)
             if is_req:
                 if rule in ("fifo", "opaque"):
                     waiting.clear()
@@ -68,35 +97,46 @@ def _replaying(rule: str, keys: tuple[str, ...], keep_ms: int):
                 elif rule == "queued" or not waiting:
                     waiting.append((t, s))
             elif rule == "correlation":
-                told = (t, s) if waiting else None
+                if waiting:
+                    told[key] = t, s
             elif waiting:
                 q = waiting.popleft()
                 out.append((*key, q[0], t, q[1], s))
-        expire(limit)
-        held = held[n:]
-        if held or waiting:
-            state.update(([x[0] for x in held], [x[1] for x in held], [bool(x[2]) for x in held], [x[0] for x in waiting], [x[1] for x in waiting], *(told or (None, None))))
-            wake = min([r[0] for r in held[:1]] + ([waiting[0][0] + keep] if waiting else []))
-            state.setTimeoutTimestamp(max(wake // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
+        for key, waiting in queues.items():
+            expire(key, waiting, limit)
+        queues = {key: waiting for key, waiting in queues.items() if waiting}
+        if held.size or queues:
+            rest = _columns([(*key, *q) for key, waiting in queues.items() for q in waiting], width - 1), _columns([(*key, *r) for key, r in told.items()], width - 1)
+            state.update((held.tobytes(), *(x.tobytes() for x in rest)))
+            # a timer goes off once the watermark is greater than it
+            wake = [-(-int(t) // 1_000_000) - 1 for t in held[n_keys].min(keepdims=True, initial=1 << 62)] + [(waiting[0][0] + keep) // 1_000_000 for waiting in queues.values()]
+            state.setTimeoutTimestamp(max(min(wake), now_ms + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=[*keys, "req_ts", "resp_ts", "req_seq", "resp_seq"])
+        yield pd.DataFrame(_columns(out, n_keys + 4).T, columns=[*keys, "req_ts", "resp_ts", "req_seq", "resp_seq"])
 
     return run
 
 
-def pair(messages: DataFrame, rule: str, keys: tuple[str, ...], delay: str = "1 second", keep_ms: int = KEEP_MS) -> DataFrame:
+def pair(messages: DataFrame, rule: str, keys: tuple[str, ...], delay: str = "1 second", keep_ms: int = KEEP_MS, lanes: int = LANES) -> DataFrame:
     """A batch rule over a stream: messages of a key wait until the watermark has passed them, then they are replayed in order.
 
     fifo: a response takes the latest request since the response before it. correlation: the first request of an id and the
     last response that comes within keep_ms, told when that time is over. opaque: the latest request and the first response
     after it. queued: a response takes the earliest request that waits. The state of a key is what still waits: messages
     ahead of the watermark, and requests, each for keep_ms of event time, after which a timer lets it go. However many wait, none
-    is given up before: a queue that lost one would pair all that follow wrongly. Keys are longs.
+    is given up before: a queue that lost one would pair all that follow wrongly. Keys are longs; those of one of `lanes` parts share a
+    call and a state. A message without a time is never passed, so it is left out.
     """
-    rows = messages.withColumn("at", event_time("ts_ns")).withWatermark("at", delay).select(*keys, "ts_ns", "seq", "is_req", "at")
-    out = ", ".join(f"{k} long" for k in (*keys, "req_ts", "resp_ts", "req_seq", "resp_seq"))
-    return rows.groupBy(*keys).applyInPandasWithState(_replaying(rule, keys, keep_ms), out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    mark, number = "_nulls", lambda name, x: x.cast("long").alias(name)
+    nulls = sum((F.when(c(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)), F.lit(0))
+    rows = messages.where("ts_ns is not null").withColumn("at", event_time("ts_ns")).withWatermark("at", delay)
+    rows = rows.select(*(number(k, F.coalesce(c(k).cast("long"), F.lit(0))) for k in keys), number(mark, nulls), number("ts_ns", c("ts_ns")), number("seq", F.coalesce(c("seq").cast("long"), F.lit(_NO_SEQ))), number("is_req", F.coalesce("is_req", F.lit(False))), "at")
+    every = (*keys, mark)
+    made = ", ".join(f"{k} long" for k in (*every, "req_ts", "resp_ts", "req_seq", "resp_seq"))
+    out = _dealt(rows, every, lanes).applyInPandasWithState(_replaying(rule, every, keep_ms), made, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    known = [F.when(c(mark).bitwiseAND(F.lit(1 << i)) == 0, c(k)).alias(k) for i, k in enumerate(keys)]
+    return out.select(*known, "req_ts", "resp_ts", *(F.nullif(c(k), F.lit(_NO_SEQ)).alias(k) for k in ("req_seq", "resp_seq")))
 
 
 def pair_fifo(messages: DataFrame, delay: str = "1 second", keep_ms: int = KEEP_MS) -> DataFrame:

@@ -190,3 +190,27 @@ def test_a_long_queue_loses_nothing(spark, stream):
     df = stream([rows[:1000], rows[1000:1700], rows[1700:], [(2, 10**6 * s, 10**6, True)]], "conn_id long, ts_ns long, seq long, is_req boolean")
     out = run_available(pairing.pair(df, "queued", ("conn_id",))).collect()
     assert sorted((r.req_seq, r.resp_seq) for r in out) == [(i, n + i) for i in range(n)]
+
+
+@pytest.mark.parametrize("lanes", [1, 3])
+def test_many_keys_share_a_lane(stream, lanes):
+    """Keys of a lane do not mix, null keys are keys of their own, and numbers beyond a double's stay exact beside null ones; what is as late
+    as the last watermark counts."""
+    rng, big, rows = random.Random(8), (1 << 60) + 1, []
+    for n in range(600):
+        key = rng.choice([None, 0, *range(-3, 40)]), rng.choice([None, 0, 1])
+        rows.append((*key, (n + 1) * SECOND, None if n % 50 == 7 else big + n, rng.random() < 0.5))
+    rows[-1] = (5, 1, 600 * SECOND, big + 600, False)
+    rows[-2] = (5, 1, 599 * SECOND, big + 599, True)
+    df = stream([rows[:200], rows[200:], [(99, 9, 601 * SECOND, 1, True)]], "conn_id long, corr_id long, ts_ns long, seq long, is_req boolean")
+    got = {rule: {tuple(r) for r in run_available(pairing.pair(df, rule, ("conn_id", "corr_id"), keep_ms=10**9, lanes=lanes)).collect()} for rule in ("queued", "opaque")}
+    want, waiting = {"queued": set(), "opaque": set()}, {"queued": {}, "opaque": {}}
+    for a, b, t, s, is_req in rows:
+        for rule, queues in waiting.items():
+            q = queues.setdefault((a, b), [])
+            if is_req:
+                q[:] = [*(q if rule == "queued" else []), (t, s)]
+            elif q:
+                first = q.pop(0)
+                want[rule].add((a, b, first[0], t, first[1], s))
+    assert got == want and any(r[0] is None for r in got["queued"])
