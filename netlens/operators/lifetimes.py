@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netlens.operators import scan
 from netlens.operators.enrich import descendants
 
 c = F.col
@@ -30,14 +31,25 @@ def processes_at(records: DataFrame, lives: DataFrame, ts: str = "start_ns", pid
     """records with life, process_name, process_start_ns and process_end_ns of the process that their pid was at that time; null (or gone, with
     how="inner") where there was none. For grace_ns after its end a process is still found, unless its pid has begun anew.
 
-    A join on the pid with the time as a further condition: lifetimes of a pid do not overlap, so each record meets one at most, and
-    a busy pid's records are split like those of any skewed join.
+    Lifetimes of a pid do not overlap, so what counts is the last one that began by then: an as-of lookup over records and lifetimes together,
+    whose work grows with their number, however often a pid is used. It runs in ranges of pid and time (scan.running), so a busy
+    pid is many tasks.
     """
-    again = F.lead("start_ns").over(Window.partitionBy("pid").orderBy("start_ns"))
-    until = F.least(c("end_ns") + F.lit(grace_ns), again) if grace_ns else c("end_ns")
-    spans = lives.select(c("pid").alias("_pid"), _ID, c("name").alias("process_name"), c("start_ns").alias("process_start_ns"), c("end_ns").alias("process_end_ns"), until.alias("_until"))
-    on = (c(pid) == c("_pid")) & (c(ts) >= c("process_start_ns")) & (c("_until").isNull() | (c(ts) < c("_until")))
-    return records.join(spans, on, how).drop("_pid", "_until")
+    at = [c(pid).cast("long").alias("_pid"), c(ts).cast("long").alias("_at")]
+    spans = lives.where("pid is not null and start_ns is not null").select(c("pid").cast("long").alias("_pid"), c("start_ns").cast("long").alias("_at"), F.struct(_ID, "name", "start_ns", "end_ns").alias("_began"))
+    rows = records.select("*", *at, F.lit(True).alias("_asks"))
+    # records without a pid or a time meet nothing, and are no group to sort
+    known = c("_pid").isNotNull() & c("_at").isNotNull()
+    blocks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = rows.where(known).unionByName(spans, allowMissingColumns=True)
+    both = scan.running(both, ["_pid"], ["_at", F.coalesce("_asks", F.lit(False))], {"_life": ("last", c("_began"), True)}, blocks).where("_asks")
+    there = c("_life.end_ns").isNull() | (c("_at") < c("_life.end_ns") + F.lit(grace_ns))
+    both = both.withColumn("_life", F.when(there, c("_life")))
+    if how == "inner":
+        both = both.where("_life is not null")
+    else:
+        both = both.unionByName(rows.where(~known), allowMissingColumns=True)
+    return both.select(*records.columns, c(f"_life.{_ID}").alias(_ID), c("_life.name").alias("process_name"), c("_life.start_ns").alias("process_start_ns"), c("_life.end_ns").alias("process_end_ns"))
 
 
 def alive_at(lives: DataFrame, at_ns: int) -> DataFrame:

@@ -53,3 +53,16 @@ def test_random_trees(spark):
     got = sorted((r.start_ns, r.pid) for r in lifetimes.of_tree_at(calls.drop("life"), df, lifetimes.named("n3")).collect())
     want = sorted((r.start_ns, r.pid) for r in calls.collect() if any(x[1] == r.pid and x[3] <= r.start_ns and (x[4] is None or r.start_ns < x[4]) and x[0] in wanted for x in lives))
     assert got == want and got
+
+
+def test_a_busy_pid_is_looked_up_without_a_product(spark):
+    """2,000 lives of one pid: each call meets its own, and no join compares all calls of the pid with all its lives."""
+    n = 2000
+    lives = lifetimes.lifetimes(spark.createDataFrame([(7, 1, kind, f"/opt/p{t}", 1, 10 * t + (kind == "exit") * 5) for t in range(n) for kind in ("exec", "exit")], EVENTS))
+    calls = spark.createDataFrame([(10 * t + d, 7) for t in range(n) for d in (0, 4, 5, 7)] + [(3, None), (3, 8)], "start_ns long, pid int")
+    out = lifetimes.processes_at(calls, lives, grace_ns=2)
+    assert [f.dataType.simpleString() for f in out.schema.fields[:2]] == ["bigint", "int"]
+    plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert not [line for line in plan.splitlines() if "Join" in line and "start_ns" in line]
+    got = {(r.start_ns, r.pid): r.process_name for r in out.collect()}
+    assert got == {(10 * t + d, 7): f"/opt/p{t}" if d < 7 else None for t in range(n) for d in (0, 4, 5, 7)} | {(3, None): None, (3, 8): None}
