@@ -335,3 +335,21 @@ def test_addresses_as_text(spark):
     for r in got:
         a = ipaddress.ip_address(raws[r.i])
         assert r.t == str(getattr(a, "ipv4_mapped", None) or a)
+
+
+def test_ipv6_text_of_a_made_up_column_is_compiled(spark):
+    """Every place and length of zero groups, of bytes that are themselves a long expression, in one compiled stage."""
+    import ipaddress
+
+    raw = F.unhex(F.concat(*[F.when(F.expr(f"id & {1 << k} <> 0"), F.lpad(F.hex(F.col("id") * 7 % 65535 + 1), 4, "0")).otherwise(F.lit("0000")) for k in range(8)]))
+    out = spark.range(256).select(F.hex(raw).alias("h"), scalars.ip_text(raw).alias("t"))
+    for r in out.collect():
+        address = ipaddress.IPv6Address(bytes.fromhex(r.h))
+        assert r.t == (str(address.ipv4_mapped) if address.ipv4_mapped else str(address)), r.h
+    fallback = "spark.sql.codegen.fallback"
+    before = spark.conf.get(fallback)
+    spark.conf.set(fallback, "false")
+    try:
+        assert spark.range(256).select(scalars.ip_text(raw).alias("t")).where("t like '%::%'").count() > 200
+    finally:
+        spark.conf.set(fallback, before)
