@@ -46,14 +46,16 @@ def islands(segments: DataFrame, keys: tuple[str, ...] = ("conn_id", "direction"
     return rows.groupBy(*keys, "epoch", "island").agg(F.min("seq").alias("start"), F.max("_end").alias("end"), F.count(F.lit(1)).alias("segments"), F.sum("len").alias("bytes"))
 
 
-def reassemble(segments: DataFrame, keys: tuple[str, ...] = ("conn_id", "direction"), block: int | None = None) -> DataFrame:
+def reassemble(segments: DataFrame, keys: tuple[str, ...] = ("conn_id", "direction"), block: int | None = None, parts: int | None = None) -> DataFrame:
     """Fused ranges with their payload: (keys, start, payload). Every byte is that of the segment that arrived first.
 
     Each segment is cut at the borders of the others it meets, and of the pieces at one place the earliest arrival is kept; so
     data that come late and overlap what is there lose the overlap, on either side and in the middle. Cuts are made inside a fused
     range only, and without payloads: those are joined once to the pieces that are kept. With `block` a range comes in rows of
-    so many bytes at most, begun at multiples of it, and no row holds more of a long stream than that.
+    so many bytes at most, begun at multiples of it, and no row holds more of a long stream than that. `parts` is the number of
+    partitions of its joins, which should grow with the rows (scratch.parts_of), as a task's memory does otherwise; else the session's.
     """
+    dealt = lambda rows, *by: rows.repartition(parts, *by) if parts else rows
     ends = segments.withColumn("_end", c("seq") + F.octet_length("payload"))
     first = ends.where("_end > seq").groupBy(*keys, "seq").agg(F.min_by(F.struct("arrival", "_end"), "arrival").alias("_f")).select(*keys, "seq", "_f.arrival", "_f._end")
     w = Window.partitionBy(*keys).orderBy("seq")
@@ -63,11 +65,13 @@ def reassemble(segments: DataFrame, keys: tuple[str, ...] = ("conn_id", "directi
     borders = rows.select(*group, F.explode(F.array("seq", "_end")).alias("lo")).distinct()
     borders = borders.withColumn("hi", F.lead("lo").over(Window.partitionBy(*group).orderBy("lo"))).where("hi is not null")
     bin_of = lambda x: F.floor(x / F.lit(4096))
-    pieces = rows.withColumn("_bin", F.explode(F.sequence(bin_of(c("seq")), bin_of(c("_end") - 1)))).join(borders.withColumn("_bin", bin_of(c("lo"))), [*group, "_bin"]).where("lo >= seq and hi <= _end")
-    best = pieces.groupBy(*group, "lo", "hi").agg(F.min_by("seq", "arrival").alias("_seq"), F.min("arrival").alias("_arrival"))
+    in_bins, places = rows.withColumn("_bin", F.explode(F.sequence(bin_of(c("seq")), bin_of(c("_end") - 1)))), borders.withColumn("_bin", bin_of(c("lo")))
+    pieces = dealt(in_bins, *group, "_bin").join(dealt(places, *group, "_bin"), [*group, "_bin"]).where("lo >= seq and hi <= _end")
+    best = pieces.groupBy(*group, "_bin", "lo", "hi").agg(F.min_by("seq", "arrival").alias("_seq"), F.min("arrival").alias("_arrival")).drop("_bin")
     if block:
         best = best.withColumn("_b", F.explode(F.sequence(F.floor(c("lo") / block), F.floor((c("hi") - 1) / block)))).withColumns({"lo": F.greatest("lo", c("_b") * block), "hi": F.least("hi", (c("_b") + 1) * block)})
         group = [*group, "_b"]
     held = segments.select(*keys, c("seq").alias("_seq"), c("arrival").alias("_arrival"), "payload")
-    piece = best.join(held, [*keys, "_seq", "_arrival"]).select(*group, "lo", F.substring(c("payload"), (c("lo") - c("_seq") + 1).cast("int"), (c("hi") - c("lo")).cast("int")).alias("bytes"))
-    return piece.groupBy(*group).agg(F.min("lo").alias("start"), F.expr("listagg(bytes) WITHIN GROUP (ORDER BY lo)").alias("payload")).select(*keys, "start", "payload")
+    source = [*keys, "_seq", "_arrival"]
+    piece = dealt(best, *source).join(dealt(held, *source), source).select(*group, "lo", F.substring(c("payload"), (c("lo") - c("_seq") + 1).cast("int"), (c("hi") - c("lo")).cast("int")).alias("bytes"))
+    return dealt(piece, *group).groupBy(*group).agg(F.min("lo").alias("start"), F.expr("listagg(bytes) WITHIN GROUP (ORDER BY lo)").alias("payload")).select(*keys, "start", "payload")

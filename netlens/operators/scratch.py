@@ -23,3 +23,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task sorts or joins at once where a table tells its size.
+ROWS_IN_TASK = 100_000
+
+
+def parts_of(table: DataFrame, most: int = ROWS_IN_TASK) -> int:
+    """Partitions for a stored table's rows, so that a task's memory does not grow with the table; not fewer than the session's. Parquet
+    counts its rows without reading them."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // most))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netlens.functions import names
 from netlens.operators import annotate, connections, enrich, filters, hops, inference, lifetimes, pairing, ranges, reassembly, timeline
-from netlens.operators.scratch import scratch_path
+from netlens.operators.scratch import parts_of, scratch_path
 from netlens.plans.oracle import CONN_EVENTS, CONTAINERS, EVENTS, KERN, MESSAGES, PROCESSES, RECORDS, SEGMENTS
 from netlens.plans.protocols import PROTOCOLS
 from netlens.plans.registry import query
@@ -233,7 +233,7 @@ def f1_wrapped(spark, sf):
 def f1_payload(spark, sf):
     """Each segment is filled with the number of its arrival, so the payload tells whose bytes were kept."""
     s = adapters.segments(spark, sf).withColumn("payload", F.unhex(F.expr("repeat(lpad(hex(arrival % 256), 2, '0'), int(len))")))
-    return reassembly.reassemble(s).select("conn_id", "direction", "start", F.hex("payload").alias("payload"))
+    return reassembly.reassemble(s, parts=parts_of(adapters.table(spark, sf, "lineitem"))).select("conn_id", "direction", "start", F.hex("payload").alias("payload"))
 
 
 # --- packet events and annotation --------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from netlens.operators.scratch import parts_of
 from netlens.sources.readers import epoch_ns
 
 c = F.col
@@ -92,6 +93,7 @@ def message_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured byte ranges with gaps and overlaps; arrival is the order of the ship dates."""
     rows = table(spark, sf_dir, "lineitem")
+    rows = rows.repartition(parts_of(rows), "l_orderkey")
     arrival = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_linenumber", "l_discount", "l_tax")
     return rows.select(c("l_orderkey").alias("conn_id"), F.lit("in").alias("direction"), (c("l_linenumber") * 25).cast("long").alias("seq"), F.round(c("l_quantity")).cast("long").alias("len"), F.row_number().over(arrival).cast("long").alias("arrival"), epoch_ns(c("l_shipdate")).alias("ts_ns"))
 

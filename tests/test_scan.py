@@ -54,3 +54,15 @@ def test_a_long_group_lies_in_many_blocks(spark, messages):
     sizes = [r["count"] for r in spread.where("conn_id = 0").collect()]
     assert len(sizes) >= 4 and max(sizes) < 3000 / 8 * 1.6
     assert scan.running(messages.limit(0), ["conn_id"], ["ts_ns"], {"n": ("sum", F.lit(1), True)}, 4).count() == 0
+
+
+def test_partitions_grow_with_the_table(spark, small):
+    """Segments lie in as many partitions as their table's rows ask for, and streams put together in many partitions are the same."""
+    from netlens.operators import reassembly, scratch
+    from netlens.sources import adapters
+
+    lines = adapters.table(spark, small, "lineitem")
+    assert scratch.parts_of(lines, 500) == -(-lines.count() // 500) and scratch.parts_of(lines, 10**9) == 4
+    s = adapters.segments(spark, small).withColumn("payload", F.unhex(F.expr("repeat(lpad(hex(arrival % 256), 2, '0'), int(len))")))
+    got = [sorted(map(tuple, reassembly.reassemble(s, parts=parts).select("conn_id", "start", F.hex("payload")).collect())) for parts in (None, 9)]
+    assert got[0] == got[1] and len(got[0]) > 1000
