@@ -225,34 +225,42 @@ def stuck_heads(segments: DataFrame, timeout_ms: int = 1000, delay: str = "1 sec
     return rows.groupBy("conn_id").applyInPandasWithState(_heads(timeout_ms), "conn_id long, start long, end long, last_ns long", _RANGES_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-_OPEN_STATE = "start_ns long, last_ns long, bytes long"
+_OPEN_STATE = "open binary"
 
 
 def _closing(grace_ms: int, idle_ms: int):
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            start, last, size = state.get
+    names = ["conn_id", "_null", "start_ns", "last_ns", "bytes", "closed"]
+
+    def run(lane: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now_ms, new = state.getCurrentWatermarkMs(), [] if state.hasTimedOut else _came(pdfs, names, 6)
+        known = _table(state.get[0] if state.exists else None, 6)
+        both = pd.DataFrame(np.concatenate([known, *new], axis=1).T, columns=names)
+        both["fresh"] = np.arange(len(both)) >= known.shape[1]
+        rows = both.groupby(names[:2], as_index=False).agg(start_ns=("start_ns", "min"), last_ns=("last_ns", "max"), bytes=("bytes", "sum"), closed=("closed", "max"), fresh=("fresh", "max"))
+        due = rows.last_ns // 1_000_000 + np.where(rows.closed > 0, grace_ms, idle_ms)
+        # any call lets go of what is over, as a part that rows keep coming to has no timers; a connection with rows of this call stays for one more
+        over = (due < now_ms) & ~rows.fresh.astype(bool)
+        rows = rows[names]
+        left = ~over
+        if left.any():
+            state.update((rows[left].to_numpy(dtype=np.int64).T.tobytes(),))
+            state.setTimeoutTimestamp(max(int(due[left].min()), now_ms + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([(key[0], start, last, size)], columns=["conn_id", "start_ns", "last_ns", "bytes"])
-            return
-        start, last, size = state.get if state.exists else (None, None, 0)
-        closed = False
-        for pdf in pdfs:
-            start = min(int(pdf.ts_ns.min()), start if start is not None else int(pdf.ts_ns.min()))
-            last = max(int(pdf.ts_ns.max()), last or 0)
-            size += int(pdf.byte_size.sum())
-            closed = closed or bool(pdf.closes.any())
-        state.update((start, last, size))
-        state.setTimeoutTimestamp(max(last // 1_000_000 + (grace_ms if closed else idle_ms), state.getCurrentWatermarkMs() + 1))
+        yield rows[over][names[:5]]
 
     return run
 
 
-def closed_connections(events: DataFrame, grace_ms: int = 100, idle_ms: int = 15_000, delay: str = "1 second") -> DataFrame:
-    """A row for each connection once it is over: grace_ms of event time after its close, or idle_ms after its last event. What is still
-    open stays in the state. events(conn_id, ts_ns, byte_size, closes)."""
-    rows = events.withColumn("at", event_time("ts_ns")).withWatermark("at", delay)
-    return rows.groupBy("conn_id").applyInPandasWithState(_closing(grace_ms, idle_ms), "conn_id long, start_ns long, last_ns long, bytes long", _OPEN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def closed_connections(events: DataFrame, grace_ms: int = 100, idle_ms: int = 15_000, delay: str = "1 second", lanes: int = LANES) -> DataFrame:
+    """A row for each connection once it is over: grace_ms of event time after its last event if it was closed, else idle_ms. What is still
+    open stays in the state, one for each of `lanes` parts of connections. events(conn_id, ts_ns, byte_size, closes); an event without a time is left out."""
+    number = lambda name, x: x.cast("long").alias(name)
+    rows = events.where("ts_ns is not null").withColumn("at", event_time("ts_ns")).withWatermark("at", delay)
+    rows = rows.select(number("conn_id", F.coalesce(c("conn_id").cast("long"), F.lit(0))), number("_null", c("conn_id").isNull()), number("start_ns", c("ts_ns")), number("last_ns", c("ts_ns")),
+                       number("bytes", F.coalesce(c("byte_size").cast("long"), F.lit(0))), number("closed", F.coalesce("closes", F.lit(False))), "at")
+    out = _dealt(rows, ("conn_id", "_null"), lanes).applyInPandasWithState(_closing(grace_ms, idle_ms), "conn_id long, _null long, start_ns long, last_ns long, bytes long", _OPEN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.when(c("_null") == 0, c("conn_id")).alias("conn_id"), "start_ns", "last_ns", "bytes")
 
 
 def stale_heads(progress: DataFrame, timeout_ms: int = 1000, delay: str = "1 second") -> DataFrame:

@@ -214,3 +214,14 @@ def test_many_keys_share_a_lane(stream, lanes):
                 first = q.pop(0)
                 want[rule].add((a, b, first[0], t, first[1], s))
     assert got == want and any(r[0] is None for r in got["queued"])
+
+
+def test_connections_close_while_others_of_their_lane_go_on(stream):
+    """A close is remembered over batches, and a connection that is over leaves although its lane has rows in every batch."""
+    s = SECOND
+    parts = [[(1, 1 * s, 10, True), (2, 1 * s, 5, False), (None, 1 * s, 3, False)], [(1, 1 * s + 50_000_000, 1, False), (3, 10 * s, 1, False)], *([(3, t * s, 1, False)] for t in (12, 13, 14))]
+    df = stream(parts, "conn_id long, ts_ns long, byte_size long, closes boolean")
+    out = run_available(pairing.closed_connections(df, lanes=1)).collect()
+    assert [tuple(r) for r in out] == [(1, s, s + 50_000_000, 11)]
+    out = run_available(pairing.closed_connections(df, idle_ms=5000, lanes=1)).collect()
+    assert {tuple(r) for r in out} == {(1, s, s + 50_000_000, 11), (2, s, s, 5), (None, s, s, 3)}
