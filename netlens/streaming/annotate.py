@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlens.functions.names import LAST_EGRESS
 from netlens.operators import annotate as batch
 from netlens.streaming.run import event_time
-from netlens.streaming.state import Kept, Replaying
+from netlens.streaming.state import LANES, Replaying, replayed
 
 _EVENT = "struct<is_req:boolean,step:int,seq:bigint,len:bigint,ts_ns:bigint,ts_delta:bigint,first_ns:bigint,last_ns:bigint>"
 OUT = f"conn_id long, pair_id long, side string, is_ssl boolean, req_ts long, resp_ts long, req_maps boolean, resp_maps boolean, req_kern_len long, resp_kern_len long, events array<{_EVENT}>"
@@ -22,37 +22,21 @@ _FIELDS = [k for k in TIMELINE if k != "conn_id"]
 
 
 class _Matching(Replaying):
-    """Map states of packets by (step, seq, interface), of TLS events by (egress, seq) and of pairs by when they settle; a value
-    state of the bytes that are consumed in each direction. See matched()."""
+    """What is kept of a connection: packets by (step, seq, interface), TLS events by (egress, seq), pairs by when they settle, the bytes
+    that are consumed in each direction, and the time of its last row. See matched()."""
 
-    HELD = ", ".join(f"{k} {TIMELINE[k]}" for k in _FIELDS)
+    KEYS, HELD = ("conn_id",), tuple(_FIELDS)
 
     def __init__(self, settle_ms: int, idle_ms: int):
         self.settle, self.idle = settle_ms * 1_000_000, idle_ms * 1_000_000
 
-    def states(self, handle):
-        self.packet_state = handle.getMapState("packets", "step int, seq long, ifname string", "len long, ts_ns long, ts_delta long")
-        self.tls_state = handle.getMapState("tls", "egress boolean, seq long", "len long, syscall_seq long, syscall_len long")
-        self.pair_state = handle.getMapState("pairs", "due_ns long, pair_id long", "side string, is_ssl boolean, req_ts long, resp_ts long, req_start long, req_end long, resp_start long, resp_end long")
-        self.mark_state = handle.getValueState("marks", "kern_out long, kern_in long, tls_out long, tls_in long, seen_ns long")
-
-    def open(self, key):
-        self.packets, self.tls, self.pairs = Kept(self.packet_state), Kept(self.tls_state), Kept(self.pair_state)
-        self.was = tuple(self.mark_state.get()) if self.mark_state.exists() else None
-        *marks, self.seen = self.was or (0, 0, 0, 0, None)
-        self.marks = {("kern", True): marks[0], ("kern", False): marks[1], ("tls", True): marks[2], ("tls", False): marks[3]}
+    def open(self, key, was):
+        self.packets, self.tls, self.pairs, self.marks, self.seen = was or ({}, {}, {}, {(what, egress): 0 for what in ("kern", "tls") for egress in (True, False)}, None)
 
     def close_call(self):
-        for kept in (self.packets, self.tls, self.pairs):
-            kept.write()
-        now = (*self.marks.values(), self.seen)
         if self.seen is None:
-            if self.was:
-                self.mark_state.clear()
-            return None
-        if now != self.was:
-            self.mark_state.update(now)
-        return min([k[0] + 1 for k in self.pairs] + [self.seen + self.idle + 1])
+            return None, None
+        return (self.packets, self.tls, self.pairs, self.marks, self.seen), min([k[0] + 1 for k in self.pairs] + [self.seen + self.idle + 1])
 
     def pass_time(self, key, now):
         out = []
@@ -103,12 +87,12 @@ class _Matching(Replaying):
                     met.setdefault((step, seq), []).append(v)
             for (step, seq), some in met.items():
                 size, ts, delta = min(some, key=lambda v: (v[1], v[0]))
-                events.append((seq, ts, Row(is_req=is_req, step=step, seq=seq, len=size, ts_ns=ts, ts_delta=delta, first_ns=ts, last_ns=max(v[1] for v in some))))
+                events.append((seq, ts, dict(is_req=is_req, step=step, seq=seq, len=size, ts_ns=ts, ts_delta=delta, first_ns=ts, last_ns=max(v[1] for v in some))))
             self._consumed("kern", egress, high)
             if is_ssl:
                 self._consumed("tls", egress, end)
-        events.sort(key=lambda e: (e[0], e[1], e[2].step))
-        return Row(conn_id=key[0], pair_id=pair_id, side=side, is_ssl=is_ssl, req_ts=req_ts, resp_ts=resp_ts, req_maps=made["req_maps"], resp_maps=made["resp_maps"],
+        events.sort(key=lambda e: (e[0], e[1], e[2]["step"]))
+        return dict(conn_id=key[0], pair_id=pair_id, side=side, is_ssl=is_ssl, req_ts=req_ts, resp_ts=resp_ts, req_maps=made["req_maps"], resp_maps=made["resp_maps"],
                    req_kern_len=made["req_kern_len"], resp_kern_len=made["resp_kern_len"], events=[e[2] for e in events])
 
     def _consumed(self, what, egress, end):
@@ -119,7 +103,7 @@ class _Matching(Replaying):
             del kept[k]
 
 
-def matched(timeline: DataFrame, settle_ms: int = 1000, idle_ms: int = 600_000, delay: str = "1 second") -> DataFrame:
+def matched(timeline: DataFrame, settle_ms: int = 1000, idle_ms: int = 600_000, delay: str = "1 second", lanes: int = LANES) -> DataFrame:
     """Pairs of a stream with the packet events that their byte ranges meet, once they have settled: conn_id, pair_id, side, is_ssl, req_ts,
     resp_ts, req_maps, resp_maps, req_kern_len, resp_kern_len, events (in order of bytes).
 
@@ -131,12 +115,13 @@ def matched(timeline: DataFrame, settle_ms: int = 1000, idle_ms: int = 600_000,
 
     What a pair has taken is consumed: a mark for each direction, of kernel bytes and of TLS bytes, stands at the end of its range, and
     events that begin below it go, also those that come later. State is bounded by these marks, and by time: a connection without
-    any event for idle_ms of event time is forgotten with its marks. Start it inside state.rocksdb().
+    any event for idle_ms of event time is forgotten with its marks. Connections of one of `lanes` parts share a call. Start it inside state.rocksdb(). A row without a
+    time is left out.
     """
-    rows = timeline.withColumn("at", event_time("ts_ns")).withWatermark("at", delay)
+    rows = timeline.where("ts_ns is not null").withColumn("at", event_time("ts_ns")).withWatermark("at", delay)
     has = set(timeline.columns)
     rows = rows.select("at", *((F.col(k) if k in has else F.lit(None)).cast(t).alias(k) for k, t in TIMELINE.items()))
-    return rows.groupBy("conn_id").transformWithState(_Matching(settle_ms, idle_ms), OUT, "append", "EventTime")
+    return replayed(rows, _Matching(settle_ms, idle_ms), OUT, lanes)
 
 
 def annotated(timeline: DataFrame, trace_devices: bool = True, trace_sockets: bool = True, **options) -> DataFrame:

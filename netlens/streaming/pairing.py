@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from netlens.streaming.run import event_time
+from netlens.streaming.state import LANES, dealt
 
 c = F.col
 
@@ -29,16 +30,6 @@ def pair_by_id(messages: DataFrame, keys: tuple[str, ...] = ("conn_id", "corr_id
     return req.join(resp, cond).select(*keys, "req_ts", "resp_ts", "req_seq", "resp_seq")
 
 
-#: Parts by hash that the keys of a stream are dealt to. A part has one state and one call for all of its keys: a call for each key costs
-#: about a millisecond, whatever is in it. The number is part of a checkpoint.
-LANES = 512
-_LANE = "_lane"
-
-
-def _dealt(rows: DataFrame, keys: tuple[str, ...], lanes: int):
-    return rows.withColumn(_LANE, F.pmod(F.xxhash64(*keys), F.lit(lanes))).groupBy(_LANE)
-
-
 def _table(raw: bytes | None, width: int) -> np.ndarray:
     """Columns of longs from a state."""
     return np.frombuffer(raw or b"", dtype=np.int64).reshape(width, -1)
@@ -134,7 +125,7 @@ def pair(messages: DataFrame, rule: str, keys: tuple[str, ...], delay: str = "1
     rows = rows.select(*(number(k, F.coalesce(c(k).cast("long"), F.lit(0))) for k in keys), number(mark, nulls), number("ts_ns", c("ts_ns")), number("seq", F.coalesce(c("seq").cast("long"), F.lit(_NO_SEQ))), number("is_req", F.coalesce("is_req", F.lit(False))), "at")
     every = (*keys, mark)
     made = ", ".join(f"{k} long" for k in (*every, "req_ts", "resp_ts", "req_seq", "resp_seq"))
-    out = _dealt(rows, every, lanes).applyInPandasWithState(_replaying(rule, every, keep_ms), made, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    out = dealt(rows, every, lanes).applyInPandasWithState(_replaying(rule, every, keep_ms), made, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     known = [F.when(c(mark).bitwiseAND(F.lit(1 << i)) == 0, c(k)).alias(k) for i, k in enumerate(keys)]
     return out.select(*known, "req_ts", "resp_ts", *(F.nullif(c(k), F.lit(_NO_SEQ)).alias(k) for k in ("req_seq", "resp_seq")))
 
@@ -259,7 +250,7 @@ def closed_connections(events: DataFrame, grace_ms: int = 100, idle_ms: int = 15
     rows = events.where("ts_ns is not null").withColumn("at", event_time("ts_ns")).withWatermark("at", delay)
     rows = rows.select(number("conn_id", F.coalesce(c("conn_id").cast("long"), F.lit(0))), number("_null", c("conn_id").isNull()), number("start_ns", c("ts_ns")), number("last_ns", c("ts_ns")),
                        number("bytes", F.coalesce(c("byte_size").cast("long"), F.lit(0))), number("closed", F.coalesce("closes", F.lit(False))), "at")
-    out = _dealt(rows, ("conn_id", "_null"), lanes).applyInPandasWithState(_closing(grace_ms, idle_ms), "conn_id long, _null long, start_ns long, last_ns long, bytes long", _OPEN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    out = dealt(rows, ("conn_id", "_null"), lanes).applyInPandasWithState(_closing(grace_ms, idle_ms), "conn_id long, _null long, start_ns long, last_ns long, bytes long", _OPEN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return out.select(F.when(c("_null") == 0, c("conn_id")).alias("conn_id"), "start_ns", "last_ns", "bytes")
 
 

@@ -2,43 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlens.operators.reassembly import MIB, WRAP
 from netlens.streaming.run import event_time
-from netlens.streaming.state import Kept, Replaying
+from netlens.streaming.state import LANES, Replaying, replayed
 
 OUT = "conn_id long, direction string, epoch long, start long, end long, segments long, bytes long, first_ns long, last_ns long, reason string"
 
 
 class _Reassembly(Replaying):
-    """Map state of ranges by where they start, and of the segments in them by seq; see ranges()."""
+    """What is kept of a stream: its ranges by where they start, (end, segments, bytes, first_ns, grown_ns); the segments in them by seq; the
+    number of the epoch and the mark. See ranges()."""
 
-    HELD = "ts_ns long, arrival long, seq long, len long, closes boolean"
+    KEYS, HELD = ("conn_id", "direction"), ("ts_ns", "arrival", "seq", "len", "closes")
 
     def __init__(self, capacity: int, stuck_ms: int):
         self.capacity, self.stuck = capacity, stuck_ms * 1_000_000
 
-    def states(self, handle):
-        self.by_start = handle.getMapState("ranges", "start long", "end long, segments long, bytes long, first_ns long, grown_ns long")
-        self.by_seq = handle.getMapState("seqs", "seq long", "ts_ns long")
-        self.position = handle.getValueState("position", "epoch long, mark long")
-
-    def open(self, key):
-        self.ranges, self.seqs = Kept(self.by_start), Kept(self.by_seq)
-        self.was = tuple(self.position.get()) if self.position.exists() else None
-        self.epoch, self.mark = self.was or (0, -1)
+    def open(self, key, was):
+        self.ranges, self.seqs, self.epoch, self.mark = was or ({}, {}, 0, -1)
 
     def close_call(self):
-        self.ranges.write()
-        self.seqs.write()
-        if (self.epoch, self.mark) == (0, -1):
-            if self.was:
-                self.position.clear()
-        elif (self.epoch, self.mark) != self.was:
-            self.position.update((self.epoch, self.mark))
-        return self.ranges[min(self.ranges)][4] + self.stuck if self.ranges else None
+        kept = (self.ranges, self.seqs, self.epoch, self.mark)
+        return None if kept == ({}, {}, 0, -1) else kept, self.ranges[min(self.ranges)][4] + self.stuck if self.ranges else None
 
     def _left(self, key, start, reason):
         """A range leaves: its row. What comes below its end later on is not taken up again."""
@@ -46,7 +34,7 @@ class _Reassembly(Replaying):
         for seq in [s for s in self.seqs if start[0] <= s[0] < end]:
             del self.seqs[seq]
         self.mark = max(self.mark, end)
-        return Row(conn_id=key[0], direction=key[1], epoch=self.epoch, start=start[0], end=end, segments=segments, bytes=size, first_ns=first, last_ns=grown, reason=reason)
+        return dict(conn_id=key[0], direction=key[1], epoch=self.epoch, start=start[0], end=end, segments=segments, bytes=size, first_ns=first, last_ns=grown, reason=reason)
 
     def _cleared(self, key, reason):
         out = [self._left(key, start, reason) for start in sorted(self.ranges)]
@@ -71,7 +59,7 @@ class _Reassembly(Replaying):
         return out
 
     def _added(self, key, ts, seq, size):
-        out, dropped = [], Row(conn_id=key[0], direction=key[1], epoch=self.epoch, start=seq, end=seq + size, segments=1, bytes=size, first_ns=ts, last_ns=ts, reason="before head")
+        out, dropped = [], dict(conn_id=key[0], direction=key[1], epoch=self.epoch, start=seq, end=seq + size, segments=1, bytes=size, first_ns=ts, last_ns=ts, reason="before head")
         if (seq,) in self.seqs:
             return out
         low = min(self.ranges)[0] if self.ranges else self.mark
@@ -98,7 +86,7 @@ class _Reassembly(Replaying):
         return out
 
 
-def ranges(segments: DataFrame, capacity: int = MIB, stuck_ms: int = 1000, delay: str = "1 second") -> DataFrame:
+def ranges(segments: DataFrame, capacity: int = MIB, stuck_ms: int = 1000, delay: str = "1 second", lanes: int = LANES) -> DataFrame:
     """Fused ranges of streams, each with a row when it leaves: conn_id, direction, epoch, start, end, segments, bytes, first_ns, last_ns
     (when it last grew) and reason. segments(conn_id long, direction string, seq, len, ts_ns, arrival[, closes boolean]); seq has 32 bits.
 
@@ -112,10 +100,11 @@ def ranges(segments: DataFrame, capacity: int = MIB, stuck_ms: int = 1000, delay
 
     State is bounded by `capacity` bytes of ranges and segments for each stream, and by time: whatever waits goes by an event-time
     timer stuck_ms after it last grew (a state's own TTL runs on the clock of the machine, so results would depend on it). The
-    number of the epoch and the end of what has left stay with a stream until its connection closes. Start it inside state.rocksdb().
+    number of the epoch and the end of what has left stay with a stream until its connection closes. Streams of one of `lanes` parts share a call. Start it inside state.rocksdb().
+    A segment without a time is left out, one without seq brings no bytes.
     """
-    rows = segments.withColumn("at", event_time("ts_ns")).withWatermark("at", delay)
+    rows = segments.where("ts_ns is not null").withColumn("at", event_time("ts_ns")).withWatermark("at", delay)
     closes = F.coalesce("closes", F.lit(False)) if "closes" in segments.columns else F.lit(False)
     number = lambda name: F.col(name).cast("long").alias(name)
-    rows = rows.select("at", F.col("conn_id").cast("long").alias("conn_id"), "direction", number("ts_ns"), number("arrival"), number("seq"), number("len"), closes.alias("closes"))
-    return rows.groupBy("conn_id", "direction").transformWithState(_Reassembly(capacity, stuck_ms), OUT, "append", "EventTime")
+    rows = rows.select("at", F.col("conn_id").cast("long").alias("conn_id"), "direction", number("ts_ns"), number("arrival"), number("seq"), F.when(F.col("seq").isNotNull(), F.col("len").cast("long")).alias("len"), closes.alias("closes"))
+    return replayed(rows, _Reassembly(capacity, stuck_ms), OUT, lanes)

@@ -225,3 +225,15 @@ def test_connections_close_while_others_of_their_lane_go_on(stream):
     assert [tuple(r) for r in out] == [(1, s, s + 50_000_000, 11)]
     out = run_available(pairing.closed_connections(df, idle_ms=5000, lanes=1)).collect()
     assert {tuple(r) for r in out} == {(1, s, s + 50_000_000, 11), (2, s, s, 5), (None, s, s, 3)}
+
+
+@pytest.mark.parametrize("lanes", [1, 3])
+def test_streams_share_a_part(stream, lanes):
+    """Many streams in few parts: they do not mix, those without rows in a batch are kept or let go in time, null keys are keys of their own."""
+    conns = [None, *range(30)]
+    rows = [(conn, None if conn == 3 else "in", 100 * k, 100, (10 * k + i + 1) * SECOND, k, k == 3 and conn != 7) for i, conn in enumerate(conns) for k in range(4)]
+    rows.sort(key=lambda r: r[4])
+    df = stream([rows[:50], rows[50:90], rows[90:], [LATER]], SEGMENTS)
+    out = run_available(reassembly.ranges(df, stuck_ms=10**6, lanes=lanes), stateful=True).where("conn_id is null or conn_id >= 0").collect()
+    assert sorted(((r.conn_id is None, r.conn_id or 0), r.direction, r.start, r.end, r.segments, r.reason) for r in out) == sorted(
+        ((conn is None, conn or 0), None if conn == 3 else "in", 0, 400, 4, "stuck" if conn == 7 else "close") for conn in conns)
