@@ -237,3 +237,14 @@ def test_streams_share_a_part(stream, lanes):
     out = run_available(reassembly.ranges(df, stuck_ms=10**6, lanes=lanes), stateful=True).where("conn_id is null or conn_id >= 0").collect()
     assert sorted(((r.conn_id is None, r.conn_id or 0), r.direction, r.start, r.end, r.segments, r.reason) for r in out) == sorted(
         ((conn is None, conn or 0), None if conn == 3 else "in", 0, 400, 4, "stuck" if conn == 7 else "close") for conn in conns)
+
+
+def test_a_lane_is_not_held_by_python(spark, stream):
+    """Order is Spark's own: no lane is handed to one Python call. Equal records have a position each, a null lane is a lane."""
+    rows = [((k % 50 + 1) * SECOND, k // 100, "r") for k in range(300)]
+    df = stream([rows[:100], rows[100:], [(10**6 * SECOND, -1, "end")]], "start_ns long, record_id long, request string").withColumn("lane", F.when(F.col("record_id") != 1, F.col("record_id")))
+    made = order.in_request_order(df, ["request"], lane="lane", delay="60 seconds")
+    got = run_available(made, stateful=True).where("lane is null or lane >= 0").collect()
+    assert sorted(((r.lane is None, r.lane or 0), r.position, r.start_ns) for r in got) == sorted(((n == 1, 0 if n == 1 else n), i, (i // 2 + 1) * SECOND) for n in range(3) for i in range(100))
+    plan = made.stream._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended"))
+    assert "Python" not in plan and "Pandas" not in plan
