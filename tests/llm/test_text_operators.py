@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from netlens.llm import common, langid, lines, packing, pii, simhash, substring
 from netlens.llm.common import components
@@ -46,6 +48,19 @@ def texts(n, seed, length=60):
     return [" ".join(rng.choice(WORDS) for _ in range(rng.randint(5, length))) for _ in range(n)]
 
 
+def test_scratch_tables_leave_no_shuffle_files(spark, rows):
+    """What a scratch table was shuffled through goes when it is written, so a job's disk is that of one step, and a repeated job's, too."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x for x in (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())) if x.startswith("shuffle_")}
+    before = held()
+    table = common.materialise(rows([(i,) for i in range(1000)], "a long").repartition(4, "a").groupBy((F.col("a") % 7).alias("g")).count())
+    end = time.time() + 3  # the driver's garbage may be collected later
+    while held() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not held() - before
+    assert sum(r["count"] for r in table.collect()) == 1000
+
+
 @pytest.mark.parametrize("fold", [1 << 18, 0])
 def test_components(rows, monkeypatch, fold):
     """By star rounds alone, and folded in one task."""
